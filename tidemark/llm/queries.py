@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import encode_and_decode
 from .common import documents
+from .fingerprints import fingerprint_documents
+from .pii import digest as pii_digest
 from .token_counts import count_tokens
 
 
@@ -18,14 +20,22 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_digest(documents(spark, sf_dir))
+
+
 def op8_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_and_decode(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"))
 
 
+def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_documents(documents(spark, sf_dir))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op8_bpe_encoding, op10_token_counts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_pii, op8_bpe_encoding, op9_document_fingerprints, op10_token_counts)}
 
 ORACLE_SQL: dict[str, str] = {}
