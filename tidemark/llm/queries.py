@@ -11,6 +11,7 @@ from .bpe import encode_and_decode
 from .common import documents
 from .fingerprints import fingerprint_documents
 from .pii import digest as pii_digest
+from .simhash import linked_documents
 from .token_counts import count_tokens
 
 
@@ -21,6 +22,10 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linked_documents(documents(spark, sf_dir))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(documents(spark, sf_dir))
 
@@ -41,6 +46,6 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_pii, op7_substring_dedup, op8_bpe_encoding, op9_document_fingerprints, op10_token_counts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_simhash_near_dedup, op5_pii, op7_substring_dedup, op8_bpe_encoding, op9_document_fingerprints, op10_token_counts)}
 
 ORACLE_SQL: dict[str, str] = {"op7_substring_dedup": substring.ORACLE_SQL}
