@@ -18,6 +18,7 @@ from .packing import pack_documents
 from .pii import digest as pii_digest
 from .simhash import linked_documents
 from .token_counts import count_tokens
+from .training_order import training_order
 
 
 def tokenizer_file(name: str) -> str:
@@ -49,6 +50,10 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(documents(spark, sf_dir))
 
 
+def op6_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training_order(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digest(documents(spark, sf_dir))
 
@@ -65,6 +70,6 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_simhash_near_dedup, op3_language_id, op4_exact_topk, op5_pii, op7_substring_dedup, op8_bpe_encoding, op9_document_fingerprints, op10_token_counts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_simhash_near_dedup, op3_language_id, op4_exact_topk, op5_pii, op6_training_order, op7_substring_dedup, op8_bpe_encoding, op9_document_fingerprints, op10_token_counts)}
 
 ORACLE_SQL: dict[str, str] = {"op4_exact_topk": TOPK_SQL, "op7_substring_dedup": substring.ORACLE_SQL}

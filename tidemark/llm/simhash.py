@@ -315,7 +315,7 @@ def _similarity(rows: DataFrame, shingle: int) -> DataFrame:
     return rows.select("doc_id", "text_hash", "text", "leader_text").mapInArrow(made, "doc_id long, text_hash long, likeness double")
 
 
-def keep_one_of_each_group(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, tau: int = 7, planes: int = 3, rounds: int = 4) -> DataFrame:
+def keep_one_of_each_group(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, tau: int = 8, planes: int = 6, rounds: int = 4) -> DataFrame:
     """The rows of docs without near-duplicates; columns and texts stay as they are.
 
     Rows whose SimHash differs in at most tau bits in one of the planes are candidates of each
