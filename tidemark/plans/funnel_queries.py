@@ -1 +1,82 @@
-"""To come."""
+"""Funnels and the purchase audit, with product = props.k modulo 10 so that paths occur."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import funnel
+from ..sources.tables import FACT_SQL, facts
+from .registry import query
+
+CENSORED = "2024-01-29 00:00:00"
+
+PATHS_SQL = FACT_SQL + r""",
+fe AS (SELECT * REPLACE (CAST(CAST(product_id AS BIGINT) % 10 AS VARCHAR) AS product_id), ok AND NOT no_sess AS valid FROM fact),
+st AS (SELECT user_id, sess, product_id, min(ts) AS v FROM fe WHERE valid AND kind = 'view' GROUP BY ALL),
+ln AS (SELECT fe.*, v, v + INTERVAL 24 HOUR AS deadline FROM fe LEFT JOIN st ON fe.valid AND fe.user_id = st.user_id AND fe.sess = st.sess AND fe.product_id = st.product_id),
+ag AS (SELECT user_id, sess, product_id, v, min(ts) FILTER (kind = 'cart' AND ts > v AND ts <= deadline) AS c1, max(ts) FILTER (kind = 'purchase' AND ts > v AND ts <= deadline) AS b1, min(ts) FILTER (kind = 'cart' AND ts >= v AND ts <= deadline) AS c2, max(ts) FILTER (kind = 'purchase' AND ts >= v AND ts <= deadline) AS b2,
+  count(*) FILTER (kind = 'view' AND ts = v AND (price IS NULL OR price < 0)) AS badp, count(DISTINCT price) FILTER (kind = 'view' AND ts = v AND price >= 0) AS np, min(price) FILTER (kind = 'view' AND ts = v AND price >= 0) AS p FROM ln WHERE v IS NOT NULL GROUP BY ALL),
+cl AS (SELECT *, CASE WHEN c1 < b1 THEN 'view_cart_purchase' WHEN b1 IS NOT NULL THEN 'view_purchase_no_confirmed_intermediate_cart' WHEN c1 IS NOT NULL THEN 'view_cart_no_observed_purchase' ELSE 'view_only' END AS strict_class,
+  CASE WHEN c2 <= b2 THEN 'view_cart_purchase' WHEN b2 IS NOT NULL THEN 'view_purchase_no_confirmed_intermediate_cart' WHEN c2 IS NOT NULL THEN 'view_cart_no_observed_purchase' ELSE 'view_only' END AS possible_class,
+  CASE WHEN np > 1 THEN 'conflicting' WHEN badp > 0 OR np <> 1 THEN 'invalid_or_missing' ELSE 'unique_valid' END AS ps, v >= TIMESTAMP '2024-01-29 00:00:00' AS right_censored FROM ag),
+paths AS (SELECT 'events' AS scope_id, user_id, sess AS user_session, product_id, v AS first_view_time, CAST(v AS DATE) AS start_date_utc, strict_class, possible_class, strict_class <> possible_class AS order_uncertain, right_censored,
+  CASE WHEN right_censored THEN 'right_censored' WHEN strict_class <> possible_class THEN 'order_uncertain' ELSE 'formal' END AS release_status, c1 IS NOT NULL AS has_cart_after_view, b1 IS NOT NULL AS has_purchase_after_view, strict_class = 'view_cart_purchase' AS has_three_step,
+  CASE WHEN ps = 'unique_valid' THEN p END AS first_view_price, ps AS first_view_price_status,
+  CASE WHEN ps <> 'unique_valid' THEN 'unknown' WHEN p < 20 THEN '[0,20)' WHEN p < 50 THEN '[20,50)' WHEN p < 200 THEN '[50,200)' ELSE '[200,+inf)' END AS price_band FROM cl)"""
+
+
+def _events(spark, sf_dir):
+    return facts(spark, sf_dir).withColumn("product_id", (F.col("product_id").cast("long") % 10).cast("string"))
+
+
+def path_table(spark, sf_dir):
+    return funnel.paths(_events(spark, sf_dir), CENSORED)
+
+
+@query(f"WITH {PATHS_SQL} SELECT 'events' AS scope_id, user_id, sess AS user_session, product_id, v AS first_view_time FROM st")
+def funnel_starts(spark, sf_dir):
+    return funnel.starts(_events(spark, sf_dir))
+
+
+@query(f"WITH {PATHS_SQL} SELECT event_id, v AS first_view_time, deadline FROM ln")
+def funnel_linked(spark, sf_dir):
+    return funnel.linked(_events(spark, sf_dir)).select("event_id", "first_view_time", "deadline")
+
+
+@query(f"WITH {PATHS_SQL} SELECT * FROM paths")
+def funnel_paths(spark, sf_dir):
+    return path_table(spark, sf_dir)
+
+
+_COUNTS = """count(*) AS n_view, count(*) FILTER (has_cart_after_view) AS n_cart, count(*) FILTER (has_purchase_after_view) AS n_purchase, count(*) FILTER (has_three_step) AS n_three_step,
+""" + ", ".join(f"count(*) FILTER (strict_class = '{c}') AS {c}" for c in funnel.CLASSES)
+_NAMES = ["n_view", "n_cart", "n_purchase", "n_three_step", *funnel.CLASSES]
+
+
+@query(f"""WITH {PATHS_SQL}, f AS (SELECT * FROM paths WHERE release_status = 'formal'), bc AS (SELECT price_band AS segment, {_COUNTS} FROM f GROUP BY 1),
+w AS (SELECT 'overall' AS level, 'all' AS segment, {_COUNTS} FROM f UNION ALL SELECT 'start_day', CAST(start_date_utc AS VARCHAR), {_COUNTS} FROM f GROUP BY start_date_utc
+  UNION ALL SELECT 'price_band', b.s, {', '.join(f'coalesce({n}, 0)' for n in _NAMES)} FROM (VALUES ('[0,20)'), ('[20,50)'), ('[50,200)'), ('[200,+inf)'), ('unknown')) b(s) LEFT JOIN bc ON segment = b.s)
+SELECT *, round(CASE WHEN n_view > 0 THEN n_cart / CAST(n_view AS DOUBLE) END, 6) AS view_to_cart, round(CASE WHEN n_cart > 0 THEN n_three_step / CAST(n_cart AS DOUBLE) END, 6) AS cart_to_purchase_three_step,
+  round(CASE WHEN n_view > 0 THEN n_purchase / CAST(n_view AS DOUBLE) END, 6) AS view_to_purchase, round(CASE WHEN n_view > 0 THEN n_three_step / CAST(n_view AS DOUBLE) END, 6) AS three_step_ratio,
+  CASE WHEN n_view > 0 THEN 'defined' ELSE 'zero_denominator' END AS view_denominator_status, CASE WHEN n_cart > 0 THEN 'defined' ELSE 'zero_denominator' END AS cart_denominator_status FROM w""")
+def funnel_summary(spark, sf_dir):
+    return funnel.summary(path_table(spark, sf_dir))
+
+
+@query(f"""WITH {PATHS_SQL} SELECT 'release' AS part, release_status AS value, count(*) AS n FROM paths GROUP BY ALL UNION ALL SELECT 'price', first_view_price_status, count(*) FROM paths WHERE release_status = 'formal' GROUP BY ALL
+UNION ALL SELECT 'key', CASE WHEN NOT ok THEN 'user_id' WHEN no_sess THEN 'session' ELSE 'product_id' END, count(*) FROM fe WHERE NOT valid GROUP BY ALL""")
+def funnel_exclusions(spark, sf_dir):
+    return funnel.exclusions(_events(spark, sf_dir), path_table(spark, sf_dir))
+
+
+@query(f"""WITH {PATHS_SQL}, r AS (SELECT CAST(d AS VARCHAR) AS day, CASE WHEN NOT valid THEN 'invalid_path_key' WHEN v IS NULL THEN 'no_view_same_key' WHEN ts <= v THEN 'purchase_at_or_before_first_view'
+  WHEN NOT (v >= TIMESTAMP '2024-01-01 00:00:00' AND v < TIMESTAMP '2024-01-29 00:00:00') THEN 'start_outside_formal_range' WHEN ts > deadline THEN 'beyond_24_hours' ELSE 'within_path_window' END AS reason FROM ln WHERE kind = 'purchase')
+SELECT day, reason, count(*) AS n FROM r GROUP BY ALL UNION ALL SELECT '__all__', reason, count(*) FROM r GROUP BY ALL""")
+def purchase_audit(spark, sf_dir):
+    return funnel.purchase_audit(_events(spark, sf_dir), "2024-01-01 00:00:00", CENSORED)
+
+
+@query(f"""WITH {PATHS_SQL} SELECT count(*) FILTER (has_three_step AND NOT has_cart_after_view) AS three_step_without_cart, count(*) FILTER (has_three_step AND NOT has_purchase_after_view) AS three_step_without_purchase, CAST(0 AS BIGINT) AS unknown_class,
+  count(*) - count(DISTINCT (user_id, user_session, product_id)) AS repeated_keys, count(*) FILTER (first_view_price IS NULL AND price_band <> 'unknown') AS band_without_price FROM paths""")
+def funnel_invariants(spark, sf_dir):
+    return funnel.invariants(path_table(spark, sf_dir))
