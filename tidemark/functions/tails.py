@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
@@ -36,16 +37,27 @@ def incomplete_beta(a: float, b: float, x: float) -> float:
     return 1 - front * _beta_fraction(b, a, 1 - x) / b
 
 
-@F.pandas_udf("double")
-def normal_two_sided(z: pd.Series) -> pd.Series:
+def _normal(z: pd.Series) -> pd.Series:
     return z.map(lambda v: math.erfc(abs(v) / math.sqrt(2)), na_action="ignore")
 
 
-@F.pandas_udf("double")
-def chi_square_one(x: pd.Series) -> pd.Series:
+def _chi_square(x: pd.Series) -> pd.Series:
     return x.map(lambda v: math.erfc(math.sqrt(v / 2)), na_action="ignore")
 
 
-@F.pandas_udf("double")
-def student_two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
+def _student(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([incomplete_beta(n / 2, 0.5, n / (n + v * v)) if v == v and n == n else None for v, n in zip(t, df, strict=True)], dtype=float)
+
+
+def normal_two_sided(z: Column | str) -> Column:
+    """P(|Z| >= |z|)."""
+    return F.pandas_udf(_normal, "double")(z)
+
+
+def chi_square_one(x: Column | str) -> Column:
+    """Upper tail with one degree of freedom."""
+    return F.pandas_udf(_chi_square, "double")(x)
+
+
+def student_two_sided(t: Column | str, df: Column | str) -> Column:
+    return F.pandas_udf(_student, "double")(t, df)

@@ -1,0 +1,23 @@
+"""A total order over all rows without moving them to one task."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import Window
+
+
+def global_rank(rows: DataFrame, order: list, name: str, buckets: int = 4096) -> DataFrame:
+    """Adds row_number over the whole table as `name`.
+
+    `order` is a list of columns whose first is a number or a string.  Rows are range
+    partitioned by it; each partition is numbered by a window of its own, and a partition's
+    first number is the count of rows in the partitions before it (one row a partition).
+    """
+    ranged = rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
+    local = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    # The partition ids are those of one physical layout: the numbered rows are computed once.
+    numbered = ranged.withColumn("__local", local).persist()
+    sizes = numbered.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
+    return numbered.join(F.broadcast(before), "__part").withColumn(name, F.col("__local") + F.col("__before")).drop("__part", "__local", "__before")

@@ -1 +1,157 @@
-"""To come."""
+"""Experiments over customers and line items."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import tails
+from ..functions.columns import wilson
+from ..operators import experiments as ex
+from ..sources.tables import EXPERIMENT_SQL, experiment, table
+from .registry import query
+
+_USERS_SQL = "u AS (SELECT sha256(CAST(c_custkey AS VARCHAR)) AS key, c_acctbal AS balance, c_nationkey AS nation, c_mktsegment AS segment, c_acctbal > 5000 AS rich FROM customer), a AS (SELECT *, CAST(substr(sha256('assign-v1|' || 'exp-1' || '|' || key), 1, 16) >= '8000000000000000' AS INTEGER) AS arm FROM u)"
+_WALD_SQL = """CASE WHEN n1 = 0 OR n0 = 0 THEN 'empty_group' WHEN n1 < 2 OR n0 < 2 THEN 'insufficient_n' WHEN least(k1, n1 - k1, k0, n0 - k0) < {s} THEN 'sparse_cells' WHEN p1 * (1 - p1) / n1 + p0 * (1 - p0) / n0 <= 0 THEN 'zero_variance' ELSE 'ok' END"""
+
+
+def _users(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select(F.sha2(F.col("c_custkey").cast("string"), 256).alias("key"), F.col("c_acctbal").alias("balance"), F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("segment"), (F.col("c_acctbal") > 5000).alias("rich"))
+
+
+def _assigned(spark, sf_dir):
+    return ex.assign(_users(spark, sf_dir), F.lit("exp-1"), F.col("key"))
+
+
+def _rounded(df, *names):
+    return df.withColumns({n: F.round(n, 6) for n in names})
+
+
+@query(f"WITH {_USERS_SQL} SELECT key, arm FROM a")
+def assign_hash(spark, sf_dir):
+    return _assigned(spark, sf_dir).select("key", "arm")
+
+
+@query(f"WITH {_USERS_SQL} SELECT count(*) AS rows, count(*) FILTER (key IS NULL OR key = '') AS missing, count(*) FILTER (NOT regexp_full_match(key, '[0-9a-f]{{64}}')) AS malformed, count(key) - count(DISTINCT key) AS repeated FROM u")
+def assign_key_checks(spark, sf_dir):
+    return ex.key_checks(_users(spark, sf_dir), "key")
+
+
+_COUNTS_SQL = "count(*) FILTER (arm = 1) AS n1, count(*) FILTER (arm = 0) AS n0, count(*) FILTER (arm = 1 AND rich) AS k1, count(*) FILTER (arm = 0 AND rich) AS k0"
+
+
+@query(f"WITH {_USERS_SQL}, c AS (SELECT segment, {_COUNTS_SQL} FROM a GROUP BY 1) SELECT segment, n1, n0, round((n1 - n0) * (n1 - n0) / CAST(n1 + n0 AS DOUBLE), 6) AS chi_square, CASE WHEN (n1 - n0) * (n1 - n0) / CAST(n1 + n0 AS DOUBLE) > 10.827566170662733 THEN 'flag' ELSE 'ok' END AS srm_status FROM c")
+def srm(spark, sf_dir):
+    counts = ex.arm_counts(_assigned(spark, sf_dir), ["segment"], F.col("rich"))
+    return _rounded(ex.srm(counts), "chi_square").select("segment", "n1", "n0", "chi_square", "srm_status")
+
+
+def _wald_sql(by: str, source: str, sparse: int) -> str:
+    return f"""c AS ({source}), p AS (SELECT *, k1 / CAST(n1 AS DOUBLE) AS p1, k0 / CAST(n0 AS DOUBLE) AS p0 FROM c), s AS (SELECT *, {_WALD_SQL.format(s=sparse)} AS status, p1 - p0 AS d, sqrt(p1 * (1 - p1) / n1 + p0 * (1 - p0) / n0) AS e FROM p)
+SELECT {by}, n1, n0, k1, k0, status, round(p1, 6) AS p1, round(p0, 6) AS p0, round(d * 100, 6) AS difference_pp, round(CASE WHEN p0 > 0 THEN d / p0 END, 6) AS relative, round(CASE WHEN status = 'ok' THEN e END, 6) AS se, round(CASE WHEN status = 'ok' THEN d / e END, 6) AS z,
+  round(CASE WHEN status = 'ok' THEN d - 1.959963984540054 * e END, 6) AS ci_low, round(CASE WHEN status = 'ok' THEN d + 1.959963984540054 * e END, 6) AS ci_high FROM s"""
+
+
+_WALD = ["n1", "n0", "k1", "k0", "status", "p1", "p0", "difference_pp", "relative", "se", "z", "ci_low", "ci_high"]
+
+
+@query(f"WITH {_USERS_SQL}, {_wald_sql('segment', f'SELECT segment, {_COUNTS_SQL} FROM a GROUP BY 1', 10)}")
+def test_proportions(spark, sf_dir):
+    counts = ex.arm_counts(_assigned(spark, sf_dir), ["segment"], F.col("rich"))
+    return _rounded(ex.test_proportions(counts), "p1", "p0", "difference_pp", "relative", "se", "z", "ci_low", "ci_high").select("segment", *_WALD)
+
+
+_MOMENTS_SQL = "count(balance) FILTER (arm = 1) AS n1, count(balance) FILTER (arm = 0) AS n0, avg(balance) FILTER (arm = 1) AS m1, avg(balance) FILTER (arm = 0) AS m0, var_samp(balance) FILTER (arm = 1) / count(*) FILTER (arm = 1) AS q1, var_samp(balance) FILTER (arm = 0) / count(*) FILTER (arm = 0) AS q0"
+
+
+@query(f"WITH {_USERS_SQL}, m AS (SELECT segment, {_MOMENTS_SQL} FROM a GROUP BY 1) SELECT segment, n1, n0, 'ok' AS status, round(m1 - m0, 4) AS difference, round(sqrt(q1 + q0), 4) AS se, round((m1 - m0) / sqrt(q1 + q0), 4) AS t, round((q1 + q0) * (q1 + q0) / (q1 * q1 / (n1 - 1) + q0 * q0 / (n0 - 1)), 4) AS df FROM m")
+def test_welch(spark, sf_dir):
+    out = ex.test_welch(ex.arm_moments(_assigned(spark, sf_dir), ["segment"], F.col("balance")))
+    return out.select("segment", "n1", "n0", "status", *[F.round(c, 4).alias(c) for c in ("difference", "se", "t", "df")])
+
+
+@query()
+def test_p_values(spark, sf_dir):
+    """Tails of the three tests; SQL has none, so tests hold them against known values."""
+    users = _assigned(spark, sf_dir)
+    counts = ex.test_proportions(ex.srm(ex.arm_counts(users, ["segment"], F.col("rich"))))
+    welch = ex.test_welch(ex.arm_moments(users, ["segment"], F.col("balance"))).select("segment", "t", "df")
+    joined = counts.join(welch, "segment")
+    return joined.select("segment", tails.chi_square_one("chi_square").alias("p_srm"), tails.normal_two_sided("z").alias("p_rate"), tails.student_two_sided("t", "df").alias("p_mean"))
+
+
+_DELTA_SQL = "avg(x) FILTER (arm = {a}) AS x{a}, avg(y) FILTER (arm = {a}) AS y{a}, var_samp(x) FILTER (arm = {a}) AS vx{a}, var_samp(y) FILTER (arm = {a}) AS vy{a}, covar_samp(x, y) FILTER (arm = {a}) AS c{a}, count(*) FILTER (arm = {a}) AS n{a}"
+_DELTA_V = "(vx{a} + (x{a} / y{a}) * (x{a} / y{a}) * vy{a} - 2 * (x{a} / y{a}) * c{a}) / (n{a} * y{a} * y{a})"
+
+
+@query(f"WITH {_USERS_SQL}, b AS (SELECT segment, arm, balance AS x, CAST(nation + 1 AS DOUBLE) AS y FROM a), m AS (SELECT segment, {_DELTA_SQL.format(a=1)}, {_DELTA_SQL.format(a=0)} FROM b GROUP BY 1) SELECT segment, round(x1 / y1, 4) AS ratio1, round(x0 / y0, 4) AS ratio0, round(x1 / y1 - x0 / y0, 4) AS difference, round(sqrt({_DELTA_V.format(a=1)} + {_DELTA_V.format(a=0)}), 4) AS se FROM m")
+def test_ratio_delta(spark, sf_dir):
+    out = ex.test_ratio_delta(_assigned(spark, sf_dir), ["segment"], F.col("balance"), (F.col("nation") + 1).cast("double"))
+    return out.select("segment", *[F.round(c, 4).alias(c) for c in ("ratio1", "ratio0", "difference", "se")])
+
+
+@query(f"WITH {_USERS_SQL}, c AS (SELECT segment, count(*) FILTER (rich) AS k, count(*) AS n, 1.959963984540054 AS z FROM u GROUP BY 1) SELECT segment, k, n, round((k / CAST(n AS DOUBLE) + z * z / (2 * n)) / (1 + z * z / n) - z * sqrt(k / CAST(n AS DOUBLE) * (1 - k / CAST(n AS DOUBLE)) / n + z * z / (4.0 * n * n)) / (1 + z * z / n), 6) AS low, round((k / CAST(n AS DOUBLE) + z * z / (2 * n)) / (1 + z * z / n) + z * sqrt(k / CAST(n AS DOUBLE) * (1 - k / CAST(n AS DOUBLE)) / n + z * z / (4.0 * n * n)) / (1 + z * z / n), 6) AS high FROM c")
+def wilson_interval(spark, sf_dir):
+    counts = _users(spark, sf_dir).groupBy("segment").agg(F.count_if("rich").alias("k"), F.count("*").alias("n"))
+    low, high = wilson(F.col("k"), F.col("n"))
+    return counts.select("segment", "k", "n", F.round(low, 6).alias("low"), F.round(high, 6).alias("high"))
+
+
+_AA_SQL = f"{_USERS_SQL}, aa0 AS (SELECT key, rich, CAST(e AS INTEGER) AS experiment, CAST(substr(sha256('assign-v1|' || e || '|' || key), 1, 16) >= '8000000000000000' AS INTEGER) AS arm FROM u, range(40) r(e)), aac AS (SELECT experiment, {_COUNTS_SQL} FROM aa0 GROUP BY 1)"
+
+
+@query(f"WITH {_AA_SQL}, {_wald_sql('experiment', 'SELECT * FROM aac', 10)}")
+def aa_audit(spark, sf_dir):
+    out = ex.aa_audit(_users(spark, sf_dir), "key", F.col("rich"), 40)
+    return _rounded(out, "p1", "p0", "difference_pp", "relative", "se", "z", "ci_low", "ci_high").select("experiment", *_WALD)
+
+
+@query(f"""WITH {_AA_SQL}, z AS (SELECT n1, n0, (k1 / CAST(n1 AS DOUBLE) - k0 / CAST(n0 AS DOUBLE)) / sqrt(k1 / CAST(n1 AS DOUBLE) * (1 - k1 / CAST(n1 AS DOUBLE)) / n1 + k0 / CAST(n0 AS DOUBLE) * (1 - k0 / CAST(n0 AS DOUBLE)) / n0) AS z FROM aac WHERE least(k1, n1 - k1, k0, n0 - k0) >= 10),
+t AS (SELECT 'all' AS scope, z FROM z UNION ALL SELECT 'srm_pass', z FROM z WHERE (n1 - n0) * (n1 - n0) / CAST(n1 + n0 AS DOUBLE) <= 10.827566170662733),
+g AS (SELECT scope, count(*) AS experiments, count(*) FILTER (z > 1.959963984540054) AS rejected_up, count(*) FILTER (z < -1.959963984540054) AS rejected_down, round(quantile_cont(z, 0.5), 6) AS z_median FROM t GROUP BY 1) SELECT *, round((rejected_up + rejected_down) / CAST(experiments AS DOUBLE), 6) AS fpr FROM g""")
+def aa_summary(spark, sf_dir):
+    out = ex.aa_summary(ex.aa_audit(_users(spark, sf_dir), "key", F.col("rich"), 40))
+    return out.select("scope", "experiments", "rejected_up", "rejected_down", F.round("z_median", 6).alias("z_median"), F.round("fpr", 6).alias("fpr"))
+
+
+@query(f"WITH {_USERS_SQL}, b AS (SELECT arm AS x, CAST(substr(sha256('assign-v1|' || 'exp-2' || '|' || key), 1, 16) >= '8000000000000000' AS INTEGER) AS y FROM a) SELECT count(*) FILTER (x = 0 AND y = 0) AS n00, count(*) FILTER (x = 0 AND y = 1) AS n01, count(*) FILTER (x = 1 AND y = 0) AS n10, count(*) FILTER (x = 1 AND y = 1) AS n11, round(corr(x, y), 6) AS phi FROM b")
+def assignment_overlap(spark, sf_dir):
+    return _rounded(ex.assignment_overlap(_users(spark, sf_dir), "key", "exp-1", "exp-2"), "phi")
+
+
+@query(f"WITH {EXPERIMENT_SQL} SELECT treatment, count(*) AS n, CAST(sum(conversion) AS BIGINT) AS conversion, CAST(sum(visit) AS BIGINT) AS visit, CAST(0 AS BIGINT) AS conversion_invalid, CAST(0 AS BIGINT) AS visit_invalid FROM x GROUP BY 1")
+def itt_counts(spark, sf_dir):
+    return ex.itt_counts(experiment(spark, sf_dir), ["conversion", "visit"])
+
+
+_ITT_SOURCE = "SELECT 'conversion' AS metric, count(*) FILTER (treatment = 1) AS n1, count(*) FILTER (treatment = 0) AS n0, count(*) FILTER (treatment = 1 AND conversion = 1) AS k1, count(*) FILTER (treatment = 0 AND conversion = 1) AS k0 FROM x UNION ALL SELECT 'visit', count(*) FILTER (treatment = 1), count(*) FILTER (treatment = 0), count(*) FILTER (treatment = 1 AND visit = 1), count(*) FILTER (treatment = 0 AND visit = 1) FROM x"
+
+
+@query(f"WITH {EXPERIMENT_SQL}, {_wald_sql('metric', _ITT_SOURCE, 5)}")
+def itt_effects(spark, sf_dir):
+    out = ex.itt_effects(ex.itt_counts(experiment(spark, sf_dir), ["conversion", "visit"]), ["conversion", "visit"])
+    return _rounded(out, "p1", "p0", "difference_pp", "relative", "se", "z", "ci_low", "ci_high").select("metric", *_WALD)
+
+
+@query(f"""WITH {_USERS_SQL}, i AS (SELECT key, arm, rich, arm = 1 AND NOT rich AND substr(sha256('inject-v1|' || key), 1, 16) < '1999999999999999' AS planted FROM a)
+SELECT arm, count(*) AS n, count(*) FILTER (rich) AS before, count(*) FILTER (rich OR planted) AS after, count(*) FILTER (planted) AS planted FROM i GROUP BY 1""")
+def inject_effect(spark, sf_dir):
+    users = _assigned(spark, sf_dir).withColumn("outcome", F.col("rich").cast("int"))
+    planted = ex.inject_effect(users, "key", "outcome", base=0.5, effect=0.05)
+    return planted.groupBy("arm").agg(F.count("*").alias("n"), F.sum("outcome").alias("before"), F.sum("injected").cast("long").alias("after"), F.count_if("planted").alias("planted"))
+
+
+_RATES_SQL = "r AS (SELECT c_mktsegment AS segment, count(*) FILTER (c_acctbal > 5000) / CAST(count(*) AS DOUBLE) AS rate FROM customer GROUP BY 1)"
+
+
+def _rates(spark, sf_dir):
+    return _users(spark, sf_dir).groupBy("segment").agg((F.count_if("rich") / F.count("*").cast("double")).alias("rate"))
+
+
+@query(f"WITH {_RATES_SQL}, g AS (SELECT segment, rate, m AS mde, rate * (1 + m) AS q FROM r, (VALUES (CAST(0.05 AS DOUBLE)), (0.1), (0.2)) v(m)) SELECT segment, mde, round(rate, 6) AS rate, CASE WHEN rate > 0 AND rate < 1 AND q < 1 THEN 'ok' ELSE 'invalid_rate' END AS status, CASE WHEN rate > 0 AND rate < 1 AND q < 1 THEN CAST(ceil(pow(1.959963984540054 + 0.8416212335729143, 2) * (rate * (1 - rate) + q * (1 - q)) / ((q - rate) * (q - rate))) AS BIGINT) END AS n_per_arm FROM g")
+def segment_sample_size(spark, sf_dir):
+    return _rounded(ex.segment_sample_size(_rates(spark, sf_dir), [0.05, 0.1, 0.2]), "rate")
+
+
+@query(f"WITH {_RATES_SQL} SELECT segment, CAST(k AS DOUBLE) AS burden, round(rate, 6) AS rate, round(k / (1 - k), 6) AS break_even_lift, round(rate / (1 - k), 6) AS break_even_rate, CASE WHEN rate / (1 - k) <= 1 THEN 'attainable' ELSE 'unattainable' END AS status FROM r, (VALUES (CAST(0.05 AS DOUBLE)), (0.1), (0.6)) v(k)")
+def coupon_break_even(spark, sf_dir):
+    return _rounded(ex.coupon_break_even(_rates(spark, sf_dir), [0.05, 0.1, 0.6]), "rate", "break_even_lift", "break_even_rate")

@@ -1 +1,222 @@
-"""To come."""
+"""Targeting over the experiment rows of line items."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import experiments as ex
+from ..operators import models
+from ..operators import targeting as tg
+from ..sources.tables import EXPERIMENT_SQL, experiment, table
+from .experiment_queries import _wald_sql
+from .registry import query
+
+SUPPORT = 50
+
+SPLIT_SQL = EXPERIMENT_SQL + r""",
+sp0 AS (SELECT *, substr(sha256('split-v1|' || treatment || '|' || row_id), 1, 16) AS h FROM x), sp AS (SELECT * EXCLUDE (h), CASE WHEN h < '9999999999999999' THEN 'train' WHEN h < 'cccccccccccccccc' THEN 'valid' ELSE 'test' END AS split FROM sp0)"""
+GROUP_SQL = SPLIT_SQL + r""",
+q AS (SELECT 'f0' AS feature, quantile_cont(f0, [0.25, 0.5, 0.75]) AS q, min(f0) AS lo, max(f0) AS hi FROM sp WHERE split = 'train' UNION ALL SELECT 'f1', quantile_cont(f1, [0.25, 0.5, 0.75]), min(f1), max(f1) FROM sp WHERE split = 'train'),
+cuts AS (SELECT feature, list_sort(list_distinct(list_filter(q, lambda c: c > lo AND c < hi))) AS cuts FROM q),
+gr AS (SELECT sp.*, CAST(len(list_filter((SELECT cuts FROM cuts WHERE feature = 'f0'), lambda c: c < f0)) * 4 + len(list_filter((SELECT cuts FROM cuts WHERE feature = 'f1'), lambda c: c < f1)) AS INTEGER) AS group_id FROM sp),
+gc AS (SELECT group_id, count(*) FILTER (treatment = 1) AS n1, count(*) FILTER (treatment = 0) AS n0, count(*) FILTER (treatment = 1 AND conversion = 1) AS y1, count(*) FILTER (treatment = 0 AND conversion = 1) AS y0 FROM gr WHERE split = 'train' GROUP BY 1),
+ga AS (SELECT sum(n1) AS n1, sum(n0) AS n0, sum(y1) AS y1, sum(y0) AS y0 FROM gc),
+gs AS (SELECT CAST(i AS INTEGER) AS group_id, coalesce(gc.n1, 0) AS n1, coalesce(gc.n0, 0) AS n0, coalesce(gc.y1, 0) AS y1, coalesce(gc.y0, 0) AS y0, least(coalesce(gc.n1, 0), coalesce(gc.n0, 0)) < 50 AS fallback FROM range(16) r(i) LEFT JOIN gc ON group_id = i),
+gp AS (SELECT gs.*, CAST(CASE WHEN fallback THEN ga.n1 ELSE gs.n1 END AS DOUBLE) AS a1, CAST(CASE WHEN fallback THEN ga.n0 ELSE gs.n0 END AS DOUBLE) AS a0, CAST(CASE WHEN fallback THEN ga.y1 ELSE gs.y1 END AS DOUBLE) AS b1, CAST(CASE WHEN fallback THEN ga.y0 ELSE gs.y0 END AS DOUBLE) AS b0 FROM gs, ga),
+rates AS (SELECT group_id, n1, n0, y1, y0, fallback, CASE WHEN fallback THEN 'low_support' ELSE 'own_rates' END AS reason, round((b1 + b0) / (a1 + a0), 9) AS response_score, round(b1 / a1 - b0 / a0, 9) AS incremental_score FROM gp),
+rules AS (SELECT *, CAST(dense_rank() OVER (ORDER BY response_score DESC) AS INTEGER) AS response_rank, CAST(dense_rank() OVER (ORDER BY incremental_score DESC) AS INTEGER) AS incremental_rank FROM rates)"""
+PLACE_SQL = GROUP_SQL + r""",
+va AS (SELECT row_id, treatment, conversion, response_rank, incremental_rank, fallback, sha256('target-v1|' || row_id) AS tie FROM gr JOIN rules USING (group_id) WHERE split = 'valid'),
+pl AS (SELECT *, count(*) OVER () AS n, row_number() OVER (ORDER BY tie, row_id) AS place_random, row_number() OVER (ORDER BY response_rank, tie, row_id) AS place_response, row_number() OVER (ORDER BY incremental_rank, tie, row_id) AS place_incremental FROM va),
+mk AS (SELECT *, """ + " + ".join(f"CASE WHEN place_{p} <= floor(n * {c} / 100) THEN {1 << (i * 5 + j)} ELSE 0 END" for i, p in enumerate(tg.POLICIES) for j, c in enumerate(tg.CAPACITIES)) + r""" AS mask FROM pl),
+jt AS (SELECT treatment, conversion, CAST(mask AS BIGINT) AS mask, count(*) AS n FROM mk GROUP BY ALL),
+cells AS (SELECT * FROM (VALUES """ + ", ".join(f"('{p}', {c}, {1 << (i * 5 + j)})" for i, p in enumerate(tg.POLICIES) for j, c in enumerate(tg.CAPACITIES)) + r""") v(policy, capacity, bit)),
+cv0 AS (SELECT policy, capacity, CAST(coalesce(sum(n) FILTER (treatment = 1), 0) AS BIGINT) AS n1, CAST(coalesce(sum(n) FILTER (treatment = 0), 0) AS BIGINT) AS n0, CAST(coalesce(sum(n) FILTER (treatment = 1 AND conversion = 1), 0) AS BIGINT) AS y1, CAST(coalesce(sum(n) FILTER (treatment = 0 AND conversion = 1), 0) AS BIGINT) AS y0 FROM jt JOIN cells ON (mask & bit) <> 0 GROUP BY ALL),
+cv1 AS (SELECT *, y1 / CAST(n1 AS DOUBLE) - y0 / CAST(n0 AS DOUBLE) AS dl, (n1 + n0) / CAST((SELECT sum(n) FROM jt) AS DOUBLE) AS sh FROM cv0),
+cov AS (SELECT policy, CAST(capacity AS INTEGER) AS capacity, n1, n0, y1, y0, round(dl, 6) AS delta, round(10000 * sh * dl, 4) AS gain, round(n1 / CAST(n1 + n0 AS DOUBLE), 6) AS treatment_share, CASE WHEN n1 = 0 OR n0 = 0 THEN 'zero_arm' WHEN least(y1, y0) < 5 THEN 'sparse' ELSE 'ok' END AS status FROM cv1)"""
+
+
+def _split(spark, sf_dir):
+    return tg.split(experiment(spark, sf_dir))
+
+
+def _grouped(spark, sf_dir):
+    rows = _split(spark, sf_dir)
+    return tg.bin_group(rows, tg.train_cuts(rows, ["f0", "f1"]))
+
+
+def _rules(spark, sf_dir):
+    return tg.score_ranks(tg.group_rates(_grouped(spark, sf_dir), SUPPORT))
+
+
+def _places(spark, sf_dir):
+    """Ranks first; outcomes are attached when all places are known."""
+    valid = _grouped(spark, sf_dir).where("split = 'valid'")
+    outcomes = valid.select("row_id", "conversion")
+    return tg.policy_places(tg.apply_rules(valid, _rules(spark, sf_dir))).join(outcomes, "row_id")
+
+
+def _types(spark, sf_dir):
+    return tg.joint_types(tg.capacity_masks(tg.with_size(_places(spark, sf_dir)), F.col("n_all")))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, sha256(concat_ws('|', 'row-v2', 'lineitem', l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_shipdate))) AS row_id FROM lineitem")
+def row_identity(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
+    return tg.row_identity(rows, ["l_orderkey", "l_linenumber"], ["l_partkey", "l_suppkey", "l_shipdate"], "lineitem")
+
+
+@query(f"WITH {SPLIT_SQL} SELECT row_id, split FROM sp")
+def split_stratified_hash(spark, sf_dir):
+    return _split(spark, sf_dir).select("row_id", "split")
+
+
+@query(f"WITH {SPLIT_SQL}, g AS (SELECT split, CASE WHEN grouping(treatment) = 1 THEN -1 ELSE treatment END AS treatment, count(*) AS n, CAST(sum(conversion) AS BIGINT) AS conversions FROM sp GROUP BY GROUPING SETS ((split), (split, treatment))) SELECT *, round(n / CAST(sum(n) OVER (PARTITION BY treatment) AS DOUBLE), 6) AS share FROM g")
+def split_qc(spark, sf_dir):
+    return tg.split_qc(_split(spark, sf_dir))
+
+
+@query(f"WITH {SPLIT_SQL} SELECT row_id, substr(sha256('early-v1|' || row_id), 1, 16) < '1999999999999999' AS early_stop FROM sp WHERE split = 'train'")
+def early_stop_member(spark, sf_dir):
+    return tg.early_stop(_split(spark, sf_dir)).select("row_id", "early_stop")
+
+
+@query(f"WITH {SPLIT_SQL} SELECT count(*) AS rows, count(*) FILTER (split = 'test') AS without_member, CAST(0 AS BIGINT) AS without_record, CAST(0 AS BIGINT) AS arm_mismatch FROM sp")
+def align_members(spark, sf_dir):
+    return tg.align_members(experiment(spark, sf_dir), _split(spark, sf_dir).where("split <> 'test'"))
+
+
+@query(f"WITH {GROUP_SQL} SELECT feature, array_to_string(list_transform(cuts, lambda c: printf('%.4f', c)), ',') AS cuts FROM cuts")
+def train_cuts(spark, sf_dir):
+    return tg.train_cuts(_split(spark, sf_dir), ["f0", "f1"]).select("feature", F.array_join(F.transform("cuts", lambda c: F.format_string("%.4f", c)), ",").alias("cuts"))
+
+
+@query(f"WITH {GROUP_SQL} SELECT row_id, group_id FROM gr")
+def bin_group(spark, sf_dir):
+    return _grouped(spark, sf_dir).select("row_id", "group_id")
+
+
+@query(f"WITH {GROUP_SQL} SELECT * FROM rates")
+def group_rates(spark, sf_dir):
+    return tg.group_rates(_grouped(spark, sf_dir), SUPPORT)
+
+
+@query(f"WITH {GROUP_SQL} SELECT group_id, response_rank, incremental_rank FROM rules")
+def score_ranks(spark, sf_dir):
+    return _rules(spark, sf_dir).select("group_id", "response_rank", "incremental_rank")
+
+
+@query(f"WITH {PLACE_SQL} SELECT row_id, response_rank, incremental_rank, fallback FROM va")
+def apply_frozen(spark, sf_dir):
+    return tg.apply_rules(_grouped(spark, sf_dir).where("split = 'valid'"), _rules(spark, sf_dir)).select("row_id", "response_rank", "incremental_rank", "fallback")
+
+
+@query(f"WITH {GROUP_SQL} SELECT row_id, response_rank AS simple_response, incremental_rank AS simple_incremental FROM gr JOIN rules USING (group_id)")
+def simple_scores(spark, sf_dir):
+    return tg.apply_rules(_grouped(spark, sf_dir), _rules(spark, sf_dir)).select("row_id", F.col("response_rank").alias("simple_response"), F.col("incremental_rank").alias("simple_incremental"))
+
+
+@query(f"WITH {PLACE_SQL} SELECT row_id, place_random, place_response, place_incremental FROM pl")
+def rank_policies(spark, sf_dir):
+    return _places(spark, sf_dir).select("row_id", "place_random", "place_response", "place_incremental")
+
+
+@query(f"WITH {PLACE_SQL} SELECT row_id, CAST(mask AS BIGINT) AS mask FROM mk")
+def capacity_select(spark, sf_dir):
+    return tg.capacity_masks(tg.with_size(_places(spark, sf_dir)), F.col("n_all")).select("row_id", "mask")
+
+
+@query(f"WITH {PLACE_SQL} SELECT * FROM jt")
+def joint_types(spark, sf_dir):
+    return _types(spark, sf_dir)
+
+
+@query(f"WITH {PLACE_SQL} SELECT * FROM cov")
+def coverage_eval(spark, sf_dir):
+    return tg.coverage(_types(spark, sf_dir))
+
+
+@query(f"WITH {PLACE_SQL} SELECT x.capacity, x.policy AS a, y.policy AS b, round(x.gain - y.gain, 4) AS gain_difference FROM cov x JOIN cov y ON x.capacity = y.capacity AND x.policy < y.policy")
+def policy_contrasts(spark, sf_dir):
+    return tg.contrasts(tg.coverage(_types(spark, sf_dir)))
+
+
+@query(f"""WITH {PLACE_SQL}, o AS (SELECT x.capacity, x.policy AS a, y.policy AS b, x.bit AS p, y.bit AS q FROM cells x JOIN cells y ON x.capacity = y.capacity AND x.bit < y.bit),
+s AS (SELECT CAST(capacity AS INTEGER) AS capacity, a, b, CAST(coalesce(sum(n) FILTER ((mask & p) <> 0 AND (mask & q) <> 0), 0) AS BIGINT) AS both, CAST(coalesce(sum(n) FILTER ((mask & p) <> 0 OR (mask & q) <> 0), 0) AS BIGINT) AS either FROM jt, o GROUP BY ALL) SELECT *, "both" = either AS identical FROM s""")
+def policy_overlap(spark, sf_dir):
+    return tg.overlap(_types(spark, sf_dir))
+
+
+@query()
+def joint_bootstrap(spark, sf_dir):
+    """Resamples by a generator that SQL has not; tests hold their centre against the point estimates."""
+    return tg.bootstrap_intervals(tg.joint_bootstrap(_types(spark, sf_dir), 200, 20260921))
+
+
+@query(f"WITH {GROUP_SQL}, {_wald_sql('split, group_id', 'SELECT split, group_id, count(*) FILTER (treatment = 1) AS n1, count(*) FILTER (treatment = 0) AS n0, count(*) FILTER (treatment = 1 AND conversion = 1) AS k1, count(*) FILTER (treatment = 0 AND conversion = 1) AS k0 FROM gr WHERE split <> $$test$$ GROUP BY ALL', 10)}")
+def stratum_report(spark, sf_dir):
+    rows = _grouped(spark, sf_dir).where("split <> 'test'").withColumn("arm", F.col("treatment"))
+    out = ex.test_proportions(ex.arm_counts(rows, ["split", "group_id"], F.col("conversion") == 1))
+    return out.withColumns({n: F.round(n, 6) for n in ("p1", "p0", "difference_pp", "relative", "se", "z", "ci_low", "ci_high")}).select("split", "group_id", "n1", "n0", "k1", "k0", "status", "p1", "p0", "difference_pp", "relative", "se", "z", "ci_low", "ci_high")
+
+
+_QINI_SQL = r"""qb AS (SELECT CAST(ceil(place_response * 100 / CAST(n AS DOUBLE)) AS INTEGER) AS percent, treatment, conversion FROM pl), qs AS (SELECT CAST(i AS INTEGER) AS percent FROM range(101) r(i)),
+qc AS (SELECT qs.percent, CAST(sum(count(*) FILTER (treatment = 1)) OVER w AS BIGINT) AS n1, CAST(sum(count(*) FILTER (treatment = 0)) OVER w AS BIGINT) AS n0, CAST(sum(count(*) FILTER (treatment = 1 AND conversion = 1)) OVER w AS BIGINT) AS y1, CAST(sum(count(*) FILTER (treatment = 0 AND conversion = 1)) OVER w AS BIGINT) AS y0 FROM qs LEFT JOIN qb USING (percent) GROUP BY qs.percent WINDOW w AS (ORDER BY qs.percent)),
+qq AS (SELECT *, CASE WHEN percent = 0 THEN 0.0 WHEN n0 > 0 THEN y1 - y0 * n1 / CAST(n0 AS DOUBLE) END AS qv FROM qc), curve AS (SELECT percent, n1, n0, y1, y0, round(CAST(qv AS DOUBLE), 6) AS q, round((SELECT CAST(qv AS DOUBLE) FROM qq WHERE percent = 100) * percent / 100, 6) AS reference, CASE WHEN qv IS NULL THEN 'no_control_in_prefix' ELSE 'defined' END AS status FROM qq)"""
+
+
+def _curve(spark, sf_dir):
+    return tg.qini(tg.with_size(_places(spark, sf_dir)), "place_response", F.col("n_all").cast("double"))
+
+
+@query(f"WITH {PLACE_SQL}, {_QINI_SQL} SELECT * FROM curve")
+def qini_curve(spark, sf_dir):
+    return _curve(spark, sf_dir)
+
+
+@query(f"WITH {PLACE_SQL}, {_QINI_SQL}, l AS (SELECT q, ((q - reference) + lag(q - reference) OVER (ORDER BY percent)) / 200 AS p FROM curve) SELECT round(CASE WHEN NOT bool_or(q IS NULL) THEN sum(p) END, 6) AS area FROM l")
+def qini_area(spark, sf_dir):
+    return tg.qini_area(_curve(spark, sf_dir))
+
+
+@query(f"""WITH {GROUP_SQL}, s AS (SELECT treatment, conversion, response_score AS p FROM gr JOIN rules USING (group_id) WHERE split = 'valid'), w AS (SELECT avg(conversion) AS rate FROM s), a AS (SELECT treatment, avg(conversion) AS arm_rate FROM s GROUP BY 1)
+SELECT treatment, count(*) AS n, round(avg(-(conversion * ln(p) + (1 - conversion) * ln(1 - p))), 6) AS loss, round(avg(-(conversion * ln(rate) + (1 - conversion) * ln(1 - rate))), 6) AS constant_loss, round(avg(-(conversion * ln(arm_rate) + (1 - conversion) * ln(1 - arm_rate))), 6) AS arm_loss FROM s JOIN a USING (treatment), w GROUP BY 1""")
+def factual_logloss(spark, sf_dir):
+    rules = _rules(spark, sf_dir).select("group_id", F.col("response_score").alias("p"))
+    return tg.factual_logloss(_grouped(spark, sf_dir).where("split = 'valid'").join(F.broadcast(rules), "group_id"))
+
+
+@query(f"WITH {SPLIT_SQL}, e AS (SELECT *, CASE WHEN substr(sha256('early-v1|' || row_id), 1, 16) < '1999999999999999' THEN 'early_stop' ELSE 'fit' END AS part FROM sp WHERE split = 'train') SELECT part, treatment, count(*) AS n, CAST(sum(conversion) AS BIGINT) AS positives, sum(conversion) > 0 AND sum(conversion) < count(*) AS supported FROM e GROUP BY ALL")
+def training_frame(spark, sf_dir):
+    return models.training_frame(tg.early_stop(_split(spark, sf_dir)))
+
+
+def _parts(spark, sf_dir):
+    rows = _split(spark, sf_dir)
+    return tg.early_stop(rows).persist(), rows.where("split = 'valid'")
+
+
+@query()
+def fit_response(spark, sf_dir):
+    train, valid = _parts(spark, sf_dir)
+    return models.score_summary(models.predict(models.fit(train), valid, "p"), "p")
+
+
+@query()
+def fit_s_learner(spark, sf_dir):
+    train, valid = _parts(spark, sf_dir)
+    return models.score_summary(models.uplift_s(models.fit(train, with_arm=True), valid), "uplift")
+
+
+@query()
+def fit_t_learner(spark, sf_dir):
+    train, valid = _parts(spark, sf_dir)
+    treated, control = (models.fit(train.where(F.col("treatment") == a)) for a in (1, 0))
+    return models.score_summary(models.uplift_t(treated, control, valid), "uplift")
+
+
+@query()
+def predict_conditions(spark, sf_dir):
+    """Both conditional probabilities of every held-out row, and their difference."""
+    train, valid = _parts(spark, sf_dir)
+    return models.uplift_s(models.fit(train, with_arm=True, rounds=5), valid).select("row_id", "p1", "p0", F.col("uplift").alias("s_uplift"))
