@@ -38,7 +38,7 @@ def amount_state(purchases: Column, bad: Column, valid: Column) -> Column:
 
 def ratio(a: Column, b: Column, places: int = 6) -> Column:
     """a / b as a rounded double; null where b is not positive."""
-    return F.round(F.when(b > 0, a.cast("double") / b.cast("double")), places)
+    return F.round(F.when(b > 0, F.try_divide(a.cast("double"), b.cast("double"))), places)
 
 
 def ratio_status(b: Column) -> Column:

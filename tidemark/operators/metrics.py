@@ -203,5 +203,5 @@ def category_known_coverage(dims: DataFrame) -> DataFrame:
     """Share of events and purchases whose category is known, by date."""
     held = dims.where("dim_name = 'category_l1'")
     unknown = F.col("dim_value_key") == "bucket:unknown"
-    known = lambda c: (1 - F.coalesce(F.sum(F.when(unknown, F.col(c))), F.lit(0)).cast("double") / F.sum(c).cast("double"))
+    known = lambda c: 1 - F.try_divide(F.coalesce(F.sum(F.when(unknown, F.col(c))), F.lit(0)).cast("double"), F.sum(c).cast("double"))
     return held.groupBy("utc_date").agg(F.round(known("event_records"), 6).alias("events_known"), F.round(F.when(F.sum("purchase_events") > 0, known("purchase_events")), 6).alias("purchases_known"))
