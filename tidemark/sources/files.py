@@ -39,10 +39,9 @@ def scan_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def scan_parquet_list(spark: SparkSession, paths: list[str], schema: StructType) -> DataFrame:
     """Exactly these files, each of exactly this schema (nullability aside)."""
-    want = [(f.name, f.dataType) for f in schema]
+    named = lambda s: [(f.name, f.dataType.simpleString()) for f in s]
     for p in paths:
-        got = [(f.name, f.dataType) for f in spark.read.parquet(p).schema]
-        if got != want:
+        if named(spark.read.parquet(p).schema) != named(schema):
             raise ValueError(f"{p}: schema differs from the declared one")
     return spark.read.schema(schema).parquet(*paths)
 
