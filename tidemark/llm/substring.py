@@ -289,9 +289,8 @@ p AS (SELECT r, doc_id, w, unnest(range(1, len(w) - 48)) AS k FROM d WHERE len(w
 s AS (SELECT r, doc_id, k, md5(array_to_string(w[k:k+49], ' ')) AS h FROM p),
 m AS (SELECT r, k, doc_id > min(doc_id) OVER (PARTITION BY h) AS later FROM s),
 c AS (SELECT DISTINCT r, unnest(range(k, k + 50)) AS j FROM m WHERE later),
-g AS (SELECT r, list(j) AS gone FROM c GROUP BY r)
-SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
-  sha256(coalesce(array_to_string(CASE WHEN gone IS NULL THEN w ELSE
-    list_transform(list_filter(range(1, len(w) + 1), lambda j: NOT list_contains(gone, j)), lambda j: w[j]) END, ' '), '')) AS kept_sha256
+x AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS j FROM d),
+g AS (SELECT x.r, count(*) AS n, string_agg(word, ' ' ORDER BY x.j) AS kept FROM x ANTI JOIN c ON x.r = c.r AND x.j = c.j GROUP BY 1)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN g USING (r)
 """
