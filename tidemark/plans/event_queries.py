@@ -8,6 +8,7 @@ from pyspark.sql import Window
 
 from ..functions import columns as c
 from ..operators import gates, parse, profile, quality
+from ..sources.files import scan_union_periods as union_periods
 from ..sources.tables import FACT_SQL, RAW_SQL, facts, raw_events, table
 from .registry import query
 
@@ -274,3 +275,10 @@ SELECT u.period, u.metric, round(baseline, 2) AS baseline, round(coalesce(cleane
 def quality_sensitivity(spark, sf_dir):
     df = facts(spark, sf_dir)
     return quality.sensitivity(df, quality.exclude_heavy(quality.label_sessions(df, 12)))
+
+
+@query("SELECT event_id, ts, user_id FROM events WHERE ts >= TIMESTAMP '2024-01-03' AND ts < TIMESTAMP '2024-01-09' AND event_type = 'purchase' UNION ALL SELECT event_id, ts, user_id FROM events WHERE ts >= TIMESTAMP '2024-01-03' AND ts < TIMESTAMP '2024-01-09' AND event_type <> 'purchase'")
+def scan_union_periods(spark, sf_dir):
+    """Two sources with the same date predicate and columns in each branch."""
+    events = table(spark, sf_dir, "events")
+    return union_periods([events.where("event_type = 'purchase'"), events.where("event_type <> 'purchase'")], ["event_id", "ts", "user_id"], "ts", "2024-01-03", "2024-01-09")
