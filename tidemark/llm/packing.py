@@ -13,6 +13,7 @@ a partition of n pieces costs n table steps, whatever their sizes.
 
 from __future__ import annotations
 
+import functools
 import os
 import zlib
 from collections.abc import Iterator
@@ -29,8 +30,8 @@ CAPACITY = 4096
 END_ID = 1
 #: Pieces that one partition packs; the exchange aims at this many in each partition.
 PIECES = 40_000
-#: Chunks that a worker remembers before it starts anew: about 120 MB.
-REMEMBERED = 500_000
+#: Chunks that a worker remembers before it starts anew: about 160 MB.
+REMEMBERED = 800_000
 
 
 class ChunkIds(dict):
@@ -63,12 +64,18 @@ class ChunkIds(dict):
                 yield b"".join(map(self.__getitem__, words))
 
 
+@functools.lru_cache(1)
+def chunk_ids(vocabulary: str) -> ChunkIds:
+    """The worker's table, kept from task to task."""
+    return ChunkIds(vocabulary)
+
+
 def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece of every row; null texts count as empty."""
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = ChunkIds(vocabulary)
+        known = chunk_ids(vocabulary)
         end = np.array([END_ID], "<u4").tobytes()
         step = 4 * capacity
         for b in batches:
