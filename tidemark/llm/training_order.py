@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .packing import END_ID, ChunkIds
+from .packing import END_ID, chunk_ids
 
 #: Tokens of a record, and records of a shard.
 STRIDE, SHARD = 512, 4096
@@ -66,7 +66,7 @@ def tokenized(docs: DataFrame, vocabulary: str, stride: int) -> DataFrame:
     names = ["part", "row", "doc_id", "piece", "length", "ids"]
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, part, row = ChunkIds(vocabulary), TaskContext.get().partitionId(), 0
+        known, part, row = chunk_ids(vocabulary), TaskContext.get().partitionId(), 0
         kind = _kind(known.library.get_vocab_size())
         for b in batches:
             out = []
