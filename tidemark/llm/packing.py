@@ -15,27 +15,35 @@ from __future__ import annotations
 
 import functools
 import os
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import chunks
+from .bpe import PATTERN, chunks
 from .common import materialize
+from .token_counts import byte_symbols
 
 CAPACITY = 4096
 END_ID = 1
 #: Pieces that one partition packs; the exchange aims at this many in each partition.
 PIECES = 40_000
-#: Chunks that a worker remembers before it starts anew: about 160 MB.
-REMEMBERED = 800_000
+#: Chunks, and words within them, that a worker remembers before it starts anew: about 200 MB.
+REMEMBERED, WORDS = 700_000, 400_000
 
 
 class ChunkIds(dict):
-    """The ids of a chunk between white space, as little-endian 32-bit bytes, by the tokenizers library."""
+    """The ids of a chunk between white space, as little-endian 32-bit bytes, by the tokenizers library.
+
+    Special strings, NFC, lower case and words come first, as the vocabulary file says; each new
+    word then goes to the library's merge model.
+    """
 
     def __init__(self, vocabulary: str) -> None:
         super().__init__()
@@ -43,25 +51,37 @@ class ChunkIds(dict):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(vocabulary)
-        self.library.no_truncation()
-        self.library.no_padding()
-
-    def learn(self, new: list[str]) -> None:
-        if len(self) + len(new) > REMEMBERED:
+        self.special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
+        self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")").split
+        self.find = regex.compile(PATTERN).findall
+        self.symbols = byte_symbols()
+        self.words: dict[str, bytes] = {}
+
+    def _word(self, word: str) -> bytes:
+        if (known := self.words.get(word)) is None:
+            if len(self.words) >= WORDS:
+                self.words.clear()
+            shown = "".join([self.symbols[b] for b in word.encode("utf-8")])
+            known = self.words[word] = b"".join([t.id.to_bytes(4, "little") for t in self.library.model.tokenize(shown)])
+        return known
+
+    def __missing__(self, chunk: str) -> bytes:
+        out = []
+        for k, part in enumerate(self.cut(chunk) if "<" in chunk else (chunk,)):
+            if k % 2:
+                out.append(self.special[part].to_bytes(4, "little"))
+            else:
+                plain = part if part.isascii() else unicodedata.normalize("NFC", part).replace("Σ", "σ")
+                out += map(self._word, self.find(plain.lower()))
+        if len(self) >= REMEMBERED:
             self.clear()
-        for chunk, coded in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self[chunk] = np.array(coded.ids, "<u4").tobytes()
+        coded = self[chunk] = b"".join(out)
+        return coded
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of each text, without an end id."""
-        for begin in range(0, len(texts), 256):
-            split = [chunks(t) for t in texts[begin : begin + 256]]
-            if new := set().union(*split).difference(self):
-                if len(self) + len(new) > REMEMBERED:
-                    new = set().union(*split)
-                self.learn(sorted(new))
-            for words in split:
-                yield b"".join(map(self.__getitem__, words))
+        for text in texts:
+            yield b"".join(map(self.__getitem__, chunks(text)))
 
 
 @functools.lru_cache(1)
