@@ -127,7 +127,8 @@ def train(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) ->
     labelled = docs.where("lang is not null and text is not null and doc_id is not null").where(~held_out())
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = labelled.select("doc_id", "lang").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= sample)
-    texts = labelled.select("doc_id", "lang", "text").join(chosen.select("doc_id", "lang").distinct(), ["doc_id", "lang"], "left_semi").select("lang", "text")
+    # At most `sample` ids of each language go to all tasks, so that no text is shuffled for a row that is not chosen.
+    texts = labelled.select("doc_id", "lang", "text").join(F.broadcast(chosen.select("doc_id", "lang").distinct()), ["doc_id", "lang"], "left_semi").select("lang", "text")
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, n = np.zeros(FEATURES, np.int64), 0
