@@ -27,7 +27,7 @@ from .components import components
 SEED = 42
 BITS = 64
 #: Rows of one key that one task compares with each other; larger keys are split into pairs of blocks.
-BLOCK = 4096
+BLOCK = 32_768
 #: Microseconds for a row of the search, and for a compared pair: the weights of the cost estimate.
 ROW_COST, PAIR_COST = 3.0, 0.004
 _ONE = np.uint64(1)
