@@ -99,3 +99,44 @@ def test_near_copies_go_and_clean_texts_stay(spark, make_docs):
     assert out.columns == df.columns and out.dtypes == df.dtypes
     assert sorted(-1 if r.doc_id is None else r.doc_id for r in out.collect()) == sorted([-1, *(10 * k for k in range(30)), *(10 * k + 3 for k in range(30)), 9000, 9002])
     assert sh.keep_one_of_each_group(make_docs([])).count() == 0
+
+
+def sequential(rows, like):
+    """In the order of the ids, a row stays unless one that stays is like it."""
+    kept = []
+    for i, t in sorted(rows):
+        w = t.lower().split()
+        own = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+        if not any(len(own & o) / len(own | o) >= like for _, o in kept):
+            kept.append((i, own))
+    return [i for i, _ in kept]
+
+
+def test_no_set_of_candidates_is_left_undecided(spark, make_docs, monkeypatch):
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice("abcdefghijklm") for _ in range(5))
+    base, rows = [word() for _ in range(400)], []
+    for k in range(12):  # a family: no two of its originals reach 0.8, each has a near and an exact copy
+        text = list(base)
+        for _ in range(17):
+            text[rnd.randrange(400)] = word()
+        rows += [(k, " ".join(text)), (200 + k, " ".join(text))]
+        text[rnd.randrange(400)] = "changed"
+        rows.append((100 + k, " ".join(text)))
+    want = sequential(rows, 0.8)
+    assert len(want) > 6  # more than four leaders have to be found
+    monkeypatch.setattr(sh, "_groups", lambda fps, node, tau, planes: fps.select(node.alias("node")).distinct().selectExpr("node", "0L as component"))
+    for limit in (8 << 20, 7000):  # one task decides the set, or rounds of a few rows each
+        monkeypatch.setattr(sh, "BLOCK_BYTES", limit)
+        assert sorted(r.doc_id for r in sh.keep_one_of_each_group(make_docs(rows)).collect()) == want
+
+
+def test_leaders_miss_no_similar_set():
+    rnd = np.random.default_rng(2)
+    for _ in range(2000):
+        n = int(rnd.integers(1, 40))
+        a = np.unique(rnd.integers(0, 60, n).astype(np.uint64))
+        b = np.unique(np.where(rnd.random(len(a)) < 0.1, rnd.integers(0, 60, len(a)).astype(np.uint64), a))
+        leaders = sh._Leaders(0.8)
+        leaders.add(a)
+        assert leaders.like(b) == (len(np.intersect1d(a, b)) / len(np.union1d(a, b)) >= 0.8)

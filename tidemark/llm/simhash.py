@@ -18,7 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, with_row_key
@@ -28,6 +28,8 @@ SEED = 42
 BITS = 64
 #: Rows of one key that one task compares with each other; larger keys are split into pairs of blocks.
 BLOCK = 32_768
+#: Text of candidates that one task holds as leaders, in bytes; their sets and index take some five times that.
+BLOCK_BYTES = 8 << 20
 #: Microseconds for a row of the search, and for a compared pair: the weights of the cost estimate.
 ROW_COST, PAIR_COST = 3.0, 0.004
 _ONE = np.uint64(1)
@@ -296,34 +298,115 @@ def linked_documents(docs: DataFrame, shingle: int = 3, tau: int = 3) -> DataFra
     return fps.join(named, "fp", "left").select("doc_id", shown.alias("fingerprint"), "component_id")
 
 
-def _similarity(rows: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, text_hash, likeness of the shingle sets of text and leader_text."""
+class _Leaders:
+    """Shingle sets of rows that stay, and whether one of them is like a given set.
+
+    Of two sets with Jaccard t or more, the first n - ceil(t n) + 1 of the n hashes of each have
+    one in common; only leaders that share one are compared.
+    """
+
+    def __init__(self, similarity: float) -> None:
+        self.similarity = similarity
+        self.sets: list[np.ndarray] = []
+        self.having: dict[int | None, list[int]] = {}
+
+    def _first(self, own: np.ndarray) -> list[int | None]:
+        n = len(own)
+        return own[: n - math.ceil(self.similarity * n - 1e-9) + 1].tolist() if n else [None]
+
+    def add(self, own: np.ndarray) -> None:
+        for h in self._first(own):
+            self.having.setdefault(h, []).append(len(self.sets))
+        self.sets.append(own)
+
+    def like(self, own: np.ndarray) -> bool:
+        seen: set[int] = set()
+        for h in self._first(own):
+            for k in self.having.get(h, ()):
+                if k in seen:
+                    continue
+                seen.add(k)
+                other = self.sets[k]
+                common = len(np.intersect1d(own, other, assume_unique=True))
+                union = len(own) + len(other) - common
+                if not union or common / union >= self.similarity:
+                    return True
+        return False
+
+
+#: A row that is known to stay, one that stays if no row before it is like it, and one that is only judged.
+_LEADS, _OPEN, _JUDGED = 0, 1, 2
+
+
+def _judge(rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """doc_id, text_hash, stays: each row against the rows that stay before it in its component and block."""
+    keys = ["component", "block"]
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[bytes, np.ndarray] | None = None
+        at, leaders = None, _Leaders(similarity)
         for b in batches:
-            out = []
-            for text, leader in zip(b.column(2).cast(pa.binary()).to_pylist(), b.column(3).cast(pa.binary()).to_pylist(), strict=True):
-                if last is None or last[0] != leader:
-                    last = leader, np.unique(shingle_hashes(leader, shingle))
-                own = np.unique(shingle_hashes(text, shingle))
-                common = len(np.intersect1d(own, last[1], assume_unique=True))
-                union = len(own) + len(last[1]) - common
-                out.append(common / union if union else 1.0)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.float64())], names=["doc_id", "text_hash", "likeness"])
-
-    return rows.select("doc_id", "text_hash", "text", "leader_text").mapInArrow(made, "doc_id long, text_hash long, likeness double")
+            component, block, role, doc_id, text_hash, text = b.columns
+            stays = []
+            for c, k, r, t in zip(component.to_pylist(), block.to_pylist(), role.to_pylist(), text.cast(pa.binary()).to_pylist(), strict=True):
+                if at != (c, k):
+                    at, leaders = (c, k), _Leaders(similarity)
+                own = np.unique(shingle_hashes(t, shingle))
+                stays.append(r == _LEADS or not leaders.like(own))
+                if stays[-1] and r != _JUDGED:
+                    leaders.add(own)
+            yield pa.RecordBatch.from_arrays([doc_id, text_hash, pa.array(stays, pa.bool_())], names=["doc_id", "text_hash", "stays"])
+
+    rows = rows.select(*keys, "role", "doc_id", "text_hash", "text").repartition(*keys)
+    return rows.sortWithinPartitions(*keys, "role", "doc_id", "text_hash").mapInArrow(made, "doc_id long, text_hash long, stays boolean")
+
+
+def _blocks(rows: DataFrame) -> DataFrame:
+    """Adds block: 0, or in a component of over BLOCK_BYTES of text its share of them, in the order of the ids."""
+    large = rows.groupBy("component").agg(F.sum(F.octet_length("text")).alias("bytes")).where(F.col("bytes") > BLOCK_BYTES)
+    sizes = rows.select("doc_id", "text_hash", "component", F.octet_length("text").alias("bytes")).join(large.select("component"), "component", "left_semi")
+    before = F.sum("bytes").over(Window.partitionBy("component").orderBy("doc_id", "text_hash").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    dealt = sizes.select("doc_id", "text_hash", F.floor(before / BLOCK_BYTES).cast("long").alias("block"))
+    return rows.join(dealt, ["doc_id", "text_hash"], "left").withColumn("block", F.coalesce("block", F.lit(0).cast("long")))
+
+
+def _like_an_earlier(rows: DataFrame, shingle: int, similarity: float) -> DataFrame | None:
+    """doc_id, text_hash of the rows (doc_id, text_hash, component, text) that go.
+
+    In the order of the ids, a row goes if a row of its component that stays is like it.  A task
+    decides a whole component.  Of one too large for that, a round decides the first block and
+    then holds the rows of all later blocks against those that stay; rounds go on until none is
+    undecided.
+    """
+    key = ["doc_id", "text_hash"]
+    rest = materialize(_blocks(rows), "members")
+    gone = None
+    while not rest.isEmpty():
+        first = rest.groupBy("component").agg(F.min("block").alias("first"))
+        placed = rest.join(first, "component")
+        decided = materialize(_judge(placed.where("block = first").withColumn("role", F.lit(_OPEN)), shingle, similarity), "judged")
+        out = decided.where("not stays").select(*key)
+        gone = out if gone is None else gone.unionByName(out)
+        later = placed.where("block > first").drop("first")
+        if later.isEmpty():
+            break
+        leaders = rest.join(decided.where("stays").select(*key), key).drop("block")
+        leaders = leaders.join(later.select("component", "block").distinct(), "component").withColumn("role", F.lit(_LEADS))
+        judged = _judge(leaders.unionByName(later.withColumn("role", F.lit(_JUDGED))), shingle, similarity)
+        judged = materialize(judged.join(later.select(*key), key, "left_semi"), "judged")
+        gone = gone.unionByName(judged.where("not stays").select(*key))
+        rest = materialize(later.join(judged.where("stays").select(*key), key), "members")
+    return gone
 
 
-def keep_one_of_each_group(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, tau: int = 8, planes: int = 6, rounds: int = 4) -> DataFrame:
+def keep_one_of_each_group(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, tau: int = 8, planes: int = 6) -> DataFrame:
     """The rows of docs without near-duplicates; columns and texts stay as they are.
 
-    Rows whose SimHash differs in at most tau bits in one of the planes are candidates of each
-    other.  In each connected set of candidates the row of the smallest id leads; the rows
-    whose sets of shingles have a Jaccard similarity of `similarity` or more with it go.  Of
-    the others, the smallest leads the next round; what no round resolves stays.  So every row
-    that goes has a row like it that stays.  Of rows equal in id and text one stays; rows with
-    a null id stay; texts without words are alike.
+    Of equal texts the row of the smallest id stays.  Rows whose SimHash differs in at most tau
+    bits in one of the planes are candidates of each other.  In each connected set of candidates,
+    in the order of the ids, a row goes if its set of shingles and that of a row that stays have
+    a Jaccard similarity of `similarity` or more.  So every row that goes has a row like it that
+    stays, and no two rows of a set that stay are alike.  Of rows equal in id and text one stays;
+    rows with a null id stay; texts without words are alike.
     """
     key = ["doc_id", "text_hash"]
     name = "text_hash"
@@ -334,28 +417,19 @@ def keep_one_of_each_group(docs: DataFrame, shingle: int = 5, similarity: float
     node = F.xxhash64(*[f"f{p}" for p in range(planes)])
     groups = _groups(fps, node, tau, planes)
     distinct = fps.withColumn("node", node).groupBy(*key, "node").agg(F.count("*").alias("copies"))
-    members = distinct.join(groups, "node").select(*key, "component", "copies")
+    # Rows of one text have one node too, so texts that only share a hash stay apart.
+    least = distinct.groupBy("text_hash", "node").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"))
+    gone = distinct.join(least.where("rows > 1"), ["text_hash", "node"]).where("doc_id > least").select(*key)
+    members = least.select(F.col("least").alias("doc_id"), "text_hash", "node").join(groups, "node").select(*key, "component")
     large = members.groupBy("component").agg(F.count("*").alias("size")).where("size > 1")
     grouped = materialize(members.join(large.select("component"), "component", "left_semi"), "grouped")
     texts = keyed.select("doc_id", F.col(name).alias("text_hash"), F.coalesce("text", F.lit("")).alias("text"))
-    rest = materialize(texts.join(grouped, key).dropDuplicates(key).select(*key, "component", "text"), "members")
-
-    gone = None
-    for _ in range(rounds):
-        if rest.isEmpty():
-            break
-        leaders = rest.groupBy("component").agg(F.min_by(F.struct("doc_id", "text_hash", "text"), F.struct("doc_id", "text_hash")).alias("l"))
-        leaders = leaders.select("component", F.col("l.doc_id").alias("leader_id"), F.col("l.text_hash").alias("leader_hash"), F.col("l.text").alias("leader_text"))
-        others = rest.join(leaders, "component").where("doc_id <> leader_id or text_hash <> leader_hash")
-        judged = materialize(_similarity(others, shingle), "judged")
-        out = judged.where(F.col("likeness") >= similarity).select(*key)
-        gone = out if gone is None else gone.unionByName(out)
-        rest = materialize(rest.join(judged.where(F.col("likeness") < similarity).select(*key), key), "members")
+    rows = materialize(texts.join(grouped, key).dropDuplicates(key).select(*key, "component", "text"), "texts")
+    if (alike := _like_an_earlier(rows, shingle, similarity)) is not None:
+        gone = gone.unionByName(alike)
 
-    out = keyed
-    if gone is not None:
-        dropped = gone.withColumnRenamed("doc_id", "gone_id").withColumnRenamed("text_hash", "gone_hash")
-        out = keyed.join(dropped, (keyed["doc_id"] == F.col("gone_id")) & (keyed[name] == F.col("gone_hash")), "left_anti")
+    dropped = gone.select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash"))
+    out = keyed.join(dropped, (keyed["doc_id"] == F.col("gone_id")) & (keyed[name] == F.col("gone_hash")), "left_anti")
     repeated = distinct.where("copies > 1").select(F.col("doc_id").alias("again_id"), F.col("text_hash").alias("again_hash"))
     if not repeated.isEmpty():
         again = (F.col("doc_id") == F.col("again_id")) & (F.col(name) == F.col("again_hash"))
