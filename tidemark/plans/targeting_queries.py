@@ -219,15 +219,15 @@ def fit_t_learner(spark, sf_dir):
 def predict_conditions(spark, sf_dir):
     """Both conditional probabilities of every held-out row, and their difference."""
     train, valid = _parts(spark, sf_dir)
-    return models.uplift_s(models.fit(train, with_arm=True, rounds=5), valid).select("row_id", "p1", "p0", F.col("uplift").alias("s_uplift"))
+    return models.uplift_s(models.fit(train, with_arm=True), valid).select("row_id", "p1", "p0", F.col("uplift").alias("s_uplift"))
 
 
 @query()
 def uplift_scores(spark, sf_dir):
     """The scores of the three learners side by side for every held-out row."""
     train, valid = _parts(spark, sf_dir)
-    s = models.uplift_s(models.fit(train, with_arm=True, rounds=5), valid).select("row_id", F.col("uplift").alias("s_uplift"))
-    treated, control = (models.fit(train.where(F.col("treatment") == a), rounds=5) for a in (1, 0))
+    s = models.uplift_s(models.fit(train, with_arm=True), valid).select("row_id", F.col("uplift").alias("s_uplift"))
+    treated, control = (models.fit(train.where(F.col("treatment") == a)) for a in (1, 0))
     t = models.uplift_t(treated, control, valid).select("row_id", F.col("uplift").alias("t_uplift"))
-    response = models.predict(models.fit(train, rounds=5), valid, "response").select("row_id", "response")
+    response = models.predict(models.fit(train), valid, "response").select("row_id", "response")
     return s.join(t, "row_id").join(response, "row_id")
