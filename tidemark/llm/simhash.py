@@ -361,39 +361,36 @@ def _judge(rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
 
 
 def _blocks(rows: DataFrame) -> DataFrame:
-    """Adds block: 0, or in a component of over BLOCK_BYTES of text its share of them, in the order of the ids."""
-    large = rows.groupBy("component").agg(F.sum(F.octet_length("text")).alias("bytes")).where(F.col("bytes") > BLOCK_BYTES)
-    sizes = rows.select("doc_id", "text_hash", "component", F.octet_length("text").alias("bytes")).join(large.select("component"), "component", "left_semi")
+    """Adds block: the rows of a component in the order of the ids, cut at every BLOCK_BYTES of text."""
+    sizes = rows.select("doc_id", "text_hash", "component", F.octet_length("text").alias("bytes"))
     before = F.sum("bytes").over(Window.partitionBy("component").orderBy("doc_id", "text_hash").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    dealt = sizes.select("doc_id", "text_hash", F.floor(before / BLOCK_BYTES).cast("long").alias("block"))
-    return rows.join(dealt, ["doc_id", "text_hash"], "left").withColumn("block", F.coalesce("block", F.lit(0).cast("long")))
+    return rows.join(sizes.select("doc_id", "text_hash", F.floor(before / BLOCK_BYTES).cast("long").alias("block")), ["doc_id", "text_hash"])
 
 
-def _like_an_earlier(rows: DataFrame, shingle: int, similarity: float) -> DataFrame | None:
+def _like_an_earlier(rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """doc_id, text_hash of the rows (doc_id, text_hash, component, text) that go.
 
     In the order of the ids, a row goes if a row of its component that stays is like it.  A task
-    decides a whole component.  Of one too large for that, a round decides the first block and
-    then holds the rows of all later blocks against those that stay; rounds go on until none is
-    undecided.
+    decides a whole component.  Of one of over BLOCK_BYTES of text, a round decides the first
+    block and then holds the rows of all later blocks against those that stay; rounds go on until
+    none is undecided.
     """
     key = ["doc_id", "text_hash"]
-    rest = materialize(_blocks(rows), "members")
-    gone = None
-    while not rest.isEmpty():
-        first = rest.groupBy("component").agg(F.min("block").alias("first"))
-        placed = rest.join(first, "component")
+    large = rows.groupBy("component").agg(F.sum(F.octet_length("text")).alias("bytes")).where(F.col("bytes") > BLOCK_BYTES)
+    large = materialize(large.select("component"), "large")
+    split = not large.isEmpty()
+    whole = (rows.join(large, "component", "left_anti") if split else rows).withColumn("block", F.lit(0).cast("long"))
+    gone = materialize(_judge(whole.withColumn("role", F.lit(_OPEN)), shingle, similarity), "judged").where("not stays").select(*key)
+    rest = materialize(_blocks(rows.join(large, "component", "left_semi")), "members") if split else None
+    while rest is not None and not rest.isEmpty():
+        placed = rest.join(rest.groupBy("component").agg(F.min("block").alias("first")), "component")
         decided = materialize(_judge(placed.where("block = first").withColumn("role", F.lit(_OPEN)), shingle, similarity), "judged")
-        out = decided.where("not stays").select(*key)
-        gone = out if gone is None else gone.unionByName(out)
         later = placed.where("block > first").drop("first")
-        if later.isEmpty():
-            break
         leaders = rest.join(decided.where("stays").select(*key), key).drop("block")
         leaders = leaders.join(later.select("component", "block").distinct(), "component").withColumn("role", F.lit(_LEADS))
         judged = _judge(leaders.unionByName(later.withColumn("role", F.lit(_JUDGED))), shingle, similarity)
         judged = materialize(judged.join(later.select(*key), key, "left_semi"), "judged")
-        gone = gone.unionByName(judged.where("not stays").select(*key))
+        gone = gone.unionByName(decided.unionByName(judged).where("not stays").select(*key))
         rest = materialize(later.join(judged.where("stays").select(*key), key), "members")
     return gone
 
@@ -418,15 +415,15 @@ def keep_one_of_each_group(docs: DataFrame, shingle: int = 5, similarity: float
     groups = _groups(fps, node, tau, planes)
     distinct = fps.withColumn("node", node).groupBy(*key, "node").agg(F.count("*").alias("copies"))
     # Rows of one text have one node too, so texts that only share a hash stay apart.
-    least = distinct.groupBy("text_hash", "node").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"))
-    gone = distinct.join(least.where("rows > 1"), ["text_hash", "node"]).where("doc_id > least").select(*key)
-    members = least.select(F.col("least").alias("doc_id"), "text_hash", "node").join(groups, "node").select(*key, "component")
+    least = distinct.groupBy("text_hash", "node").agg(F.min("doc_id").alias("least"), F.min_by("copies", "doc_id").alias("copies"), F.count("*").alias("rows"))
+    gone = distinct.drop("copies").join(least.where("rows > 1"), ["text_hash", "node"]).where("doc_id > least").select(*key)
+    members = least.select(F.col("least").alias("doc_id"), "text_hash", "copies", "node").join(groups, "node").select(*key, "copies", "component")
     large = members.groupBy("component").agg(F.count("*").alias("size")).where("size > 1")
     grouped = materialize(members.join(large.select("component"), "component", "left_semi"), "grouped")
-    texts = keyed.select("doc_id", F.col(name).alias("text_hash"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = materialize(texts.join(grouped, key).dropDuplicates(key).select(*key, "component", "text"), "texts")
-    if (alike := _like_an_earlier(rows, shingle, similarity)) is not None:
-        gone = gone.unionByName(alike)
+    texts = keyed.select("doc_id", F.col(name).alias("text_hash"), F.coalesce("text", F.lit("")).alias("text")).join(grouped, key)
+    texts = texts.where("copies = 1").unionByName(texts.where("copies > 1").dropDuplicates(key))
+    rows = materialize(texts.select(*key, "component", "text"), "texts")
+    gone = gone.unionByName(_like_an_earlier(rows, shingle, similarity))
 
     dropped = gone.select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash"))
     out = keyed.join(dropped, (keyed["doc_id"] == F.col("gone_id")) & (keyed[name] == F.col("gone_hash")), "left_anti")
