@@ -96,19 +96,20 @@ def cluster_bootstrap(compact_: DataFrame, repetitions: int, seed: int, buckets:
     schema = "product_id string, repetition int, nl double, nh double, yl double, yh double"
 
     def partial(batches):
-        reps = np.arange(repetitions)
         for pdf in batches:
             if not len(pdf):
                 continue
             h = pd.util.hash_array(pdf["user_id"].to_numpy(dtype=object).astype(str).astype(object)).astype(np.uint64)
-            x = (h[:, None] ^ (np.uint64(seed) + reps.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xBF58476D1CE4E5B9)
-            u = ((x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB) >> np.uint64(11)) / float(1 << 53)
-            weight = sum((u > p).astype(np.int64) for p in np.cumsum([np.exp(-1.0) / float(np.prod(range(1, k + 1)) or 1) for k in range(12)]))
             side = (pdf["side"] == "low").to_numpy()
-            for product, at in pdf.groupby("product_id").indices.items():
-                w, low = weight[at], side[at]
-                n, y = pdf["n"].to_numpy()[at][:, None] * w, pdf["y"].to_numpy()[at][:, None] * w
-                yield pd.DataFrame({"product_id": product, "repetition": reps.astype(np.int32), "nl": n[low].sum(0).astype(float), "nh": n[~low].sum(0).astype(float), "yl": y[low].sum(0).astype(float), "yh": y[~low].sum(0).astype(float)})
+            for begin in range(0, repetitions, 100):  # weights of 100 repetitions at once, to bound memory
+                reps = np.arange(begin, min(begin + 100, repetitions))
+                x = (h[:, None] ^ (np.uint64(seed) + reps.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xBF58476D1CE4E5B9)
+                u = ((x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB) >> np.uint64(11)) / float(1 << 53)
+                weight = sum((u > p).astype(np.int64) for p in np.cumsum([np.exp(-1.0) / float(np.prod(range(1, k + 1)) or 1) for k in range(12)]))
+                for product, at in pdf.groupby("product_id").indices.items():
+                    w, low = weight[at], side[at]
+                    n, y = pdf["n"].to_numpy()[at][:, None] * w, pdf["y"].to_numpy()[at][:, None] * w
+                    yield pd.DataFrame({"product_id": product, "repetition": reps.astype(np.int32), "nl": n[low].sum(0).astype(float), "nh": n[~low].sum(0).astype(float), "yl": y[low].sum(0).astype(float), "yh": y[~low].sum(0).astype(float)})
 
     sums = compact_.select("product_id", "user_id", "side", "n", "y").mapInPandas(partial, schema).groupBy("product_id", "repetition").agg(*[F.sum(c).alias(c) for c in ("nl", "nh", "yl", "yh")])
     diff = F.try_divide("yl", "nl") - F.try_divide("yh", "nh")

@@ -165,7 +165,7 @@ def price_compare(spark, sf_dir):
 
 @query()
 def price_cluster_bootstrap(spark, sf_dir):
-    return pricing.cluster_bootstrap(_compact(spark, sf_dir), 200, 7)
+    return pricing.cluster_bootstrap(_compact(spark, sf_dir), 1000, 7)
 
 
 @query(f"""WITH {PATH_SQL}, g AS (SELECT cp.*, m, CAST((high_price - low_price) AS DOUBLE) / CAST(high_price AS DOUBLE) AS d FROM cp JOIN cd USING (product_id), (VALUES (CAST(0.05 AS DOUBLE)), (0.2), (0.5)) v(m))

@@ -150,7 +150,7 @@ def policy_overlap(spark, sf_dir):
 @query()
 def joint_bootstrap(spark, sf_dir):
     """Resamples by a generator that SQL has not; tests hold their centre against the point estimates."""
-    return tg.bootstrap_intervals(tg.joint_bootstrap(_types(spark, sf_dir), 200, 20260921))
+    return tg.bootstrap_intervals(tg.joint_bootstrap(_types(spark, sf_dir), 1000, 20260921))
 
 
 @query(f"WITH {GROUP_SQL}, {_wald_sql('split, group_id', 'SELECT split, group_id, count(*) FILTER (treatment = 1) AS n1, count(*) FILTER (treatment = 0) AS n0, count(*) FILTER (treatment = 1 AND conversion = 1) AS k1, count(*) FILTER (treatment = 0 AND conversion = 1) AS k0 FROM gr WHERE split <> $$test$$ GROUP BY ALL', 10)}")
