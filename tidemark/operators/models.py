@@ -50,8 +50,8 @@ def _first_rounds(model: GBTClassificationModel, rounds: int) -> GBTClassificati
 def fit(rows: DataFrame, with_arm: bool = False, rounds: int = 150) -> GBTClassificationModel:
     """Trees of depth 4, step .05, stopped early on the held-out hash part.
 
-    Spark's own early stop has no patience and ends at an improvement below one percent, after one tree
-    of this step; here ten rounds without a lower loss end it.  The first rounds of a fit do not
+    Spark's own early stop has no patience and ends at an improvement below one percent, which left the
+    S learner one tree on the test tables; here ten rounds without a lower loss end it.  The first rounds of a fit do not
     depend on their number, so a short fit that stops is the whole one.
     """
     features = [*FEATURES, "treatment"] if with_arm else list(FEATURES)
