@@ -75,15 +75,70 @@ def test_sample_documents(spark, sample):
     assert check_places(rows) == least
 
 
+def given(spark, lengths):
+    return spark.createDataFrame([(k, 0, 0, n, k) for k, n in enumerate(lengths)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+
+
 def test_exchange_between_partitions(spark, monkeypatch):
     monkeypatch.setattr(packing, "PIECES", 60)
     rnd = random.Random(2)
-    items = [(k, 0, 0, rnd.choice([1, 7, 30, 51, 52, 99, 100, 33]), k) for k in range(1500)] + [(5, 0, 0, 40, 5)] * 20
-    df = spark.createDataFrame(items, "doc_id long, piece int, start long, length long, ids_crc32 long")
-    rows = packing.pack(df, 100).collect()
-    assert Counter((r.doc_id, r.length) for r in rows) == Counter((i[0], i[3]) for i in items)
-    bound = packing.lower_bound(np.array([i[3] for i in items]), 100)
-    assert bound <= check_places(rows, 100) <= bound * 1.02 + 1
+    lengths = [rnd.choice([1, 7, 30, 51, 52, 99, 100, 33]) for _ in range(1500)] + [40] * 20
+    found = packing.pack(given(spark, lengths), 100)
+    rows = found.rows.collect()
+    assert sorted((r.doc_id, r.length) for r in rows) == list(enumerate(lengths))
+    assert found.bound == packing.lower_bound(np.array(lengths), 100)
+    assert found.bound <= found.sequences == check_places(rows, 100) <= found.bound * 1.02 + 1
+
+
+def test_bounds_certify_pieces_of_over_half_a_sequence(spark, monkeypatch):
+    # 360 sequences by volume; only the dual-feasible bound says that 600 are due, and ends the search.
+    monkeypatch.setattr(packing, "PIECES", 60)
+    found = packing.pack(given(spark, [60] * 600), 100)
+    assert found.certified and found.rounds == 1 and found.sequences == found.bound == 600
+    assert check_places(found.rows.collect(), 100) == 600
+
+
+def test_only_partitions_with_a_gap_exchange():
+    certified = np.array([60, 60, 60, 30])
+    bins, _ = packing.best_fit_decreasing(certified, 100)
+    goes, bound = packing.leaving(bins, certified, 100)
+    assert bound == 3 and goes.sum() == 1  # the emptiest, for the rounding of the bound
+    gap = np.array([44, 24, 24, 22, 21, 17, 8, 8, 6, 6, 20])
+    bins = np.array([0, 0, 0, 1, 1, 1, 1, 1, 1, 1, 2])
+    goes, bound = packing.leaving(bins, gap, 100)
+    assert bound == 2 and goes.all()
+    goes, bound = packing.leaving(np.arange(3), np.array([100, 100, 100]), 100)
+    assert bound == 3 and not goes.any()
+
+
+def test_the_exchange_saves_what_partitions_round_up(spark, monkeypatch):
+    # Every partition is certified, with half a sequence left: only together they need fewer.
+    monkeypatch.setattr(packing, "PIECES", 7)
+    found = packing.pack(given(spark, [50] * 200 + [100] * 3), 100)
+    assert found.certified and found.sequences == 103 and check_places(found.rows.collect(), 100) == 103
+
+
+def test_an_exchange_that_saves_nothing_is_taken_back(spark, monkeypatch):
+    monkeypatch.setattr(packing, "PIECES", 12)
+    rnd = random.Random(7)
+    lengths = [rnd.choice([34, 36, 51, 26]) for _ in range(240)]
+    found = packing.pack(given(spark, lengths), 100)
+    rows = found.rows.collect()
+    assert sorted((r.doc_id, r.length) for r in rows) == list(enumerate(lengths))
+    assert found.bound <= found.sequences == check_places(rows, 100)
+
+
+def test_the_table_is_bounded_and_forgotten(monkeypatch):
+    known = packing.ChunkIds(VOCABULARY)
+    known.bound(packing.ENTRY * 30)
+    list(known.encode([" ".join(f"w{k}x" for k in range(500)), "y" * 500]))
+    assert len(known) <= 20 and len(known.words) <= 10
+    monkeypatch.setattr(packing, "RELEASE", 0.05)
+    with packing.chunk_ids(VOCABULARY) as kept:
+        list(kept.encode(["some words"]))
+    for t in packing._waiting:
+        t.join()
+    assert not kept and not kept.words
 
 
 def test_edge_rows(spark, make_docs):

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from weakref import WeakKeyDictionary
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: White space that ends a word: [\x20\x09-\x0D].  bytes.split() cuts at exactly these.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows of ids and hashes, of some 32 bytes each, that may be sent to every task.
+BROADCAST_ROWS = 1 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,11 +44,23 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
+_written: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage with a table in the shared folder; lost executors cannot take it away."""
     path = new_folder(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    _written[table] = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of materialize() that nothing still to be run reads."""
+    for table in tables:
+        at = table.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop(table))
+        at.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def with_row_key(docs: DataFrame) -> DataFrame:
@@ -54,8 +69,21 @@ def with_row_key(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("text_hash"))
 
 
-def arrow_map(df: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(rows, schema)
+def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most `rows`, so that few texts are Python strings at a time."""
+    for b in batches:
+        for begin in range(0, b.num_rows, rows):
+            yield b.slice(begin, rows)
+
+
+def few(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Whether a table of ids and hashes has at most so many rows: then it may go to every task."""
+    return df.count() <= rows
+
+
+def beside(big: DataFrame, small: DataFrame, on, how: str) -> DataFrame:
+    """big joined with a written table of ids; big is not shuffled while that table is small."""
+    return big.join(F.broadcast(small) if few(small) else small, on, how)
 
 
 def batch_of(schema: list[tuple[str, pa.DataType]], *columns) -> pa.RecordBatch:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -37,8 +37,9 @@ def components(edges: DataFrame) -> DataFrame:
     edges = materialize(edges, "edges")
     seen = sign(edges)
     while seen[0]:
-        edges = materialize(_star(_star(edges, large=True), large=False), "edges")
+        older, edges = edges, materialize(_star(_star(edges, large=True), large=False), "edges")
         before, seen = seen, sign(edges)
+        discard(older)
         if before == seen:
             break
     # All that is left are stars around the smallest node of each component.

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, small_batches
 from .packing import END_ID, chunk_ids
 
 #: Tokens of a record, and records of a shard.
@@ -65,20 +65,22 @@ def tokenized(docs: DataFrame, vocabulary: str, stride: int) -> DataFrame:
     """
     names = ["part", "row", "doc_id", "piece", "length", "ids"]
 
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, part, row = chunk_ids(vocabulary), TaskContext.get().partitionId(), 0
-        kind = _kind(known.library.get_vocab_size())
-        for b in batches:
-            out = []
-            for doc_id, coded in zip(b.column(0).to_pylist(), known.encode(b.column(1).to_pylist()), strict=True):
-                ids = np.append(np.frombuffer(coded, "<u4"), END_ID).astype(kind)
-                for k, at in enumerate(range(0, len(ids), stride)):
-                    piece = ids[at : at + stride]
-                    out.append((part, row, doc_id, k, len(piece), piece.tobytes()))
-                    row += 1
-            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-            columns = list(zip(*out, strict=True)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
+        part, row = TaskContext.get().partitionId(), 0
+        with chunk_ids(vocabulary) as known:
+            kind = _kind(known.library.get_vocab_size())
+            for b in small_batches(batches):
+                out = []
+                for doc_id, coded in zip(b.column(0).to_pylist(), known.encode(b.column(1).to_pylist()), strict=True):
+                    ids = np.append(np.frombuffer(coded, "<u4"), END_ID).astype(kind)
+                    for k, at in enumerate(range(0, len(ids), stride)):
+                        piece = ids[at : at + stride]
+                        out.append((part, row, doc_id, k, len(piece), piece.tobytes()))
+                        row += 1
+                columns = list(zip(*out, strict=True)) or [()] * 6
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
     kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     return kept.mapInArrow(made, "part int, row long, doc_id long, piece int, length int, ids binary")
