@@ -1,5 +1,7 @@
 """Encoders against the tokenizers library on texts that are hard to cut."""
 
+import time
+
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -40,6 +42,16 @@ def test_random_texts(tools, text):
     same(tools, text)
 
 
+@pytest.mark.parametrize("text", ["ab" * 150, "xyz" * 86 + "q", "語彙" * 50_000, "abcdefghij" * 20_000, "QUJDRA" * 30_000 + " tail"], ids=["300", "259", "cjk", "letters", "base64"])
+def test_long_words_in_seconds(tools, text):
+    coder, known = tools[3], tools[4]
+    ids = tools[1].encode(text, add_special_tokens=False).ids
+    began = time.process_time()
+    assert [i for c in bpe.chunks(text) for i in coder.encode(c)] == ids
+    assert time.process_time() - began < 20
+    assert b"".join(known.encode([text])) == b"".join(i.to_bytes(4, "little") for i in ids)
+
+
 def test_heap_skips_stale_pairs():
     rank = {("a", "a"): 0, ("aa", "a"): 1, ("b", "aa"): 2}
     assert merged_count(list("aaaa"), rank) == 2 and merged_count(list("aaa"), rank) == 1 and merged_count(list("baab"), rank) == 2 and merged_count([], rank) == 0

@@ -2,7 +2,8 @@
 
 A word is a short array of boundaries with, beside each, the rank of the pair that starts
 there.  The smallest rank is found by a scan, its boundary deleted and the two neighbouring
-ranks refreshed.  White space never lies inside a token of this vocabulary, so a text is cut
+ranks refreshed.  That suits short words; longer ones, of over SHORT symbols, are merged over a
+heap and a linked list instead, with the same parts as result.  White space never lies inside a token of this vocabulary, so a text is cut
 at white space and each distinct chunk is encoded once per worker, in a table of bounded size.
 """
 
@@ -20,8 +21,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of
-from .token_counts import byte_symbols
+from .common import batch_of, small_batches
+from .token_counts import byte_symbols, merged_parts
 
 #: Fixed value: the pattern of the vocabulary with word ends.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -30,6 +31,8 @@ _SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 _SEPARATORS = "\x1c\x1d\x1e\x1f"
 #: Chunks that a worker remembers before it starts anew: about 200 MB.
 REMEMBERED = 500_000
+#: Symbols of the longest word that is merged by scans of its ranks; longer ones would take quadratic time.
+SHORT = 256
 _NONE = 1 << 60
 
 
@@ -61,6 +64,8 @@ class WordBpe:
         rank, symbols = self.rank.get, self.symbols
         shown = "".join([symbols[b] for b in word.encode("utf-8")])
         n = len(shown)
+        if n > SHORT:
+            return merged_parts([*shown[:-1], shown[-1] + self.end], self.rank)
         shown += self.end
         bounds = [*range(n), len(shown)]
         ranks = [rank((shown[k], shown[k + 1]), _NONE) for k in range(n - 2)]
@@ -122,7 +127,7 @@ def encode_and_decode(docs: DataFrame, vocabulary: str, keep_ids: bool = False)
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Chunks(WordBpe(vocabulary))
         sha = hashlib.sha256
-        for b in batches:
+        for b in small_batches(batches):
             n, ids_sha, text_sha, ids, texts = [], [], [], [], []
             for text in b.column(1).to_pylist():
                 parts = list(map(known.__getitem__, chunks(text)))

@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of
+from .common import batch_of, small_batches
 
 #: Fixed value: the pattern that the byte-level vocabulary splits text by.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -56,20 +56,17 @@ class Merges:
         return [self.symbols[b] for b in piece.encode("utf-8")]
 
 
-def merged_count(symbols: list[str], rank: dict[tuple[str, str], int]) -> int:
-    """Initial symbols minus merges.
+def merged_parts(symbols: list[str], rank: dict[tuple[str, str], int]) -> list[str]:
+    """What is left of the symbols after all merges, in n log n steps.
 
     The symbols form a doubly linked list; a heap holds (rank, place) of adjacent pairs.  An
     entry is stale, and skipped, when a neighbour has merged since it was pushed.
     """
     n = len(symbols)
-    if n < 2:
-        return n
     text: list[str | None] = list(symbols)
     before, after = list(range(-1, n - 1)), list(range(1, n + 1))
     heap = [(r, k) for k in range(n - 1) if (r := rank.get((symbols[k], symbols[k + 1]))) is not None]
     heapq.heapify(heap)
-    left = n
     while heap:
         r, k = heapq.heappop(heap)
         if text[k] is None or (j := after[k]) >= n or rank.get((text[k], text[j])) != r:
@@ -83,8 +80,12 @@ def merged_count(symbols: list[str], rank: dict[tuple[str, str], int]) -> int:
                 heapq.heappush(heap, (q, k))
         if before[k] >= 0 and (q := rank.get((text[before[k]], text[k]))) is not None:
             heapq.heappush(heap, (q, before[k]))
-        left -= 1
-    return left
+    return [t for t in text if t is not None]
+
+
+def merged_count(symbols: list[str], rank: dict[tuple[str, str], int]) -> int:
+    """Initial symbols minus merges."""
+    return len(merged_parts(symbols, rank))
 
 
 class PieceCounts(dict):
@@ -138,7 +139,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 512) -> DataFram
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = PieceCounts(Merges(vocabulary))
-        for b in batches:
+        for b in small_batches(batches):
             texts = b.column(1).to_pylist()
             out = batch_of(_OUT, [len(t.encode("utf-8")) for t in texts], [counts.of(t) for t in texts])
             yield pa.RecordBatch.from_arrays([b.column(0), *out.columns], names=["doc_id", *out.schema.names])
