@@ -40,3 +40,56 @@ def test_edge_rows(spark, make_docs):
     assert {r.doc_id for r in kept.collect()} == {103, 104, None}
     assert langid.identify(make_docs([])).count() == 0
     assert {r.lang_pred for r in langid.identify(make_docs([(1, "no labels here")])).collect()} == {"und"}
+
+
+def test_repeated_ids_keep_the_sample_bounded(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(langid, "materialize", lambda df, name: seen.append(df.collect()) or df)
+    rows = [(0, f"the cat number {k}", "en") for k in range(900)] + [(k, f"der hund {k}", "de") for k in range(3, 300)] + [(k, "le chat", "fr") for k in range(6)]
+    langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=50)
+    trained = [r.lang for r in seen[0]]
+    held = lambda ids: sum(zlib.crc32(str(k).encode()) % 3 != 1 for k in ids)
+    assert trained.count("en") == held([0]) and trained.count("de") == 50 and trained.count("fr") == held(range(6))
+
+
+def test_letters_beyond_sixteen_bits_count():
+    gothic = "𐌰𐌱𐌲 𐌰𐌱𐌲"
+    assert langid.counts(gothic).sum() == langid.counts("abc abc").sum() > 0
+    assert (langid.counts(gothic + " abc") != langid.counts("abc")).any()
+    assert (langid._codes("aÉ1猫") == langid._codes("aÉ1猫𐌰")[:6].tolist()[:5] + [32]).all()
+
+
+def plain_counts(text):
+    """Counts of letter pairs and triples within one gap-joined text, by the definition."""
+    codes = [ord(c.lower()[0]) if c.isalpha() else 32 for c in f" {text} "]
+    codes = [c for k, c in enumerate(codes) if not (c == 32 and k and codes[k - 1] == 32)]
+    a, b, c = (int(x) for x in (langid._A, langid._B, langid._C))
+    out, low = [0] * langid.FEATURES, (1 << 32) - 1
+    for k in range(len(codes) - 1):
+        pair = (codes[k] * a ^ codes[k + 1] * b) & low
+        out[(pair * c & low) >> 19] += 1
+        if k + 2 < len(codes):
+            out[(((pair * b & low) ^ (codes[k + 2] * c & low)) * a & low) >> 19] += 1
+    return out
+
+
+def test_tf_idf_and_nearest_centroid_by_the_definition():
+    rnd = np.random.default_rng(3)
+    texts = ["the cat and the dog", "Der Hund, und die Katze!", "a1b2 c", "été à la plage"]
+    for t in texts:
+        assert langid.counts(t).tolist() == plain_counts(t)
+    idf = rnd.random(langid.FEATURES).astype(np.float32)
+    got = langid.vectors(texts, idf)
+    for t, row in zip(texts, got, strict=True):
+        want = np.array([np.log1p(n) * w for n, w in zip(plain_counts(t), idf.tolist(), strict=True)])
+        assert np.allclose(row, want / np.sqrt((want**2).sum()), atol=1e-6)
+    centroids = langid.spherical_kmeans(got, 2)
+    assert np.allclose((centroids**2).sum(1), 1, atol=1e-5)
+    near = [[float(sum(a * b for a, b in zip(r, c, strict=True))) for c in centroids.tolist()] for r in got.tolist()]
+    owner = [int(np.argmax(n)) for n in near]
+    for k in range(2):  # a fixed point: each centroid is the direction of the sum of the texts nearest to it
+        own = got[[i for i, o in enumerate(owner) if o == k]].sum(0)
+        assert np.allclose(centroids[k], own / np.linalg.norm(own), atol=1e-5)
+    model = langid.Model(["x", "y"], idf, centroids, np.array([1, 0]))
+    said, scores, _ = model.predict(texts)
+    assert said == [["y", "x"][o] for o in owner] and np.allclose(scores, [max(n) for n in near], atol=1e-5)

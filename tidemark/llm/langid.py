@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from .common import materialize, small_batches
+
 #: Hashed n-grams: the length of every vector.
 FEATURES = 8192
 #: Labelled texts a language is learned from, at most; the bound of all that training gathers.
@@ -32,19 +34,28 @@ _A, _B, _C = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35)
 _SHIFT = np.uint32(32 - 13)
 
 
-def _letters() -> np.ndarray:
-    """For each 16-bit code the lower-case letter, or a space for what is no letter."""
-    return np.array([ord(c.lower()[0]) if (c := chr(k)).isalpha() else 32 for k in range(1 << 16)], np.uint32)
+def _letter(code: int) -> int:
+    """The lower-case letter of a code, or a space for what is no letter."""
+    return ord(c.lower()[0]) if (c := chr(code)).isalpha() else 32
 
 
 @functools.lru_cache(1)
 def _table() -> np.ndarray:
-    return _letters()
+    return np.array([_letter(k) for k in range(1 << 16)], np.uint32)
+
+
+def _codes(text: str) -> np.ndarray:
+    """Lower-case letters with spaces for all else."""
+    if text.isascii() or max(text) < "\U00010000":
+        return _table()[np.frombuffer(f" {text} ".encode("utf-16-le", "surrogatepass"), "<u2")]
+    codes = np.frombuffer(f" {text} ".encode("utf-32-le", "surrogatepass"), "<u4")
+    seen, at = np.unique(codes, return_inverse=True)
+    return np.array([_letter(k) for k in seen.tolist()], np.uint32)[at]
 
 
 def counts(text: str) -> np.ndarray:
     """How often each hashed n-gram occurs in the whole text."""
-    codes = _table()[np.frombuffer(f" {text} ".encode("utf-16-le", "surrogatepass"), "<u2")]
+    codes = _codes(text)
     gap = codes == 32
     codes = codes[~(gap & np.append(False, gap[:-1]))]
     if len(codes) < 3:
@@ -121,14 +132,21 @@ def held_out(doc_id: str = "doc_id"):
 def train(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -> Model:
     """Learns from text and lang of at most `sample` documents of each language, those of the smallest id hash.
 
-    Documents are chosen by id and language alone, then their whole texts are read.  The
-    driver gets n-gram weights and centroids, never texts.
+    An id that repeats gives one text, the one of the smallest hash.  Documents are chosen by id
+    and language alone, then only their texts are kept.  Ids are first thinned by a threshold on
+    their hash that leaves a few times `sample` of each language, whatever the number of rows.
+    The driver gets n-gram weights and centroids, never texts.
     """
     labelled = docs.where("lang is not null and text is not null and doc_id is not null").where(~held_out())
+    place = F.xxhash64("doc_id").cast("double") / 2.0**64 + 0.5
+    sizes = labelled.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("ids"))
+    thinned = labelled.select("doc_id", "lang").join(F.broadcast(sizes), "lang").where(place * F.col("ids") <= 4.0 * sample)
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = labelled.select("doc_id", "lang").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= sample)
+    chosen = thinned.select("doc_id", "lang").distinct().withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= sample)
     # At most `sample` ids of each language go to all tasks, so that no text is shuffled for a row that is not chosen.
-    texts = labelled.select("doc_id", "lang", "text").join(F.broadcast(chosen.select("doc_id", "lang").distinct()), ["doc_id", "lang"], "left_semi").select("lang", "text")
+    texts = labelled.select("doc_id", "lang", "text").join(F.broadcast(chosen.select("doc_id", "lang")), ["doc_id", "lang"], "left_semi")
+    texts = texts.groupBy("lang", "doc_id").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("one")).select("lang", F.col("one.text").alias("text"))
+    texts = materialize(texts, "sample")
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, n = np.zeros(FEATURES, np.int64), 0
@@ -166,7 +184,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     told = docs.sparkSession.sparkContext.broadcast(model)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small_batches(batches, 256):
             said, scores, kept = told.value.predict(b.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(said, pa.string()), pa.array(scores, pa.float64()), pa.array(kept, pa.bool_())], names=["doc_id", "held_out", "lang_pred", "score", "accepted"])
 
