@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import langid, packing, pii, simhash, substring
-from tidemark.llm.common import documents, materialize
+from tidemark.llm.common import discard, documents, materialize
 from tidemark.llm.queries import tokenizer_file
 
 
@@ -38,8 +38,11 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents, placed in sequences of 4096 tokens."""
-    return packing.pack_documents(docs, tokenizer_file("word_bpe_49k.json"))
+    """Pieces of all documents, placed in sequences of 4096 tokens.
+
+    Workers that have run other stages hold a smaller table of known chunks.
+    """
+    return packing.pack_documents(docs, tokenizer_file("word_bpe_49k.json"), table_bytes=64 << 20)
 
 
 STAGES = [
@@ -56,6 +59,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), name)
+        if k:
+            discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, with_row_key
+from .common import beside, discard, materialize, small_batches, with_row_key
 from .components import components
 
 SEED = 42
@@ -69,7 +69,7 @@ def fingerprints(docs: DataFrame, shingle: int, planes: int = 1) -> DataFrame:
     names = [f"f{p}" for p in range(planes)]
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small_batches(batches):
             rows = np.empty((b.num_rows, planes), np.uint64)
             for k, text in enumerate(b.column(1).cast(pa.binary()).to_pylist()):
                 hashes = shingle_hashes(text, shingle)
@@ -344,7 +344,7 @@ def _judge(rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, leaders = None, _Leaders(similarity)
-        for b in batches:
+        for b in small_batches(batches):
             component, block, role, doc_id, text_hash, text = b.columns
             stays = []
             for c, k, r, t in zip(component.to_pylist(), block.to_pylist(), role.to_pylist(), text.cast(pa.binary()).to_pylist(), strict=True):
@@ -416,19 +416,22 @@ def keep_one_of_each_group(docs: DataFrame, shingle: int = 5, similarity: float
     distinct = fps.withColumn("node", node).groupBy(*key, "node").agg(F.count("*").alias("copies"))
     # Rows of one text have one node too, so texts that only share a hash stay apart.
     least = distinct.groupBy("text_hash", "node").agg(F.min("doc_id").alias("least"), F.min_by("copies", "doc_id").alias("copies"), F.count("*").alias("rows"))
-    gone = distinct.drop("copies").join(least.where("rows > 1"), ["text_hash", "node"]).where("doc_id > least").select(*key)
+    copies = distinct.drop("copies").join(least.where("rows > 1"), ["text_hash", "node"]).where("doc_id > least").select(*key)
     members = least.select(F.col("least").alias("doc_id"), "text_hash", "copies", "node").join(groups, "node").select(*key, "copies", "component")
     large = members.groupBy("component").agg(F.count("*").alias("size")).where("size > 1")
     grouped = materialize(members.join(large.select("component"), "component", "left_semi"), "grouped")
-    texts = keyed.select("doc_id", F.col(name).alias("text_hash"), F.coalesce("text", F.lit("")).alias("text")).join(grouped, key)
+    # Only texts of rows that have a candidate are moved, to the task that decides their set.
+    texts = beside(keyed.select("doc_id", F.col(name).alias("text_hash"), F.coalesce("text", F.lit("")).alias("text")), grouped, key, "inner")
     texts = texts.where("copies = 1").unionByName(texts.where("copies > 1").dropDuplicates(key))
     rows = materialize(texts.select(*key, "component", "text"), "texts")
-    gone = gone.unionByName(_like_an_earlier(rows, shingle, similarity))
+    gone = materialize(copies.unionByName(_like_an_earlier(rows, shingle, similarity)), "gone")
+    repeated = materialize(distinct.where("copies > 1").select(*key), "repeated")
+    discard(rows, grouped, fps)
 
-    dropped = gone.select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash"))
-    out = keyed.join(dropped, (keyed["doc_id"] == F.col("gone_id")) & (keyed[name] == F.col("gone_hash")), "left_anti")
-    repeated = distinct.where("copies > 1").select(F.col("doc_id").alias("again_id"), F.col("text_hash").alias("again_hash"))
+    named = lambda ids: ids.select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash"))
+    same = (F.col("doc_id") == F.col("gone_id")) & (F.col(name) == F.col("gone_hash"))
+    out = beside(keyed, named(gone), same, "left_anti")
     if not repeated.isEmpty():
-        again = (F.col("doc_id") == F.col("again_id")) & (F.col(name) == F.col("again_hash"))
-        out = out.join(repeated, again, "left_anti").unionByName(out.join(repeated, again, "left_semi").dropDuplicates(["doc_id", name]))
+        once = beside(out, named(repeated), same, "left_anti")
+        out = once.unionByName(beside(out, named(repeated), same, "left_semi").dropDuplicates(["doc_id", name]))
     return out.select(*[F.col(c).cast(t).alias(c) if c == "doc_id" else c for c, t in docs.dtypes])
