@@ -50,3 +50,56 @@ def test_edge_rows(spark):
     few = [(0, [1.0]), (50, [2.0])]
     assert got(tk.top_k(spark.createDataFrame([(i, v, 0) for i, v in few], SCHEMA), F.col("vec_id") % 50 == 0)) == brute(few)
     assert tk.top_k(spark.createDataFrame([], SCHEMA), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_the_tree_covers_nests_and_separates():
+    rng = np.random.default_rng(5)
+    points = np.concatenate([rng.normal(size=(60, 4)) * 0.1 + c for c in rng.normal(size=(40, 4)) * 9])
+
+    def walk(node):
+        away = np.sqrt(((points[node.rows] - node.centre) ** 2).sum(1))
+        assert np.isclose(away.max(), node.radius)
+        if node.children:
+            assert sorted(np.concatenate([c.rows for c in node.children]).tolist()) == sorted(node.rows.tolist())
+            assert any((c.centre == node.centre).all() for c in node.children)
+            centres = np.array([c.centre for c in node.children])
+            gaps = np.sqrt(((centres[:, None] - centres) ** 2).sum(2))[~np.eye(len(centres), dtype=bool)]
+            assert gaps.min() > node.radius / 2 and all(c.radius <= node.radius / 2 for c in node.children)
+        return 1 + sum(map(walk, node.children))
+
+    root = tk.cover_tree(points)
+    assert walk(root) > 40 and 1 < len(tk.leaves(tk.cover_tree(points, most=16))) <= 16
+
+
+def clusters(n, seed=4, dim=8):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(20, dim)) * 5
+    return [(i, (centres[i * 7 % 20] + rng.normal(size=dim) * 0.05).round(3).tolist()) for i in range(n)]
+
+
+def test_groups_are_pruned_before_the_shuffle(spark, monkeypatch):
+    met = []
+    monkeypatch.setattr(tk, "_meet", lambda *a, f=tk._meet, **b: met.append(a[2]) or f(*a, **b))
+    rows = clusters(3000)
+    df = spark.createDataFrame([(i, v, 0) for i, v in rows], SCHEMA)
+    assert got(tk.top_k(df, F.col("vec_id") % 50 == 0, block=100, query_block=30)) == brute(rows)
+    groups = met[0].shape[0]
+    assert groups >= 20 and sum(m.sum() for m in met) < 0.3 * groups**2
+
+
+def test_node_pairs_are_pruned_inside_a_task():
+    rows = np.array([np.floor(256 * np.array(v)) for _, v in clusters(4000)]).astype(np.int64)
+    s = tk.Search(rows[::50], np.arange(0, 4000, 50), rows, np.arange(4000), 5)
+    s.run()
+    assert s.scored < 0.5 * 80 * 4000
+
+
+def test_huge_components(spark):
+    rows = [(0, [1e12, 1e12]), (1, [1e12, 1.0]), (2, [1e12, 2.0]), (3, [-1e12, -1e12]), (4, [3e5, 1.0]), (5, [3e5, 1.5])]
+    df = spark.createDataFrame([(i, v, 0) for i, v in rows], SCHEMA)
+    out = got(tk.top_k(df, F.col("vec_id") % 50 == 0))
+    high, low = 2**63 - 1, -(2**63)
+    assert out == [(0, 1, 1, high), (0, 2, 2, high), (0, 3, 4, high), (0, 4, 5, high), (0, 5, 3, low)]
+    near = [(0, [2.0**20, 3.0]), (1, [2.0**20, 1.0]), (2, [2.0**20, 1.25]), (3, [-(2.0**20), 7.0])]  # sums beyond 2^53, within 64 bits
+    df = spark.createDataFrame([(i, v, 0) for i, v in near], SCHEMA)
+    assert got(tk.top_k(df, F.col("vec_id") % 50 == 0)) == brute(near)
