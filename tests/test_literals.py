@@ -7,8 +7,8 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions import tails
-from tidemark.operators import cohorts, diagnosis, experiments, funnel, gates, parse, pricing, quality, ranking, targeting
+from tidemark.functions import quantiles, tails
+from tidemark.operators import cohorts, diagnosis, experiments, funnel, gates, parse, pricing, quality, targeting
 from tidemark.sources import files
 from tidemark.sources.tables import with_flags
 from tidemark.streaming.daily import daily_counts
@@ -139,10 +139,12 @@ def test_tail_values(spark):
     assert row.z == pytest.approx(0.05, abs=1e-9) and row.x == pytest.approx(0.05, abs=1e-9) and row.t == pytest.approx(0.05, abs=1e-9)
 
 
-def test_global_rank(spark):
-    df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("v"))
-    rows = ranking.global_rank(df, ["v"], "place").collect()
-    assert all(r.place == r.v + 1 for r in rows) and len(rows) == 1000
+def test_exact_quantiles(spark):
+    df = spark.range(5000).select((F.col("id") * 7919 % 5003 / 7).alias("v"), F.when(F.col("id") % 3 == 0, F.lit(None)).otherwise(F.col("id") % 4).alias("w"), F.lit(None).cast("double").alias("none"))
+    ps = [0.0, 0.25, 0.5, 0.9, 1.0]
+    want = df.select(*[F.percentile(c, F.array(*map(F.lit, ps))).alias(c) for c in ("v", "w")]).collect()[0]
+    got = quantiles.exact_quantiles(df, ["v", "w", "none"], ps, accuracy=100)
+    assert got["v"] == pytest.approx(want.v) and got["w"] == pytest.approx(want.w) and got["none"] == [None] * 5
 
 
 def test_ranks_do_not_see_outcomes(spark, sample):

@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from ..functions.columns import FOUR_FIFTHS, TENTH, THREE_FIFTHS, count_where, hash16
+from ..functions.columns import FOUR_FIFTHS, TENTH, THREE_FIFTHS, count_where, hash16, ratio
+from ..functions.quantiles import exact_quantiles
+from ..sources.scratch import hold
 
 CAPACITIES = (10, 20, 30, 50, 100)
 POLICIES = ("random", "response", "incremental")
@@ -26,12 +28,15 @@ def split(rows: DataFrame, seed: str = "split-v1") -> DataFrame:
     return rows.withColumn("split", F.when(h < THREE_FIFTHS, "train").when(h < FOUR_FIFTHS, "valid").otherwise("test"))
 
 
-def split_qc(rows: DataFrame) -> DataFrame:
-    """Size, outcomes and share of each split, by arm and in all."""
-    aggs = [F.count("*").alias("n"), F.sum("conversion").cast("long").alias("conversions")]
-    parts = rows.groupBy("split").agg(*aggs).select("split", F.lit(-1).alias("treatment"), "n", "conversions").unionByName(rows.groupBy("split", "treatment").agg(*aggs))
+def split_qc(rows: DataFrame, shares: dict[str, float] | None = None, slack: float = 0.02) -> DataFrame:
+    """Size, outcomes, rate and share of each split, by arm and in all (arm -1), and whether the share is as declared."""
+    shares = shares or {"train": 0.6, "valid": 0.2, "test": 0.2}
+    fine = rows.groupBy("split", "treatment").agg(F.count("*").alias("n"), F.sum("conversion").alias("conversions"))  # six rows
+    parts = fine.groupingSets([["split"], ["split", "treatment"]], "split", "treatment").agg(F.grouping("treatment").alias("all"), F.sum("n").alias("n"), F.sum("conversions").cast("long").alias("conversions"))
+    parts = parts.select("split", F.when(F.col("all") == 1, -1).otherwise(F.col("treatment")).alias("treatment"), "n", "conversions")
     share = F.col("n") / F.sum("n").over(Window.partitionBy("treatment")).cast("double")
-    return parts.withColumn("share", F.round(share, 6))
+    due = F.create_map(*[x for k, v in shares.items() for x in (F.lit(k), F.lit(v))])[F.col("split")]
+    return parts.withColumns({"rate": F.round(F.col("conversions") / F.col("n"), 6), "share": F.round(share, 6), "share_ok": F.abs(share - due) <= slack})
 
 
 def early_stop(rows: DataFrame) -> DataFrame:
@@ -48,12 +53,12 @@ def align_members(rows: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def train_cuts(rows: DataFrame, features: list[str]) -> DataFrame:
-    """Quartiles of each feature on train, without repeats and without the ends of its range."""
+    """Quartiles of each feature on train, without repeats and without the ends of its range: a row a feature."""
     held = rows.where("split = 'train'")
-    parts = held.agg(*[F.struct(F.percentile(f, F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias("q"), F.min(f).alias("lo"), F.max(f).alias("hi")).alias(f) for f in features])
-    long = parts.select(F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("x")) for f in features])).alias("y")).select("y.feature", "y.x.*")
-    cuts = F.filter(F.array_distinct("q"), lambda c: (c > F.col("lo")) & (c < F.col("hi")))
-    return long.select("feature", cuts.alias("cuts"))
+    found = exact_quantiles(held, features, [0.25, 0.5, 0.75])
+    ends = held.agg(*[x for f in features for x in (F.min(f).alias(f"lo_{f}"), F.max(f).alias(f"hi_{f}"))]).collect()[0]
+    cuts = [(f, sorted({q for q in found[f] if q is not None and ends[f"lo_{f}"] < q < ends[f"hi_{f}"]})) for f in features]
+    return rows.sparkSession.createDataFrame(cuts, "feature string, cuts array<double>")
 
 
 def bin_group(rows: DataFrame, cuts: DataFrame) -> DataFrame:
@@ -67,10 +72,11 @@ def group_rates(grouped: DataFrame, support: int) -> DataFrame:
     """For each of 16 groups the rates of both arms; groups of little support take the whole table's scores."""
     train = grouped.where("split = 'train'")
     t, y = F.col("treatment"), F.col("conversion")
+    names = ["n1", "n0", "y1", "y0"]
     aggs = [count_where(t == 1).alias("n1"), count_where(t == 0).alias("n0"), count_where((t == 1) & (y == 1)).alias("y1"), count_where((t == 0) & (y == 1)).alias("y0")]
-    whole = train.agg(*aggs).select(*[F.col(c).alias(f"all_{c}") for c in ("n1", "n0", "y1", "y0")])
     spine = grouped.sparkSession.range(16).select(F.col("id").cast("int").alias("group_id"))
-    joined = spine.join(train.groupBy("group_id").agg(*aggs), "group_id", "left").crossJoin(F.broadcast(whole)).fillna(0, ["n1", "n0", "y1", "y0"])
+    joined = spine.join(train.groupBy("group_id").agg(*aggs), "group_id", "left").fillna(0, names)
+    joined = joined.select("*", *[F.sum(c).over(Window.partitionBy()).alias(f"all_{c}") for c in names])  # 16 rows
     fallback = F.least("n1", "n0") < support
     pick = lambda c: F.when(fallback, F.col(f"all_{c}")).otherwise(F.col(c)).cast("double")
     p1, p0 = pick("y1") / pick("n1"), pick("y0") / pick("n0")
@@ -91,22 +97,25 @@ def apply_rules(rows: DataFrame, rules: DataFrame) -> DataFrame:
     return rows.drop("conversion", "visit").join(F.broadcast(told), "group_id")
 
 
-def policy_places(scored: DataFrame) -> DataFrame:
-    """place_<policy>: each row's place in the total order of each policy; ties by hash, then id.
+def policy_places(scored: DataFrame, digits: int = 3) -> DataFrame:
+    """place_<policy>: each row's place in the total order of each policy, ties by hash, then id; n_all: all rows.
 
-    Ranks take few values and the hash is uniform, so (rank, hash) cuts into fine equal
-    cells: a place is the number of rows in cells before, plus the place within the cell.
+    Ranks take few values and the hash is uniform, so (rank, hash) cuts into fine equal cells: a
+    place is the number of rows in cells before, plus the place within the cell.  One aggregate
+    counts the cells of all policies (a row a group and cell, so 16 x 16^digits at most), and
+    all three places come from one exchange by cell.
     """
     tie = F.sha2(F.concat(F.lit("target-v1|"), F.col("row_id")), 256)
-    out = scored.withColumn("tie", tie).withColumn("cell", F.conv(F.substring("tie", 1, 3), 16, 10).cast("int"))
+    base = scored.withColumn("tie", tie).withColumn("cell", F.conv(F.substring("tie", 1, digits), 16, 10).cast("int"))
+    sizes = hold(base.groupBy("cell", "response_rank", "incremental_rank").agg(F.count("*").alias("n")))
+    out = base.repartition("cell").crossJoin(F.broadcast(sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_all"))))
     for policy in POLICIES:
         rank = F.lit(0) if policy == "random" else F.col(f"{policy}_rank")
-        keyed = out.withColumn("rank_", rank)
-        sizes = keyed.groupBy("rank_", "cell").agg(F.count("*").alias("size_"))
-        order = Window.orderBy("rank_", "cell").rowsBetween(Window.unboundedPreceding, -1)  # ranks x 4096 cells at most
-        before = sizes.select("rank_", "cell", F.coalesce(F.sum("size_").over(order), F.lit(0)).alias("before_"))
-        inner = F.row_number().over(Window.partitionBy("rank_", "cell").orderBy("tie", "row_id"))
-        out = keyed.join(before, ["rank_", "cell"]).withColumn(f"place_{policy}", (inner + F.col("before_")).cast("long")).drop("rank_", "before_")
+        cells = sizes.groupBy(rank.alias("rank_"), "cell").agg(F.sum("n").alias("size_"))
+        order = Window.orderBy("rank_", "cell").rowsBetween(Window.unboundedPreceding, -1)  # ranks x cells
+        before = cells.select("rank_", "cell", F.coalesce(F.sum("size_").over(order), F.lit(0)).alias("before_"))
+        inner = F.row_number().over(Window.partitionBy("cell", "rank_").orderBy("tie", "row_id"))
+        out = out.withColumn("rank_", rank).join(F.broadcast(before), ["cell", "rank_"]).withColumn(f"place_{policy}", (inner + F.col("before_")).cast("long")).drop("rank_", "before_")
     return out.drop("tie", "cell")
 
 
@@ -120,11 +129,6 @@ def capacity_masks(places: DataFrame, n: Column) -> DataFrame:
     return places.withColumn("mask", mask)
 
 
-def with_size(rows: DataFrame) -> DataFrame:
-    whole = rows.agg(F.count("*").alias("n_all"))
-    return rows.crossJoin(F.broadcast(whole))
-
-
 def joint_types(masked: DataFrame) -> DataFrame:
     """Rows of each arm, outcome and mask: all that the evaluations need."""
     return masked.groupBy("treatment", "conversion", "mask").agg(F.count("*").alias("n"))
@@ -161,7 +165,7 @@ def overlap(types: DataFrame) -> DataFrame:
     long = types.select("n", "mask", F.explode(F.array(*cells)).alias("z")).select("n", "mask", "z.*")
     in_a, in_b = F.col("mask").bitwiseAND(F.col("x").cast("long")) != 0, F.col("mask").bitwiseAND(F.col("y").cast("long")) != 0
     s = lambda when: F.coalesce(F.sum(F.when(when, F.col("n"))), F.lit(0)).cast("long")
-    return long.groupBy("capacity", "a", "b").agg(s(in_a & in_b).alias("both"), s(in_a | in_b).alias("either")).withColumn("identical", F.col("both") == F.col("either"))
+    return long.groupBy("capacity", "a", "b").agg(s(in_a & in_b).alias("both"), s(in_a | in_b).alias("either")).withColumns({"rate": ratio(F.col("both"), F.col("either")), "identical": F.col("both") == F.col("either")})
 
 
 def joint_bootstrap(types: DataFrame, repetitions: int, seed: int) -> DataFrame:

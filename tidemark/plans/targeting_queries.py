@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import experiments as ex
 from ..operators import models
 from ..operators import targeting as tg
+from ..sources.scratch import hold
 from ..sources.tables import EXPERIMENT_SQL, experiment, table
 from .experiment_queries import _wald_sql
 from .registry import query
@@ -45,19 +46,24 @@ def _grouped(spark, sf_dir):
     return tg.bin_group(rows, tg.train_cuts(rows, ["f0", "f1"]))
 
 
-def _rules(spark, sf_dir):
-    return tg.score_ranks(tg.group_rates(_grouped(spark, sf_dir), SUPPORT))
+def _frozen(grouped):
+    """The rules, 16 rows, made once however often they are used."""
+    return hold(tg.score_ranks(tg.group_rates(grouped, SUPPORT)))
 
 
 def _places(spark, sf_dir):
     """Ranks first; outcomes are attached when all places are known."""
-    valid = _grouped(spark, sf_dir).where("split = 'valid'")
-    outcomes = valid.select("row_id", "conversion")
-    return tg.policy_places(tg.apply_rules(valid, _rules(spark, sf_dir))).join(outcomes, "row_id")
+    grouped = _grouped(spark, sf_dir)
+    ranked = tg.policy_places(tg.apply_rules(grouped.where("split = 'valid'"), _frozen(grouped)))
+    return ranked.join(_split(spark, sf_dir).where("split = 'valid'").select("row_id", "conversion"), "row_id")
+
+
+def _masked(spark, sf_dir):
+    return tg.capacity_masks(_places(spark, sf_dir), F.col("n_all"))
 
 
 def _types(spark, sf_dir):
-    return tg.joint_types(tg.capacity_masks(tg.with_size(_places(spark, sf_dir)), F.col("n_all")))
+    return tg.joint_types(_masked(spark, sf_dir))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, sha256(concat_ws('|', 'row-v2', 'lineitem', l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_shipdate))) AS row_id FROM lineitem")
@@ -71,7 +77,7 @@ def split_stratified_hash(spark, sf_dir):
     return _split(spark, sf_dir).select("row_id", "split")
 
 
-@query(f"WITH {SPLIT_SQL}, g AS (SELECT split, CASE WHEN grouping(treatment) = 1 THEN -1 ELSE treatment END AS treatment, count(*) AS n, CAST(sum(conversion) AS BIGINT) AS conversions FROM sp GROUP BY GROUPING SETS ((split), (split, treatment))) SELECT *, round(n / CAST(sum(n) OVER (PARTITION BY treatment) AS DOUBLE), 6) AS share FROM g")
+@query(f"WITH {SPLIT_SQL}, g AS (SELECT split, CASE WHEN grouping(treatment) = 1 THEN -1 ELSE treatment END AS treatment, count(*) AS n, CAST(sum(conversion) AS BIGINT) AS conversions FROM sp GROUP BY GROUPING SETS ((split), (split, treatment))) SELECT *, round(conversions / CAST(n AS DOUBLE), 6) AS rate, round(n / CAST(sum(n) OVER (PARTITION BY treatment) AS DOUBLE), 6) AS share, abs(n / CAST(sum(n) OVER (PARTITION BY treatment) AS DOUBLE) - CASE split WHEN 'train' THEN 0.6 ELSE 0.2 END) <= 0.02 AS share_ok FROM g")
 def split_qc(spark, sf_dir):
     return tg.split_qc(_split(spark, sf_dir))
 
@@ -81,9 +87,22 @@ def early_stop_member(spark, sf_dir):
     return tg.early_stop(_split(spark, sf_dir)).select("row_id", "early_stop")
 
 
-@query(f"WITH {SPLIT_SQL} SELECT count(*) AS rows, count(*) FILTER (split = 'test') AS without_member, CAST(0 AS BIGINT) AS without_record, CAST(0 AS BIGINT) AS arm_mismatch FROM sp")
+@query(f"""WITH {SPLIT_SQL}, m AS (SELECT row_id, CASE WHEN row_id < '1' THEN 1 - treatment ELSE treatment END AS arm FROM sp WHERE split <> 'test' UNION ALL SELECT 'x' || row_id, treatment FROM sp WHERE row_id >= 'f8')
+SELECT count(*) AS rows, count(*) FILTER (m.row_id IS NULL) AS without_member, count(*) FILTER (sp.row_id IS NULL) AS without_record, count(*) FILTER (arm <> treatment) AS arm_mismatch FROM sp FULL JOIN m USING (row_id)""")
 def align_members(spark, sf_dir):
-    return tg.align_members(experiment(spark, sf_dir), _split(spark, sf_dir).where("split <> 'test'"))
+    """Members without the test split, some with the other arm, and some that no record has."""
+    told = _split(spark, sf_dir)
+    members = told.where("split <> 'test'").withColumn("treatment", F.when(F.col("row_id") < "1", 1 - F.col("treatment")).otherwise(F.col("treatment")))
+    strange = told.where("row_id >= 'f8'").withColumn("row_id", F.concat(F.lit("x"), "row_id"))
+    return tg.align_members(experiment(spark, sf_dir), members.unionByName(strange))
+
+
+@query(f"WITH {SPLIT_SQL}, i AS (SELECT f0, f1, treatment FROM sp WHERE split = 'train' INTERSECT SELECT f0, f1, treatment FROM sp WHERE split = 'valid') SELECT treatment, count(*) AS shared FROM i GROUP BY 1")
+def split_shared_features(spark, sf_dir):
+    """Distinct feature rows that two splits have in common, by arm; ids never are."""
+    rows = _split(spark, sf_dir)
+    part = lambda name: rows.where(F.col("split") == name).select("f0", "f1", "treatment")
+    return part("train").intersect(part("valid")).groupBy("treatment").agg(F.count("*").alias("shared"))
 
 
 @query(f"WITH {GROUP_SQL} SELECT feature, array_to_string(list_transform(cuts, lambda c: printf('%.4f', c)), ',') AS cuts FROM cuts")
@@ -103,17 +122,19 @@ def group_rates(spark, sf_dir):
 
 @query(f"WITH {GROUP_SQL} SELECT group_id, response_rank, incremental_rank FROM rules")
 def score_ranks(spark, sf_dir):
-    return _rules(spark, sf_dir).select("group_id", "response_rank", "incremental_rank")
+    return tg.score_ranks(tg.group_rates(_grouped(spark, sf_dir), SUPPORT)).select("group_id", "response_rank", "incremental_rank")
 
 
 @query(f"WITH {PLACE_SQL} SELECT row_id, response_rank, incremental_rank, fallback FROM va")
 def apply_frozen(spark, sf_dir):
-    return tg.apply_rules(_grouped(spark, sf_dir).where("split = 'valid'"), _rules(spark, sf_dir)).select("row_id", "response_rank", "incremental_rank", "fallback")
+    grouped = _grouped(spark, sf_dir)
+    return tg.apply_rules(grouped.where("split = 'valid'"), _frozen(grouped)).select("row_id", "response_rank", "incremental_rank", "fallback")
 
 
 @query(f"WITH {GROUP_SQL} SELECT row_id, response_rank AS simple_response, incremental_rank AS simple_incremental FROM gr JOIN rules USING (group_id)")
 def simple_scores(spark, sf_dir):
-    return tg.apply_rules(_grouped(spark, sf_dir), _rules(spark, sf_dir)).select("row_id", F.col("response_rank").alias("simple_response"), F.col("incremental_rank").alias("simple_incremental"))
+    grouped = _grouped(spark, sf_dir)
+    return tg.apply_rules(grouped, _frozen(grouped)).select("row_id", F.col("response_rank").alias("simple_response"), F.col("incremental_rank").alias("simple_incremental"))
 
 
 @query(f"WITH {PLACE_SQL} SELECT row_id, place_random, place_response, place_incremental FROM pl")
@@ -123,7 +144,7 @@ def rank_policies(spark, sf_dir):
 
 @query(f"WITH {PLACE_SQL} SELECT row_id, CAST(mask AS BIGINT) AS mask FROM mk")
 def capacity_select(spark, sf_dir):
-    return tg.capacity_masks(tg.with_size(_places(spark, sf_dir)), F.col("n_all")).select("row_id", "mask")
+    return _masked(spark, sf_dir).select("row_id", "mask")
 
 
 @query(f"WITH {PLACE_SQL} SELECT * FROM jt")
@@ -142,7 +163,7 @@ def policy_contrasts(spark, sf_dir):
 
 
 @query(f"""WITH {PLACE_SQL}, o AS (SELECT x.capacity, x.policy AS a, y.policy AS b, x.bit AS p, y.bit AS q FROM cells x JOIN cells y ON x.capacity = y.capacity AND x.bit < y.bit),
-s AS (SELECT CAST(capacity AS INTEGER) AS capacity, a, b, CAST(coalesce(sum(n) FILTER ((mask & p) <> 0 AND (mask & q) <> 0), 0) AS BIGINT) AS both, CAST(coalesce(sum(n) FILTER ((mask & p) <> 0 OR (mask & q) <> 0), 0) AS BIGINT) AS either FROM jt, o GROUP BY ALL) SELECT *, "both" = either AS identical FROM s""")
+s AS (SELECT CAST(capacity AS INTEGER) AS capacity, a, b, CAST(coalesce(sum(n) FILTER ((mask & p) <> 0 AND (mask & q) <> 0), 0) AS BIGINT) AS both, CAST(coalesce(sum(n) FILTER ((mask & p) <> 0 OR (mask & q) <> 0), 0) AS BIGINT) AS either FROM jt, o GROUP BY ALL) SELECT *, round(CASE WHEN either > 0 THEN "both" / CAST(either AS DOUBLE) END, 6) AS rate, "both" = either AS identical FROM s""")
 def policy_overlap(spark, sf_dir):
     return tg.overlap(_types(spark, sf_dir))
 
@@ -166,7 +187,7 @@ qq AS (SELECT *, CASE WHEN percent = 0 THEN 0.0 WHEN n0 > 0 THEN y1 - y0 * n1 /
 
 
 def _curve(spark, sf_dir):
-    return tg.qini(tg.with_size(_places(spark, sf_dir)), "place_response", F.col("n_all").cast("double"))
+    return tg.qini(_places(spark, sf_dir), "place_response", F.col("n_all").cast("double"))
 
 
 @query(f"WITH {PLACE_SQL}, {_QINI_SQL} SELECT * FROM curve")
@@ -182,8 +203,9 @@ def qini_area(spark, sf_dir):
 @query(f"""WITH {GROUP_SQL}, s AS (SELECT treatment, conversion, response_score AS p FROM gr JOIN rules USING (group_id) WHERE split = 'valid'), w AS (SELECT avg(conversion) AS rate FROM s), a AS (SELECT treatment, avg(conversion) AS arm_rate FROM s GROUP BY 1)
 SELECT treatment, count(*) AS n, round(avg(-(conversion * ln(p) + (1 - conversion) * ln(1 - p))), 6) AS loss, round(avg(-(conversion * ln(rate) + (1 - conversion) * ln(1 - rate))), 6) AS constant_loss, round(avg(-(conversion * ln(arm_rate) + (1 - conversion) * ln(1 - arm_rate))), 6) AS arm_loss FROM s JOIN a USING (treatment), w GROUP BY 1""")
 def factual_logloss(spark, sf_dir):
-    rules = _rules(spark, sf_dir).select("group_id", F.col("response_score").alias("p"))
-    return tg.factual_logloss(_grouped(spark, sf_dir).where("split = 'valid'").join(F.broadcast(rules), "group_id"))
+    grouped = _grouped(spark, sf_dir)
+    rules = _frozen(grouped).select("group_id", F.col("response_score").alias("p"))
+    return tg.factual_logloss(grouped.where("split = 'valid'").join(F.broadcast(rules), "group_id"))
 
 
 @query(f"WITH {SPLIT_SQL}, e AS (SELECT *, CASE WHEN substr(sha256('early-v1|' || row_id), 1, 16) < '1999999999999999' THEN 'early_stop' ELSE 'fit' END AS part FROM sp WHERE split = 'train') SELECT part, treatment, count(*) AS n, CAST(sum(conversion) AS BIGINT) AS positives, sum(conversion) > 0 AND sum(conversion) < count(*) AS supported FROM e GROUP BY ALL")
@@ -193,7 +215,7 @@ def training_frame(spark, sf_dir):
 
 def _parts(spark, sf_dir):
     rows = _split(spark, sf_dir)
-    return tg.early_stop(rows).persist(), rows.where("split = 'valid'")
+    return tg.early_stop(rows), rows.where("split = 'valid'")
 
 
 @query()
