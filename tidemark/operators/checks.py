@@ -15,20 +15,38 @@ def multiset_diff(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.exceptAll(right).withColumn("in_left", F.lit(True)).unionByName(right.exceptAll(left).withColumn("in_left", F.lit(False)))
 
 
-def field_diff(left: DataFrame, right: DataFrame, key: list[str], fields: list[str], tolerance: float = 0.0) -> DataFrame:
-    """For each field: rows, keys only on one side, and values that differ beyond the tolerance."""
-    a = left.select(*key, F.struct(*fields).alias("a"))
-    b = right.select(*key, F.struct(*fields).alias("b"))
-    both = a.join(b, key, "full_outer")
+def field_diff(left: DataFrame, right: DataFrame, key: list[str], fields: list[str], absolute: float = 0.0, relative: float = 0.0) -> DataFrame:
+    """For each field: rows, keys only on one side, values that differ, the largest errors, and whether types differ.
+
+    One full outer join serves all fields; null keys meet null keys.  A number differs if it is
+    off by more than max(absolute, relative * the larger magnitude), or is null, NaN or infinite
+    on one side only.
+    """
+    types = [dict(df.dtypes) for df in (left, right)]
+    a = left.select(F.struct(*key).alias("ka"), F.struct(*fields).alias("a"))
+    b = right.select(F.struct(*key).alias("kb"), F.struct(*fields).alias("b"))
+    same = reduce(lambda x, y: x & y, [F.col(f"ka.{k}").eqNullSafe(F.col(f"kb.{k}")) for k in key])
+    both = a.join(b, same, "full_outer")
     here, there = F.col("a").isNotNull(), F.col("b").isNotNull()
 
-    def differs(f: str):
+    def told(f: str):
         x, y = F.col(f"a.{f}"), F.col(f"b.{f}")
-        off = ~x.eqNullSafe(y)
-        return off & ~F.coalesce(F.abs(x.cast("double") - y.cast("double")) <= tolerance, F.lit(False)) if tolerance else off
-
-    parts = [both.agg(F.lit(f).alias("field"), F.count("*").alias("rows"), count_where(here & ~there).alias("missing"), count_where(there & ~here).alias("extra"), count_where(here & there & differs(f)).alias("mismatches")) for f in fields]
-    return reduce(DataFrame.unionByName, parts)
+        numeric = all(t[f].startswith(("decimal", "double", "float", "int", "bigint", "smallint", "tinyint")) for t in types)
+        u, v = (x.cast("double"), y.cast("double")) if numeric else (F.lit(None).cast("double"), F.lit(None).cast("double"))
+        error, scale = F.abs(u - v), F.greatest(F.abs(u), F.abs(v))
+        close = F.coalesce(error <= F.greatest(F.lit(absolute), F.lit(relative) * scale), F.lit(False)) if absolute or relative else F.lit(False)
+        differs = here & there & ~x.eqNullSafe(y) & ~close
+        finite = here & there & (error < float("inf"))
+        return F.struct(
+            F.lit(f).alias("field"), differs.alias("differs"), F.when(finite, error).alias("error"),
+            F.when(finite, F.when(scale > 0, error / scale).otherwise(0.0)).alias("share"), F.lit(types[0][f] != types[1][f]).alias("type_differs"),
+        )
+
+    long = both.select(here.alias("here"), there.alias("there"), F.explode(F.array(*map(told, fields))).alias("x"))
+    return long.groupBy("x.field").agg(
+        F.count("*").alias("rows"), count_where(F.col("here") & ~F.col("there")).alias("missing"), count_where(F.col("there") & ~F.col("here")).alias("extra"),
+        count_where(F.col("x.differs")).alias("mismatches"), F.max("x.error").alias("max_absolute_error"), F.max("x.share").alias("max_relative_error"), F.bool_or("x.type_differs").alias("type_differs"),
+    )
 
 
 def key_check(rows: DataFrame, key: list[str]) -> DataFrame:
@@ -37,30 +55,53 @@ def key_check(rows: DataFrame, key: list[str]) -> DataFrame:
     return counts.agg(F.count("*").alias("keys"), count_where(F.col("n") > 1).alias("duplicate_keys"), F.coalesce(F.sum(F.when(absent, F.col("n"))), F.lit(0)).cast("long").alias("null_keys"))
 
 
-def _signature(events: DataFrame) -> DataFrame:
-    return events.agg(F.count("*").alias("records"), F.countDistinct("user_id").alias("users"), money(F.coalesce(F.sum(F.when(F.col("amount_eligible"), F.col("price_decimal"))), F.lit(0))).alias("amount"))
+def _signature(events: DataFrame, name: str) -> DataFrame:
+    """Of each day and of all ('__all__'): records, users, buyers, amount."""
+    bought = F.when(F.col("event_type") == "purchase", F.col("user_id"))
+    sets = events.withColumn("day", F.col("event_date_utc").cast("string")).groupingSets([["day"], []], "day")
+    told = sets.agg(
+        F.grouping("day").alias("all"), F.count("*").alias("records"), F.countDistinct("user_id").alias("users"), F.countDistinct(bought).alias("buyers"),
+        money(F.coalesce(F.sum(F.when(F.col("amount_eligible"), F.col("price_decimal"))), F.lit(0))).alias("amount"),
+    )
+    day = F.when(F.col("all") == 1, "__all__").otherwise(F.coalesce("day", F.lit("")))
+    return told.select(day.alias("day"), F.struct("records", "users", "buyers", "amount").alias(name))
 
 
 def join_conservation(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Whether a join kept records, users and amount."""
-    b = _signature(before).select(F.struct("records", "users", "amount").alias("b"))
-    return _signature(after).crossJoin(b).select("records", "users", "amount", (F.struct("records", "users", "amount") == F.col("b")).alias("conserved"))
+    """Whether a join kept records, users, buyers and amount, of each day and in all."""
+    both = _signature(before, "b").join(_signature(after, "a"), "day", "full_outer")
+    return both.select("day", F.col("b.records").alias("records_before"), "a.*", F.col("a").eqNullSafe(F.col("b")).alias("conserved"))
+
 
+def identity_check(ratios: DataFrame, events: DataFrame, relative: float = 1e-10) -> DataFrame:
+    """(check, utc_date, ok): stored ratios against stored totals, and first-seen users against all users.
 
-def identity_check(days: DataFrame, tolerance: float = 1e-10) -> DataFrame:
-    """Amount = users * buyers per user * amount per buyer, where all are defined."""
-    held = days.where("buyers > 0 and purchase_amount is not null")
-    u, b, v = (F.col(c).cast("double") for c in ("active_users", "buyers", "purchase_amount"))
-    off = F.abs(u * (b / u) * (v / b) - v)
-    return held.select("utc_date", (off <= tolerance * F.greatest(F.abs(v), F.lit(1.0))).alias("identity_ok"))
+    value: amount = users * buyer_rate * amount_per_buyer, where all three are stored.
+    first_seen: the days' first-seen users sum to the number of users; its date is null.
+    """
+    held = ratios.where("buyer_rate is not null and amount_per_buyer is not null")
+    amount = F.col("purchase_amount").cast("double")
+    off = F.abs(F.col("active_users") * F.col("buyer_rate") * F.col("amount_per_buyer") - amount)
+    value = held.select(F.lit("value").alias("check"), "utc_date", (off <= relative * F.greatest(F.abs(amount), F.lit(1.0))).alias("ok"))
+    seen = ratios.agg(F.coalesce(F.sum("first_seen_users"), F.lit(0)).alias("seen")).crossJoin(F.broadcast(events.agg(F.countDistinct("user_id").alias("users"))))
+    return value.unionByName(seen.select(F.lit("first_seen").alias("check"), F.lit(None).cast("date").alias("utc_date"), (F.col("seen") == F.col("users")).alias("ok")))
 
 
 def dim_conservation(dims: DataFrame, days: DataFrame) -> DataFrame:
-    """Every dimension sums to the day, for records, purchases and known amounts."""
-    sums = dims.groupBy("utc_date", "dim_name").agg(F.sum("event_records").cast("long").alias("dim_records"), F.sum("purchase_events").cast("long").alias("p"), money(F.sum("purchase_amount")).alias("a"))
+    """Every dimension of every day sums to the day, for records, purchases and known amounts.
+
+    A day that lacks a dimension is there with no dim_records, a dimension's day that `days` has
+    not with no day_records; neither is conserved, nor is one in which a value comes twice.
+    """
+    per_value = dims.groupBy("utc_date", "dim_name", "dim_value_key").agg(
+        F.count("*").alias("copies"), F.sum("event_records").alias("n"), F.sum("purchase_events").alias("p"), F.sum("purchase_amount").alias("a"))
+    sums = per_value.groupBy("utc_date", "dim_name").agg(
+        F.sum("n").cast("long").alias("dim_records"), F.sum("p").cast("long").alias("p"), money(F.sum("a")).alias("a"), F.sum(F.col("copies") - 1).cast("long").alias("repeated_keys"))
     told = days.select("utc_date", F.col("event_records").alias("day_records"), "purchase_events", "purchase_amount")
-    ok = (F.col("dim_records") == F.col("day_records")) & (F.col("p") == F.col("purchase_events")) & F.col("a").eqNullSafe(F.col("purchase_amount"))
-    return sums.join(told, "utc_date").select("utc_date", "dim_name", "dim_records", "day_records", ok.alias("conserved"))
+    spine = told.crossJoin(F.broadcast(dims.select("dim_name").distinct()))  # a few names
+    ok = (F.col("dim_records") == F.col("day_records")) & (F.col("p") == F.col("purchase_events")) & F.col("a").eqNullSafe(F.col("purchase_amount")) & (F.col("repeated_keys") == 0)
+    both = spine.join(sums, ["utc_date", "dim_name"], "full_outer")
+    return both.select("utc_date", "dim_name", "dim_records", "day_records", F.coalesce("repeated_keys", F.lit(0).cast("long")).alias("repeated_keys"), F.coalesce(ok, F.lit(False)).alias("conserved"))
 
 
 def category_reconcile(dims: DataFrame, dimensioned: DataFrame, gates: DataFrame) -> DataFrame:

@@ -162,6 +162,13 @@ def category_concentration(periods: DataFrame) -> DataFrame:
     return periods.select("category_key", "amount", F.row_number().over(by).alias("rank"), ratio(F.col("amount"), whole).alias("share"), ratio(running, whole).alias("cumulative_share"))
 
 
+def concentration_summary(ranked: DataFrame, dimensioned: DataFrame) -> DataFrame:
+    """Shares of the 1, 5 and 10 largest categories and of unknown ones, beside all user-days; one row."""
+    part = lambda when: ratio(F.coalesce(F.sum(F.when(when, F.col("amount"))), F.lit(0)), F.sum("amount"))
+    tops = ranked.agg(F.count("*").alias("categories"), *[part(F.col("rank") <= k).alias(f"top{k}_share") for k in (1, 5, 10)], part(F.col("category_key") == "bucket:unknown").alias("unknown_share"))
+    return tops.crossJoin(dimensioned.agg(F.countDistinct("user_id", "event_date_utc").alias("user_days")))
+
+
 def hourly_purchase(facts: DataFrame) -> DataFrame:
     bought = facts.where(_is("purchase"))
     return bought.groupBy(F.hour("event_timestamp_utc").alias("hour")).agg(F.count("*").alias("purchases"), F.countDistinct("user_id").alias("users"), _known().alias("amount"))
