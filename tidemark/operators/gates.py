@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import count_where, money
+from ..functions.columns import amount_state, count_where, money
 from .profile import calendar
 
 
@@ -31,6 +33,48 @@ def date_gates(facts: DataFrame, first: str, last: str, core: tuple[str, ...] =
     return out.select("utc_date", may_count.alias("count_allowed"), may_sum.alias("amount_allowed"), status.alias("status"), F.to_json(F.concat("c", "a")).alias("reason_codes"))
 
 
+#: Flags that block a date, flags that only warn, and flags that spoil a price.
+CORE = ("time_missing", "time_invalid", "user_id_missing", "user_id_invalid", "event_type_unknown")
+WARNINGS = ("brand_missing", "category_code_missing", "category_id_invalid", "category_id_missing", "product_id_invalid", "product_id_missing", "session_missing")
+PRICE_BAD = ("price_missing", "price_invalid", "price_nonfinite", "price_negative", "price_precision_exceeded", "price_scale_exceeded")
+
+
+def gate_report(parsed: DataFrame, first: str, last: str, evidence_ok: bool = True) -> DataFrame:
+    """date_gates over parsed events with all flags: also counts, the amount's state, warnings, and what blocks a whole batch.
+
+    A batch is blocked on all its dates by evidence that does not hold, by records outside the
+    calendar or without a date, and by a time that is missing or invalid.  reason_codes is a
+    sorted JSON list, warnings a JSON object of counts by name, both empty where there is nothing.
+    """
+    bought, zero = F.col("event_type") == "purchase", F.col("price_zero")
+    bad_price = reduce(Column.__or__, [F.col(f) for f in PRICE_BAD])
+    kinds = ("cart", "purchase", "remove_from_cart", "view")
+    inside = F.col("event_date_utc").between(F.to_date(F.lit(first)), F.to_date(F.lit(last)))
+    day = parsed.where(inside).groupBy(F.col("event_date_utc").alias("utc_date")).agg(
+        F.count("*").alias("n"), count_where(F.col("event_eligible")).alias("eligible"), *[count_where(F.col(f)).alias(f) for f in (*CORE, *WARNINGS)],
+        *[count_where(zero & (F.col("event_type") == k)).alias(f"zero_price_{k}") for k in kinds], count_where(bought).alias("purchases"),
+        count_where(bought & F.col("event_eligible")).alias("bought"), count_where(F.col("amount_eligible")).alias("paid"), count_where(bought & bad_price).alias("bad_paid"), F.bool_or(bad_price).alias("bad_price"),
+    )
+    whole = parsed.agg((~F.lit(evidence_ok)).alias("evidence"), (count_where(~F.coalesce(inside, F.lit(False))) > 0).alias("outside"), (count_where(F.col("time_missing") | F.col("time_invalid")) > 0).alias("untimed"))
+    told = calendar(parsed.sparkSession, first, last, "utc_date").join(day, "utc_date", "left").crossJoin(F.broadcast(whole))
+    unseen, n = F.col("n").isNull(), lambda c: F.coalesce(c, F.lit(0).cast("long"))
+    batch = [F.when(F.col("evidence"), "invalid_batch_evidence"), F.when(F.col("outside"), "unassigned_or_outside_date"), F.when(F.col("untimed"), "batch_time_unassignable")]
+    own = [F.when(unseen, "date_not_observed"), *[F.when(F.col(f) > 0, f"core_{f}") for f in CORE], F.when(F.col("eligible") != F.col("n"), "ineligible_events")]
+    blocked = F.array_compact(F.array(*batch, *own))
+    partial = F.array_compact(F.array(F.when((F.col("purchases") != F.col("paid")) | (F.col("bad_paid") > 0), "purchase_amount_incomplete")))
+    named = [(f, F.when(F.col(f) > 0, F.col(f).cast("string"))) for f in (*WARNINGS, *(f"zero_price_{k}" for k in kinds))]
+    named = sorted([*named, ("nonpurchase_price_quality", F.when(F.col("bad_price") & (F.col("bad_paid") == 0), "present"))], key=lambda x: x[0])
+    warned = F.filter(F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in named]), lambda x: x["value"].isNotNull())
+    out = told.select("*", blocked.alias("c"), partial.alias("a"), warned.alias("w"))
+    may_count, may_sum = F.size("c") == 0, (F.size("c") == 0) & (F.size("a") == 0)
+    status = F.when(~may_count, "blocked").when(~may_sum, "count_only").when(F.size("w") > 0, "allowed_with_warnings").otherwise("allowed")
+    return out.select(
+        "utc_date", may_count.alias("count_allowed"), may_sum.alias("amount_allowed"), status.alias("status"), F.to_json(F.array_sort(F.concat("c", "a"))).alias("reason_codes"), F.to_json(F.map_from_entries("w")).alias("warnings"),
+        n(F.col("n")).alias("record_count"), n(F.col("eligible")).alias("event_eligible_records"), n(F.col("n") - F.col("eligible")).alias("core_ineligible_records"),
+        F.when(unseen, "not_observed").otherwise(amount_state(F.col("bought"), F.col("bought") - F.col("paid"), F.col("paid"))).alias("amount_status"),
+    )
+
+
 def batch_time(parsed: DataFrame) -> DataFrame:
     """Days with the number of records of the batch that belong to no day: one such record blocks them all."""
     whole = parsed.agg(count_where(F.col("event_timestamp_utc").isNull()).alias("unassigned"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -82,29 +84,45 @@ def session_summary(sessions_: DataFrame) -> DataFrame:
     rank = lambda c, p, name: F.round(F.percentile(c, F.lit(p)), 6).alias(name)
     return sessions_.agg(
         F.count("*").alias("sessions"), rank("events", 0.5, "events_p50"), rank("events", 0.9, "events_p90"), rank("events", 0.99, "events_p99"), F.max("events").alias("events_max"),
-        rank("span_seconds", 0.5, "span_p50"), F.max("span_seconds").alias("span_max"), count_where(heavy).alias("heavy_sessions"),
+        rank("span_seconds", 0.5, "span_p50"), rank("span_seconds", 0.9, "span_p90"), rank("span_seconds", 0.99, "span_p99"), F.max("span_seconds").alias("span_max"), count_where(heavy).alias("heavy_sessions"),
         F.coalesce(F.sum(F.when(heavy, F.col("events"))), F.lit(0)).cast("long").alias("heavy_events"), F.countDistinct(F.when(heavy, F.col("user_id"))).alias("heavy_users"),
         money(F.coalesce(F.sum(F.when(heavy, F.col("amount"))), F.lit(0))).alias("heavy_amount"), count_where(F.col("dates") > 1).alias("cross_day"),
     )
 
 
+MEASURES = ("events", "users", "buyers", "purchases", "amount", "views", "carts", "removes", "missing_session")
+
+
 def measures(facts: DataFrame) -> DataFrame:
-    """Eight measures overall and for each date; over no records the overall row is there too."""
+    """Nine measures overall and for each date, in one scan; over no records the overall row is there too."""
     kind = F.col("event_type")
-    aggs = [
-        F.count("*").alias("events"), F.countDistinct("user_id").alias("users"), F.countDistinct(F.when(kind == "purchase", F.col("user_id"))).alias("buyers"), count_where(kind == "purchase").alias("purchases"),
+    dated = facts.withColumn("period", F.col("event_date_utc").cast("string"))
+    sets = dated.groupingSets([["period"], []], "period").agg(
+        F.grouping("period").alias("all"), F.count("*").alias("events"), F.countDistinct("user_id").alias("users"), F.countDistinct(F.when(kind == "purchase", F.col("user_id"))).alias("buyers"), count_where(kind == "purchase").alias("purchases"),
         money(F.coalesce(F.sum(F.when(F.col("amount_eligible"), F.col("price_decimal"))), F.lit(0))).alias("amount"),
-        count_where(kind == "view").alias("views"), count_where(kind == "cart").alias("carts"), count_where(F.col("session_missing")).alias("missing_session"),
-    ]
-    by_day = facts.groupBy(F.col("event_date_utc").cast("string").alias("period")).agg(*aggs)
-    return facts.agg(F.lit("__all__").alias("period"), *aggs).unionByName(by_day)
-
-
-def sensitivity(facts: DataFrame, cleaned: DataFrame) -> DataFrame:
-    """What a hypothetical cleaning would change, by period and metric."""
-    names = ["events", "users", "buyers", "purchases", "amount"]
-    long = lambda df, value: df.select("period", *[F.col(n).cast("double") for n in names]).unpivot("period", names, "metric", value)
-    both = long(measures(facts), "baseline").join(long(measures(cleaned), "after"), ["period", "metric"], "left")
-    after = F.coalesce("after", F.lit(0.0))
-    change = after - F.col("baseline")
-    return both.select("period", "metric", F.round("baseline", 2).alias("baseline"), F.round(after, 2).alias("cleaned"), F.round(change, 2).alias("change"), ratio(change, F.col("baseline")).alias("relative"))
+        count_where(kind == "view").alias("views"), count_where(kind == "cart").alias("carts"), count_where(kind == "remove_from_cart").alias("removes"), count_where(F.col("session_missing")).alias("missing_session"),
+    )
+    named = sets.select(F.when(F.col("all") == 1, "__all__").otherwise(F.coalesce("period", F.lit(""))).alias("period"), *MEASURES)
+    whole = facts.sparkSession.sql("SELECT '__all__' AS period")
+    types = dict(named.dtypes)
+    return whole.join(named, "period", "full_outer").select("period", *[F.coalesce(m, F.lit(0)).cast(types[m]).alias(m) for m in MEASURES])
+
+
+def sensitivity(facts: DataFrame, cleanings: dict[str, DataFrame]) -> DataFrame:
+    """What each hypothetical cleaning would change, by scenario, period and measure; the table itself stays as it is.
+
+    reason: why there is no relative change; state: whether the cleaning left any record of the period.
+    """
+    long = lambda df, value: df.select("period", *[F.col(n).cast("double") for n in MEASURES]).unpivot("period", list(MEASURES), "metric", value)
+    base = long(measures(facts), "baseline")
+    parts = []
+    for name, cleaned in cleanings.items():
+        told = long(measures(cleaned), "after")
+        both = base.join(told, ["period", "metric"], "left")
+        after = F.coalesce("after", F.lit(0.0))
+        change = after - F.col("baseline")
+        parts.append(both.select(
+            F.lit(name).alias("scenario"), "period", "metric", F.round("baseline", 2).alias("baseline"), F.round(after, 2).alias("cleaned"), F.round(change, 2).alias("change"), ratio(change, F.col("baseline")).alias("relative"),
+            F.when(F.col("baseline") == 0, "baseline_zero").otherwise("defined").alias("reason"), F.when(F.col("after").isNull(), "all_rows_removed_by_hypothesis").otherwise("observed").alias("state"),
+        ))
+    return reduce(DataFrame.unionByName, parts)

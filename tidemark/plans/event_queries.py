@@ -93,20 +93,32 @@ def profile_daily(spark, sf_dir):
     return profile.daily(_parsed(spark, sf_dir), _FLAGS)
 
 
-@query(f"""WITH {PARSED_SQL}, cal AS (SELECT CAST(unnest(range(DATE '2024-01-01', DATE '2024-02-01', INTERVAL 1 DAY)) AS DATE) AS day)
+@query(f"""WITH {PARSED_SQL}, cal AS (SELECT CAST(unnest(range(DATE '2024-01-01', DATE '2024-01-21', INTERVAL 1 DAY)) AS DATE) AS day)
 SELECT 'day' AS part, CAST(day AS VARCHAR) AS value, count(event_id) AS n FROM cal LEFT JOIN parsed ON event_date_utc = day GROUP BY day
 UNION ALL SELECT 'hour', CAST(hour(tsu) AS VARCHAR), count(*) FROM parsed WHERE tsu IS NOT NULL GROUP BY ALL
 UNION ALL SELECT 'type', event_type, count(*) FROM parsed GROUP BY ALL
 UNION ALL SELECT 'empty:brand', '', count(*) FILTER (brand = '') FROM parsed UNION ALL SELECT 'empty:price', '', count(*) FILTER (price = '') FROM parsed UNION ALL SELECT 'empty:user_id', '', count(*) FILTER (user_id = '') FROM parsed
-UNION ALL SELECT 'time:invalid', '', count(*) FILTER (time_invalid) FROM parsed UNION ALL SELECT 'user_id:leading_zero', '', count(*) FILTER (regexp_matches(user_id, '^0[0-9]')) FROM parsed""")
+UNION ALL SELECT 'time:invalid', '', count(*) FILTER (time_invalid) FROM parsed UNION ALL SELECT 'user_id:leading_zero', '', count(*) FILTER (regexp_matches(user_id, '^0[0-9]')) FROM parsed
+UNION ALL SELECT 'time:first', strftime(min(tsu), '%Y-%m-%d %H:%M:%S'), count(tsu) FROM parsed UNION ALL SELECT 'time:last', strftime(max(tsu), '%Y-%m-%d %H:%M:%S'), count(tsu) FROM parsed
+UNION ALL SELECT 'time:outside', '', count(*) FILTER (event_date_utc NOT BETWEEN DATE '2024-01-01' AND DATE '2024-01-20') FROM parsed""")
 def profile_source(spark, sf_dir):
-    return profile.source(_parsed(spark, sf_dir), "2024-01-01", "2024-01-31", ["brand", "price", "user_id"])
+    return profile.source(_parsed(spark, sf_dir), "2024-01-01", "2024-01-20", ["brand", "price", "user_id"])
 
 
-@query("""SELECT count(*) AS records, count(*) FILTER (l_returnflag NOT IN ('A', 'N')) AS returnflag_outside, count(*) FILTER (l_linestatus NOT IN ('O', 'F')) AS linestatus_outside,
-  count(*) FILTER (NOT isfinite(l_quantity)) AS quantity_nonfinite, count(*) FILTER (l_extendedprice IS NULL) AS price_null FROM lineitem""")
+_DOMAIN_SQL = "SELECT '{c}' AS field, count(*) AS records, count(*) FILTER ({c} IS NULL) AS nulls, count(*) FILTER (CAST({c} AS VARCHAR) = '') AS empty, count(*) FILTER (regexp_full_match(CAST({c} AS VARCHAR), '[ ]+')) AS white_space, count(*) FILTER ({out}) AS outside, count(*) FILTER ({odd}) AS nonfinite FROM l"
+
+
+@query("""WITH l AS (SELECT CASE l_returnflag WHEN 'A' THEN ' ' ELSE l_returnflag END AS l_returnflag, CASE WHEN l_partkey % 20 = 0 THEN NULL WHEN l_partkey % 20 = 1 THEN '' ELSE l_linestatus END AS l_linestatus,
+  CASE WHEN l_partkey % 30 = 0 THEN CAST('nan' AS DOUBLE) WHEN l_partkey % 30 = 1 THEN CAST('inf' AS DOUBLE) ELSE l_quantity END AS l_quantity, l_extendedprice FROM lineitem)
+""" + " UNION ALL ".join(_DOMAIN_SQL.format(c=c, out=out, odd=odd) for c, out, odd in (("l_returnflag", "l_returnflag NOT IN ('R', 'N')", "FALSE"), ("l_linestatus", "l_linestatus NOT IN ('O', 'F')", "FALSE"), ("l_quantity", "FALSE", "NOT isfinite(l_quantity)"), ("l_extendedprice", "FALSE", "NOT isfinite(l_extendedprice)"))))
 def profile_rct(spark, sf_dir):
-    return profile.experiment(table(spark, sf_dir, "lineitem"))
+    """Line items with planted blanks, empty values, nulls and numbers that are not finite."""
+    rows, k = table(spark, sf_dir, "lineitem"), F.col("l_partkey")
+    planted = rows.select(
+        F.when(F.col("l_returnflag") == "A", " ").otherwise(F.col("l_returnflag")).alias("l_returnflag"), F.when(k % 20 == 0, F.lit(None)).when(k % 20 == 1, "").otherwise(F.col("l_linestatus")).alias("l_linestatus"),
+        F.when(k % 30 == 0, float("nan")).when(k % 30 == 1, float("inf")).otherwise(F.col("l_quantity")).alias("l_quantity"), "l_extendedprice",
+    )
+    return profile.experiment(planted, {"l_returnflag": ["R", "N"], "l_linestatus": ["O", "F"]}, ["l_quantity", "l_extendedprice"])
 
 
 @query(f"WITH {RAW_SQL} SELECT event_id, user_id FROM raw WHERE trim(user_id) <> '' AND substr(sha256('sample-v1|' || user_id), 1, 16) < '1999999999999999'")
@@ -128,19 +140,26 @@ def sample_prefix(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", "ts", "user_id").orderBy("event_id").limit(100)
 
 
-@query("""WITH a AS (SELECT CAST(ts AS DATE) AS day, hour(ts) AS hour, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DECIMAL(38,2)) AS amount FROM events WHERE event_type = 'purchase' GROUP BY ALL),
-b AS (SELECT * FROM a), days AS (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events), spine AS (SELECT day, CAST(h AS INTEGER) AS hour FROM days, range(24) r(h))
-SELECT s.day, s.hour, coalesce(a.n, 0) AS source_n, coalesce(b.n, 0) AS stored_n, CAST(coalesce(a.amount, 0) AS DECIMAL(38,2)) AS source_amount, TRUE AS same FROM spine s LEFT JOIN a USING (day, hour) LEFT JOIN b USING (day, hour)""")
+_HOURS_SQL = "SELECT CAST(ts AS DATE) AS day, coalesce(hour(ts), -1) AS hour, count(*) AS n, CAST(sum(CAST(v AS DECIMAL(18,2))) AS DECIMAL(38,2)) AS amount FROM {t} WHERE event_type = 'purchase' GROUP BY GROUPING SETS ((CAST(ts AS DATE), hour(ts)), (CAST(ts AS DATE)), ())"
+
+
+@query(f"""WITH src AS (SELECT ts, event_type, value AS v FROM events), st AS (SELECT ts, event_type, CASE WHEN event_id % 37 = 0 THEN value + 1 ELSE value END AS v FROM events WHERE event_id % 31 <> 0 OR day(ts) % 2 = 0),
+a AS ({_HOURS_SQL.format(t="src")}), b AS ({_HOURS_SQL.format(t="st")}), spine AS (SELECT day, CAST(h AS INTEGER) AS hour FROM (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events), range(-1, 24) r(h) UNION ALL SELECT NULL, -1)
+SELECT s.day, s.hour, coalesce(a.n, 0) AS source_n, coalesce(b.n, 0) AS stored_n, CAST(coalesce(a.amount, 0) AS DECIMAL(38,2)) AS source_amount, a.n IS NOT DISTINCT FROM b.n AND a.amount IS NOT DISTINCT FROM b.amount AS same
+FROM spine s LEFT JOIN a ON s.day IS NOT DISTINCT FROM a.day AND s.hour = a.hour LEFT JOIN b ON s.day IS NOT DISTINCT FROM b.day AND s.hour = b.hour""")
 def window_reconcile(spark, sf_dir):
-    events = table(spark, sf_dir, "events")
-    stored = events.repartition("user_id")
+    """A stored copy that lacks some records of odd days and has some values changed."""
+    events, n = table(spark, sf_dir, "events"), F.col("event_id")
+    stored = events.where((n % 31 != 0) | (F.dayofmonth("ts") % 2 == 0)).withColumn("value", F.when(n % 37 == 0, F.col("value") + 1).otherwise(F.col("value")))
     return profile.reconcile_hours(events, stored)
 
 
-@query()
+@query("""WITH t AS (SELECT sha256(concat_ws('|', '+' || l_orderkey, '+' || l_linenumber, '+' || CAST(l_extendedprice AS DECIMAL(18,2)), '+' || l_returnflag, '+' || strftime(l_shipdate, '%Y-%m-%d'))) AS h FROM lineitem), b AS (SELECT CAST('0x' || substr(h, 1, 15) AS BIGINT) AS x FROM t)
+SELECT count(*) AS records, CAST(coalesce(sum(x), 0) AS DECIMAL(38,0)) AS hash_sum, coalesce(bit_xor(x), 0) AS hash_xor FROM b""")
 def sequence_fingerprint(spark, sf_dir):
-    """Order-free sums; their hash function has no SQL form, so tests hold them against changed copies."""
-    return profile.fingerprint(table(spark, sf_dir, "lineitem"))
+    """Order-free sums over the text of the rows."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_extendedprice").cast("decimal(18,2)").alias("price"), "l_returnflag", F.date_format("l_shipdate", "yyyy-MM-dd").alias("day"))
+    return profile.fingerprint(rows, rows.columns)
 
 
 _GATES_SQL = FACT_SQL + r""",
@@ -157,6 +176,40 @@ def date_gates(spark, sf_dir):
     return gates.date_gates(facts(spark, sf_dir), "2024-01-01", "2024-02-02")
 
 
+def _report_sql(rows: str, scope: str) -> str:
+    kinds = ("cart", "purchase", "remove_from_cart", "view")
+    bad = "(" + " OR ".join(gates.PRICE_BAD) + ")"
+    flags = ", ".join(f"count(*) FILTER ({f}) AS {f}" for f in (*gates.CORE, *gates.WARNINGS))
+    zeros = ", ".join(f"count(*) FILTER (price_zero AND event_type = '{k}') AS zero_price_{k}" for k in kinds)
+    named = sorted([*gates.WARNINGS, *(f"zero_price_{k}" for k in kinds), "nonpurchase_price_quality"])
+    warned = ", ".join(f"""CASE WHEN {"bad_price AND bad_paid = 0" if w.startswith("non") else w + " > 0"} THEN '"{w}":"' || {"'present'" if w.startswith("non") else w} || '"' END""" for w in named)
+    reasons = ", ".join([
+        "CASE WHEN outside THEN 'unassigned_or_outside_date' END", "CASE WHEN untimed THEN 'batch_time_unassignable' END", "CASE WHEN n IS NULL THEN 'date_not_observed' END",
+        *(f"CASE WHEN {f} > 0 THEN 'core_{f}' END" for f in gates.CORE), "CASE WHEN eligible <> n THEN 'ineligible_events' END",
+    ])
+    return f"""SELECT '{scope}' AS scope, utc_date, len(c) = 0 AS count_allowed, len(c) = 0 AND NOT part AS amount_allowed,
+  CASE WHEN len(c) > 0 THEN 'blocked' WHEN part THEN 'count_only' WHEN len(w) > 0 THEN 'allowed_with_warnings' ELSE 'allowed' END AS status,
+  '[' || array_to_string(list_transform(list_sort(CASE WHEN part THEN list_append(c, 'purchase_amount_incomplete') ELSE c END), lambda x: '"' || x || '"'), ',') || ']' AS reason_codes,
+  '{{' || array_to_string(w, ',') || '}}' AS warnings, coalesce(n, 0) AS record_count, coalesce(eligible, 0) AS event_eligible_records, coalesce(n - eligible, 0) AS core_ineligible_records,
+  CASE WHEN n IS NULL THEN 'not_observed' WHEN bought = 0 THEN 'no_purchases' WHEN bought = paid THEN 'complete_observed' WHEN paid > 0 THEN 'partial_observed' ELSE 'unknown' END AS amount_status
+  FROM (SELECT *, list_filter([{reasons}], lambda x: x IS NOT NULL) AS c, list_filter([{warned}], lambda x: x IS NOT NULL) AS w, coalesce(purchases <> paid OR bad_paid > 0, FALSE) AS part
+  FROM (SELECT CAST(unnest(range(DATE '2024-01-01', DATE '2024-02-03', INTERVAL 1 DAY)) AS DATE) AS utc_date) LEFT JOIN
+  (SELECT event_date_utc AS utc_date, count(*) AS n, count(*) FILTER (event_eligible) AS eligible, {flags}, {zeros}, count(*) FILTER (event_type = 'purchase') AS purchases, count(*) FILTER (event_type = 'purchase' AND event_eligible) AS bought,
+    count(*) FILTER (amount_eligible) AS paid, count(*) FILTER (event_type = 'purchase' AND {bad}) AS bad_paid, bool_or({bad}) AS bad_price FROM {rows} WHERE event_date_utc BETWEEN DATE '2024-01-01' AND DATE '2024-02-02' GROUP BY 1) USING (utc_date),
+  (SELECT count(*) FILTER (event_date_utc IS NULL OR event_date_utc NOT BETWEEN DATE '2024-01-01' AND DATE '2024-02-02') > 0 AS outside, count(*) FILTER (time_missing OR time_invalid) > 0 AS untimed FROM {rows}))"""
+
+
+@query(f"""WITH {PARSED_SQL}, timed AS (SELECT * FROM parsed WHERE event_date_utc BETWEEN DATE '2024-01-01' AND DATE '2024-02-02'), clean AS (SELECT * FROM timed WHERE event_eligible AND (event_type <> 'purchase' OR amount_eligible OR day(event_date_utc) % 3 = 0))
+{_report_sql("parsed", "batch")} UNION ALL {_report_sql("timed", "timed")} UNION ALL {_report_sql("clean", "clean")}""")
+def gate_report(spark, sf_dir):
+    """The whole batch, which its untimed records block; its timed records; and only what may be counted."""
+    parsed = _parsed(spark, sf_dir)
+    timed = parsed.where("event_date_utc between date '2024-01-01' and date '2024-02-02'")
+    clean = timed.where("event_eligible and (event_type <> 'purchase' or amount_eligible or day(event_date_utc) % 3 = 0)")
+    parts = [gates.gate_report(df, "2024-01-01", "2024-02-02").select(F.lit(scope).alias("scope"), "*") for scope, df in (("batch", parsed), ("timed", timed), ("clean", clean))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query(f"""WITH {PARSED_SQL}, d AS (SELECT event_date_utc AS utc_date, count(*) AS n FROM parsed WHERE tsu IS NOT NULL GROUP BY 1)
 SELECT utc_date, n, (SELECT count(*) FROM parsed WHERE tsu IS NULL) AS unassigned, (SELECT count(*) FROM parsed WHERE tsu IS NULL) = 0 AS batch_allowed FROM d""")
 def gate_batch_time(spark, sf_dir):
@@ -246,7 +299,7 @@ def session_label(spark, sf_dir):
 
 
 @query(f"""WITH {_SESSION_SQL} SELECT count(*) AS sessions, round(quantile_cont(events, 0.5), 6) AS events_p50, round(quantile_cont(events, 0.9), 6) AS events_p90, round(quantile_cont(events, 0.99), 6) AS events_p99, max(events) AS events_max,
-  round(quantile_cont(span_seconds, 0.5), 6) AS span_p50, max(span_seconds) AS span_max, count(*) FILTER (heavy) AS heavy_sessions, CAST(coalesce(sum(events) FILTER (heavy), 0) AS BIGINT) AS heavy_events, count(DISTINCT user_id) FILTER (heavy) AS heavy_users,
+  round(quantile_cont(span_seconds, 0.5), 6) AS span_p50, round(quantile_cont(span_seconds, 0.9), 6) AS span_p90, round(quantile_cont(span_seconds, 0.99), 6) AS span_p99, max(span_seconds) AS span_max, count(*) FILTER (heavy) AS heavy_sessions, CAST(coalesce(sum(events) FILTER (heavy), 0) AS BIGINT) AS heavy_events, count(DISTINCT user_id) FILTER (heavy) AS heavy_users,
   CAST(coalesce(sum(amount) FILTER (heavy), 0) AS DECIMAL(38,2)) AS heavy_amount, count(*) FILTER (dates > 1) AS cross_day FROM sessions""")
 def session_summary(spark, sf_dir):
     return quality.session_summary(quality.sessions(facts(spark, sf_dir), 12))
@@ -258,7 +311,7 @@ def session_exclude_heavy(spark, sf_dir):
 
 
 _MEASURES = """count(*) AS events, count(DISTINCT user_id) AS users, count(DISTINCT CASE WHEN kind = 'purchase' THEN user_id END) AS buyers, count(*) FILTER (kind = 'purchase') AS purchases,
-  CAST(coalesce(sum(price) FILTER (paid), 0) AS DECIMAL(38,2)) AS amount, count(*) FILTER (kind = 'view') AS views, count(*) FILTER (kind = 'cart') AS carts, count(*) FILTER (no_sess) AS missing_session"""
+  CAST(coalesce(sum(price) FILTER (paid), 0) AS DECIMAL(38,2)) AS amount, count(*) FILTER (kind = 'view') AS views, count(*) FILTER (kind = 'cart') AS carts, count(*) FILTER (kind = 'remove_from_cart') AS removes, count(*) FILTER (no_sess) AS missing_session"""
 
 
 @query(f"WITH {FACT_SQL} SELECT CASE WHEN grouping(d) = 1 THEN '__all__' ELSE CAST(d AS VARCHAR) END AS period, {_MEASURES} FROM fact GROUP BY GROUPING SETS ((), (d))")
@@ -266,15 +319,22 @@ def quality_measures(spark, sf_dir):
     return quality.measures(facts(spark, sf_dir))
 
 
+_PERIODS_SQL = "SELECT CASE WHEN grouping(d) = 1 THEN '__all__' ELSE CAST(d AS VARCHAR) END AS period, " + _MEASURES + " FROM {t} GROUP BY GROUPING SETS ((), (d))"
+_LONG_SQL = "UNPIVOT (SELECT period, " + ", ".join(f"CAST({m} AS DOUBLE) AS {m}" for m in quality.MEASURES) + " FROM {t}) ON " + ", ".join(quality.MEASURES) + " INTO NAME metric VALUE {v}"
+_CHANGE_SQL = """SELECT '{s}' AS scenario, u.period, u.metric, round(baseline, 2) AS baseline, round(coalesce(cleaned, 0), 2) AS cleaned, round(coalesce(cleaned, 0) - baseline, 2) AS change,
+  round(CASE WHEN baseline > 0 THEN (coalesce(cleaned, 0) - baseline) / baseline END, 6) AS relative, CASE WHEN baseline = 0 THEN 'baseline_zero' ELSE 'defined' END AS reason,
+  CASE WHEN cleaned IS NULL THEN 'all_rows_removed_by_hypothesis' ELSE 'observed' END AS state FROM u LEFT JOIN {t} v ON u.period = v.period AND u.metric = v.metric"""
+
+
 @query(f"""WITH {_SESSION_SQL}, kept AS (SELECT f.* FROM fact f LEFT JOIN sessions s ON f.ok AND NOT f.no_sess AND f.user_id = s.user_id AND f.sess = s.user_session WHERE NOT coalesce(s.heavy, FALSE)),
-a AS (SELECT CASE WHEN grouping(d) = 1 THEN '__all__' ELSE CAST(d AS VARCHAR) END AS period, {_MEASURES} FROM fact GROUP BY GROUPING SETS ((), (d))),
-b AS (SELECT CASE WHEN grouping(d) = 1 THEN '__all__' ELSE CAST(d AS VARCHAR) END AS period, {_MEASURES} FROM kept GROUP BY GROUPING SETS ((), (d))),
-u AS (UNPIVOT (SELECT period, CAST(events AS DOUBLE) AS events, CAST(users AS DOUBLE) AS users, CAST(buyers AS DOUBLE) AS buyers, CAST(purchases AS DOUBLE) AS purchases, CAST(amount AS DOUBLE) AS amount FROM a) ON events, users, buyers, purchases, amount INTO NAME metric VALUE baseline),
-v AS (UNPIVOT (SELECT period, CAST(events AS DOUBLE) AS events, CAST(users AS DOUBLE) AS users, CAST(buyers AS DOUBLE) AS buyers, CAST(purchases AS DOUBLE) AS purchases, CAST(amount AS DOUBLE) AS amount FROM b) ON events, users, buyers, purchases, amount INTO NAME metric VALUE cleaned)
-SELECT u.period, u.metric, round(baseline, 2) AS baseline, round(coalesce(cleaned, 0), 2) AS cleaned, round(coalesce(cleaned, 0) - baseline, 2) AS change, round(CASE WHEN baseline > 0 THEN (coalesce(cleaned, 0) - baseline) / baseline END, 6) AS relative FROM u LEFT JOIN v ON u.period = v.period AND u.metric = v.metric""")
+once AS (SELECT * EXCLUDE (nth) FROM (SELECT *, row_number() OVER (PARTITION BY d, user_id, product_id, kind ORDER BY event_id) AS nth FROM fact) WHERE nth = 1),
+a AS ({_PERIODS_SQL.format(t="fact")}), b AS ({_PERIODS_SQL.format(t="kept")}), c AS ({_PERIODS_SQL.format(t="once")}),
+u AS ({_LONG_SQL.format(t="a", v="baseline")}), vb AS ({_LONG_SQL.format(t="b", v="cleaned")}), vc AS ({_LONG_SQL.format(t="c", v="cleaned")})
+{_CHANGE_SQL.format(s="without_heavy_sessions", t="vb")} UNION ALL {_CHANGE_SQL.format(s="one_of_each_key", t="vc")}""")
 def quality_sensitivity(spark, sf_dir):
     df = facts(spark, sf_dir)
-    return quality.sensitivity(df, quality.exclude_heavy(quality.label_sessions(df, 12)))
+    once = quality.keep_one(df, ["event_date_utc", "user_id", "product_id", "event_type"], ["event_id"])
+    return quality.sensitivity(df, {"without_heavy_sessions": quality.exclude_heavy(quality.label_sessions(df, 12)), "one_of_each_key": once})
 
 
 @query("SELECT event_id, ts, user_id FROM events WHERE ts >= TIMESTAMP '2024-01-03' AND ts < TIMESTAMP '2024-01-09' AND event_type = 'purchase' UNION ALL SELECT event_id, ts, user_id FROM events WHERE ts >= TIMESTAMP '2024-01-03' AND ts < TIMESTAMP '2024-01-09' AND event_type <> 'purchase'")
