@@ -78,25 +78,56 @@ def test_ratio_delta(rows: DataFrame, by: list[str], num: Column, den: Column) -
     return m.select(*by, r(1).alias("ratio1"), r(0).alias("ratio0"), (r(1) - r(0)).alias("difference"), F.sqrt(v(1) + v(0)).alias("se"))
 
 
-def aa_audit(users: DataFrame, key: str, outcome: Column, experiments: int) -> DataFrame:
-    """Many assignments of the same users, each tested: users x a fixed list of experiment ids.
+#: Two-sided normal points of p = 0.01, 0.05, 0.1 and 0.5.
+P_POINTS = (("001", 2.5758293035489004), ("005", Z), ("01", 1.6448536269514722), ("05", 0.6744897501960817))
+
+
+def critical(point: float, df: Column) -> Column:
+    """The two-sided point of Student's t for a normal one, to second order in 1 / df; df null: the normal point itself."""
+    z = point
+    first, second = (z**3 + z) / 4, (5 * z**5 + 16 * z**3 + 3 * z) / 96
+    return F.lit(z) + F.coalesce(F.lit(first) / df + F.lit(second) / (df * df), F.lit(0.0))
+
+
+def aa_audit(users: DataFrame, key: str, outcome: Column, amount: Column, experiments: int) -> DataFrame:
+    """Many assignments of the same users, each tested on a rate and on an amount: two rows an experiment.
 
     The ids are a parameter, so the product grows with the users alone; it is summed by
-    experiment before anything is shuffled.
+    experiment before anything is shuffled.  statistic is Wald's z (df null) or Welch's t.
     """
     ids = F.explode(F.sequence(F.lit(0), F.lit(experiments - 1)))
-    each = users.select(key, outcome.alias("outcome"), ids.alias("experiment"))
-    counts = arm_counts(assign(each, F.col("experiment"), F.col(key)), ["experiment"], F.col("outcome"))
-    return test_proportions(srm(counts))
+    each = assign(users.select(key, outcome.alias("outcome"), amount.alias("amount"), ids.alias("experiment")), F.col("experiment"), F.col(key))
+    one, zero = F.col("arm") == 1, F.col("arm") == 0
+    arm = lambda c: F.when(F.col("arm") == c, F.col("amount"))
+    sums = each.groupBy("experiment").agg(
+        count_where(one).alias("n1"), count_where(zero).alias("n0"), count_where(one & F.col("outcome")).alias("k1"), count_where(zero & F.col("outcome")).alias("k0"),
+        *[x for c in (1, 0) for x in (F.avg(arm(c)).alias(f"m{c}"), F.var_samp(arm(c)).alias(f"v{c}"))],
+    )
+    counts = srm(sums)
+    shared = ["experiment", "n1", "n0", "srm_status", "status", "difference", "se"]
+    rate = test_proportions(counts).select(*shared, F.col("z").alias("statistic"), F.lit(None).cast("double").alias("df"), F.lit("rate").alias("metric"))
+    mean = test_welch(counts).select(*shared, F.col("t").alias("statistic"), "df", F.lit("amount").alias("metric"))
+    return rate.unionByName(mean)
 
 
 def aa_summary(audit: DataFrame) -> DataFrame:
-    """False positives by sign with a Wilson interval, over all experiments and over those that pass SRM."""
-    tested = audit.where("status = 'ok'")
-    both = tested.select(F.lit("all").alias("scope"), "z").unionByName(tested.where("srm_status = 'ok'").select(F.lit("srm_pass").alias("scope"), "z"))
-    out = both.groupBy("scope").agg(F.count("*").alias("experiments"), count_where(F.col("z") > Z).alias("rejected_up"), count_where(F.col("z") < -Z).alias("rejected_down"), F.percentile("z", F.lit(0.5)).alias("z_median"))
-    low, high = wilson(F.col("rejected_up") + F.col("rejected_down"), F.col("experiments"))
-    return out.withColumns({"fpr": (F.col("rejected_up") + F.col("rejected_down")) / F.col("experiments"), "fpr_low": low, "fpr_high": high})
+    """For each metric, over all experiments and over those that pass SRM: false positives by sign with a Wilson interval,
+    quantiles of the difference, how often the interval covers zero, a histogram of p by its points, and failures."""
+    scoped = audit.select("*", F.explode(F.when(F.col("srm_status") == "ok", F.array(F.lit("all"), F.lit("srm_pass"))).otherwise(F.array(F.lit("all")))).alias("scope"))
+    ok, size = F.col("status") == "ok", F.abs(F.col("statistic"))
+    point = {name: critical(z, F.col("df")) for name, z in P_POINTS}
+    up, down = ok & (F.col("statistic") > point["005"]), ok & (F.col("statistic") < -point["005"])
+    covered = ok & (F.abs(F.col("difference")) <= point["005"] * F.col("se"))
+    held = F.when(ok, F.col("difference"))
+    out = scoped.groupBy("metric", "scope").agg(
+        F.count("*").alias("attempted"), count_where(ok).alias("experiments"), count_where(up).alias("rejected_up"), count_where(down).alias("rejected_down"), count_where(~ok).alias("failures"), count_where(F.col("srm_status") == "flag").alias("srm_flags"),
+        *[F.percentile(held, F.lit(q)).alias(name) for name, q in (("difference_q025", 0.025), ("difference_median", 0.5), ("difference_q975", 0.975))], count_where(covered).alias("zero_covered"),
+        count_where(ok & (size > point["001"])).alias("p_0_001"), count_where(ok & (size <= point["001"]) & (size > point["005"])).alias("p_001_005"), count_where(ok & (size <= point["005"]) & (size > point["01"])).alias("p_005_01"),
+        count_where(ok & (size <= point["01"]) & (size > point["05"])).alias("p_01_05"), count_where(ok & (size <= point["05"])).alias("p_05_1"),
+    )
+    rejected, n = F.col("rejected_up") + F.col("rejected_down"), F.when(F.col("experiments") > 0, F.col("experiments"))
+    low, high = wilson(rejected, F.col("experiments"))
+    return out.withColumns({"fpr": rejected / n, "fpr_low": low, "fpr_high": high, "zero_coverage": F.col("zero_covered") / n})
 
 
 def assignment_overlap(users: DataFrame, key: str, a: str, b: str) -> DataFrame:
@@ -111,12 +142,20 @@ def itt_counts(rows: DataFrame, outcomes: list[str]) -> DataFrame:
     return rows.groupBy("treatment").agg(F.count("*").alias("n"), *[F.sum(o).cast("long").alias(o) for o in outcomes], *[count_where(~F.col(o).isin(0, 1)).alias(f"{o}_invalid") for o in outcomes])
 
 
-def itt_effects(counts: DataFrame, outcomes: list[str]) -> DataFrame:
-    """Effects of being assigned, one row for each outcome."""
-    long = counts.unpivot(["treatment", "n"], outcomes, "metric", "k")
+def itt_effects(counts: DataFrame, outcomes: list[str], described: list[str] = ()) -> DataFrame:
+    """Effects of being assigned, one row for each outcome.
+
+    What happens after the assignment, such as exposure, is only described: rates and their
+    difference, no test.
+    """
+    long = counts.unpivot(["treatment", "n"], [*outcomes, *described], "metric", "k")
     by = lambda t, c: F.max(F.when(F.col("treatment") == t, F.col(c)))
     wide = long.groupBy("metric").agg(by(1, "n").alias("n1"), by(0, "n").alias("n0"), by(1, "k").alias("k1"), by(0, "k").alias("k0"))
-    return test_proportions(wide, sparse_below=5)
+    tested = test_proportions(wide, sparse_below=5)
+    told = tested.withColumns({"per_10k_low": F.col("ci_low") * 10000, "per_10k_high": F.col("ci_high") * 10000})
+    after = F.col("metric").isin(*described) if described else F.lit(False)
+    unsaid = ("per_10k", "relative", "se", "z", "ci_low", "ci_high", "per_10k_low", "per_10k_high")
+    return told.withColumns({"status": F.when(after, "descriptive_post_treatment_only").otherwise(F.col("status")), **{c: F.when(~after, F.col(c)) for c in unsaid}})
 
 
 def inject_effect(rows: DataFrame, key: str, outcome: str, base: float, effect: float, prefix: str = "inject-v1|") -> DataFrame:

@@ -84,13 +84,31 @@ def summary(paths_: DataFrame) -> DataFrame:
     })
 
 
-def exclusions(facts: DataFrame, paths_: DataFrame) -> DataFrame:
-    """Long form (part, value, n): release states, price states, and events of no valid key by reason."""
-    release = paths_.groupBy(F.lit("release").alias("part"), F.col("release_status").alias("value")).agg(F.count("*").alias("n"))
-    price = paths_.where("release_status = 'formal'").groupBy(F.lit("price").alias("part"), F.col("first_view_price_status").alias("value")).agg(F.count("*").alias("n"))
-    reason = F.when(~F.col("event_eligible"), "user_id").when(F.col("session_missing"), "session").otherwise("product_id")
-    keys = facts.where(~valid_key()).groupBy(F.lit("key").alias("part"), reason.alias("value")).agg(F.count("*").alias("n"))
-    return release.unionByName(price).unionByName(keys)
+def exclusions(facts: DataFrame, paths_: DataFrame, hours: int = 24) -> DataFrame:
+    """Long form (part, value, n, denominator, ratio, ratio_status) of what is left out, and why.
+
+    release: states of paths; flag: reasons that may hold together; price: states of the first
+    view's price; key: the first reason why an event has no path; key_flag: reasons that may hold
+    together; view: events of a valid key that has no view.
+    """
+    whole = paths_.agg(F.count("*").alias("denominator"))
+    of_paths = lambda df: df.crossJoin(F.broadcast(whole))
+    states = paths_.groupBy("release_status", "first_view_price_status", "order_uncertain", "right_censored").agg(F.count("*").alias("n"))  # a few rows
+    by = lambda part, column: states.groupBy(F.lit(part).alias("part"), F.col(column).alias("value")).agg(F.sum("n").alias("n"))
+    flags = states.agg(*[F.coalesce(F.sum(F.when(F.col(f), F.col("n"))), F.lit(0)).alias(f) for f in ("order_uncertain", "right_censored")])
+    flags = flags.unpivot([], ["order_uncertain", "right_censored"], "value", "n").select(F.lit("flag").alias("part"), "value", "n")
+    named = of_paths(by("release", "release_status").unionByName(by("price", "first_view_price_status")).unionByName(flags))
+
+    user, product = ~F.col("event_eligible"), ~valid_key() & F.col("event_eligible") & ~F.col("session_missing")
+    reason = F.when(user, "user_id").when(F.col("session_missing"), "session").when(product, "product_id").otherwise("valid")
+    keys = linked(facts, hours).agg(
+        F.count("*").alias("denominator"), *[count_where(reason == r).alias(f"key:{r}") for r in ("user_id", "session", "product_id", "valid")], count_where(user).alias("key_flag:user_id"), count_where(F.col("session_missing")).alias("key_flag:session"),
+        count_where(F.col("path_key_valid") & F.col("first_view_time").isNull()).alias("view:valid_key_without_view"),
+    )
+    parts = [c for c in keys.columns if ":" in c]
+    long = keys.select("denominator", F.explode(F.array(*[F.struct(F.lit(c.split(":")[0]).alias("part"), F.lit(c.split(":")[1]).alias("value"), F.col(f"`{c}`").alias("n")) for c in parts])).alias("x")).select("x.*", "denominator")
+    both = named.unionByName(long)
+    return both.select("part", "value", "n", "denominator", ratio(F.col("n"), F.col("denominator")).alias("ratio"), ratio_status(F.col("denominator")).alias("ratio_status"))
 
 
 def purchase_audit(facts: DataFrame, formal_from: str, formal_before: str, hours: int = 24) -> DataFrame:

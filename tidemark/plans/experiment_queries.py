@@ -96,21 +96,34 @@ def wilson_interval(spark, sf_dir):
     return counts.select("segment", "k", "n", F.round(low, 6).alias("low"), F.round(high, 6).alias("high"))
 
 
-_AA_SQL = f"{_USERS_SQL}, aa0 AS (SELECT key, rich, CAST(e AS INTEGER) AS experiment, CAST(substr(sha256('assign-v1|' || e || '|' || key), 1, 16) >= '8000000000000000' AS INTEGER) AS arm FROM u, range(40) r(e)), aac AS (SELECT experiment, {_COUNTS_SQL} FROM aa0 GROUP BY 1)"
-
-
-@query(f"WITH {_AA_SQL}, {_wald_sql('experiment', 'SELECT * FROM aac', 10)}")
+AA_EXPERIMENTS = 300
+_AA_SQL = f"""{_USERS_SQL}, aa0 AS (SELECT key, rich, balance, CAST(e AS INTEGER) AS experiment, CAST(substr(sha256('assign-v1|' || e || '|' || key), 1, 16) >= '8000000000000000' AS INTEGER) AS arm FROM u, range({AA_EXPERIMENTS}) r(e)),
+aac AS (SELECT experiment, {_COUNTS_SQL}, avg(balance) FILTER (arm = 1) AS m1, avg(balance) FILTER (arm = 0) AS m0, var_samp(balance) FILTER (arm = 1) / count(*) FILTER (arm = 1) AS a, var_samp(balance) FILTER (arm = 0) / count(*) FILTER (arm = 0) AS b FROM aa0 GROUP BY 1),
+aas AS (SELECT *, CASE WHEN (n1 - n0) * (n1 - n0) / CAST(n1 + n0 AS DOUBLE) > 10.827566170662733 THEN 'flag' ELSE 'ok' END AS srm_status, k1 / CAST(n1 AS DOUBLE) AS p1, k0 / CAST(n0 AS DOUBLE) AS p0 FROM aac),
+aaw AS (SELECT *, p1 * (1 - p1) / n1 + p0 * (1 - p0) / n0 AS va, CASE WHEN n1 = 0 OR n0 = 0 THEN 'empty_group' WHEN n1 < 2 OR n0 < 2 THEN 'insufficient_n' END AS short FROM aas),
+aar AS (SELECT experiment, n1, n0, srm_status, coalesce(short, CASE WHEN least(k1, n1 - k1, k0, n0 - k0) < 10 THEN 'sparse_cells' WHEN va <= 0 THEN 'zero_variance' ELSE 'ok' END) AS status, p1 - p0 AS difference, sqrt(va) AS se_, CAST(NULL AS DOUBLE) AS df_, 'rate' AS metric FROM aaw
+  UNION ALL SELECT experiment, n1, n0, srm_status, coalesce(short, CASE WHEN a + b <= 0 THEN 'zero_variance' ELSE 'ok' END), m1 - m0, sqrt(a + b), (a + b) * (a + b) / (a * a / (n1 - 1) + b * b / (n0 - 1)), 'amount' FROM aaw),
+aa AS (SELECT experiment, metric, n1, n0, srm_status, status, difference, CASE WHEN status = 'ok' THEN se_ END AS se, CASE WHEN status = 'ok' THEN difference / se_ END AS statistic, CASE WHEN status = 'ok' THEN df_ END AS df FROM aar)"""
+_AA_POINTS_SQL = ", ".join(f"{z!r} + coalesce({(z**3 + z) / 4!r} / df + {(5 * z**5 + 16 * z**3 + 3 * z) / 96!r} / (df * df), 0) AS c{name}" for name, z in ex.P_POINTS)
+
+
+@query(f"WITH {_AA_SQL} SELECT experiment, metric, n1, n0, srm_status, status, round(difference, 6) AS difference, round(se, 6) AS se, round(statistic, 6) AS statistic, round(df, 4) AS df FROM aa")
 def aa_audit(spark, sf_dir):
-    out = ex.aa_audit(_users(spark, sf_dir), "key", F.col("rich"), 40)
-    return _rounded(out, "p1", "p0", "difference_pp", "relative", "se", "z", "ci_low", "ci_high").select("experiment", *_WALD)
-
-
-@query(f"""WITH {_AA_SQL}, z AS (SELECT n1, n0, (k1 / CAST(n1 AS DOUBLE) - k0 / CAST(n0 AS DOUBLE)) / sqrt(k1 / CAST(n1 AS DOUBLE) * (1 - k1 / CAST(n1 AS DOUBLE)) / n1 + k0 / CAST(n0 AS DOUBLE) * (1 - k0 / CAST(n0 AS DOUBLE)) / n0) AS z FROM aac WHERE least(k1, n1 - k1, k0, n0 - k0) >= 10),
-t AS (SELECT 'all' AS scope, z FROM z UNION ALL SELECT 'srm_pass', z FROM z WHERE (n1 - n0) * (n1 - n0) / CAST(n1 + n0 AS DOUBLE) <= 10.827566170662733),
-g AS (SELECT scope, count(*) AS experiments, count(*) FILTER (z > 1.959963984540054) AS rejected_up, count(*) FILTER (z < -1.959963984540054) AS rejected_down, round(quantile_cont(z, 0.5), 6) AS z_median FROM t GROUP BY 1) SELECT *, round((rejected_up + rejected_down) / CAST(experiments AS DOUBLE), 6) AS fpr FROM g""")
+    out = ex.aa_audit(_users(spark, sf_dir), "key", F.col("rich"), F.col("balance"), AA_EXPERIMENTS)
+    return _rounded(out, "difference", "se", "statistic").withColumn("df", F.round("df", 4))
+
+
+@query(f"""WITH {_AA_SQL}, sc AS (SELECT 'all' AS scope, * FROM aa UNION ALL SELECT 'srm_pass', * FROM aa WHERE srm_status = 'ok'),
+pt AS (SELECT *, {_AA_POINTS_SQL}, status = 'ok' AS ok, abs(statistic) AS t FROM sc),
+g AS (SELECT metric, scope, count(*) AS attempted, count(*) FILTER (ok) AS experiments, count(*) FILTER (ok AND statistic > c005) AS rejected_up, count(*) FILTER (ok AND statistic < -c005) AS rejected_down, count(*) FILTER (NOT ok) AS failures, count(*) FILTER (srm_status = 'flag') AS srm_flags,
+  round(quantile_cont(difference, 0.025) FILTER (ok), 6) AS difference_q025, round(quantile_cont(difference, 0.5) FILTER (ok), 6) AS difference_median, round(quantile_cont(difference, 0.975) FILTER (ok), 6) AS difference_q975, count(*) FILTER (ok AND abs(difference) <= c005 * se) AS zero_covered,
+  count(*) FILTER (ok AND t > c001) AS p_0_001, count(*) FILTER (ok AND t <= c001 AND t > c005) AS p_001_005, count(*) FILTER (ok AND t <= c005 AND t > c01) AS p_005_01, count(*) FILTER (ok AND t <= c01 AND t > c05) AS p_01_05, count(*) FILTER (ok AND t <= c05) AS p_05_1 FROM pt GROUP BY ALL),
+r AS (SELECT *, (rejected_up + rejected_down) / CAST(experiments AS DOUBLE) AS f, CAST(experiments AS DOUBLE) AS n, 1.959963984540054 AS z FROM g)
+SELECT * EXCLUDE (f, n, z), round(f, 6) AS fpr, round((f + z * z / (2 * n) - z * sqrt(f * (1 - f) / n + z * z / (4 * n * n))) / (1 + z * z / n), 6) AS fpr_low, round((f + z * z / (2 * n) + z * sqrt(f * (1 - f) / n + z * z / (4 * n * n))) / (1 + z * z / n), 6) AS fpr_high,
+  round(zero_covered / n, 6) AS zero_coverage FROM r""")
 def aa_summary(spark, sf_dir):
-    out = ex.aa_summary(ex.aa_audit(_users(spark, sf_dir), "key", F.col("rich"), 40))
-    return out.select("scope", "experiments", "rejected_up", "rejected_down", F.round("z_median", 6).alias("z_median"), F.round("fpr", 6).alias("fpr"))
+    out = ex.aa_summary(ex.aa_audit(_users(spark, sf_dir), "key", F.col("rich"), F.col("balance"), AA_EXPERIMENTS))
+    return _rounded(out, "difference_q025", "difference_median", "difference_q975", "fpr", "fpr_low", "fpr_high", "zero_coverage")
 
 
 @query(f"WITH {_USERS_SQL}, b AS (SELECT arm AS x, CAST(substr(sha256('assign-v1|' || 'exp-2' || '|' || key), 1, 16) >= '8000000000000000' AS INTEGER) AS y FROM a) SELECT count(*) FILTER (x = 0 AND y = 0) AS n00, count(*) FILTER (x = 0 AND y = 1) AS n01, count(*) FILTER (x = 1 AND y = 0) AS n10, count(*) FILTER (x = 1 AND y = 1) AS n11, round(corr(x, y), 6) AS phi FROM b")
@@ -118,18 +131,27 @@ def assignment_overlap(spark, sf_dir):
     return _rounded(ex.assignment_overlap(_users(spark, sf_dir), "key", "exp-1", "exp-2"), "phi")
 
 
-@query(f"WITH {EXPERIMENT_SQL} SELECT treatment, count(*) AS n, CAST(sum(conversion) AS BIGINT) AS conversion, CAST(sum(visit) AS BIGINT) AS visit, CAST(0 AS BIGINT) AS conversion_invalid, CAST(0 AS BIGINT) AS visit_invalid FROM x GROUP BY 1")
+@query(f"WITH {EXPERIMENT_SQL} SELECT treatment, count(*) AS n, CAST(sum(conversion) AS BIGINT) AS conversion, CAST(sum(v) AS BIGINT) AS visit, count(*) FILTER (conversion NOT IN (0, 1)) AS conversion_invalid, count(*) FILTER (v NOT IN (0, 1)) AS visit_invalid FROM (SELECT *, CASE WHEN row_id < '08' THEN 2 ELSE visit END AS v FROM x) GROUP BY 1")
 def itt_counts(spark, sf_dir):
-    return ex.itt_counts(experiment(spark, sf_dir), ["conversion", "visit"])
+    """With some labels that are neither 0 nor 1."""
+    rows = experiment(spark, sf_dir)
+    return ex.itt_counts(rows.withColumn("visit", F.when(F.col("row_id") < "08", 2).otherwise(F.col("visit"))), ["conversion", "visit"])
 
 
-_ITT_SOURCE = "SELECT 'conversion' AS metric, count(*) FILTER (treatment = 1) AS n1, count(*) FILTER (treatment = 0) AS n0, count(*) FILTER (treatment = 1 AND conversion = 1) AS k1, count(*) FILTER (treatment = 0 AND conversion = 1) AS k0 FROM x UNION ALL SELECT 'visit', count(*) FILTER (treatment = 1), count(*) FILTER (treatment = 0), count(*) FILTER (treatment = 1 AND visit = 1), count(*) FILTER (treatment = 0 AND visit = 1) FROM x"
+_ITT_SQL = " UNION ALL ".join(f"SELECT '{m}' AS metric, count(*) FILTER (treatment = 1) AS n1, count(*) FILTER (treatment = 0) AS n0, count(*) FILTER (treatment = 1 AND {m} = 1) AS k1, count(*) FILTER (treatment = 0 AND {m} = 1) AS k0 FROM x" for m in ("conversion", "visit", "exposure"))
 
 
-@query(f"WITH {EXPERIMENT_SQL}, {_wald_sql('metric', _ITT_SOURCE, 5)}")
+@query(f"""WITH {EXPERIMENT_SQL}, c AS ({_ITT_SQL}), r AS (SELECT *, k1 / CAST(n1 AS DOUBLE) AS p1, k0 / CAST(n0 AS DOUBLE) AS p0, metric = 'exposure' AS after FROM c), v AS (SELECT *, p1 - p0 AS d, sqrt(p1 * (1 - p1) / n1 + p0 * (1 - p0) / n0) AS s FROM r),
+t AS (SELECT *, CASE WHEN after THEN 'descriptive_post_treatment_only' WHEN n1 = 0 OR n0 = 0 THEN 'empty_group' WHEN n1 < 2 OR n0 < 2 THEN 'insufficient_n' WHEN least(k1, n1 - k1, k0, n0 - k0) < 5 THEN 'sparse_cells' WHEN s <= 0 THEN 'zero_variance' ELSE 'ok' END AS status FROM v)
+SELECT metric, n1, n0, k1, k0, status, round(p1, 6) AS p1, round(p0, 6) AS p0, round(d * 100, 6) AS difference_pp, round(CASE WHEN NOT after THEN d * 10000 END, 6) AS per_10k, round(CASE WHEN NOT after AND p0 > 0 THEN d / p0 END, 6) AS relative,
+  round(CASE WHEN status = 'ok' THEN s END, 6) AS se, round(CASE WHEN status = 'ok' THEN d / s END, 6) AS z, round(CASE WHEN status = 'ok' THEN d - 1.959963984540054 * s END, 6) AS ci_low, round(CASE WHEN status = 'ok' THEN d + 1.959963984540054 * s END, 6) AS ci_high,
+  round(CASE WHEN status = 'ok' THEN (d - 1.959963984540054 * s) * 10000 END, 6) AS per_10k_low, round(CASE WHEN status = 'ok' THEN (d + 1.959963984540054 * s) * 10000 END, 6) AS per_10k_high FROM t""")
 def itt_effects(spark, sf_dir):
-    out = ex.itt_effects(ex.itt_counts(experiment(spark, sf_dir), ["conversion", "visit"]), ["conversion", "visit"])
-    return _rounded(out, "p1", "p0", "difference_pp", "relative", "se", "z", "ci_low", "ci_high").select("metric", *_WALD)
+    """Conversion and visit are tested; exposure comes after the assignment and is only described."""
+    names = ["conversion", "visit"]
+    out = ex.itt_effects(ex.itt_counts(experiment(spark, sf_dir), [*names, "exposure"]), names, ["exposure"])
+    numbers = ("p1", "p0", "difference_pp", "per_10k", "relative", "se", "z", "ci_low", "ci_high", "per_10k_low", "per_10k_high")
+    return _rounded(out, *numbers).select("metric", "n1", "n0", "k1", "k0", "status", *numbers)
 
 
 @query(f"""WITH {_USERS_SQL}, i AS (SELECT key, arm, rich, arm = 1 AND NOT rich AND substr(sha256('inject-v1|' || key), 1, 16) < '1999999999999999' AS planted FROM a)

@@ -63,8 +63,13 @@ def funnel_summary(spark, sf_dir):
     return funnel.summary(path_table(spark, sf_dir))
 
 
-@query(f"""WITH {PATHS_SQL} SELECT 'release' AS part, release_status AS value, count(*) AS n FROM paths GROUP BY ALL UNION ALL SELECT 'price', first_view_price_status, count(*) FROM paths WHERE release_status = 'formal' GROUP BY ALL
-UNION ALL SELECT 'key', CASE WHEN NOT ok THEN 'user_id' WHEN no_sess THEN 'session' ELSE 'product_id' END, count(*) FROM fe WHERE NOT valid GROUP BY ALL""")
+@query(f"""WITH {PATHS_SQL}, k AS (SELECT count(*) AS n, count(*) FILTER (NOT ok) AS u, count(*) FILTER (ok AND no_sess) AS s, count(*) FILTER (ok AND NOT no_sess AND NOT valid) AS p, count(*) FILTER (valid) AS g, count(*) FILTER (no_sess) AS fs, count(*) FILTER (valid AND v IS NULL) AS nv FROM ln),
+w AS (SELECT 'release' AS part, release_status AS value, count(*) AS n, (SELECT count(*) FROM paths) AS denominator FROM paths GROUP BY ALL
+  UNION ALL SELECT 'price', first_view_price_status, count(*), (SELECT count(*) FROM paths) FROM paths GROUP BY ALL
+  UNION ALL SELECT 'flag', 'order_uncertain', count(*) FILTER (order_uncertain), count(*) FROM paths UNION ALL SELECT 'flag', 'right_censored', count(*) FILTER (right_censored), count(*) FROM paths
+  UNION ALL SELECT 'key', 'user_id', u, n FROM k UNION ALL SELECT 'key', 'session', s, n FROM k UNION ALL SELECT 'key', 'product_id', p, n FROM k UNION ALL SELECT 'key', 'valid', g, n FROM k
+  UNION ALL SELECT 'key_flag', 'user_id', u, n FROM k UNION ALL SELECT 'key_flag', 'session', fs, n FROM k UNION ALL SELECT 'view', 'valid_key_without_view', nv, n FROM k)
+SELECT *, round(CASE WHEN denominator > 0 THEN n / CAST(denominator AS DOUBLE) END, 6) AS ratio, CASE WHEN denominator > 0 THEN 'defined' ELSE 'zero_denominator' END AS ratio_status FROM w""")
 def funnel_exclusions(spark, sf_dir):
     return funnel.exclusions(_events(spark, sf_dir), path_table(spark, sf_dir))
 

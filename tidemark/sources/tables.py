@@ -98,12 +98,14 @@ def experiment(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
     rows = table(spark, sf_dir, "lineitem")
     ident = F.sha2(F.concat_ws("|", F.lit("row-v1"), *key, F.date_format("l_shipdate", "yyyy-MM-dd")), 256)
-    out = rows.select(ident.alias("row_id"), F.col("l_quantity").alias("f0"), F.col("l_extendedprice").alias("f1"), (F.col("l_returnflag") == "R").cast("int").alias("conversion"), (F.col("l_linestatus") == "O").cast("int").alias("visit"))
+    out = rows.select(ident.alias("row_id"), F.col("l_quantity").alias("f0"), F.col("l_extendedprice").alias("f1"), (F.col("l_returnflag") == "R").cast("int").alias("conversion"), (F.col("l_linestatus") == "O").cast("int").alias("visit"), (F.col("l_tax") > 0.04).alias("seen"))
     # 0.85 of the 64-bit range.
-    return out.withColumn("treatment", (hash16("arm|", F.col("row_id")) < "d999999999999999").cast("int"))
+    out = out.withColumn("treatment", (hash16("arm|", F.col("row_id")) < "d999999999999999").cast("int"))
+    return out.withColumn("exposure", ((F.col("treatment") == 1) & F.col("seen")).cast("int")).drop("seen")
 
 
 EXPERIMENT_SQL = r"""
 x0 AS (SELECT sha256(concat_ws('|', 'row-v1', l_orderkey, l_linenumber, l_partkey, l_suppkey, strftime(l_shipdate, '%Y-%m-%d'))) AS row_id,
-  l_quantity AS f0, l_extendedprice AS f1, CAST(l_returnflag = 'R' AS INTEGER) AS conversion, CAST(l_linestatus = 'O' AS INTEGER) AS visit FROM lineitem),
-x AS (SELECT *, CAST(substr(sha256('arm|' || row_id), 1, 16) < 'd999999999999999' AS INTEGER) AS treatment FROM x0)"""
+  l_quantity AS f0, l_extendedprice AS f1, CAST(l_returnflag = 'R' AS INTEGER) AS conversion, CAST(l_linestatus = 'O' AS INTEGER) AS visit, l_tax > 0.04 AS seen FROM lineitem),
+x1 AS (SELECT *, CAST(substr(sha256('arm|' || row_id), 1, 16) < 'd999999999999999' AS INTEGER) AS treatment FROM x0),
+x AS (SELECT * EXCLUDE (seen), CAST(treatment = 1 AND seen AS INTEGER) AS exposure FROM x1)"""
