@@ -23,7 +23,8 @@ def query(sql: str | None = None):
 
 
 def _load() -> None:
-    from . import cohort_queries, diagnosis_queries, event_queries, experiment_queries, funnel_queries, metric_queries, mix_queries, targeting_queries  # noqa: F401
+    from . import cohort_queries, diagnosis_queries, event_queries, experiment_queries, funnel_queries  # noqa: F401
+    from . import metric_queries, mix_queries, source_queries, targeting_queries  # noqa: F401
 
 
 _load()
