@@ -8,6 +8,8 @@ wherever they lie, in any text.  Two uses are made of the arrays here:
   classes of span hashes, a byte of the smallest one (a one-permutation sketch of all spans
   of SPAN code points, so its agreement estimates the share of common spans);
 * the longest common prefix of two texts, by binary search over equal prefixes.
+
+Spans count as equal if their hashes agree to both of two bases, 62 bits in all.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import materialize
+from .common import materialize, small_batches
 
 PRIME = (1 << 31) - 1
 BASES = (1_103_515_245, 790_973_861)
@@ -78,31 +80,38 @@ class PrefixHash:
         inner = (inner & _P) + (inner >> _31)
         return _fold(inner * self.powers[0].to(n - length + 1)[1])
 
-    def same_span(self, a: np.ndarray, i: int, b: np.ndarray, j: int, length: int) -> bool:
-        down = self.powers[0].to(max(i, j) + 1)[1]
-        x, y = (int(p[k + length] - p[k]) % PRIME * int(down[k]) % PRIME for p, k in ((a, i), (b, j)))
-        return x == y
+    def both(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Prefix arrays to both bases."""
+        return self.prefixes(text, 0), self.prefixes(text, 1)
+
+    def same_span(self, a: tuple[np.ndarray, np.ndarray], i: int, b: tuple[np.ndarray, np.ndarray], j: int, length: int) -> bool:
+        for powers, p, q in zip(self.powers, a, b, strict=True):
+            down = powers.to(max(i, j) + 1)[1]
+            x, y = (int(s[k + length] - s[k]) % PRIME * int(down[k]) % PRIME for s, k in ((p, i), (q, j)))
+            if x != y:
+                return False
+        return True
 
-    def common_extension(self, a: np.ndarray, i: int, b: np.ndarray, j: int) -> int:
+    def common_extension(self, a: tuple[np.ndarray, np.ndarray], i: int, b: tuple[np.ndarray, np.ndarray], j: int) -> int:
         """Code points that agree from a[i:] and b[j:] on, by binary search over equal spans."""
-        low, high = 0, min(len(a) - 1 - i, len(b) - 1 - j)
+        low, high = 0, min(len(a[0]) - 1 - i, len(b[0]) - 1 - j)
         while low < high:
             mid = (low + high + 1) // 2
             low, high = (mid, high) if self.same_span(a, i, b, j, mid) else (low, mid - 1)
         return low
 
-    def fingerprint(self, text: str) -> tuple[str, np.ndarray, np.ndarray]:
-        """Hexadecimal digits, the sketch's bytes (0: no span in the class), and the prefix array."""
-        first = self.prefixes(text)
+    def fingerprint(self, text: str) -> tuple[str, np.ndarray, tuple[np.ndarray, np.ndarray]]:
+        """Hexadecimal digits, the sketch's bytes (0: no span in the class), and the prefix arrays."""
+        first, second = arrays = self.both(text)
         if not text:
-            return _FULL + "00" * SLOTS, np.zeros(SLOTS, np.uint8), first
-        whole = int(first[-1]) % PRIME << 32 | int(self.prefixes(text, 1)[-1]) % PRIME
+            return _FULL + "00" * SLOTS, np.zeros(SLOTS, np.uint8), arrays
+        whole = int(first[-1]) % PRIME << 32 | int(second[-1]) % PRIME
         mixed = np.sort(self.spans(first, min(SPAN, len(text))) * _MIX)
         at = np.searchsorted(mixed, _TOPS)
         ends = np.append(at[1:], len(mixed))
         least = mixed[np.minimum(at, len(mixed) - 1)]
         sketch = np.where(at < ends, (least * _REMIX >> np.uint64(56)) % np.uint64(255) + np.uint64(1), np.uint64(0)).astype(np.uint8)
-        return f"{whole:016x}{sketch.tobytes().hex()}", sketch, first
+        return f"{whole:016x}{sketch.tobytes().hex()}", sketch, arrays
 
 
 def likeness(a: str, sketch_a: np.ndarray, b: str, sketch_b: np.ndarray) -> float:
@@ -153,17 +162,18 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text and of its edited text, with their likeness.
 
     The next document is the next row by descending doc_id (null ids last, equal ids by
-    descending text); after the last row comes the first.  Null texts count as empty: their
-    fingerprint is all zeros, equal to that of any empty text.  Each input row gives one row.
+    descending XXH64 of the text); after the last row comes the first.  Null texts count as empty:
+    their fingerprint is all zeros, equal to that of any empty text.  Each input row gives one row.
 
-    Rows are range-partitioned and sorted by id, so a text meets its neighbour in its own
-    task.  The first and last text of each partition are kept aside and met in a second,
+    Rows are range-partitioned and sorted by that order, so a text meets its neighbour in its own
+    task; a random number parts rows of one id and text, however many there are.  The first and last text of each partition are kept aside and met in a second,
     small step of two rows a partition.
     """
     spark = docs.sparkSession
-    order = [F.desc_nulls_last("doc_id"), F.desc("text")]
-    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    ordered = kept.repartitionByRange(order[0]).sortWithinPartitions(*order)
+    text = F.coalesce("text", F.lit(""))
+    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("hash"), F.rand(11).alias("salt"))
+    order = [F.desc_nulls_last("doc_id"), F.desc("hash"), F.asc("salt")]
+    ordered = kept.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
 
     def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, pairs, rows = TaskContext.get().partitionId(), _Pairs(), []
@@ -175,7 +185,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
             extra = [pa.array([part] * n, pa.int64()), pa.array([edge] * n, pa.string()), pa.array(texts or [None] * n, pa.string())]
             return pa.RecordBatch.from_arrays(columns + extra, names=[*_NAMES, "part", "edge", "text"])
 
-        for b in batches:
+        for b in small_batches(batches):
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if held is None:
                     yield made([], "first", [doc_id], [text])
