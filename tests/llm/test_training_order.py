@@ -43,6 +43,13 @@ def test_sample_documents(spark, sample, tmp_path):
     assert all((r.shard, r.place) == divmod(r.slot, 50) and len(r.record) == 512 for r in rows)
     told = to.write_shards(df, str(tmp_path / "out")).collect()
     assert sum(r.records for r in told) == n and {r.shard for r in told} == set(range(-(-n // 50)))
+    whole = {f.name: f.read_bytes() for f in (tmp_path / "out").iterdir()}
+    first, *rest = sorted((tmp_path / "out").iterdir())
+    first.write_bytes(b"torn")
+    rest[0].unlink()
+    held = {f.name: f.stat().st_mtime_ns for f in rest[1:]}
+    to.write_shards(df, str(tmp_path / "out")).collect()  # goes on where it was broken off
+    assert {f.name: f.read_bytes() for f in (tmp_path / "out").iterdir()} == whole and all((tmp_path / "out" / f).stat().st_mtime_ns == t for f, t in held.items())
     got = to.read_records(str(tmp_path / "out"), 37, 100, stride=256, shard=50)
     assert got.tobytes() == b"".join(bytes(r.record) for r in rows[37:137])
 

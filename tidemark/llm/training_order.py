@@ -27,6 +27,8 @@ from .packing import END_ID, chunk_ids
 
 #: Tokens of a record, and records of a shard.
 STRIDE, SHARD = 512, 4096
+#: Bytes of records that one range partition holds, about.
+PART_BYTES = 128 << 20
 ROUNDS = 6
 
 
@@ -122,7 +124,7 @@ def training_order(docs: DataFrame, vocabulary: str, key: str = "epoch-0", strid
     placed = table.join(F.broadcast(offsets), "part").withColumn("index", F.col("first") + F.col("row"))
     placed = placed.withColumn("slot", slot_of("index")).withColumn("shard", F.floor(F.col("slot") / shard).cast("long"))
     shards = max(1, -(-n // shard))
-    parts = min(shards, max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    parts = min(shards, max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n * stride * 4 // PART_BYTES)))
     # Range partitions of whole shards: slots are uniform, so these are even without sampling.
     dealt = placed.repartitionById(parts, F.floor(F.col("shard") * parts / shards).cast("int")).sortWithinPartitions("slot")
     filled = dealt.withColumn("filled", padded("ids", "length"))
@@ -133,8 +135,12 @@ def write_shards(ordered: DataFrame, folder: str) -> DataFrame:
     """Writes shard-<number>.bin files to a folder all machines share; returns shard, records, crc32 of each.
 
     A shard is written under a name of its own try and then renamed, so a repeated or doubled
-    task leaves the same file.  The folder is a path or a URI that pyarrow knows.
+    task leaves the same file, and one that is there whole is not written again: a run that was
+    broken off goes on where it stopped.  The folder is a URI that pyarrow knows; a plain path
+    serves local sessions only.
     """
+    if "://" not in folder and not ordered.sparkSession.sparkContext.master.startswith("local["):
+        raise ValueError(f"{folder}: shards go to a URI that all machines share")
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where, at = pa.fs.FileSystem.from_uri(folder) if "://" in folder else (pa.fs.LocalFileSystem(), folder)
@@ -143,10 +149,12 @@ def write_shards(ordered: DataFrame, folder: str) -> DataFrame:
 
         def done() -> pa.RecordBatch:
             data, name = b"".join(records), f"{at}/shard-{current:08d}.bin"
-            trial = f"{name}.{TaskContext.get().taskAttemptId()}"
-            with where.open_output_stream(trial) as f:
-                f.write(data)
-            where.move(trial, name)
+            there = where.get_file_info(name)
+            if there.type != pa.fs.FileType.File or there.size != len(data):
+                trial = f"{name}.{TaskContext.get().taskAttemptId()}"
+                with where.open_output_stream(trial) as f:
+                    f.write(data)
+                where.move(trial, name)
             return pa.RecordBatch.from_arrays([pa.array([current]), pa.array([len(records)]), pa.array([zlib.crc32(data)])], names=["shard", "records", "crc32"])
 
         for b in batches:
