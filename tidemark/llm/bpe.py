@@ -9,6 +9,7 @@ at white space and each distinct chunk is encoded once per worker, in a table of
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import itertools
 import json
@@ -98,6 +99,12 @@ class WordBpe:
         return " ".join([t for i in ids if (t := self.tokens.get(i)) is not None])
 
 
+@functools.lru_cache(1)
+def _coder(vocabulary: str) -> WordBpe:
+    """A worker reads the file once."""
+    return WordBpe(vocabulary)
+
+
 class _Chunks(dict):
     """chunk -> (number of ids, ids as text, tokens as text); both texts end with a space."""
 
@@ -125,7 +132,7 @@ def encode_and_decode(docs: DataFrame, vocabulary: str, keep_ids: bool = False)
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Chunks(WordBpe(vocabulary))
+        known = _Chunks(_coder(vocabulary))
         sha = hashlib.sha256
         for b in small_batches(batches):
             n, ids_sha, text_sha, ids, texts = [], [], [], [], []

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 from weakref import WeakKeyDictionary
 
@@ -11,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import fresh
+
 #: White space that ends a word: [\x20\x09-\x0D].  bytes.split() cuts at exactly these.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of ids and hashes, of some 32 bytes each, that may be sent to every task.
@@ -21,35 +21,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Only where the cluster names none (local tests) a temporary folder takes its place.
-    """
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not folder:
-        held = spark.sparkContext.getCheckpointDir()
-        folder = held or tempfile.mkdtemp(prefix="tidemark-")
-        if not held:
-            spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, removed when the application ends."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return path
-
-
 _written: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage with a table in the shared folder; lost executors cannot take it away."""
-    path = new_folder(df.sparkSession, name)
+    path = fresh(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     _written[table] = path

@@ -7,6 +7,7 @@ remembered in a table of bounded size, so the merging runs on distinct pieces on
 
 from __future__ import annotations
 
+import functools
 import heapq
 import json
 import re
@@ -88,6 +89,12 @@ def merged_count(symbols: list[str], rank: dict[tuple[str, str], int]) -> int:
     return len(merged_parts(symbols, rank))
 
 
+@functools.lru_cache(1)
+def _merges(vocabulary: str) -> Merges:
+    """A worker reads the file once."""
+    return Merges(vocabulary)
+
+
 class PieceCounts(dict):
     """Tokens of a piece; a piece that starts with a line break stands for itself, others follow a space."""
 
@@ -138,7 +145,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 512) -> DataFram
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = PieceCounts(Merges(vocabulary))
+        counts = PieceCounts(_merges(vocabulary))
         for b in small_batches(batches):
             texts = b.column(1).to_pylist()
             out = batch_of(_OUT, [len(t.encode("utf-8")) for t in texts], [counts.of(t) for t in texts])
