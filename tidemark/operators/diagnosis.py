@@ -27,7 +27,7 @@ def history(days: DataFrame, calendar: DataFrame, by: list[str], offsets: tuple[
     """
     ends = calendar.agg(F.min("utc_date").alias("lo"))
     series = days.select(*by).distinct() if by else None
-    spine = calendar.select("utc_date") if series is None else calendar.select("utc_date").crossJoin(series)
+    spine = calendar.select("utc_date") if series is None else series.crossJoin(F.broadcast(calendar.select("utc_date")))
     asked = spine.crossJoin(F.broadcast(ends)).withColumn("offset", F.explode(F.array(*map(F.lit, offsets)))).withColumn("then", F.expr("date_sub(utc_date, offset)"))
     told = days.select(*by, F.col("utc_date").alias("then"), usable().alias("ok"), F.col("purchase_amount").alias("then_amount"))
     joined = asked.join(told, [*by, "then"], "left")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -28,15 +30,18 @@ def support(paths: DataFrame) -> DataFrame:
 
 
 def pairs(support_: DataFrame, min_paths: int, min_users: int, min_days: int, coverage: str = "0.70", gap: tuple[str, str] = ("0.02", "0.30")) -> DataFrame:
-    """The two best supported prices of each product, and which of five conditions they meet."""
-    two = support_.where("price_rank <= 2").groupBy("product_id").agg(
-        F.min("price").alias("low_price"), F.max("price").alias("high_price"), F.min("paths").alias("min_paths"), F.min("users").alias("min_users"), F.min("days").alias("min_days"),
-        F.sum("paths").cast("long").alias("pair_paths"), F.max("total_paths").alias("total_paths"), F.count("*").alias("n"),
-    ).where("n = 2").drop("n")
-    dec = lambda x: F.lit(x).cast("decimal(4,2)")
-    diff = F.col("high_price") - F.col("low_price")
-    near = (diff >= F.col("high_price") * dec(gap[0])) & (diff <= F.col("high_price") * dec(gap[1]))
-    return two.withColumns({"paths_ok": F.col("min_paths") >= min_paths, "users_ok": F.col("min_users") >= min_users, "days_ok": F.col("min_days") >= min_days, "coverage_ok": F.col("pair_paths") >= F.col("total_paths") * dec(coverage), "gap_ok": near})
+    """The two best supported prices of each product that has two, and which of five conditions both of them meet."""
+    side = F.struct("price", "paths", "users", "days")
+    two = support_.where("price_rank <= 2").groupBy("product_id").agg(F.array_sort(F.collect_list(side)).alias("side"), F.first("total_paths").alias("total_paths")).where(F.size("side") == 2)
+    every = lambda field, least: F.forall("side", lambda x: x[field] >= least)
+    smaller = lambda field: F.array_min(F.transform("side", lambda x: x[field]))
+    low, high, both = F.col("side")[0]["price"], F.col("side")[1]["price"], F.col("side")[0]["paths"] + F.col("side")[1]["paths"]
+    share = lambda text: F.lit(text).cast("decimal(4,2)")
+    return two.select(
+        "product_id", low.alias("low_price"), high.alias("high_price"), *[smaller(f).alias(f"min_{f}") for f in ("paths", "users", "days")], both.alias("pair_paths"), "total_paths",
+        every("paths", min_paths).alias("paths_ok"), every("users", min_users).alias("users_ok"), every("days", min_days).alias("days_ok"),
+        (both >= share(coverage) * F.col("total_paths")).alias("coverage_ok"), (high - low).between(share(gap[0]) * high, share(gap[1]) * high).alias("gap_ok"),
+    )
 
 
 def feasibility(pairs_: DataFrame) -> DataFrame:
@@ -127,31 +132,43 @@ def margin_threshold(compared: DataFrame, gaps: DataFrame, margins: list[float])
     return grid.select("product_id", "m", F.round("d", 6).alias("d"), F.round(F.when(F.col("std_high") > 0, need), 6).alias("required_rate_ratio"), F.round(F.when(F.col("std_high") > 0, low), 6).alias("required_low_rate"), F.round(F.col("std_low") * (m - d) - F.col("std_high") * m, 6).alias("contribution_difference"), status.alias("status"))
 
 
-#: The six ways to handle a fee for each category of a basket.
-STRATEGIES = ("REFERENCE", "ABSORB", "PASS_HALF", "PASS_FULL", "ADD_SAME_CATEGORY", "ADD_NEW_CATEGORY")
+#: The six ways to handle a fee for each category of a basket, as
+#: (name, whether the fee is due, share of it that the price takes on, goods added, categories added).
+STRATEGIES = (
+    ("REFERENCE", 0, "none", False, 0),
+    ("ABSORB", 1, "none", False, 0),
+    ("PASS_HALF", 1, "half", False, 0),
+    ("PASS_FULL", 1, "full", False, 0),
+    ("ADD_SAME_CATEGORY", 1, "none", True, 0),
+    ("ADD_NEW_CATEGORY", 1, "none", True, 1),
+)
 
 
-def basket_strategies(baskets: DataFrame, fee: float = 3.0, half: float = 0.5, add_factor: float = 1.25, add_cost: float = 1.25) -> DataFrame:
-    """Unit contribution of each basket (basket_id, s0, m0, h, l0) under each strategy.
+def basket_strategies(baskets: DataFrame, fee: str = "3", half: str = "0.50", add_factor: str = "1.25", add_fulfilment: str = "5") -> DataFrame:
+    """Unit contribution of each basket (basket_id, s0, m0, h, l0; decimals) under each strategy, in decimals.
 
-    Goods s and their cost c, fulfilment l, categories h and the fee for each; adding goods
-    raises goods and fulfilment alike by their factors.
+    One formula serves all: goods times their factor plus the fee that the price takes on, less
+    the goods' cost at margin m0, the fulfilment and the fee for each category.  Added goods have
+    a factor and a fulfilment cost of their own.
     """
-    rows = baskets.withColumn("strategy", F.explode(F.array(*map(F.lit, STRATEGIES))))
-    x = F.col("strategy")
-    adds, f = x.startswith("ADD_"), F.when(x == "REFERENCE", 0.0).otherwise(fee)
-    s0, h = F.col("s0"), F.col("h")
-    s = F.when(x == "PASS_HALF", s0 + half * fee * h).when(x == "PASS_FULL", s0 + fee * h).when(adds, add_factor * s0).otherwise(s0)
-    c = (1 - F.col("m0")) * F.when(adds, add_factor * s0).otherwise(s0)
-    cost, count = F.when(adds, add_cost * F.col("l0")).otherwise(F.col("l0")), h + (x == "ADD_NEW_CATEGORY").cast("int")
-    return rows.select("basket_id", "strategy", s.alias("s"), (f * count).alias("charge"), (s - c - cost - f * count).alias("contribution"))
+    exact = lambda text: Decimal(text).quantize(Decimal("0.01"))
+    taken = {"none": "0", "half": half, "full": "1"}
+    rows = [(name, exact(fee) * due, exact(taken[share]), exact(add_factor if added else "1"), exact(add_fulfilment) if added else None, more) for name, due, share, added, more in STRATEGIES]
+    table = baskets.sparkSession.createDataFrame(rows, "strategy string, fee decimal(6,2), taken decimal(4,2), factor decimal(4,2), fulfilment decimal(9,2), more int")
+    each = baskets.crossJoin(F.broadcast(table))  # six rows
+    goods = (F.col("s0") * F.col("factor")).cast("decimal(26,7)")
+    price = (goods + (F.col("fee") * F.col("taken")).cast("decimal(12,4)") * F.col("h")).cast("decimal(26,7)")
+    charge = (F.col("fee") * (F.col("h") + F.col("more"))).cast("decimal(18,2)")
+    cost = (goods * (1 - F.col("m0")).cast("decimal(4,2)")).cast("decimal(30,9)")
+    left = (price - cost - F.coalesce("fulfilment", "l0") - charge).cast("decimal(30,9)")
+    return each.select("basket_id", "strategy", price.alias("s"), charge.alias("charge"), left.alias("contribution"))
 
 
 def basket_thresholds(contributions: DataFrame, retention: list[float]) -> DataFrame:
     """How much of the demand each strategy must keep against the reference, and whether grid values do."""
     ref = contributions.where("strategy = 'REFERENCE'").select("basket_id", F.col("contribution").alias("reference"))
     joined = contributions.where("strategy <> 'REFERENCE'").join(ref, "basket_id").withColumn("retention", F.explode(F.array(*map(F.lit, retention))))
-    a, b = F.col("reference"), F.col("contribution")
+    a, b = F.col("reference").cast("double"), F.col("contribution").cast("double")
     r = F.when((a > 0) & (b > 0), F.try_divide(a, b))
     status = F.when(a <= 0, "reference_nonpositive").when(b <= 0, "strategy_nonpositive").when(r <= 1, "decline_bound_or_no_decline").otherwise("lift_required")
     return joined.select("basket_id", "strategy", "retention", F.round(r, 6).alias("required_ratio"), status.alias("status"), F.round(F.col("retention") * b - a, 4).alias("contribution_change"))

@@ -19,10 +19,14 @@ def _amount():
 
 
 def summary(parsed: DataFrame, flags: list[str]) -> DataFrame:
-    """One row: records, distinct users and buyers, every flag, the known amount."""
-    user = F.when(F.col("event_eligible"), F.col("user_id"))
-    buyer = F.when(F.col("event_eligible") & (F.col("event_type") == "purchase"), F.col("user_id"))
-    return parsed.agg(F.count("*").alias("records"), F.countDistinct(user).alias("users"), F.countDistinct(buyer).alias("buyers"), *_flag_counts(flags), _amount())
+    """One row: records, distinct users and buyers, every flag, the known amount.
+
+    Users come first, so that counting two kinds of them distinctly expands no rows.
+    """
+    bought = F.col("event_eligible") & (F.col("event_type") == "purchase")
+    users = parsed.groupBy("user_id").agg(F.count("*").alias("records"), F.bool_or("event_eligible").alias("user"), F.bool_or(bought).alias("buyer"), *_flag_counts(flags), _amount())
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c)
+    return users.agg(total("records"), count_where(F.col("user")).alias("users"), count_where(F.col("buyer")).alias("buyers"), *[total(f) for f in flags], money(F.coalesce(F.sum("amount"), F.lit(0))).alias("amount"))
 
 
 def daily(parsed: DataFrame, flags: list[str]) -> DataFrame:

@@ -177,15 +177,20 @@ def margin_threshold(spark, sf_dir):
 
 
 BASKET_SQL = r"""
-bk AS (SELECT l_orderkey AS basket_id, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) / 1000 AS s0, CAST(0.3 AS DOUBLE) AS m0, CAST(count(DISTINCT p_type) AS INTEGER) AS h, CAST(4 AS DOUBLE) AS l0 FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1),
-bs AS (SELECT bk.*, st, CAST(CASE WHEN st = 'REFERENCE' THEN 0 ELSE 3 END AS DOUBLE) AS f, CASE st WHEN 'PASS_HALF' THEN s0 + CAST(1.5 AS DOUBLE) * h WHEN 'PASS_FULL' THEN s0 + 3 * h WHEN 'ADD_SAME_CATEGORY' THEN CAST(1.25 AS DOUBLE) * s0 WHEN 'ADD_NEW_CATEGORY' THEN CAST(1.25 AS DOUBLE) * s0 ELSE s0 END AS s, (1 - m0) * CASE WHEN st LIKE 'ADD%' THEN CAST(1.25 AS DOUBLE) * s0 ELSE s0 END AS c, CASE WHEN st LIKE 'ADD%' THEN CAST(1.25 AS DOUBLE) * l0 ELSE l0 END AS l, h + CASE WHEN st = 'ADD_NEW_CATEGORY' THEN 1 ELSE 0 END AS k
-  FROM bk, (VALUES ('REFERENCE'), ('ABSORB'), ('PASS_HALF'), ('PASS_FULL'), ('ADD_SAME_CATEGORY'), ('ADD_NEW_CATEGORY')) v(st)),
-con AS (SELECT basket_id, st AS strategy, CAST(s AS DOUBLE) AS s, CAST(f * k AS DOUBLE) AS charge, CAST(s - c - l - f * k AS DOUBLE) AS contribution FROM bs)"""
+bk AS (SELECT l_orderkey AS basket_id, CAST(CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DECIMAL(18,2)) * CAST(0.001 AS DECIMAL(4,3)) AS DECIMAL(20,5)) AS s0, CAST(0.3 AS DECIMAL(4,2)) AS m0, CAST(count(DISTINCT p_type) AS INTEGER) AS h, CAST(4 AS DECIMAL(9,2)) AS l0
+  FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1),
+st AS (SELECT strategy, CAST(fee AS DECIMAL(6,2)) AS fee, CAST(taken AS DECIMAL(4,2)) AS taken, CAST(factor AS DECIMAL(4,2)) AS factor, CAST(l AS DECIMAL(9,2)) AS l, more FROM (VALUES ('REFERENCE', 0, 0, 1, NULL, 0), ('ABSORB', 3, 0, 1, NULL, 0),
+  ('PASS_HALF', 3, 0.5, 1, NULL, 0), ('PASS_FULL', 3, 1, 1, NULL, 0), ('ADD_SAME_CATEGORY', 3, 0, 1.25, 5, 0), ('ADD_NEW_CATEGORY', 3, 0, 1.25, 5, 1)) v(strategy, fee, taken, factor, l, more)),
+bs AS (SELECT bk.*, st.*, CAST(s0 * factor AS DECIMAL(26,7)) AS goods, CAST(fee * (h + more) AS DECIMAL(18,2)) AS charge FROM bk, st),
+bp AS (SELECT *, CAST(goods + CAST(fee * taken AS DECIMAL(12,4)) * h AS DECIMAL(26,7)) AS s FROM bs),
+con AS (SELECT basket_id, strategy, s, charge, CAST(s - CAST(goods * (1 - m0) AS DECIMAL(30,9)) - coalesce(l, l0) - charge AS DECIMAL(30,9)) AS contribution FROM bp)"""
 
 
 def _baskets(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    return rows.groupBy(F.col("l_orderkey").alias("basket_id")).agg((F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double") / 1000).alias("s0"), F.lit(0.3).alias("m0"), F.countDistinct("p_type").cast("int").alias("h"), F.lit(4.0).alias("l0"))
+    goods = F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("decimal(18,2)") * F.lit("0.001").cast("decimal(4,3)")
+    fixed = lambda text, kind: F.lit(text).cast(kind)
+    return rows.groupBy(F.col("l_orderkey").alias("basket_id")).agg(goods.cast("decimal(20,5)").alias("s0"), F.countDistinct("p_type").cast("int").alias("h")).withColumns({"m0": fixed("0.3", "decimal(4,2)"), "l0": fixed("4", "decimal(9,2)")})
 
 
 @query(f"WITH {BASKET_SQL} SELECT * FROM con")
@@ -193,7 +198,7 @@ def basket_strategies(spark, sf_dir):
     return pricing.basket_strategies(_baskets(spark, sf_dir))
 
 
-@query(f"""WITH {BASKET_SQL}, j AS (SELECT a.basket_id, a.strategy, a.contribution AS b, r.contribution AS a, CAST(t AS DOUBLE) AS retention FROM con a JOIN con r ON a.basket_id = r.basket_id AND r.strategy = 'REFERENCE' AND a.strategy <> 'REFERENCE', (VALUES (CAST(0.8 AS DOUBLE)), (0.9)) v(t))
+@query(f"""WITH {BASKET_SQL}, j AS (SELECT a.basket_id, a.strategy, CAST(a.contribution AS DOUBLE) AS b, CAST(r.contribution AS DOUBLE) AS a, CAST(t AS DOUBLE) AS retention FROM con a JOIN con r ON a.basket_id = r.basket_id AND r.strategy = 'REFERENCE' AND a.strategy <> 'REFERENCE', (VALUES (CAST(0.8 AS DOUBLE)), (0.9)) v(t))
 SELECT strategy, retention, CASE WHEN a <= 0 THEN 'reference_nonpositive' WHEN b <= 0 THEN 'strategy_nonpositive' WHEN a / b <= 1 THEN 'decline_bound_or_no_decline' ELSE 'lift_required' END AS status, count(*) AS baskets, round(avg(CASE WHEN a > 0 AND b > 0 THEN a / b END), 3) AS mean_required_ratio FROM j GROUP BY ALL""")
 def basket_thresholds(spark, sf_dir):
     out = pricing.basket_thresholds(pricing.basket_strategies(_baskets(spark, sf_dir)), [0.8, 0.9])
