@@ -76,3 +76,18 @@ def test_removal_keeps_rows_columns_and_white_space(spark, make_docs):
     said = {r.doc_id: (r.text, r.n_chars) for r in out.collect()}
     assert said[1][0] == text and said[2] == ("lead\n\nin\n tail  end", 19) and said[3][0] is None and said[4][0] == "short" and said[None][0] == text
     assert sub.cut_text(text, np.array([0, 10])) == ""
+
+
+def test_runs_tell_the_order_of_words_and_small_ranges_change_nothing(spark, sample, monkeypatch):
+    w = sub.Windows()
+    runs = {}
+    for words in ([b"a", b"b", b"c"], [b"b", b"a", b"c"], [b"x", b"a", b"b", b"c"]):
+        hashed = w.words(words)
+        at = np.array([len(words) - 3])
+        runs[tuple(words)] = [int(w.runs(w.prefixes(hashed, k), at, 3, k)[0]) for k in (0, 1)]
+    one, turned, moved = runs.values()
+    assert one == moved and one[0] != turned[0] and one[1] != turned[1]
+    docs = spark.read.parquet(f"{sample}/documents.parquet")
+    want = brute([(r.doc_id, r.text) for r in docs.collect()])
+    monkeypatch.setattr(sub, "RANGE", 16)
+    assert got(sub.digest(docs)) == want

@@ -51,6 +51,7 @@ def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterat
     for b in batches:
         for begin in range(0, b.num_rows, rows):
             yield b.slice(begin, rows)
+    pa.default_memory_pool().release_unused()  # the worker waits for its next task without these pages
 
 
 def few(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:

@@ -8,9 +8,9 @@ of both texts.  The work runs in three steps, each linear in the words it touche
 1. hash anchors at cover places only (6 of 31 places).  An anchor counts as shared if it
    starts in two rows.  Anchors meet by hash range, once for each batch of rows, so a common
    passage weighs as much as the number of batches, not of its copies;
-2. extend: the windows around anchors that may be shared are hashed, and the smallest doc_id
-   of each is found.  "May be": the shared anchors go to all tasks as a bitmap of fixed size.
-   A bit that another anchor has set too only means that some more windows are hashed;
+2. extend: the windows around anchors that may be shared are hashed to 96 bits, and the
+   smallest doc_id of each is found.  "May be": the shared anchors go to all tasks as a bitmap of
+   fixed size.  A bit that another anchor has set too only means that some more windows are hashed;
 3. cut the covered words.
 
 No group is gathered: smallest ids are partial aggregates, and hot keys are joined as a small
@@ -32,7 +32,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, with_row_key
+from .common import materialize, small_batches, with_row_key
 
 WINDOW = 50
 #: Period and difference cover: every residue is a difference of two members.
@@ -40,36 +40,42 @@ PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
 ANCHOR = WINDOW - PERIOD + 1
 #: The bitmap of shared anchors has 2^28 bits, 32 MB in each worker.
 FILTER_BITS = 28
+#: Anchors that one range gathers, about; a text has one for every ANCHOR_BYTES bytes at least.
+RANGE, ANCHOR_BYTES = 1 << 21, 16
 #: A key is hot if it has more than this share of all rows, so there are at most 1 / HOT hot keys.
 HOT = 1 / 2000
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
+_BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+_INVERSES = tuple(pow(b, -1, 1 << 64) for b in _BASES)
 _IN_COVER = np.isin(np.arange(PERIOD), COVER)
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
 class Windows:
-    """Hashes of runs of words, from prefix sums modulo 2^64 over hashes of the words."""
+    """Hashes of runs of words, from prefix sums modulo 2^64 over the halves of XXH3-128 of the words."""
 
     def __init__(self) -> None:
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def _powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        while len(self.up) < n:
-            k = len(self.up)
-            self.up = np.concatenate([self.up, self.up * np.uint64(pow(_BASE, k, 1 << 64))])
-            self.down = np.concatenate([self.down, self.down * np.uint64(pow(_INVERSE, k, 1 << 64))])
-        return self.up[:n], self.down[:n]
-
-    def prefixes(self, words: list[bytes]) -> np.ndarray:
-        hashed = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-        out = np.zeros(len(words) + 1, np.uint64)
-        np.cumsum(hashed * self._powers(len(words))[0], out=out[1:])
+        self.up = [np.ones(1, np.uint64)] * 2
+        self.down = [np.ones(1, np.uint64)] * 2
+
+    def _powers(self, half: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+        while len(self.up[half]) < n:
+            k = len(self.up[half])
+            for kept, base in ((self.up, _BASES[half]), (self.down, _INVERSES[half])):
+                kept[half] = np.concatenate([kept[half], kept[half] * np.uint64(pow(base, k, 1 << 64))])
+        return self.up[half][:n], self.down[half][:n]
+
+    def words(self, words: list[bytes]) -> np.ndarray:
+        """Both halves of the hash of each word."""
+        return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), ">u8").astype(np.uint64).reshape(-1, 2)
+
+    def prefixes(self, hashed: np.ndarray, half: int = 0) -> np.ndarray:
+        out = np.zeros(len(hashed) + 1, np.uint64)
+        np.cumsum(hashed[:, half] * self._powers(half, len(hashed))[0], out=out[1:])
         return out
 
-    def runs(self, prefixes: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    def runs(self, prefixes: np.ndarray, at: np.ndarray, length: int, half: int = 0) -> np.ndarray:
         """Hash of the run of that length at each place; equal runs have equal hashes wherever they lie."""
-        return (prefixes[at + length] - prefixes[at]) * self._powers(len(prefixes))[1][at]
+        return (prefixes[at + length] - prefixes[at]) * self._powers(half, len(prefixes))[1][at]
 
 
 def _anchor_places(n_words: int) -> np.ndarray:
@@ -94,7 +100,8 @@ def _shared_anchors(rows: DataFrame, bits: int) -> dict[int, bytes]:
     its range and its place in the bitmap.
     """
     wanted = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    range_bits = min(14, max(6, (4 * wanted - 1).bit_length()))
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).collect()[0].n
+    range_bits = min(max(bits - 3, 3), max(6, (4 * wanted - 1).bit_length(), (size // ANCHOR_BYTES // RANGE).bit_length()))
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = Windows()
@@ -105,7 +112,7 @@ def _shared_anchors(rows: DataFrame, bits: int) -> dict[int, bytes]:
                     words = text.split()
                     at = _anchor_places(len(words))
                     if len(at):
-                        hashes = windows.runs(windows.prefixes(words), at, ANCHOR)
+                        hashes = windows.runs(windows.prefixes(windows.words(words)), at, ANCHOR)
                         found.append((hashes & ~np.uint64(0xFFFF)) | np.uint64(k))
                 if not found:
                     continue
@@ -149,32 +156,33 @@ class Bitmap:
 
 
 def _lookup(rows: DataFrame, groups: DataFrame, hot_from: float) -> DataFrame:
-    """rows with the `least` of their h, whatever the sizes of the groups.
+    """rows with the `least` of their window, whatever the sizes of the groups.
 
     Groups of more than hot_from rows are few, 1 / HOT at most; they go to every task as a
     small table.  The other rows meet their group in a shuffle in which no key is large: rows
     that are done already are dealt at random.
     """
-    hot = groups.where(F.col("n") > hot_from).select("h", F.col("least").alias("hot_least"))
-    rest = groups.where(F.col("n") <= hot_from).select(F.col("h").alias("key"), "least")
-    dealt = rows.join(F.broadcast(hot), "h", "left").withColumn("key", F.when(F.col("hot_least").isNull(), F.col("h")).otherwise(F.xxhash64("doc_id", "place")))
-    return dealt.join(rest, "key", "left").select("doc_id", "text_hash", "place", F.coalesce("hot_least", "least").alias("least"))
+    hot = groups.where(F.col("n") > hot_from).select("h", "g", F.col("least").alias("hot_least"))
+    rest = groups.where(F.col("n") <= hot_from).select(F.col("h").alias("key"), "g", "least")
+    dealt = rows.join(F.broadcast(hot), ["h", "g"], "left").withColumn("key", F.when(F.col("hot_least").isNull(), F.col("h")).otherwise(F.xxhash64("doc_id", "place")))
+    return dealt.join(rest, ["key", "g"], "left").select("doc_id", "text_hash", "place", F.coalesce("hot_least", "least").alias("least"))
 
 
 def _windows(rows: DataFrame, shared: Broadcast, bits: int) -> DataFrame:
-    """(hash, doc_id, text_hash, place) of the windows around anchors that may be shared."""
+    """(h, g, doc_id, text_hash, place) of the windows around anchors that may be shared; h and g are the window's hash."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows, bitmap = Windows(), Bitmap(shared.value, bits)
-        for b in batches:
+        for b in small_batches(batches):
             ids, keys = b.column(0).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False)
-            hashes, places, of = [], [], []
+            hashes, others, places, of = [], [], [], []
             for k, text in enumerate(b.column(1).cast(pa.binary()).to_pylist()):
                 words = text.split()
                 anchors = _anchor_places(len(words))
                 if not len(anchors):
                     continue
-                prefixes = windows.prefixes(words)
+                hashed = windows.words(words)
+                prefixes = windows.prefixes(hashed)
                 anchors = anchors[bitmap.has(windows.runs(prefixes, anchors, ANCHOR))]
                 if not len(anchors):
                     continue
@@ -183,14 +191,15 @@ def _windows(rows: DataFrame, shared: Broadcast, bits: int) -> DataFrame:
                 np.add.at(edge, anchors + 1, -1)
                 at = np.flatnonzero(np.cumsum(edge[: len(words) - WINDOW + 1]))
                 hashes.append(windows.runs(prefixes, at, WINDOW))
+                others.append((windows.runs(windows.prefixes(hashed, 1), at, WINDOW, 1) >> np.uint64(32)).astype(np.uint32))
                 places.append(at)
                 of.append(np.full(len(at), k))
             if hashes:
                 which = np.concatenate(of)
-                columns = [np.concatenate(hashes).view(np.int64), ids[which], keys[which], np.concatenate(places).astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["h", "doc_id", "text_hash", "place"])
+                columns = [np.concatenate(hashes).view(np.int64), np.concatenate(others).view(np.int32), ids[which], keys[which], np.concatenate(places).astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["h", "g", "doc_id", "text_hash", "place"])
 
-    return rows.mapInArrow(made, "h long, doc_id long, text_hash long, place int")
+    return rows.mapInArrow(made, "h long, g int, doc_id long, text_hash long, place int")
 
 
 def repeated_windows(docs: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
@@ -201,7 +210,7 @@ def repeated_windows(docs: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
     rows = with_row_key(docs).where("doc_id is not null")
     shared = docs.sparkSession.sparkContext.broadcast(_shared_anchors(rows, bits))
     windows = _windows(rows, shared, bits)
-    groups = windows.groupBy("h").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("n")).where("least < most").select("h", "least", "n")
+    groups = windows.groupBy("h", "g").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("n")).where("least < most").select("h", "g", "least", "n")
     groups = materialize(groups, "windows")
     hot_from = groups.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).collect()[0].n * HOT
     later = _lookup(windows, groups, hot_from).where(F.col("doc_id") > F.col("least"))
