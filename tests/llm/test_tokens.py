@@ -66,3 +66,14 @@ def test_null_rows_and_clashing_columns(make_docs):
         got = sorted(((r.doc_id or 0, r.n_tokens) for r in f(make_docs(rows, extra=True), path).collect()))
         assert [i for i, _ in got] == [0, 1, 2, 3, 3] and got[1][1] == got[2][1] == 0 and got[3] == got[4] and got[3][1] >= 20_000
         assert f(make_docs([]), path).count() == 0
+
+
+def test_words_found_in_chunks_and_chunks_that_are_words_share_one_table(tools):
+    """In any order of meeting them: lower case that undoes NFC, contractions, final sigma, special strings."""
+    _, library, _, _, _ = tools
+    texts = ["its it's 's S'S 'S", "İstanbul i̇stanbul i̇ İ", "ΟΔΟΣ οδος οδοσ Σ ς", "<|endoftext|> a<|ENDOFTEXT|>b <| |> <|", "É É é é Ég ég", "ǰ J̌ ǰ", "x###y ### x y", "\x01\x7f a\x01 a"]
+    for order in (texts, texts[::-1]):
+        known = ChunkIds(WORDS)
+        for text in order:
+            want = b"".join(i.to_bytes(4, "little") for i in library.encode(text, add_special_tokens=False).ids)
+            assert b"".join(known.encode([text])) == want, text

@@ -42,7 +42,7 @@ CAPACITY = 4096
 END_ID = 1
 #: Pieces that one partition packs; the exchange aims at this many in each partition.
 PIECES = 40_000
-#: Bytes of remembered chunks and words in a worker; then it starts anew.  Idle for RELEASE seconds, it forgets all.
+#: Bytes of remembered chunks in a worker; then it starts anew.  Idle for RELEASE seconds, it forgets all.
 TABLE_BYTES, RELEASE = 192 << 20, 2.0
 #: Bytes of an entry, about; chunks of more than LONG characters are not remembered, so that this holds.
 ENTRY, LONG = 170, 64
@@ -53,7 +53,7 @@ class ChunkIds(dict):
     """The ids of a chunk between white space, as little-endian 32-bit bytes, by the tokenizers library.
 
     Special strings, NFC, lower case and words come first, as the vocabulary file says; each new
-    word then goes to the library's merge model.
+    word then goes to the library's merge model.  A word is a chunk too, so one table holds both.
     """
 
     def __init__(self, vocabulary: str) -> None:
@@ -67,42 +67,48 @@ class ChunkIds(dict):
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")").split
         self.find = regex.compile(PATTERN).findall
         self.symbols = byte_symbols()
-        self.words: dict[str, bytes] = {}
+        self.coded = [i.to_bytes(4, "little") for i in range(1 + max(self.library.get_vocab().values()))]
         self.bound(TABLE_BYTES)
 
     def bound(self, table_bytes: int) -> None:
-        """A third of the entries are words, the others chunks."""
         self.most = max(1, table_bytes // ENTRY)
 
-    def forget(self) -> None:
-        self.clear()
-        self.words.clear()
-
-    def _word(self, word: str) -> bytes:
-        if (known := self.words.get(word)) is None:
-            shown = "".join([self.symbols[b] for b in word.encode("utf-8")])
-            known = b"".join([t.id.to_bytes(4, "little") for t in self.merge(shown)])
-            if len(word) <= LONG:
-                if len(self.words) >= self.most // 3:
-                    self.words.clear()
-                self.words[word] = known
-        return known
-
-    def __missing__(self, chunk: str) -> bytes:
-        out = []
-        for k, part in enumerate(self.cut(chunk) if "<" in chunk else (chunk,)):
-            if k % 2:
-                out.append(self.special[part].to_bytes(4, "little"))
-            else:
-                plain = part if part.isascii() else unicodedata.normalize("NFC", part).replace("Σ", "σ")
-                out += map(self._word, self.find(plain.lower()))
-        coded = b"".join(out)
+    def _kept(self, chunk: str, coded: bytes) -> bytes:
         if len(chunk) <= LONG:
-            if len(self) >= self.most * 2 // 3:
+            if len(self) >= self.most:
                 self.clear()
             self[chunk] = coded
         return coded
 
+    def _merged(self, word: str) -> bytes:
+        # Printable ASCII is shown as itself.
+        shown = word if word.isascii() and word.isprintable() else "".join([self.symbols[b] for b in word.encode("utf-8")])
+        return b"".join([self.coded[t.id] for t in self.merge(shown)])
+
+    def _word(self, word: str) -> bytes:
+        # Lower case may undo NFC; such a word has other ids where it is a chunk, so it is not looked up.
+        if not word.isascii() and not (unicodedata.is_normalized("NFC", word) and word.lower() == word):
+            return self._merged(word)
+        known = self.get(word)
+        return self._kept(word, self._merged(word)) if known is None else known
+
+    def _words(self, part: str) -> list[str]:
+        if part.isascii():
+            lower = part.lower()
+            return [lower] if part.isalpha() else self.find(lower)
+        return self.find(unicodedata.normalize("NFC", part).replace("Σ", "σ").lower())
+
+    def __missing__(self, chunk: str) -> bytes:
+        if "<" in chunk:
+            out = []
+            for k, part in enumerate(self.cut(chunk)):
+                out += [self.coded[self.special[part]]] if k % 2 else map(self._merged, self._words(part))
+            return self._kept(chunk, b"".join(out))
+        words = self._words(chunk)
+        if len(words) == 1 and words[0] == chunk:
+            return self._kept(chunk, self._merged(chunk))
+        return self._kept(chunk, b"".join(map(self._word, words)))
+
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of each text, without an end id."""
         for text in texts:
@@ -127,7 +133,7 @@ def chunk_ids(vocabulary: str, table_bytes: int = TABLE_BYTES) -> Iterator[Chunk
     try:
         yield known
     finally:
-        timer = threading.Timer(RELEASE, known.forget)
+        timer = threading.Timer(RELEASE, known.clear)
         timer.daemon = True
         timer.start()
         _waiting.append(timer)
