@@ -70,10 +70,14 @@ def test_null_rows_and_clashing_columns(make_docs):
 
 def test_words_found_in_chunks_and_chunks_that_are_words_share_one_table(tools):
     """In any order of meeting them: lower case that undoes NFC, contractions, final sigma, special strings."""
-    _, library, _, _, _ = tools
+    library, coder = tools[1], tools[3]
     texts = ["its it's 's S'S 'S", "İstanbul i̇stanbul i̇ İ", "ΟΔΟΣ οδος οδοσ Σ ς", "<|endoftext|> a<|ENDOFTEXT|>b <| |> <|", "É É é é Ég ég", "ǰ J̌ ǰ", "x###y ### x y", "\x01\x7f a\x01 a"]
     for order in (texts, texts[::-1]):
-        known = ChunkIds(WORDS)
+        known, shown = ChunkIds(WORDS), bpe._Chunks(coder)
         for text in order:
             want = b"".join(i.to_bytes(4, "little") for i in library.encode(text, add_special_tokens=False).ids)
             assert b"".join(known.encode([text])) == want, text
+            ids = library.encode(text, add_special_tokens=False).ids
+            parts = [shown[c] for c in bpe.chunks(text)]
+            assert sum(p[0] for p in parts) == len(ids) and "".join(p[1] for p in parts).split() == [str(i) for i in ids], text
+            assert "".join(p[2] for p in parts)[:-1] == library.decode(ids, skip_special_tokens=False), text

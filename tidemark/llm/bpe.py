@@ -15,7 +15,7 @@ import itertools
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import regex
@@ -43,6 +43,24 @@ def chunks(text: str) -> list[str]:
     return text.split()
 
 
+def words_of(part: str, find: Callable[[str], list[str]]) -> list[str]:
+    """Words of a text without special strings: NFC, lower case letter by letter, the pattern."""
+    if part.isascii():
+        lower = part.lower()
+        return [lower] if part.isalpha() else find(lower)
+    return find(unicodedata.normalize("NFC", part).replace("Σ", "σ").lower())
+
+
+def stable(word: str) -> bool:
+    """Whether a word of words_of() is the same where it is a chunk by itself; lower case may undo NFC."""
+    return word.isascii() or (unicodedata.is_normalized("NFC", word) and word.lower() == word)
+
+
+def spelled(word: str, symbols: list[str]) -> str:
+    """One symbol for each byte; printable ASCII stands for itself."""
+    return word if word.isascii() and word.isprintable() else "".join([symbols[b] for b in word.encode("utf-8")])
+
+
 class WordBpe:
     """Encoder and decoder of a vocabulary file with an end-of-word suffix."""
 
@@ -62,8 +80,7 @@ class WordBpe:
 
     def word(self, word: str) -> list[str]:
         """Parts of one word, after its merges."""
-        rank, symbols = self.rank.get, self.symbols
-        shown = "".join([symbols[b] for b in word.encode("utf-8")])
+        rank, shown = self.rank.get, spelled(word, self.symbols)
         n = len(shown)
         if n > SHORT:
             return merged_parts([*shown[:-1], shown[-1] + self.end], self.rank)
@@ -82,6 +99,9 @@ class WordBpe:
                 ranks[k - 1] = rank((shown[bounds[k - 1] : bounds[k]], merged), _NONE)
         return [shown[x:y] for x, y in itertools.pairwise(bounds)]
 
+    def word_ids(self, word: str) -> list[int]:
+        return [i for p in self.word(word) if (i := self.ids.get(p)) is not None]
+
     def encode(self, text: str) -> list[int]:
         """Ids of any text: special strings first, then NFC, lower case letter by letter, words, merges."""
         out: list[int] = []
@@ -89,9 +109,8 @@ class WordBpe:
             if k % 2:
                 out.append(self.special[piece])
                 continue
-            plain = unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower()
-            for word in self.find(plain):
-                out += [i for p in self.word(word) if (i := self.ids.get(p)) is not None]
+            for word in words_of(piece, self.find):
+                out += self.word_ids(word)
         return out
 
     def decode(self, ids: list[int]) -> str:
@@ -106,20 +125,41 @@ def _coder(vocabulary: str) -> WordBpe:
 
 
 class _Chunks(dict):
-    """chunk -> (number of ids, ids as text, tokens as text); both texts end with a space."""
+    """chunk -> (number of ids, ids as text, tokens as text); both texts end with a space.
+
+    A word is a chunk too, so the words of a chunk are looked up in the same table.
+    """
 
     def __init__(self, bpe: WordBpe) -> None:
         super().__init__()
         self.bpe = bpe
 
-    def __missing__(self, chunk: str) -> tuple[int, str, str]:
-        ids = self.bpe.encode(chunk)
-        made = len(ids), "".join([f"{i} " for i in ids]), self.bpe.decode(ids) + " " * bool(ids)
+    def _kept(self, chunk: str, made: tuple[int, str, str]) -> tuple[int, str, str]:
         if len(self) >= REMEMBERED:
             self.clear()
         self[chunk] = made
         return made
 
+    def _made(self, ids: list[int]) -> tuple[int, str, str]:
+        return len(ids), "".join([f"{i} " for i in ids]), self.bpe.decode(ids) + " " * bool(ids)
+
+    def _word(self, word: str) -> tuple[int, str, str]:
+        if not stable(word):
+            return self._made(self.bpe.word_ids(word))
+        known = self.get(word)
+        return self._kept(word, self._made(self.bpe.word_ids(word))) if known is None else known
+
+    def __missing__(self, chunk: str) -> tuple[int, str, str]:
+        if any(c in chunk for c in self.bpe.special):
+            return self._kept(chunk, self._made(self.bpe.encode(chunk)))
+        words = words_of(chunk, self.bpe.find)
+        if len(words) == 1:
+            made = self._made(self.bpe.word_ids(chunk)) if words[0] == chunk else self._word(words[0])
+        else:
+            n, ids, tokens = zip(*map(self._word, words), strict=True) if words else ((), (), ())
+            made = sum(n), "".join(ids), "".join(tokens)
+        return self._kept(chunk, made)
+
 
 _DIGEST = [("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
 

@@ -23,7 +23,6 @@ import logging
 import os
 import re
 import threading
-import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -34,7 +33,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import PATTERN, chunks
+from .bpe import PATTERN, chunks, spelled, stable, words_of
 from .common import materialize, small_batches
 from .token_counts import byte_symbols
 
@@ -81,30 +80,21 @@ class ChunkIds(dict):
         return coded
 
     def _merged(self, word: str) -> bytes:
-        # Printable ASCII is shown as itself.
-        shown = word if word.isascii() and word.isprintable() else "".join([self.symbols[b] for b in word.encode("utf-8")])
-        return b"".join([self.coded[t.id] for t in self.merge(shown)])
+        return b"".join([self.coded[t.id] for t in self.merge(spelled(word, self.symbols))])
 
     def _word(self, word: str) -> bytes:
-        # Lower case may undo NFC; such a word has other ids where it is a chunk, so it is not looked up.
-        if not word.isascii() and not (unicodedata.is_normalized("NFC", word) and word.lower() == word):
+        if not stable(word):
             return self._merged(word)
         known = self.get(word)
         return self._kept(word, self._merged(word)) if known is None else known
 
-    def _words(self, part: str) -> list[str]:
-        if part.isascii():
-            lower = part.lower()
-            return [lower] if part.isalpha() else self.find(lower)
-        return self.find(unicodedata.normalize("NFC", part).replace("Σ", "σ").lower())
-
     def __missing__(self, chunk: str) -> bytes:
         if "<" in chunk:
             out = []
             for k, part in enumerate(self.cut(chunk)):
-                out += [self.coded[self.special[part]]] if k % 2 else map(self._merged, self._words(part))
+                out += [self.coded[self.special[part]]] if k % 2 else map(self._merged, words_of(part, self.find))
             return self._kept(chunk, b"".join(out))
-        words = self._words(chunk)
+        words = words_of(chunk, self.find)
         if len(words) == 1 and words[0] == chunk:
             return self._kept(chunk, self._merged(chunk))
         return self._kept(chunk, b"".join(map(self._word, words)))
