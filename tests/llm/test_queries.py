@@ -15,6 +15,7 @@ COLUMNS = {
     "op8_bpe_encoding": "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string",
     "op9_document_fingerprints": "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double",
     "op10_token_counts": "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean",
+    "op12_filter_audit": "part string, filter_order string, step int, kept bigint, removed bigint, redundant bigint, unique_fails bigint, good_lost bigint, toxic_lost bigint, shapley bigint",
 }
 
 
@@ -25,7 +26,7 @@ def test_columns_and_rows(spark, sample, name):
     for column in COLUMNS[name].split(", "):
         given, kind = column.split()
         assert types[given] == kind
-    if name.split("_")[0] not in ("op1", "op4", "op6"):
+    if name.split("_")[0] not in ("op1", "op4", "op6", "op12", "op13"):
         ids = sorted(r.doc_id for r in df.select("doc_id").collect())
         assert ids == sorted(r.doc_id for r in spark.read.parquet(f"{sample}/documents.parquet").select("doc_id").collect())
 
