@@ -10,6 +10,7 @@ import duckdb
 import pytest
 
 from tidemark.llm import filter_audit
+from tidemark.llm.common import slices
 from tidemark.llm.queries import QUERIES
 
 LABELS = "doc_id long, quality int, toxic int"
@@ -79,10 +80,12 @@ def test_an_empty_table_and_no_labels(spark):
     assert result(filter_audit.audit(one, none)) == brute([(1, "a b", "en")], [])
 
 
-def test_long_texts_are_counted_in_slices(monkeypatch):
-    text = (" ".join(str(k * k % 977) for k in range(5000)) + " \n" + "x" * 700).encode()
-    monkeypatch.setattr(filter_audit, "SLICE", 64)
+def test_long_texts_are_counted_in_slices():
+    text = (" ".join(str(k * k % 977) for k in range(500_000)) + " \n" + "x" * 3_000_000 + " y").encode()
     assert filter_audit.word_counts(text) == (len(text.split()), len(set(text.split())))
+    parts = list(slices(b"ab cd  ef\ngh", 3))
+    assert b"".join(parts) == b"ab cd  ef\ngh" and [x.split() for x in parts] == [[b"ab", b"cd"], [b"ef"], [b"gh"]]
+    assert list(slices(b"")) == [b""] and b"".join(slices(b"xxxx", 2)) == b"xxxx"
 
 
 @pytest.mark.parametrize("m", [2, 3, 5])

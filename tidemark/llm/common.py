@@ -54,6 +54,18 @@ def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterat
     pa.default_memory_pool().release_unused()  # the worker waits for its next task without these pages
 
 
+def slices(text: bytes, size: int = 1 << 20) -> Iterator[bytes]:
+    """A text in parts of about `size` bytes that end at white space, so that few of its words exist at a time."""
+    begin = 0
+    while len(text) - begin > size:
+        end = begin + size
+        while end < len(text) and text[end] not in b" \t\n\r\x0b\x0c":
+            end += 1
+        yield text[begin:end]
+        begin = end
+    yield text[begin:]
+
+
 def few(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """Whether a table of ids and hashes has at most so many rows: then it may go to every task."""
     return df.count() <= rows

@@ -23,31 +23,21 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, few, materialize, small_batches
+from .common import discard, few, materialize, slices, small_batches
 
 #: The filters by letter: too short, too repetitive, too many capitals, symbols, copy of a smaller id.
 FILTERS = "ABCDE"
 _A, _B, _C, _D, _E = (1 << k for k in range(5))
 _CAPITALS, _SYMBOLS = bytes(range(ord("A"), ord("Z") + 1)), b"#$%&*|"
-_SPACE = b" \t\n\r\x0b\x0c"
-#: Bytes of a text that are split into words at a time.
-SLICE = 1 << 20
 
 
 def word_counts(text: bytes) -> tuple[int, int]:
     """Words between [\\x20\\x09-\\x0D] and distinct words; long texts are split a slice at a time."""
-    if len(text) <= SLICE:
-        words = text.split()
-        return len(words), len(set(words))
-    n, seen, begin = 0, set(), 0
-    while begin < len(text):
-        end = begin + SLICE
-        while end < len(text) and text[end] not in _SPACE:
-            end += 1
-        words = text[begin:end].split()
+    n, seen = 0, set()
+    for part in slices(text):
+        words = part.split()
         n += len(words)
         seen.update(words)
-        begin = end
     return n, len(seen)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import filter_audit, substring
+from . import filter_audit, secret_scan, substring
 from .bpe import encode_and_decode
 from .common import documents
 from .exact_topk import ORACLE_SQL as TOPK_SQL
@@ -70,13 +70,17 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(documents(spark, sf_dir))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 _ALL = (
     op1_best_fit_packing, op2_simhash_near_dedup, op3_language_id, op4_exact_topk, op5_pii, op6_training_order, op7_substring_dedup, op8_bpe_encoding,
-    op9_document_fingerprints, op10_token_counts, op12_filter_audit,
+    op9_document_fingerprints, op10_token_counts, op11_secret_scan, op12_filter_audit,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
