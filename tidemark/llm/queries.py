@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import filter_audit, secret_scan, substring
+from . import collocations, filter_audit, secret_scan, substring
 from .bpe import encode_and_decode
 from .common import documents
 from .exact_topk import ORACLE_SQL as TOPK_SQL
@@ -78,10 +78,14 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf_dir))
+
+
 _ALL = (
     op1_best_fit_packing, op2_simhash_near_dedup, op3_language_id, op4_exact_topk, op5_pii, op6_training_order, op7_substring_dedup, op8_bpe_encoding,
-    op9_document_fingerprints, op10_token_counts, op11_secret_scan, op12_filter_audit,
+    op9_document_fingerprints, op10_token_counts, op11_secret_scan, op12_filter_audit, op13_phrase_collocations,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
-ORACLE_SQL: dict[str, str] = {"op4_exact_topk": TOPK_SQL, "op7_substring_dedup": substring.ORACLE_SQL, "op12_filter_audit": filter_audit.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_exact_topk": TOPK_SQL, "op7_substring_dedup": substring.ORACLE_SQL, "op12_filter_audit": filter_audit.ORACLE_SQL, "op13_phrase_collocations": collocations.ORACLE_SQL}
