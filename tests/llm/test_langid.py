@@ -1,6 +1,8 @@
 import zlib
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import langid
 
@@ -18,6 +20,49 @@ def test_held_out_accuracy(spark):
     assert np.mean([r.accepted for r in out]) > 0.99
 
 
+#: Sentences in languages that the test documents do not have, and noise of the keyboard.
+UNKNOWN = [
+    "La vita è bella quando il sole splende sulla città e i bambini giocano nel parco con i loro amici",
+    "Het is vandaag mooi weer en wij gaan met de hele familie naar het strand om te zwemmen",
+    "Tänään on kaunis päivä ja menemme koko perheen kanssa rannalle uimaan ja syömään jäätelöä",
+    "A vida é bela quando o sol brilha sobre a cidade e as crianças brincam no parque com os seus amigos",
+    "Dzisiaj jest piękna pogoda i idziemy z całą rodziną na plażę popływać w morzu",
+    "Bugün hava çok güzel ve bütün aile ile birlikte denize gidip yüzeceğiz",
+    "asdf jkl qwer uiop zxcv asdfgh hjkl poiu mnbv qazwsx edcrfv tgbyhn",
+]
+
+
+def test_unknown_languages_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.train(docs)
+    assert not any(model.predict(UNKNOWN)[2])
+    # Pieces of known texts are accepted at every length.
+    texts = [r.text for r in docs.where("doc_id % 7 = 0").collect()]
+    assert np.mean(model.predict([p for t in texts for p in langid.pieces(t)])[2]) > 0.99
+
+
+@pytest.mark.parametrize("left", ["de", "es", "fr"])
+def test_a_language_left_out_of_training_is_rejected(spark, left):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = langid.predict(docs, langid.train(docs.where(F.col("lang") != left))).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    assert np.mean([not r.accepted for r in rows if r.lang == left]) >= 0.9
+    assert np.mean([r.accepted for r in rows if r.lang != left]) >= 0.99
+
+
+def test_limits_rise_with_length_and_follow_the_texts():
+    rnd = np.random.default_rng(5)
+    words = ["".join(rnd.choice(list("abcdefgh"), 4)) for _ in range(40)]
+    texts = [" ".join(rnd.choice(words, n)) for n in (5, 20, 80, 300) for _ in range(40)]
+    idf = np.ones(langid.FEATURES, np.float32)
+    centroids = langid.spherical_kmeans(langid.vectors(texts, idf), 2)
+    least = langid.limits(texts, idf, centroids)
+    assert (np.diff(least) >= 0).all() and least[-1] > 0
+    cosine = (langid.vectors(texts, idf) @ centroids.T).max(1)
+    classes = langid.length_classes(langid.vectors(texts, idf))
+    assert (cosine >= least[classes] * 0.99).mean() > 0.99
+    assert langid.pieces("x" * 10) == ["x" * 10] and [len(p) for p in langid.pieces("y" * 100)] == [100, 16, 32, 64]
+
+
 def test_labels_of_held_out_rows_are_not_used(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").repartition(1)
     other = docs.withColumn("lang", langid.F.when(langid.held_out(), langid.F.lit("xx")).otherwise(docs["lang"]))
@@ -90,6 +135,6 @@ def test_tf_idf_and_nearest_centroid_by_the_definition():
     for k in range(2):  # a fixed point: each centroid is the direction of the sum of the texts nearest to it
         own = got[[i for i, o in enumerate(owner) if o == k]].sum(0)
         assert np.allclose(centroids[k], own / np.linalg.norm(own), atol=1e-5)
-    model = langid.Model(["x", "y"], idf, centroids, np.array([1, 0]))
+    model = langid.Model(["x", "y"], idf, centroids, np.array([1, 0]), np.zeros((2, langid.CLASSES)))
     said, scores, _ = model.predict(texts)
     assert said == [["y", "x"][o] for o in owner] and np.allclose(scores, [max(n) for n in near], atol=1e-5)

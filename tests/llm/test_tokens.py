@@ -1,5 +1,6 @@
 """Encoders against the tokenizers library on texts that are hard to cut."""
 
+import random
 import time
 
 import public_tokenizers
@@ -8,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from tidemark.llm import bpe
+from tidemark.llm import bpe, token_counts
 from tidemark.llm.packing import ChunkIds
 from tidemark.llm.token_counts import Merges, PieceCounts, merged_count
 
@@ -81,3 +82,33 @@ def test_words_found_in_chunks_and_chunks_that_are_words_share_one_table(tools):
             parts = [shown[c] for c in bpe.chunks(text)]
             assert sum(p[0] for p in parts) == len(ids) and "".join(p[1] for p in parts).split() == [str(i) for i in ids], text
             assert "".join(p[2] for p in parts)[:-1] == library.decode(ids, skip_special_tokens=False), text
+
+
+def held_bytes(make):
+    """Bytes that making a table takes, by Python's own account."""
+    import gc
+    import tracemalloc
+
+    gc.collect()
+    tracemalloc.start()
+    table = make()
+    used = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    return table, used
+
+
+@pytest.mark.parametrize("length", [2000, 60, 8])
+def test_tables_are_bounded_in_bytes(monkeypatch, length):
+    """Distinct chunks without spaces, more than the table may hold: what is kept stays below the bound."""
+    rnd = random.Random(length)
+    words = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz猫é") for _ in range(length)) for _ in range(50_000 if length == 8 else 3000)]
+    monkeypatch.setattr(bpe, "TABLE_BYTES", 2 << 20)
+    monkeypatch.setattr(token_counts, "TABLE_BYTES", 2 << 20)
+    counts, coder = PieceCounts(Merges(BYTES)), bpe._Chunks(bpe.WordBpe(WORDS))
+    for table in (counts, coder):
+        _, used = held_bytes(lambda table=table: [table[w] for w in words] and None)
+        assert used < 4 << 20 and table.held <= 2 << 20 and (len(table) == 0) == (length > table.LONG)
+    library = Tokenizer.from_file(WORDS)
+    for w in words[:20]:
+        ids = library.encode(w, add_special_tokens=False).ids
+        assert coder[w] == (len(ids), "".join(f"{i} " for i in ids), library.decode(ids, skip_special_tokens=False) + " ")

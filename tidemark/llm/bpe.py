@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, small_batches
+from .common import Remembered, batch_of, small_batches
 from .token_counts import byte_symbols, merged_parts
 
 #: Fixed value: the pattern of the vocabulary with word ends.
@@ -30,8 +30,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: str.split takes \x1c-\x1f for white space too; texts that hold one are cut by this instead.
 _SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 _SEPARATORS = "\x1c\x1d\x1e\x1f"
-#: Chunks that a worker remembers before it starts anew: about 200 MB.
-REMEMBERED = 500_000
+#: Bytes of the chunks that a worker remembers.
+TABLE_BYTES = 160 << 20
 #: Symbols of the longest word that is merged by scans of its ranks; longer ones would take quadratic time.
 SHORT = 256
 _NONE = 1 << 60
@@ -124,21 +124,18 @@ def _coder(vocabulary: str) -> WordBpe:
     return WordBpe(vocabulary)
 
 
-class _Chunks(dict):
+class _Chunks(Remembered):
     """chunk -> (number of ids, ids as text, tokens as text); both texts end with a space.
 
     A word is a chunk too, so the words of a chunk are looked up in the same table.
     """
 
     def __init__(self, bpe: WordBpe) -> None:
-        super().__init__()
+        super().__init__(TABLE_BYTES)
         self.bpe = bpe
 
     def _kept(self, chunk: str, made: tuple[int, str, str]) -> tuple[int, str, str]:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[chunk] = made
-        return made
+        return self.keep(chunk, made, *made[1:])
 
     def _made(self, ids: list[int]) -> tuple[int, str, str]:
         return len(ids), "".join([f"{i} " for i in ids]), self.bpe.decode(ids) + " " * bool(ids)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from weakref import WeakKeyDictionary
 
@@ -66,6 +67,32 @@ def slices(text: bytes, size: int = 1 << 20) -> Iterator[bytes]:
     yield text[begin:]
 
 
+class Remembered(dict):
+    """A worker's table of what it has made of its words, bounded in bytes; a full one starts anew.
+
+    Words of over LONG characters are not kept: they hardly come again, and what is made of them is large.
+    """
+
+    LONG = 64
+    #: Bytes of a slot of the table and of a tuple or number, about.
+    SLOT = 180
+
+    def __init__(self, most: int) -> None:
+        super().__init__()
+        self.most, self.held = most, 0
+
+    def keep(self, word: str, made, *parts: str):
+        """Remembers `made`, of which `parts` are the strings, and returns it."""
+        if len(word) <= self.LONG:
+            size = self.SLOT + sys.getsizeof(word) + sum(map(sys.getsizeof, parts))
+            if self.held + size > self.most:
+                self.clear()
+                self.held = 0
+            self[word] = made
+            self.held += size
+        return made
+
+
 def few(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """Whether a table of ids and hashes has at most so many rows: then it may go to every task."""
     return df.count() <= rows

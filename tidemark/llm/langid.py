@@ -4,7 +4,9 @@ A text becomes a vector of hashed character 2- and 3-grams weighted by TF-IDF an
 length one; only letters count, all else is a gap between words.  Each language has several
 centroids, found by spherical k-means on a bounded sample of labelled texts.  A text gets the
 language of the centroid of the largest cosine.  It is rejected where its distance, one minus
-that cosine, is hardly less than that of a text whose n-grams are drawn at random.
+that cosine, is beyond what the language's own training texts have: these and pieces of them are
+measured against the language's centroids, by class of length, since short texts lie farther
+from any centroid than long ones.
 """
 
 from __future__ import annotations
@@ -27,8 +29,10 @@ FEATURES = 8192
 #: Labelled texts a language is learned from, at most; the bound of all that training gathers.
 SAMPLE = 400
 CENTROIDS = 3
-#: A text is rejected where its cosine is below this many times what random n-grams would have.
-CHANCE = 1.2
+#: A text is rejected where its cosine is below MARGIN times this quantile of those of training texts of its length.
+QUANTILE, MARGIN = 0.001, 0.8
+#: Classes of length: powers of two of the number of different n-grams.  A class that fewer than SEEN training texts show takes the limit of the class below.
+CLASSES, SEEN = 14, 20
 UNKNOWN = "und"
 _A, _B, _C = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35)
 _SHIFT = np.uint32(32 - 13)
@@ -94,12 +98,43 @@ def spherical_kmeans(rows: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return centroids.astype(np.float32)
 
 
+def length_classes(rows: np.ndarray) -> np.ndarray:
+    """For each vector its class of length."""
+    return np.minimum(CLASSES - 1, np.log2(np.maximum(1, np.count_nonzero(rows, axis=1))).astype(np.int64))
+
+
+def pieces(text: str) -> list[str]:
+    """The text, and a piece of it of each length that is a power of two from 16 on; places depend on its length alone."""
+    sizes = [1 << k for k in range(4, 15) if 1 << k < len(text)]
+    starts = [len(text) * 2654435761 % (len(text) - n) for n in sizes]
+    return [text, *[text[a : a + n] for a, n in zip(starts, sizes, strict=True)]]
+
+
+def limits(texts: list[str], idf: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """The least cosine that is accepted, by class of length: near the least that training texts have."""
+    cosines, classes = [], []
+    for begin in range(0, len(texts), 32):
+        rows = vectors([p for t in texts[begin : begin + 32] for p in pieces(t)], idf)
+        cosines.append((rows @ centroids.T).max(1))
+        classes.append(length_classes(rows))
+    cosine, of = np.concatenate(cosines), np.concatenate(classes)
+    out, last = np.zeros(CLASSES), 0.0
+    for c in range(CLASSES):
+        if (of == c).sum() >= SEEN:
+            last = max(last, MARGIN * float(np.quantile(cosine[of == c], QUANTILE)))
+        out[c] = last
+    return out
+
+
 @dataclass
 class Model:
+    """limits: a row for each language, its least accepted cosines by class of length."""
+
     languages: list[str]
     idf: np.ndarray
     centroids: np.ndarray
     owner: np.ndarray
+    limits: np.ndarray
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float], list[bool]]:
         """Language, score and acceptance of each text."""
@@ -108,9 +143,7 @@ class Model:
             part = texts[begin : begin + 256]
             rows = vectors(part, self.idf)
             near = rows @ self.centroids.T if len(self.owner) else np.zeros((len(part), 0))
-            # The cosine of a text of as many n-grams, all drawn at random, with each centroid.
-            random = np.sqrt(np.count_nonzero(rows, axis=1))[:, None] * self.centroids.mean(1) if len(self.owner) else near
-            for text, row, chance in zip(part, near, random, strict=True):
+            for text, row, length in zip(part, near, length_classes(rows), strict=True):
                 if not len(row) or not has_letter(text):
                     said.append(UNKNOWN)
                     scores.append(0.0)
@@ -120,7 +153,7 @@ class Model:
                 language = int(self.owner[best])
                 said.append(self.languages[language])
                 scores.append(float(min(max(row[best], 0.0), 1.0)))
-                kept.append(bool(row[best] > CHANCE * chance[best]))
+                kept.append(bool(row[best] > 0 and row[best] >= self.limits[language, length]))
         return said, scores, kept
 
 
@@ -163,15 +196,17 @@ def train(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) ->
     idf = (np.log((1 + df[-1]) / (1 + df[:-1])) + 0.1).astype(np.float32)
 
     def learn(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        rows = vectors(group["text"].tolist(), idf)
-        return pd.DataFrame({"lang": key[0], "centroid": [c.tobytes() for c in spherical_kmeans(rows, centroids)]})
+        found = spherical_kmeans(vectors(group["text"].tolist(), idf), centroids)
+        least = limits(group["text"].tolist(), idf, found).tolist()
+        return pd.DataFrame({"lang": key[0], "centroid": [c.tobytes() for c in found], "limits": [least] * len(found)})
 
-    learned = texts.groupBy("lang").applyInPandas(learn, "lang string, centroid binary").collect()
+    learned = texts.groupBy("lang").applyInPandas(learn, "lang string, centroid binary, limits array<double>").collect()
     languages = sorted({r.lang for r in learned})
+    least = {r.lang: r.limits for r in learned}
     learned = sorted(learned, key=lambda r: (r.lang, bytes(r.centroid)))
     return Model(
         languages, idf, np.array([np.frombuffer(r.centroid, np.float32) for r in learned], np.float32).reshape(-1, FEATURES),
-        np.array([languages.index(r.lang) for r in learned], np.int64),
+        np.array([languages.index(r.lang) for r in learned], np.int64), np.array([least[x] for x in languages]).reshape(-1, CLASSES),
     )
 
 

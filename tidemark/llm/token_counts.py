@@ -18,12 +18,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, small_batches
+from .common import Remembered, batch_of, small_batches
 
 #: Fixed value: the pattern that the byte-level vocabulary splits text by.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pieces that a worker remembers before it starts anew: about 150 MB.
-REMEMBERED = 700_000
+#: Bytes of the pieces that a worker remembers.
+TABLE_BYTES = 160 << 20
 #: str.split and str.isspace take these for white space, the pattern doesn't.
 _SEPARATORS = "\x1c\x1d\x1e\x1f"
 _OUT = [("n_bytes", pa.int64()), ("n_tokens", pa.int64())]
@@ -95,11 +95,11 @@ def _merges(vocabulary: str) -> Merges:
     return Merges(vocabulary)
 
 
-class PieceCounts(dict):
+class PieceCounts(Remembered):
     """Tokens of a piece; a piece that starts with a line break stands for itself, others follow a space."""
 
     def __init__(self, merges: Merges) -> None:
-        super().__init__()
+        super().__init__(TABLE_BYTES)
         self.merges = merges
         self.find = regex.compile(PATTERN).findall
         self.cut = re.compile("(" + "|".join(map(re.escape, merges.special)) + ")") if merges.special else None
@@ -117,11 +117,7 @@ class PieceCounts(dict):
         body = piece[1:] if piece[:1] == "\n" else piece
         if not body or body[0].isspace() or body[-1].isspace():
             raise _Irregular
-        n = self.count(piece if piece[0] == "\n" else " " + piece)
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[piece] = n
-        return n
+        return self.keep(piece, self.count(piece if piece[0] == "\n" else " " + piece))
 
     def of(self, text: str) -> int:
         if not text:
