@@ -2,12 +2,13 @@
 
 import datetime as dt
 import math
+import statistics
 from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions import quantiles, tails
+from tidemark.functions import quantiles, resample, tails
 from tidemark.operators import cohorts, diagnosis, experiments, funnel, gates, parse, pricing, quality, targeting
 from tidemark.sources import files
 from tidemark.sources.tables import with_flags
@@ -137,6 +138,37 @@ def test_tests_have_states(spark):
 def test_tail_values(spark):
     row = spark.range(1).select(tails.normal_two_sided(F.lit(1.959963984540054)).alias("z"), tails.chi_square_one(F.lit(3.841458820694124)).alias("x"), tails.student_two_sided(F.lit(2.228138851964939), F.lit(10.0)).alias("t")).collect()[0]
     assert row.z == pytest.approx(0.05, abs=1e-9) and row.x == pytest.approx(0.05, abs=1e-9) and row.t == pytest.approx(0.05, abs=1e-9)
+    given = [(z / 7, float(df)) for z in (0, 1, 10, 17, 18, 25, 40, 80) for df in (1, 2, 7, 1000)] + [(None, 3.0)]
+    rows = spark.createDataFrame(given, "z double, df double").select("*", tails.normal_two_sided("z").alias("p"), tails.student_two_sided("z", "df").alias("t")).collect()
+    for r in rows:
+        if r.z is None:
+            assert r.p is None and r.t is None
+            continue
+        assert r.p == pytest.approx(math.erfc(r.z / math.sqrt(2)), rel=1e-11)
+        closed = {1: lambda z: 1 - 2 / math.pi * math.atan(z), 2: lambda z: 1 - z / math.sqrt(2 + z * z)}
+        if r.df in closed:
+            assert r.t == pytest.approx(closed[r.df](r.z), rel=1e-9, abs=1e-13)
+    big = {r.z: r.t for r in rows if r.df == 1000}
+    # To first order in 1 / df the tail of Student's t is that of the normal with z (1 - (z^2 + 1) / (4 df)).
+    assert all(t == pytest.approx(math.erfc(z * (1 - (z * z + 1) / 4000) / math.sqrt(2)), rel=2e-3) for z, t in big.items())
+
+
+def test_counter_weights(spark):
+    """Poisson weights of mean one and n; the same whenever and wherever they are drawn."""
+    df = spark.range(4000).select("id", resample.block_hash(5, F.col("id"), F.lit("x")).alias("h"))
+    cols = [resample.poisson_one(F.col("h"), k).alias(f"w{k}") for k in range(4)] + [resample.poisson_many(F.col("h"), 0, F.lit(400)).alias("many")]
+    rows = df.select("id", *cols).collect()
+    again = {r.id: r for r in df.repartition(7).select("id", *cols).collect()}
+    assert all(again[r.id] == r for r in rows)
+    for k in range(4):
+        w = [r[f"w{k}"] for r in rows]
+        assert abs(statistics.mean(w) - 1) < 0.06 and abs(statistics.variance(w) - 1) < 0.1
+        assert abs(sum(x == 0 for x in w) / len(w) - math.exp(-1)) < 0.03
+    many = [r.many for r in rows]
+    assert abs(statistics.mean(many) - 400) < 1.2 and abs(statistics.variance(many) / 400 - 1) < 0.1
+    u = [1e-6, 0.01, 0.3, 0.5, 0.9, 0.99, 1 - 1e-6]
+    points = spark.createDataFrame([(x,) for x in u], "u double").select(resample.normal_point(F.col("u")).alias("z")).collect()
+    assert [r.z for r in points] == pytest.approx([statistics.NormalDist().inv_cdf(x) for x in u], abs=1e-7)
 
 
 def test_exact_quantiles(spark):
@@ -145,6 +177,22 @@ def test_exact_quantiles(spark):
     want = df.select(*[F.percentile(c, F.array(*map(F.lit, ps))).alias(c) for c in ("v", "w")]).collect()[0]
     got = quantiles.exact_quantiles(df, ["v", "w", "none"], ps, accuracy=100)
     assert got["v"] == pytest.approx(want.v) and got["w"] == pytest.approx(want.w) and got["none"] == [None] * 5
+    # Brackets narrowed again and again, until few rows are inside; two heavy values; a bracket that misses.
+    for most, accuracy in ((200, 50), (3, 10), (1, 5)):
+        assert quantiles.exact_quantiles(df, ["v", "w"], ps, accuracy=accuracy, most=most) == {"v": pytest.approx(want.v), "w": pytest.approx(want.w)}
+
+
+def test_score_ranks_compare_fractions(spark):
+    """Two scores that differ after the ninth digit are told apart, equal fractions tie."""
+    n = 10**12
+    rows = [(0, 2, 4, 1, 2), (1, 10, 20, 5, 10), (2, n // 2 + 1, n, n // 4 + 1, n), (3, n // 2, n, n // 4, n), (4, n // 2 + 2, n, n // 4 + 1, n), (5, 0, 0, 0, 0)]
+    rates = spark.createDataFrame(rows, "group_id int, score_y1 long, score_n1 long, score_y0 long, score_n0 long")
+    got = {r.group_id: (r.response_rank, r.incremental_rank) for r in targeting.score_ranks(rates).collect()}
+    assert got == {0: (1, 3), 1: (1, 3), 2: (2, 2), 3: (3, 2), 4: (2, 1), 5: (4, 3)}
+
+
+def test_cells_follow_the_rows():
+    assert [targeting.cell_digits(n) for n in (0, 10**4, 10**6, 10**8, 10**12)] == [1, 1, 2, 4, 4]
 
 
 def test_ranks_do_not_see_outcomes(spark, sample):

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from ..functions import resample
 from ..functions.columns import count_where
 
 FLAGS = ("paths_ok", "users_ok", "days_ok", "coverage_ok", "gap_ok")
@@ -92,33 +91,20 @@ def compare(compact_: DataFrame, min_paths: int = 10, min_days: int = 3) -> Data
     )
 
 
-def cluster_bootstrap(compact_: DataFrame, repetitions: int, seed: int, buckets: int = 16) -> DataFrame:
+def cluster_bootstrap(compact_: DataFrame, repetitions: int, seed: int) -> DataFrame:
     """Intervals of the raw difference by Poisson weights of users, the same over all dates and both prices.
 
-    A user's weight in a repetition is a function of (seed, repetition, user), so sums by
-    product and repetition need no gathering of a product's users: tasks hold a batch of rows.
+    A user's weight in a repetition is a hash of (seed, block of repetitions, user), so sums by
+    product and repetition need no gathering of a product's users and are added up before any shuffle.
     """
-    schema = "product_id string, repetition int, nl double, nh double, yl double, yh double"
-
-    def partial(batches):
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            h = pd.util.hash_array(pdf["user_id"].to_numpy(dtype=object).astype(str).astype(object)).astype(np.uint64)
-            side = (pdf["side"] == "low").to_numpy()
-            for begin in range(0, repetitions, 100):  # weights of 100 repetitions at once, to bound memory
-                reps = np.arange(begin, min(begin + 100, repetitions))
-                x = (h[:, None] ^ (np.uint64(seed) + reps.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xBF58476D1CE4E5B9)
-                u = ((x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB) >> np.uint64(11)) / float(1 << 53)
-                weight = sum((u > p).astype(np.int64) for p in np.cumsum([np.exp(-1.0) / float(np.prod(range(1, k + 1)) or 1) for k in range(12)]))
-                for product, at in pdf.groupby("product_id").indices.items():
-                    w, low = weight[at], side[at]
-                    n, y = pdf["n"].to_numpy()[at][:, None] * w, pdf["y"].to_numpy()[at][:, None] * w
-                    yield pd.DataFrame({"product_id": product, "repetition": reps.astype(np.int32), "nl": n[low].sum(0).astype(float), "nh": n[~low].sum(0).astype(float), "yl": y[low].sum(0).astype(float), "yh": y[~low].sum(0).astype(float)})
-
-    sums = compact_.select("product_id", "user_id", "side", "n", "y").mapInPandas(partial, schema).groupBy("product_id", "repetition").agg(*[F.sum(c).alias(c) for c in ("nl", "nh", "yl", "yh")])
-    diff = F.try_divide("yl", "nl") - F.try_divide("yh", "nh")
-    drawn = sums.withColumn("difference", diff)
+    lanes = range(resample.LANES)
+    blocks = F.explode(F.sequence(F.lit(0), F.lit(-(-repetitions // resample.LANES) - 1))).alias("block")
+    rows = compact_.select("product_id", "user_id", "side", "n", "y", blocks).withColumn("h", resample.block_hash(seed, F.col("block"), F.col("user_id")))
+    rows = rows.select("product_id", "block", "side", "n", "y", *[resample.poisson_one(F.col("h"), k).alias(f"w{k}") for k in lanes])
+    total = lambda side, c, k: F.coalesce(F.sum(F.when(F.col("side") == side, F.col(c) * F.col(f"w{k}"))), F.lit(0)).cast("double")
+    sums = rows.groupBy("product_id", "block").agg(*[F.struct(F.lit(k).alias("lane"), total("low", "n", k).alias("nl"), total("high", "n", k).alias("nh"), total("low", "y", k).alias("yl"), total("high", "y", k).alias("yh")).alias(f"x{k}") for k in lanes])
+    drawn = sums.select("product_id", "block", F.explode(F.array(*[F.col(f"x{k}") for k in lanes])).alias("x")).select("product_id", "block", "x.*").where(F.col("block") * resample.LANES + F.col("lane") < repetitions)
+    drawn = drawn.withColumn("difference", F.try_divide("yl", "nl") - F.try_divide("yh", "nh"))
     return drawn.groupBy("product_id").agg(F.percentile("difference", F.lit(0.025)).alias("ci_low"), F.percentile("difference", F.lit(0.975)).alias("ci_high"), F.count_if(F.col("difference").isNull()).alias("invalid"))
 
 

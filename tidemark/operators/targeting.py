@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-import numpy as np
+import math
+from fractions import Fraction
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
+from pyspark.sql.types import IntegerType, StructField, StructType
 
+from ..functions import resample
 from ..functions.columns import FOUR_FIFTHS, TENTH, THREE_FIFTHS, count_where, hash16, ratio
 from ..functions.quantiles import exact_quantiles
 from ..sources.scratch import hold
@@ -56,7 +60,7 @@ def train_cuts(rows: DataFrame, features: list[str]) -> DataFrame:
     """Quartiles of each feature on train, without repeats and without the ends of its range: a row a feature."""
     held = rows.where("split = 'train'")
     found = exact_quantiles(held, features, [0.25, 0.5, 0.75])
-    ends = held.agg(*[x for f in features for x in (F.min(f).alias(f"lo_{f}"), F.max(f).alias(f"hi_{f}"))]).collect()[0]
+    ends = held.agg(*[x for f in features for x in (F.min(f).alias(f"lo_{f}"), F.max(f).alias(f"hi_{f}"))]).collect()[0]  # a second look at two columns
     cuts = [(f, sorted({q for q in found[f] if q is not None and ends[f"lo_{f}"] < q < ends[f"hi_{f}"]})) for f in features]
     return rows.sparkSession.createDataFrame(cuts, "feature string, cuts array<double>")
 
@@ -69,44 +73,67 @@ def bin_group(rows: DataFrame, cuts: DataFrame) -> DataFrame:
 
 
 def group_rates(grouped: DataFrame, support: int) -> DataFrame:
-    """For each of 16 groups the rates of both arms; groups of little support take the whole table's scores."""
+    """For each of 16 groups the rates of both arms; groups of little support take the whole table's scores.
+
+    The response score is the rate without treatment, the incremental score what treatment adds to it.
+    score_y1 / score_n1 and score_y0 / score_n0 are the rates that the scores rest on.
+    """
     train = grouped.where("split = 'train'")
     t, y = F.col("treatment"), F.col("conversion")
     names = ["n1", "n0", "y1", "y0"]
     aggs = [count_where(t == 1).alias("n1"), count_where(t == 0).alias("n0"), count_where((t == 1) & (y == 1)).alias("y1"), count_where((t == 0) & (y == 1)).alias("y0")]
     spine = grouped.sparkSession.range(16).select(F.col("id").cast("int").alias("group_id"))
-    joined = spine.join(train.groupBy("group_id").agg(*aggs), "group_id", "left").fillna(0, names)
+    joined = spine.join(train.groupBy("group_id").agg(*aggs).withColumn("seen", F.lit(True)), "group_id", "left").fillna(0, names)
     joined = joined.select("*", *[F.sum(c).over(Window.partitionBy()).alias(f"all_{c}") for c in names])  # 16 rows
     fallback = F.least("n1", "n0") < support
-    pick = lambda c: F.when(fallback, F.col(f"all_{c}")).otherwise(F.col(c)).cast("double")
-    p1, p0 = pick("y1") / pick("n1"), pick("y0") / pick("n0")
-    response = (pick("y1") + pick("y0")) / (pick("n1") + pick("n0"))
-    reason = F.when(fallback, "low_support").otherwise("own_rates")
-    return joined.select("group_id", "n1", "n0", "y1", "y0", fallback.alias("fallback"), reason.alias("reason"), F.round(response, 9).alias("response_score"), F.round(p1 - p0, 9).alias("incremental_score"))
+    reason = F.when(F.col("seen").isNull(), "unobserved").when(fallback, "low_support").otherwise("own_rates")
+    told = joined.select("group_id", *names, fallback.alias("fallback"), reason.alias("reason"), *[F.when(fallback, F.col(f"all_{c}")).otherwise(F.col(c)).alias(f"score_{c}") for c in names])
+    rate = lambda a: F.col(f"score_y{a}") / F.when(F.col(f"score_n{a}") > 0, F.col(f"score_n{a}")).cast("double")
+    return told.withColumns({"response_score": F.round(rate(0), 9), "incremental_score": F.round(rate(1) - rate(0), 9)})
 
 
 def score_ranks(rates: DataFrame) -> DataFrame:
-    """Dense ranks of both scores, best first; 16 rows."""
-    rank = lambda c: F.dense_rank().over(Window.orderBy(F.desc(c)))
-    return rates.withColumns({"response_rank": rank("response_score"), "incremental_rank": rank("incremental_score")})
+    """Dense ranks of both scores, best first, of the 16 groups: scores are compared as fractions, so only equal ones tie."""
+
+    def ranked(pdf: pd.DataFrame) -> pd.DataFrame:
+        rate = lambda a: [Fraction(int(y), int(n)) if n else Fraction(-1) for y, n in zip(pdf[f"score_y{a}"], pdf[f"score_n{a}"], strict=True)]
+        control = rate(0)
+        for name, scores in (("response_rank", control), ("incremental_rank", [p - q for p, q in zip(rate(1), control, strict=True)])):
+            best = sorted(set(scores), reverse=True)
+            pdf[name] = [best.index(x) + 1 for x in scores]
+        return pdf
+
+    schema = StructType([*rates.schema.fields, StructField("response_rank", IntegerType()), StructField("incremental_rank", IntegerType())])
+    return rates.groupBy().applyInPandas(ranked, schema)
 
 
 def apply_rules(rows: DataFrame, rules: DataFrame) -> DataFrame:
-    """Scores of held-out rows from frozen rules; rows carry no outcome."""
+    """Scores of held-out rows from frozen rules.  Outcomes travel along, as `outcome`, and order nothing."""
     told = rules.select("group_id", "response_rank", "incremental_rank", "fallback")
-    return rows.drop("conversion", "visit").join(F.broadcast(told), "group_id")
+    sealed = rows.withColumn("outcome", F.struct("conversion", "visit")).drop("conversion", "visit")
+    return sealed.join(F.broadcast(told), "group_id")
+
+
+def tie_hash(row_id: str = "row_id") -> Column:
+    """What orders rows of one score."""
+    return F.sha2(F.concat(F.lit("target-v1|"), F.col(row_id)), 256)
 
 
-def policy_places(scored: DataFrame, digits: int = 3) -> DataFrame:
-    """place_<policy>: each row's place in the total order of each policy, ties by hash, then id; n_all: all rows.
+def cell_digits(n: int, rows: int = 1 << 14) -> int:
+    """Leading hexadecimal digits of the hash that leave about `rows` rows in a cell; four of them, 65,536 cells, at most."""
+    return min(4, max(1, math.ceil(math.log(max(1, n / rows), 16))))
 
-    Ranks take few values and the hash is uniform, so (rank, hash) cuts into fine equal cells: a
+
+def policy_places(scored: DataFrame, digits: int | None = None) -> DataFrame:
+    """place_<policy>: each row's place in the total order of each policy, ties by hash (tie), then id; n_all: all rows.
+
+    Ranks take few values and the hash is uniform, so (rank, hash) cuts into equal cells: a
     place is the number of rows in cells before, plus the place within the cell.  One aggregate
-    counts the cells of all policies (a row a group and cell, so 16 x 16^digits at most), and
+    counts the cells of all policies (a row a group and cell, so 16 x 65,536 at most), and
     all three places come from one exchange by cell.
     """
-    tie = F.sha2(F.concat(F.lit("target-v1|"), F.col("row_id")), 256)
-    base = scored.withColumn("tie", tie).withColumn("cell", F.conv(F.substring("tie", 1, digits), 16, 10).cast("int"))
+    digits = digits or cell_digits(scored.count())
+    base = scored.withColumn("cell", F.conv(F.substring("tie", 1, digits), 16, 10).cast("int"))
     sizes = hold(base.groupBy("cell", "response_rank", "incremental_rank").agg(F.count("*").alias("n")))
     out = base.repartition("cell").crossJoin(F.broadcast(sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_all"))))
     for policy in POLICIES:
@@ -116,7 +143,12 @@ def policy_places(scored: DataFrame, digits: int = 3) -> DataFrame:
         before = cells.select("rank_", "cell", F.coalesce(F.sum("size_").over(order), F.lit(0)).alias("before_"))
         inner = F.row_number().over(Window.partitionBy("cell", "rank_").orderBy("tie", "row_id"))
         out = out.withColumn("rank_", rank).join(F.broadcast(before), ["cell", "rank_"]).withColumn(f"place_{policy}", (inner + F.col("before_")).cast("long")).drop("rank_", "before_")
-    return out.drop("tie", "cell")
+    return out.drop("cell")
+
+
+def unseal(placed: DataFrame) -> DataFrame:
+    """Outcomes as columns again, when all places are known."""
+    return placed.select("*", "outcome.*").drop("outcome")
 
 
 def capacity_masks(places: DataFrame, n: Column) -> DataFrame:
@@ -130,8 +162,8 @@ def capacity_masks(places: DataFrame, n: Column) -> DataFrame:
 
 
 def joint_types(masked: DataFrame) -> DataFrame:
-    """Rows of each arm, outcome and mask: all that the evaluations need."""
-    return masked.groupBy("treatment", "conversion", "mask").agg(F.count("*").alias("n"))
+    """Rows of each arm, outcome, mask and kind of score: all that the evaluations need, a few thousand rows at most."""
+    return masked.groupBy("treatment", "conversion", "mask", "fallback").agg(F.count("*").alias("n"))
 
 
 def coverage(types: DataFrame) -> DataFrame:
@@ -140,12 +172,18 @@ def coverage(types: DataFrame) -> DataFrame:
     long = types.select("*", F.explode(F.array(*cells)).alias("x")).select("*", "x.*").where(F.col("mask").bitwiseAND(F.col("bit").cast("long")) != 0)
     s = lambda when: F.coalesce(F.sum(F.when(when, F.col("n"))), F.lit(0)).cast("long")
     t, y = F.col("treatment"), F.col("conversion")
-    g = long.groupBy("policy", "capacity").agg(s(t == 1).alias("n1"), s(t == 0).alias("n0"), s((t == 1) & (y == 1)).alias("y1"), s((t == 0) & (y == 1)).alias("y0"))
+    g = long.groupBy("policy", "capacity").agg(s(t == 1).alias("n1"), s(t == 0).alias("n0"), s((t == 1) & (y == 1)).alias("y1"), s((t == 0) & (y == 1)).alias("y0"), s(F.col("fallback")).alias("fallback_n"))
     whole = types.agg(F.sum("n").alias("whole"))
     delta = F.col("y1") / F.when(F.col("n1") > 0, F.col("n1")).cast("double") - F.col("y0") / F.when(F.col("n0") > 0, F.col("n0")).cast("double")
     share = (F.col("n1") + F.col("n0")) / F.col("whole").cast("double")
     status = F.when((F.col("n1") == 0) | (F.col("n0") == 0), "zero_arm").when(F.least("y1", "y0") < 5, "sparse").otherwise("ok")
-    return g.crossJoin(F.broadcast(whole)).select("policy", "capacity", "n1", "n0", "y1", "y0", F.round(delta, 6).alias("delta"), F.round(10000 * share * delta, 4).alias("gain"), F.round(F.col("n1") / (F.col("n1") + F.col("n0")), 6).alias("treatment_share"), status.alias("status"))
+    return g.crossJoin(F.broadcast(whole)).select("policy", "capacity", "n1", "n0", "y1", "y0", F.round(delta, 6).alias("delta"), F.round(10000 * share * delta, 4).alias("gain"), F.round(F.col("n1") / (F.col("n1") + F.col("n0")), 6).alias("treatment_share"), "fallback_n", status.alias("status"))
+
+
+def by_stratum(counts: DataFrame, rules: DataFrame) -> DataFrame:
+    """Counts of both arms by split and group (a row each) beside the frozen ranks; 32 rows, also of groups without records."""
+    told = rules.select("group_id", "fallback", "reason", "response_rank", "incremental_rank", F.explode(F.array(F.lit("train"), F.lit("valid"))).alias("split"))
+    return told.join(counts, ["split", "group_id"], "left").fillna(0, ["n1", "n0", "k1", "k0"])
 
 
 def contrasts(coverage_: DataFrame) -> DataFrame:
@@ -169,35 +207,31 @@ def overlap(types: DataFrame) -> DataFrame:
 
 
 def joint_bootstrap(types: DataFrame, repetitions: int, seed: int) -> DataFrame:
-    """policy, capacity, repetition, gain: paired resamples of the joint types within each arm.
+    """policy, capacity, repetition, gain: paired resamples of the joint types, each a cell of like records.
 
-    The types are counts by mask, a bounded table, sent once to each repetition's group.
+    Weights come from a hash of (seed, block of repetitions, cell), so every run draws the same.  The
+    types are a few thousand cells, whatever the number of records; all policies of a repetition share its weights.
     """
-    reps = F.explode(F.sequence(F.lit(0), F.lit(repetitions - 1))).alias("repetition")
-    schema = "repetition int, policy string, capacity int, gain double"
-
-    def resample(pdf: pd.DataFrame) -> pd.DataFrame:
-        rep = int(pdf["repetition"].iloc[0])
-        pdf = pdf.sort_values(["treatment", "conversion", "mask"])
-        rng = np.random.default_rng([seed, rep])
-        drawn = np.zeros(len(pdf), np.int64)
-        for arm in (0, 1):
-            at = np.flatnonzero(pdf["treatment"].to_numpy() == arm)
-            n = pdf["n"].to_numpy()[at]
-            if len(at):
-                drawn[at] = rng.multinomial(n.sum(), n / n.sum())
-        mask, arm, y = (pdf[c].to_numpy() for c in ("mask", "treatment", "conversion"))
-        out = []
-        for p, policy in enumerate(POLICIES):
-            for c, capacity in enumerate(CAPACITIES):
-                inside = mask >> (p * len(CAPACITIES) + c) & 1 == 1
-                n1, n0 = drawn[inside & (arm == 1)].sum(), drawn[inside & (arm == 0)].sum()
-                y1, y0 = drawn[inside & (arm == 1) & (y == 1)].sum(), drawn[inside & (arm == 0) & (y == 1)].sum()
-                gain = 10000 * (n1 + n0) / drawn.sum() * (y1 / n1 - y0 / n0) if n1 and n0 else None
-                out.append((rep, policy, capacity, gain))
-        return pd.DataFrame(out, columns=["repetition", "policy", "capacity", "gain"])
-
-    return types.select("*", reps).groupBy("repetition").applyInPandas(resample, schema)
+    cells = types.groupBy("treatment", "conversion", "mask").agg(F.sum("n").cast("long").alias("n"))
+    blocks = F.explode(F.sequence(F.lit(0), F.lit(-(-repetitions // resample.LANES) - 1))).alias("block")
+    one_by_one = F.col("n") <= resample.FEW
+    unit = F.explode(F.when(one_by_one, F.sequence(F.lit(1), F.col("n").cast("int"))).otherwise(F.array(F.lit(0)))).alias("unit")
+    drawn = cells.select("*", unit).select("*", blocks).withColumn("h", resample.block_hash(seed, *map(F.col, ("block", "treatment", "conversion", "mask", "unit"))))
+    lane = lambda k: F.when(one_by_one, resample.poisson_one(F.col("h"), k)).otherwise(resample.poisson_many(F.col("h"), k, F.col("n")))
+    drawn = drawn.select("block", "treatment", "conversion", "mask", F.posexplode(F.array(*[lane(k) for k in range(resample.LANES)])).alias("lane", "w"))
+    drawn = drawn.groupBy((F.col("block") * resample.LANES + F.col("lane")).alias("repetition"), "treatment", "conversion", "mask").agg(F.sum("w").alias("w")).where(F.col("repetition") < repetitions)
+    inside = lambda p, c: F.col("mask").bitwiseAND(F.lit(1 << (p * len(CAPACITIES) + c)).cast("long")) != 0
+    t, y = F.col("treatment"), F.col("conversion")
+    s = lambda when: F.coalesce(F.sum(F.when(when, F.col("w"))), F.lit(0)).cast("double")
+    places_ = [(p, c) for p in range(len(POLICIES)) for c in range(len(CAPACITIES))]
+    sums = drawn.groupBy("repetition").agg(*[F.struct(F.lit(POLICIES[p]).alias("policy"), F.lit(CAPACITIES[c]).alias("capacity"), s(inside(p, c) & (t == 1)).alias("n1"), s(inside(p, c) & (t == 0)).alias("n0"), s(inside(p, c) & (t == 1) & (y == 1)).alias("y1"), s(inside(p, c) & (t == 0) & (y == 1)).alias("y0")).alias(f"x{p}_{c}") for p, c in places_])
+    # The share of all records is that of the capacity, not of the draw.
+    share = cells.agg(F.sum("n").cast("double").alias("whole"), *[F.sum(F.when(inside(p, c), F.col("n"))).cast("double").alias(f"k{p}_{c}") for p, c in places_])
+    share = share.select(F.explode(F.array(*[F.struct(F.lit(POLICIES[p]).alias("of"), F.lit(CAPACITIES[c]).alias("at"), (F.coalesce(F.col(f"k{p}_{c}"), F.lit(0.0)) / F.col("whole")).alias("share")) for p, c in places_])).alias("z")).select("z.*")
+    long = sums.select("repetition", F.explode(F.array(*[F.col(f"x{p}_{c}") for p, c in places_])).alias("x")).select("repetition", "x.*")
+    long = long.join(F.broadcast(share), (F.col("policy") == F.col("of")) & (F.col("capacity") == F.col("at")))
+    gain = F.when((F.col("n1") > 0) & (F.col("n0") > 0), 10000 * F.col("share") * (F.try_divide("y1", "n1") - F.try_divide("y0", "n0")))
+    return long.select("policy", "capacity", "repetition", gain.alias("gain"))
 
 
 def bootstrap_intervals(draws: DataFrame) -> DataFrame:

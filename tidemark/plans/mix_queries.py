@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import resample
 from ..operators import mix, pricing
 from ..sources.tables import table
 from .registry import query
@@ -163,9 +164,14 @@ def price_compare(spark, sf_dir):
     return pricing.compare(_compact(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH {PATH_SQL}, bh AS (SELECT product_id, side, n, y, b, {resample.block_hash_sql(7, "b", "user_id")} AS h FROM co, range({1000 // resample.LANES}) r(b)),
+bw AS (SELECT product_id, side, n, y, b * {resample.LANES} + lane AS repetition, {resample.poisson_one_sql("h", "lane")} AS w FROM bh, range({resample.LANES}) l(lane)),
+bs AS (SELECT product_id, repetition, coalesce(sum(n * w) FILTER (side = 'low'), 0) AS nl, coalesce(sum(n * w) FILTER (side = 'high'), 0) AS nh, coalesce(sum(y * w) FILTER (side = 'low'), 0) AS yl, coalesce(sum(y * w) FILTER (side = 'high'), 0) AS yh FROM bw GROUP BY ALL),
+bd AS (SELECT product_id, CASE WHEN nl > 0 AND nh > 0 THEN yl / CAST(nl AS DOUBLE) - yh / CAST(nh AS DOUBLE) END AS d FROM bs)
+SELECT product_id, round(quantile_cont(d, 0.025), 6) AS ci_low, round(quantile_cont(d, 0.975), 6) AS ci_high, count(*) FILTER (d IS NULL) AS invalid FROM bd GROUP BY 1""")
 def price_cluster_bootstrap(spark, sf_dir):
-    return pricing.cluster_bootstrap(_compact(spark, sf_dir), 1000, 7)
+    out = pricing.cluster_bootstrap(_compact(spark, sf_dir), 1000, 7)
+    return out.withColumns({"ci_low": F.round("ci_low", 6), "ci_high": F.round("ci_high", 6)})
 
 
 @query(f"""WITH {PATH_SQL}, g AS (SELECT cp.*, m, CAST((high_price - low_price) AS DOUBLE) / CAST(high_price AS DOUBLE) AS d FROM cp JOIN cd USING (product_id), (VALUES (CAST(0.05 AS DOUBLE)), (0.2), (0.5)) v(m))

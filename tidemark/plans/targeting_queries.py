@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import resample
+from ..functions.columns import ratio
 from ..operators import experiments as ex
 from ..operators import models
 from ..operators import targeting as tg
-from ..sources.scratch import hold
+from ..sources.scratch import once
 from ..sources.tables import EXPERIMENT_SQL, experiment, table
 from .experiment_queries import _wald_sql
 from .registry import query
@@ -24,38 +26,48 @@ gc AS (SELECT group_id, count(*) FILTER (treatment = 1) AS n1, count(*) FILTER (
 ga AS (SELECT sum(n1) AS n1, sum(n0) AS n0, sum(y1) AS y1, sum(y0) AS y0 FROM gc),
 gs AS (SELECT CAST(i AS INTEGER) AS group_id, coalesce(gc.n1, 0) AS n1, coalesce(gc.n0, 0) AS n0, coalesce(gc.y1, 0) AS y1, coalesce(gc.y0, 0) AS y0, least(coalesce(gc.n1, 0), coalesce(gc.n0, 0)) < 50 AS fallback FROM range(16) r(i) LEFT JOIN gc ON group_id = i),
 gp AS (SELECT gs.*, CAST(CASE WHEN fallback THEN ga.n1 ELSE gs.n1 END AS DOUBLE) AS a1, CAST(CASE WHEN fallback THEN ga.n0 ELSE gs.n0 END AS DOUBLE) AS a0, CAST(CASE WHEN fallback THEN ga.y1 ELSE gs.y1 END AS DOUBLE) AS b1, CAST(CASE WHEN fallback THEN ga.y0 ELSE gs.y0 END AS DOUBLE) AS b0 FROM gs, ga),
-rates AS (SELECT group_id, n1, n0, y1, y0, fallback, CASE WHEN fallback THEN 'low_support' ELSE 'own_rates' END AS reason, round((b1 + b0) / (a1 + a0), 9) AS response_score, round(b1 / a1 - b0 / a0, 9) AS incremental_score FROM gp),
-rules AS (SELECT *, CAST(dense_rank() OVER (ORDER BY response_score DESC) AS INTEGER) AS response_rank, CAST(dense_rank() OVER (ORDER BY incremental_score DESC) AS INTEGER) AS incremental_rank FROM rates)"""
+rates AS (SELECT group_id, n1, n0, y1, y0, fallback, CASE WHEN n1 + n0 = 0 THEN 'unobserved' WHEN fallback THEN 'low_support' ELSE 'own_rates' END AS reason,
+  CAST(b1 AS BIGINT) AS score_y1, CAST(a1 AS BIGINT) AS score_n1, CAST(b0 AS BIGINT) AS score_y0, CAST(a0 AS BIGINT) AS score_n0, round(b0 / a0, 9) AS response_score, round(b1 / a1 - b0 / a0, 9) AS incremental_score FROM gp),
+ex AS (SELECT *, CAST(score_n1 AS HUGEINT) * score_n0 AS den, CAST(score_y1 AS HUGEINT) * score_n0 - CAST(score_y0 AS HUGEINT) * score_n1 AS num FROM rates),
+rules AS (SELECT ex.* EXCLUDE (den, num), CAST(1 + (SELECT count(DISTINCT (o.score_y0 / gcd(o.score_y0, o.score_n0), o.score_n0 / gcd(o.score_y0, o.score_n0))) FROM ex o WHERE CAST(o.score_y0 AS HUGEINT) * ex.score_n0 > CAST(ex.score_y0 AS HUGEINT) * o.score_n0) AS INTEGER) AS response_rank,
+  CAST(1 + (SELECT count(DISTINCT (o.num // gcd(o.num, o.den), o.den // gcd(o.num, o.den))) FROM ex o WHERE o.num * ex.den > ex.num * o.den) AS INTEGER) AS incremental_rank FROM ex)"""
 PLACE_SQL = GROUP_SQL + r""",
 va AS (SELECT row_id, treatment, conversion, response_rank, incremental_rank, fallback, sha256('target-v1|' || row_id) AS tie FROM gr JOIN rules USING (group_id) WHERE split = 'valid'),
 pl AS (SELECT *, count(*) OVER () AS n, row_number() OVER (ORDER BY tie, row_id) AS place_random, row_number() OVER (ORDER BY response_rank, tie, row_id) AS place_response, row_number() OVER (ORDER BY incremental_rank, tie, row_id) AS place_incremental FROM va),
 mk AS (SELECT *, """ + " + ".join(f"CASE WHEN place_{p} <= floor(n * {c} / 100) THEN {1 << (i * 5 + j)} ELSE 0 END" for i, p in enumerate(tg.POLICIES) for j, c in enumerate(tg.CAPACITIES)) + r""" AS mask FROM pl),
-jt AS (SELECT treatment, conversion, CAST(mask AS BIGINT) AS mask, count(*) AS n FROM mk GROUP BY ALL),
+jt AS (SELECT treatment, conversion, CAST(mask AS BIGINT) AS mask, fallback, count(*) AS n FROM mk GROUP BY ALL),
 cells AS (SELECT * FROM (VALUES """ + ", ".join(f"('{p}', {c}, {1 << (i * 5 + j)})" for i, p in enumerate(tg.POLICIES) for j, c in enumerate(tg.CAPACITIES)) + r""") v(policy, capacity, bit)),
-cv0 AS (SELECT policy, capacity, CAST(coalesce(sum(n) FILTER (treatment = 1), 0) AS BIGINT) AS n1, CAST(coalesce(sum(n) FILTER (treatment = 0), 0) AS BIGINT) AS n0, CAST(coalesce(sum(n) FILTER (treatment = 1 AND conversion = 1), 0) AS BIGINT) AS y1, CAST(coalesce(sum(n) FILTER (treatment = 0 AND conversion = 1), 0) AS BIGINT) AS y0 FROM jt JOIN cells ON (mask & bit) <> 0 GROUP BY ALL),
+cv0 AS (SELECT policy, capacity, CAST(coalesce(sum(n) FILTER (treatment = 1), 0) AS BIGINT) AS n1, CAST(coalesce(sum(n) FILTER (treatment = 0), 0) AS BIGINT) AS n0, CAST(coalesce(sum(n) FILTER (treatment = 1 AND conversion = 1), 0) AS BIGINT) AS y1, CAST(coalesce(sum(n) FILTER (treatment = 0 AND conversion = 1), 0) AS BIGINT) AS y0, CAST(coalesce(sum(n) FILTER (fallback), 0) AS BIGINT) AS fallback_n FROM jt JOIN cells ON (mask & bit) <> 0 GROUP BY ALL),
 cv1 AS (SELECT *, y1 / CAST(n1 AS DOUBLE) - y0 / CAST(n0 AS DOUBLE) AS dl, (n1 + n0) / CAST((SELECT sum(n) FROM jt) AS DOUBLE) AS sh FROM cv0),
-cov AS (SELECT policy, CAST(capacity AS INTEGER) AS capacity, n1, n0, y1, y0, round(dl, 6) AS delta, round(10000 * sh * dl, 4) AS gain, round(n1 / CAST(n1 + n0 AS DOUBLE), 6) AS treatment_share, CASE WHEN n1 = 0 OR n0 = 0 THEN 'zero_arm' WHEN least(y1, y0) < 5 THEN 'sparse' ELSE 'ok' END AS status FROM cv1)"""
+cov AS (SELECT policy, CAST(capacity AS INTEGER) AS capacity, n1, n0, y1, y0, round(dl, 6) AS delta, round(10000 * sh * dl, 4) AS gain, round(n1 / CAST(n1 + n0 AS DOUBLE), 6) AS treatment_share, fallback_n, CASE WHEN n1 = 0 OR n0 = 0 THEN 'zero_arm' WHEN least(y1, y0) < 5 THEN 'sparse' ELSE 'ok' END AS status FROM cv1)"""
+
+
+def _study(spark, sf_dir):
+    """The split rows with the hash that breaks ties, written once and read by all queries here."""
+    return once(spark, "study", sf_dir, lambda: tg.split(experiment(spark, sf_dir)).withColumn("tie", tg.tie_hash()))
 
 
 def _split(spark, sf_dir):
-    return tg.split(experiment(spark, sf_dir))
+    return _study(spark, sf_dir).drop("tie")
+
+
+def _cuts(spark, sf_dir):
+    return once(spark, "cuts", sf_dir, lambda: tg.train_cuts(_study(spark, sf_dir), ["f0", "f1"]))
 
 
 def _grouped(spark, sf_dir):
-    rows = _split(spark, sf_dir)
-    return tg.bin_group(rows, tg.train_cuts(rows, ["f0", "f1"]))
+    return tg.bin_group(_study(spark, sf_dir), _cuts(spark, sf_dir))
 
 
-def _frozen(grouped):
-    """The rules, 16 rows, made once however often they are used."""
-    return hold(tg.score_ranks(tg.group_rates(grouped, SUPPORT)))
+def _rules(spark, sf_dir):
+    """The frozen rules, 16 rows."""
+    return once(spark, "rules", sf_dir, lambda: tg.score_ranks(tg.group_rates(_grouped(spark, sf_dir), SUPPORT)))
 
 
 def _places(spark, sf_dir):
-    """Ranks first; outcomes are attached when all places are known."""
-    grouped = _grouped(spark, sf_dir)
-    ranked = tg.policy_places(tg.apply_rules(grouped.where("split = 'valid'"), _frozen(grouped)))
-    return ranked.join(_split(spark, sf_dir).where("split = 'valid'").select("row_id", "conversion"), "row_id")
+    """Every held-out row's place under each policy, and its outcome, which the places don't see."""
+    valid = _grouped(spark, sf_dir).where("split = 'valid'")
+    return once(spark, "places", sf_dir, lambda: tg.unseal(tg.policy_places(tg.apply_rules(valid, _rules(spark, sf_dir)))).select("row_id", "treatment", "conversion", "fallback", *[f"place_{p}" for p in tg.POLICIES], "n_all"))
 
 
 def _masked(spark, sf_dir):
@@ -63,7 +75,7 @@ def _masked(spark, sf_dir):
 
 
 def _types(spark, sf_dir):
-    return tg.joint_types(_masked(spark, sf_dir))
+    return once(spark, "types", sf_dir, lambda: tg.joint_types(_masked(spark, sf_dir)))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, sha256(concat_ws('|', 'row-v2', 'lineitem', l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_shipdate))) AS row_id FROM lineitem")
@@ -107,7 +119,7 @@ def split_shared_features(spark, sf_dir):
 
 @query(f"WITH {GROUP_SQL} SELECT feature, array_to_string(list_transform(cuts, lambda c: printf('%.4f', c)), ',') AS cuts FROM cuts")
 def train_cuts(spark, sf_dir):
-    return tg.train_cuts(_split(spark, sf_dir), ["f0", "f1"]).select("feature", F.array_join(F.transform("cuts", lambda c: F.format_string("%.4f", c)), ",").alias("cuts"))
+    return _cuts(spark, sf_dir).select("feature", F.array_join(F.transform("cuts", lambda c: F.format_string("%.4f", c)), ",").alias("cuts"))
 
 
 @query(f"WITH {GROUP_SQL} SELECT row_id, group_id FROM gr")
@@ -122,19 +134,19 @@ def group_rates(spark, sf_dir):
 
 @query(f"WITH {GROUP_SQL} SELECT group_id, response_rank, incremental_rank FROM rules")
 def score_ranks(spark, sf_dir):
-    return tg.score_ranks(tg.group_rates(_grouped(spark, sf_dir), SUPPORT)).select("group_id", "response_rank", "incremental_rank")
+    return _rules(spark, sf_dir).select("group_id", "response_rank", "incremental_rank")
 
 
 @query(f"WITH {PLACE_SQL} SELECT row_id, response_rank, incremental_rank, fallback FROM va")
 def apply_frozen(spark, sf_dir):
     grouped = _grouped(spark, sf_dir)
-    return tg.apply_rules(grouped.where("split = 'valid'"), _frozen(grouped)).select("row_id", "response_rank", "incremental_rank", "fallback")
+    return tg.apply_rules(grouped.where("split = 'valid'"), _rules(spark, sf_dir)).select("row_id", "response_rank", "incremental_rank", "fallback")
 
 
 @query(f"WITH {GROUP_SQL} SELECT row_id, response_rank AS simple_response, incremental_rank AS simple_incremental FROM gr JOIN rules USING (group_id)")
 def simple_scores(spark, sf_dir):
     grouped = _grouped(spark, sf_dir)
-    return tg.apply_rules(grouped, _frozen(grouped)).select("row_id", F.col("response_rank").alias("simple_response"), F.col("incremental_rank").alias("simple_incremental"))
+    return tg.apply_rules(grouped, _rules(spark, sf_dir)).select("row_id", F.col("response_rank").alias("simple_response"), F.col("incremental_rank").alias("simple_incremental"))
 
 
 @query(f"WITH {PLACE_SQL} SELECT row_id, place_random, place_response, place_incremental FROM pl")
@@ -168,17 +180,34 @@ def policy_overlap(spark, sf_dir):
     return tg.overlap(_types(spark, sf_dir))
 
 
-@query()
+_DRAWS, _SEED = 1000, 20260921
+_h = resample.block_hash_sql(_SEED, "b", "treatment", "conversion", "mask", "u")
+
+
+@query(f"""WITH {PLACE_SQL}, jc AS (SELECT treatment, conversion, mask, CAST(sum(n) AS BIGINT) AS n FROM jt GROUP BY ALL),
+un AS (SELECT *, unnest(CASE WHEN n <= {resample.FEW} THEN range(1, n + 1) ELSE [0] END) AS u FROM jc), bh AS (SELECT un.*, b, {_h} AS h FROM un, range({_DRAWS // resample.LANES}) r(b)),
+bu AS (SELECT bh.*, lane, {resample.uniform_sql("h", "lane")} AS v FROM bh, range({resample.LANES}) l(lane)), bz AS (SELECT *, {resample.normal_point_sql("v")} AS z FROM bu),
+bw AS (SELECT b * {resample.LANES} + lane AS repetition, treatment, conversion, mask, CASE WHEN n <= {resample.FEW} THEN {resample.poisson_one_sql("h", "lane")} ELSE {resample.poisson_many_sql("z", "n")} END AS w FROM bz),
+bs AS (SELECT repetition, policy, capacity, sum(w) FILTER (treatment = 1) AS n1, sum(w) FILTER (treatment = 0) AS n0, coalesce(sum(w) FILTER (treatment = 1 AND conversion = 1), 0) AS y1, coalesce(sum(w) FILTER (treatment = 0 AND conversion = 1), 0) AS y0 FROM bw JOIN cells ON (mask & bit) <> 0 GROUP BY ALL),
+bc AS (SELECT policy, capacity, sum(n) / CAST((SELECT sum(n) FROM jc) AS DOUBLE) AS share FROM jc JOIN cells ON (mask & bit) <> 0 GROUP BY ALL),
+bg AS (SELECT policy, capacity, CASE WHEN n1 > 0 AND n0 > 0 THEN 10000 * share * (y1 / CAST(n1 AS DOUBLE) - y0 / CAST(n0 AS DOUBLE)) END AS gain FROM bs JOIN bc USING (policy, capacity))
+SELECT policy, CAST(capacity AS INTEGER) AS capacity, round(quantile_cont(gain, 0.025), 6) AS ci_low, round(quantile_cont(gain, 0.975), 6) AS ci_high, count(*) FILTER (gain IS NULL) AS invalid FROM bg GROUP BY ALL""")
 def joint_bootstrap(spark, sf_dir):
-    """Resamples by a generator that SQL has not; tests hold their centre against the point estimates."""
-    return tg.bootstrap_intervals(tg.joint_bootstrap(_types(spark, sf_dir), 1000, 20260921))
+    """Intervals of all gains from a thousand resamples."""
+    out = tg.bootstrap_intervals(tg.joint_bootstrap(_types(spark, sf_dir), _DRAWS, _SEED))
+    return out.withColumns({"ci_low": F.round("ci_low", 6), "ci_high": F.round("ci_high", 6)})
 
 
-@query(f"WITH {GROUP_SQL}, {_wald_sql('split, group_id', 'SELECT split, group_id, count(*) FILTER (treatment = 1) AS n1, count(*) FILTER (treatment = 0) AS n0, count(*) FILTER (treatment = 1 AND conversion = 1) AS k1, count(*) FILTER (treatment = 0 AND conversion = 1) AS k0 FROM gr WHERE split <> $$test$$ GROUP BY ALL', 10)}")
+@query(f"""WITH {GROUP_SQL}, spine AS (SELECT split, group_id, fallback, reason, response_rank, incremental_rank FROM rules, (VALUES ('train'), ('valid')) v(split)),
+co AS (SELECT split, group_id, count(*) FILTER (treatment = 1) AS n1, count(*) FILTER (treatment = 0) AS n0, count(*) FILTER (treatment = 1 AND conversion = 1) AS k1, count(*) FILTER (treatment = 0 AND conversion = 1) AS k0 FROM gr WHERE split <> 'test' GROUP BY ALL),
+wa AS (WITH {_wald_sql("split, group_id", "SELECT split, group_id, coalesce(n1, 0) AS n1, coalesce(n0, 0) AS n0, coalesce(k1, 0) AS k1, coalesce(k0, 0) AS k0 FROM spine LEFT JOIN co USING (split, group_id)", 10)})
+SELECT wa.*, round(CASE WHEN n1 + n0 > 0 THEN n1 / CAST(n1 + n0 AS DOUBLE) END, 6) AS treatment_share, fallback, reason, response_rank, incremental_rank FROM wa JOIN spine USING (split, group_id)""")
 def stratum_report(spark, sf_dir):
+    """Train and valid rates of every group beside its frozen ranks; groups without rows are there."""
     rows = _grouped(spark, sf_dir).where("split <> 'test'").withColumn("arm", F.col("treatment"))
-    out = ex.test_proportions(ex.arm_counts(rows, ["split", "group_id"], F.col("conversion") == 1))
-    return out.withColumns({n: F.round(n, 6) for n in ("p1", "p0", "difference_pp", "relative", "se", "z", "ci_low", "ci_high")}).select("split", "group_id", "n1", "n0", "k1", "k0", "status", "p1", "p0", "difference_pp", "relative", "se", "z", "ci_low", "ci_high")
+    out = ex.test_proportions(tg.by_stratum(ex.arm_counts(rows, ["split", "group_id"], F.col("conversion") == 1), _rules(spark, sf_dir)))
+    out = out.withColumn("treatment_share", ratio(F.col("n1"), F.col("n1") + F.col("n0"))).withColumns({n: F.round(n, 6) for n in ("p1", "p0", "difference_pp", "relative", "se", "z", "ci_low", "ci_high")})
+    return out.select("split", "group_id", "n1", "n0", "k1", "k0", "status", "p1", "p0", "difference_pp", "relative", "se", "z", "ci_low", "ci_high", "treatment_share", "fallback", "reason", "response_rank", "incremental_rank")
 
 
 _QINI_SQL = r"""qb AS (SELECT CAST(ceil(place_response * 100 / CAST(n AS DOUBLE)) AS INTEGER) AS percent, treatment, conversion FROM pl), qs AS (SELECT CAST(i AS INTEGER) AS percent FROM range(101) r(i)),
@@ -204,7 +233,7 @@ def qini_area(spark, sf_dir):
 SELECT treatment, count(*) AS n, round(avg(-(conversion * ln(p) + (1 - conversion) * ln(1 - p))), 6) AS loss, round(avg(-(conversion * ln(rate) + (1 - conversion) * ln(1 - rate))), 6) AS constant_loss, round(avg(-(conversion * ln(arm_rate) + (1 - conversion) * ln(1 - arm_rate))), 6) AS arm_loss FROM s JOIN a USING (treatment), w GROUP BY 1""")
 def factual_logloss(spark, sf_dir):
     grouped = _grouped(spark, sf_dir)
-    rules = _frozen(grouped).select("group_id", F.col("response_score").alias("p"))
+    rules = _rules(spark, sf_dir).select("group_id", F.col("response_score").alias("p"))
     return tg.factual_logloss(grouped.where("split = 'valid'").join(F.broadcast(rules), "group_id"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,3 +34,24 @@ def hold(df: DataFrame) -> DataFrame:
     """A small table, written once, so that what it is made from is not read again at every use."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """A table of any size, written once as Parquet; columns and filters of its readers reach the files."""
+    path = fresh(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_once: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def once(spark: SparkSession, name: str, source: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table that `make` gives, written on the first call for a source in an application and read by all later ones.
+
+    Sources are taken not to change while an application runs.
+    """
+    key = spark.sparkContext.applicationId, name, source
+    if key not in _once:
+        _once[key] = written(make(), name)
+    return _once[key]
