@@ -1,19 +1,18 @@
-"""Boosted-tree learners for response and uplift, fitted by Spark ML on all training rows."""
+"""Learners of response and uplift: boosted trees on all training rows, and their scores on others."""
 
 from __future__ import annotations
 
-import math
-
-from pyspark import SparkContext
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import count_where
+from ..sources.scratch import written
+from . import boosting
+from .boosting import Model, Settings
 
-FEATURES = ("f0", "f1")
+FEATURES = tuple(f"f{k}" for k in range(12))
+#: One classifier of all rows, one that knows the arm, one of each arm.
+ROLES = ("response", "s", "t0", "t1")
 
 
 def training_frame(rows: DataFrame) -> DataFrame:
@@ -23,68 +22,42 @@ def training_frame(rows: DataFrame) -> DataFrame:
     return out.withColumn("supported", (F.col("positives") > 0) & (F.col("positives") < F.col("n")))
 
 
-def _vector(rows: DataFrame, features: list[str]) -> DataFrame:
-    return VectorAssembler(inputCols=features, outputCol="features").transform(rows)
-
-
-def stopped_after(losses: list[float], patience: int = 10, tolerance: float = 1e-7) -> int | None:
-    """The round after which fitting stops: none of the last `patience` losses is lower than the one before them.
-
-    losses[0] is the loss without a tree, losses[k] that after k rounds.  None if no round stops it.
-    """
-    for k in range(patience, len(losses)):
-        if min(losses[k - patience + 1 : k + 1]) >= losses[k - patience] - tolerance:
-            return k
-    return None
-
-
-def _first_rounds(model: GBTClassificationModel, rounds: int) -> GBTClassificationModel:
-    java, gateway = model._java_obj, SparkContext._active_spark_context._gateway
-    trees = gateway.new_array(gateway.jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, rounds)
-    weights = gateway.new_array(gateway.jvm.double, rounds)
-    for k, (tree, weight) in enumerate(zip(list(java.trees())[:rounds], model.treeWeights[:rounds], strict=True)):
-        trees[k], weights[k] = tree, float(weight)
-    return GBTClassificationModel(gateway.jvm.org.apache.spark.ml.classification.GBTClassificationModel(java.uid(), trees, weights, model.numFeatures, model.numClasses))
-
-
-def fit(rows: DataFrame, with_arm: bool = False, rounds: int = 150) -> GBTClassificationModel:
-    """Trees of depth 4, step .05, stopped early on the held-out hash part.
-
-    Spark's own early stop has no patience and ends at an improvement below one percent, which left the
-    S learner one tree on the test tables; here ten rounds without a lower loss end it.  The first rounds of a fit do not
-    depend on their number, so a short fit that stops is the whole one.
-    """
-    features = [*FEATURES, "treatment"] if with_arm else list(FEATURES)
-    vectors = _vector(rows, features).select("features", "conversion", "early_stop").persist()
-    held_out, fitted = vectors.where("early_stop"), vectors.where("not early_stop")
-    for n in sorted({min(40, rounds), rounds}):
-        learner = GBTClassifier(labelCol="conversion", featuresCol="features", maxIter=n, stepSize=0.05, maxDepth=4, maxBins=63, minInstancesPerNode=200, seed=7)
-        model = learner.fit(fitted)
-        # Spark's loss is twice the log loss; without a tree that is log 2.
-        losses = [math.log(2), *(loss / 2 for loss in model.evaluateEachIteration(held_out))]
-        if stop := stopped_after(losses):
-            model = _first_rounds(model, stop)
-            break
-    vectors.unpersist()
-    return model
-
-
-def predict(model: GBTClassificationModel, rows: DataFrame, name: str, arm: int | None = None) -> DataFrame:
-    """Adds the probability of the outcome, under a given arm if the model knows arms; the observed arm is not used."""
-    asked = rows if arm is None else rows.withColumn("observed", F.col("treatment")).withColumn("treatment", F.lit(arm))
-    features = list(FEATURES) if arm is None else [*FEATURES, "treatment"]
-    out = model.transform(_vector(asked, features)).withColumn(name, vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
-    return out if arm is None else out.withColumn("treatment", F.col("observed")).drop("observed")
-
-
-def uplift_s(model: GBTClassificationModel, rows: DataFrame) -> DataFrame:
-    both = predict(model, predict(model, rows, "p1", 1), "p0", 0)
-    return both.withColumn("uplift", F.col("p1") - F.col("p0"))
-
-
-def uplift_t(treated: GBTClassificationModel, control: GBTClassificationModel, rows: DataFrame) -> DataFrame:
-    both = predict(control, predict(treated, rows, "p1"), "p0")
-    return both.withColumn("uplift", F.col("p1") - F.col("p0"))
+def learn(train: DataFrame, features: tuple[str, ...] = FEATURES, settings: Settings | None = None, roles: tuple[str, ...] = ROLES) -> dict[str, Model]:
+    """A model of each role.  Cut points come from the fitted rows; the binned rows are one written table for all roles."""
+    settings = settings or Settings()
+    cuts = boosting.cut_points(train.where("not early_stop"), list(features), settings.bins)
+    table = written(boosting.blocks(train, list(features), cuts), "blocks")
+    return {role: boosting.fit(table, list(features), cuts, role, settings) for role in roles}
+
+
+def score(models: dict[str, Model], rows: DataFrame) -> DataFrame:
+    """response, s1 and s0, t1 and t0 (probabilities under either arm), s_uplift and t_uplift; no observed arm or outcome is used."""
+    out = boosting.predict(models["response"], rows, "response")
+    for name, role, arm in (("s1", "s", 1), ("s0", "s", 0), ("t1", "t1", None), ("t0", "t0", None)):
+        out = boosting.predict(models[role], out, name, arm)
+    return out.withColumns({"s_uplift": F.col("s1") - F.col("s0"), "t_uplift": F.col("t1") - F.col("t0")})
+
+
+def fit_rates(train: DataFrame) -> DataFrame:
+    """rate_all, rate_1, rate_0 of the fitted rows: what a constant prediction would say."""
+    rate = lambda c: F.avg(F.when(c, F.col("conversion")))
+    fitted = train.where("not early_stop")
+    return fitted.agg(rate(F.lit(True)).alias("rate_all"), rate(F.col("treatment") == 1).alias("rate_1"), rate(F.col("treatment") == 0).alias("rate_0"))
+
+
+def losses(scores: DataFrame, rates: DataFrame) -> DataFrame:
+    """model, arm (all, 0, 1): mean log loss of what each model said for the arm that was, and of the constants of the fitted rows."""
+    treated = F.col("treatment") == 1
+    said = {"response": F.col("response"), "s_learner": F.when(treated, F.col("s1")).otherwise(F.col("s0")), "t_learner": F.when(treated, F.col("t1")).otherwise(F.col("t0"))}
+    told = scores.crossJoin(F.broadcast(rates))  # one row
+    cells = F.array(*[F.struct(F.lit(m).alias("model"), p.alias("p")) for m, p in said.items()])
+    arms = F.array(F.lit("all"), F.col("treatment").cast("string"))
+    long = told.select("conversion", "rate_all", F.when(treated, F.col("rate_1")).otherwise(F.col("rate_0")).alias("rate_arm"), F.explode(arms).alias("arm"), cells.alias("cells")).select("conversion", "rate_all", "rate_arm", "arm", F.explode("cells").alias("c")).select("*", "c.*")
+    clip = lambda p: F.least(F.greatest(p, F.lit(1e-12)), F.lit(1 - 1e-12))
+    loss = lambda c: F.avg(-(F.col("conversion") * F.ln(clip(F.col(c))) + (1 - F.col("conversion")) * F.ln(1 - clip(F.col(c)))))
+    out = long.groupBy("model", "arm").agg(F.count("*").alias("n"), F.sum("conversion").cast("long").alias("positives"), loss("p").alias("loss"), loss("rate_all").alias("global_loss"), loss("rate_arm").alias("arm_loss"))
+    constant = F.when(F.col("model") == "response", F.col("global_loss")).otherwise(F.col("arm_loss"))
+    return out.withColumn("improvement", constant - F.col("loss"))
 
 
 def score_summary(scored: DataFrame, score: str) -> DataFrame:

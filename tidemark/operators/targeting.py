@@ -218,8 +218,10 @@ def joint_bootstrap(types: DataFrame, repetitions: int, seed: int) -> DataFrame:
     unit = F.explode(F.when(one_by_one, F.sequence(F.lit(1), F.col("n").cast("int"))).otherwise(F.array(F.lit(0)))).alias("unit")
     drawn = cells.select("*", unit).select("*", blocks).withColumn("h", resample.block_hash(seed, *map(F.col, ("block", "treatment", "conversion", "mask", "unit"))))
     lane = lambda k: F.when(one_by_one, resample.poisson_one(F.col("h"), k)).otherwise(resample.poisson_many(F.col("h"), k, F.col("n")))
-    drawn = drawn.select("block", "treatment", "conversion", "mask", F.posexplode(F.array(*[lane(k) for k in range(resample.LANES)])).alias("lane", "w"))
-    drawn = drawn.groupBy((F.col("block") * resample.LANES + F.col("lane")).alias("repetition"), "treatment", "conversion", "mask").agg(F.sum("w").alias("w")).where(F.col("repetition") < repetitions)
+    drawn = drawn.select("block", "treatment", "conversion", "mask", *[lane(k).alias(f"w{k}") for k in range(resample.LANES)])
+    drawn = drawn.groupBy("block", "treatment", "conversion", "mask").agg(*[F.sum(f"w{k}").alias(f"w{k}") for k in range(resample.LANES)])
+    drawn = drawn.select("block", "treatment", "conversion", "mask", F.posexplode(F.array(*[F.col(f"w{k}") for k in range(resample.LANES)])).alias("lane", "w"))
+    drawn = drawn.withColumn("repetition", F.col("block") * resample.LANES + F.col("lane")).where(F.col("repetition") < repetitions)
     inside = lambda p, c: F.col("mask").bitwiseAND(F.lit(1 << (p * len(CAPACITIES) + c)).cast("long")) != 0
     t, y = F.col("treatment"), F.col("conversion")
     s = lambda when: F.coalesce(F.sum(F.when(when, F.col("w"))), F.lit(0)).cast("double")

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from ..functions import resample
 from ..functions.columns import ratio
 from ..operators import experiments as ex
-from ..operators import models
+from ..operators import boosting, models, uplift
 from ..operators import targeting as tg
-from ..sources.scratch import once
+from ..sources.scratch import once, remembered
 from ..sources.tables import EXPERIMENT_SQL, experiment, table
 from .experiment_queries import _wald_sql
 from .registry import query
@@ -242,43 +242,89 @@ def training_frame(spark, sf_dir):
     return models.training_frame(tg.early_stop(_split(spark, sf_dir)))
 
 
-def _parts(spark, sf_dir):
-    rows = _split(spark, sf_dir)
-    return tg.early_stop(rows), rows.where("split = 'valid'")
+def _learner_rows(spark, sf_dir):
+    """All twelve features of the split rows."""
+    return once(spark, "learner_rows", sf_dir, lambda: tg.split(experiment(spark, sf_dir, all_features=True)).withColumn("tie", tg.tie_hash()))
+
+
+def _train(spark, sf_dir):
+    return tg.early_stop(_learner_rows(spark, sf_dir))
+
+
+def _models(spark, sf_dir):
+    """The four classifiers, fitted once an application and folder."""
+    return remembered(spark, "models", sf_dir, lambda: models.learn(_train(spark, sf_dir)))
+
+
+def _scores(spark, sf_dir):
+    """The stored score table of the held-out rows, which all evaluations read."""
+    return once(spark, "scores", sf_dir, lambda: models.score(_models(spark, sf_dir), _learner_rows(spark, sf_dir).where("split = 'valid'")))
+
+
+def _trees(spark, sf_dir, *roles):
+    rows = [(role, *r) for role in roles for r in boosting.tree_rows(_models(spark, sf_dir)[role])]
+    return spark.createDataFrame(rows, f"role string, {boosting.TREE_SCHEMA}")
 
 
 @query()
 def fit_response(spark, sf_dir):
-    train, valid = _parts(spark, sf_dir)
-    return models.score_summary(models.predict(models.fit(train), valid, "p"), "p")
+    """The trees of the classifier of all rows; a test holds the learner against plain NumPy."""
+    return _trees(spark, sf_dir, "response")
 
 
 @query()
 def fit_s_learner(spark, sf_dir):
-    train, valid = _parts(spark, sf_dir)
-    return models.score_summary(models.uplift_s(models.fit(train, with_arm=True), valid), "uplift")
+    """The trees of the classifier that has the arm as a thirteenth feature."""
+    return _trees(spark, sf_dir, "s")
 
 
 @query()
 def fit_t_learner(spark, sf_dir):
-    train, valid = _parts(spark, sf_dir)
-    treated, control = (models.fit(train.where(F.col("treatment") == a)) for a in (1, 0))
-    return models.score_summary(models.uplift_t(treated, control, valid), "uplift")
+    """The trees of the classifiers of either arm."""
+    return _trees(spark, sf_dir, "t1", "t0")
 
 
 @query()
 def predict_conditions(spark, sf_dir):
     """Both conditional probabilities of every held-out row, and their difference."""
-    train, valid = _parts(spark, sf_dir)
-    return models.uplift_s(models.fit(train, with_arm=True), valid).select("row_id", "p1", "p0", F.col("uplift").alias("s_uplift"))
+    return _scores(spark, sf_dir).select("row_id", F.col("s1").alias("p1"), F.col("s0").alias("p0"), "s_uplift")
 
 
 @query()
 def uplift_scores(spark, sf_dir):
     """The scores of the three learners side by side for every held-out row."""
-    train, valid = _parts(spark, sf_dir)
-    s = models.uplift_s(models.fit(train, with_arm=True), valid).select("row_id", F.col("uplift").alias("s_uplift"))
-    treated, control = (models.fit(train.where(F.col("treatment") == a)) for a in (1, 0))
-    t = models.uplift_t(treated, control, valid).select("row_id", F.col("uplift").alias("t_uplift"))
-    response = models.predict(models.fit(train), valid, "response").select("row_id", "response")
-    return s.join(t, "row_id").join(response, "row_id")
+    return _scores(spark, sf_dir).select("row_id", "s_uplift", "t_uplift", "response")
+
+
+def _learned_places(spark, sf_dir):
+    return once(spark, "learned_places", sf_dir, lambda: uplift.policy_places(_scores(spark, sf_dir)))
+
+
+def _learned_curves(spark, sf_dir):
+    return uplift.curves(_learned_places(spark, sf_dir), _scores(spark, sf_dir).count())
+
+
+@query()
+def learner_places(spark, sf_dir):
+    """Every held-out row's place in the order of each learner; a test holds them against SQL over the stored scores."""
+    return _learned_places(spark, sf_dir)
+
+
+@query()
+def learner_qini_curve(spark, sf_dir):
+    return _learned_curves(spark, sf_dir)
+
+
+@query()
+def learner_qini_area(spark, sf_dir):
+    return uplift.areas(_learned_curves(spark, sf_dir))
+
+
+@query()
+def learner_capacity(spark, sf_dir):
+    return uplift.capacities(_learned_places(spark, sf_dir), _scores(spark, sf_dir).count())
+
+
+@query()
+def learner_logloss(spark, sf_dir):
+    return models.losses(_scores(spark, sf_dir), models.fit_rates(_train(spark, sf_dir)))

@@ -5,9 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+T = TypeVar("T")
+
 
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir; a temporary folder takes its place only in a local session that has none."""
@@ -43,15 +46,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-_once: dict[tuple[str, str, str], DataFrame] = {}
-
+_once: dict[tuple[str, str, str], object] = {}
 
-def once(spark: SparkSession, name: str, source: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """The table that `make` gives, written on the first call for a source in an application and read by all later ones.
 
-    Sources are taken not to change while an application runs.
-    """
+def remembered(spark: SparkSession, name: str, source: str, make: Callable[[], T]) -> T:
+    """What `make` gives, made on the first call for a source in an application; sources are taken not to change while it runs."""
     key = spark.sparkContext.applicationId, name, source
     if key not in _once:
-        _once[key] = written(make(), name)
+        _once[key] = make()
     return _once[key]
+
+
+def once(spark: SparkSession, name: str, source: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A remembered table: written on the first call, read by all later ones."""
+    return remembered(spark, name, source, lambda: written(make(), name))

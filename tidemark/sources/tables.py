@@ -91,14 +91,22 @@ fact0 AS (SELECT event_id, 'events' AS scope_id, ts, CAST(ts AS DATE) AS d, CASE
 fact AS (SELECT *, user_id <> '' AS ok, sess = '' AS no_sess, user_id <> '' AND kind = 'purchase' AND price IS NOT NULL AND price >= 0 AS paid FROM fact0)"""
 
 
-def experiment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each line item: two features, a hashed arm (85% treated), an outcome, an exposure."""
+def experiment(spark: SparkSession, sf_dir: str, all_features: bool = False) -> DataFrame:
+    """One row for each line item: two features (or all twelve), a hashed arm (85% treated), an outcome, an exposure."""
     from ..functions.columns import hash16
 
     key = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
     rows = table(spark, sf_dir, "lineitem")
     ident = F.sha2(F.concat_ws("|", F.lit("row-v1"), *key, F.date_format("l_shipdate", "yyyy-MM-dd")), 256)
-    out = rows.select(ident.alias("row_id"), F.col("l_quantity").alias("f0"), F.col("l_extendedprice").alias("f1"), (F.col("l_returnflag") == "R").cast("int").alias("conversion"), (F.col("l_linestatus") == "O").cast("int").alias("visit"), (F.col("l_tax") > 0.04).alias("seen"))
+    out_columns = (ident.alias("row_id"), F.col("l_quantity").alias("f0"), F.col("l_extendedprice").alias("f1"), (F.col("l_returnflag") == "R").cast("int").alias("conversion"), (F.col("l_linestatus") == "O").cast("int").alias("visit"), (F.col("l_tax") > 0.04).alias("seen"))
+    out = rows.select(*out_columns)
+    if all_features:
+        ship = F.col("l_shipdate")
+        more = {
+            "f2": F.col("l_discount"), "f3": F.col("l_tax"), "f4": F.col("l_linenumber"), "f5": F.col("l_partkey"), "f6": F.col("l_suppkey"), "f7": F.year(ship), "f8": F.month(ship), "f9": F.dayofweek(ship),
+            "f10": F.col("l_extendedprice") / F.col("l_quantity"), "f11": F.col("l_orderkey") % 1000,
+        }
+        out = rows.select(*out_columns, *[c.cast("double").alias(f) for f, c in more.items()])
     # 0.85 of the 64-bit range.
     out = out.withColumn("treatment", (hash16("arm|", F.col("row_id")) < "d999999999999999").cast("int"))
     return out.withColumn("exposure", ((F.col("treatment") == 1) & F.col("seen")).cast("int")).drop("seen")
