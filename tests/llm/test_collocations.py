@@ -113,11 +113,34 @@ def test_hashes_follow_the_words():
     seeds = np.zeros(3, np.uint64)
     h, g = one.word_hashes(0, seeds), two.word_hashes(0, seeds[:1])
     assert h[:3].tolist() == g[2:].tolist() and len(set(h.tolist())) == 6
-    pair, whole = co.phrase_hashes(h, one.piece, 2, h)
-    assert pair[0] == co.phrase_hashes(g, two.piece, 2, g)[0][2] and whole.tolist() == [True, True, False, False, True]
+    (_, _, all_words), (_, pair, at) = co.phrases_of(h, one.piece, 2, [])
+    assert pair[0] == list(co.phrases_of(g, two.piece, 2, []))[1][1][2] and at.tolist() == [0, 1, 4] and len(all_words) == 6
     assert one.word_hashes(0, seeds + np.uint64(5))[0] != h[0]
 
 
+def test_phrases_with_a_rare_word_or_pair_are_left_out():
+    block = co.Block.of([b"a b c d"])
+    h = block.word_hashes(0, np.zeros(1, np.uint64))
+
+    def only(hashes):
+        data = bytearray(1 << 17)
+        for at in (hashes >> np.uint64(44)).tolist():
+            data[at >> 3] |= 1 << (at & 7)
+        return co.Bitmap(20, bytes(data))
+
+    found = lambda *maps: [at.tolist() for _, _, at in co.phrases_of(h, block.piece, 4, list(maps))]
+    assert found() == [[0, 1, 2, 3], [0, 1, 2], [0, 1], [0]]
+    assert found(only(h[:3])) == [[0, 1, 2], [0, 1], [0], []]
+    pairs = list(co.phrases_of(h, block.piece, 2, []))[1][1]
+    assert found(only(h), only(pairs[1:])) == [[0, 1, 2, 3], [1, 2], [1], []]
+
+
+def test_equal_hashes_are_told_apart():
+    one, two = (np.array(x, np.uint64) for x in ([5, 7, 5, 5, 7], [1, 2, 1, 3, 2]))
+    which, often = co.distinct(one, two)
+    assert sorted((int(one[k]), int(two[k]), int(n)) for k, n in zip(which, often, strict=True)) == [(5, 1, 2), (5, 3, 1), (7, 2, 2)]
+
+
 def test_products_beyond_64_bits(spark):
     a, n, length = 3 * 10**12, 7 * 10**15, 4 * 10**12
     phrases = spark.createDataFrame([("en", 1, "p", length), ("en", 1, "q", length + 1), ("en", 2, "p q", a)], "lang string, words int, phrase string, f long")

@@ -9,8 +9,8 @@ added; when more counters than the capacity are left, the largest count beyond i
 threshold is ever taken from any count, and each phrase as frequent as the threshold survives.
 
 Survivors of all ranges form a bitmap.  The second pass counts, as text and exactly, what the
-bitmap lets through; hashes only choose what is counted.  A first round of the same kind over single words leaves
-phrases out that hold a rare word, since they can't be frequent.
+bitmaps let through; hashes only choose what is counted.  Words come first, then pairs of frequent
+words, then longer phrases all of whose pairs are frequent: others can't be.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ from .common import batch_of, discard, few, materialize, small_batches
 #: Words of a phrase at most; occurrences that make it frequent; rows of the result for each lang.
 WORDS, THRESHOLD, TOP = 5, 100, 2000
 #: Bytes of text that are arrays at a time, and occurrences that a task summarises at a time.
-BLOCK, OCCURRENCES = 1 << 20, 1 << 22
+BLOCK, OCCURRENCES = 1 << 20, 1 << 21
 #: Counters that wait to be added, beside the capacity of their range.
 PENDING = 1 << 20
 #: Bits of a bitmap at most: 32 MB.  A fuller one lets more through to the exact count, and no less.
@@ -100,13 +100,6 @@ class Block:
         return _mixed((total[self.ends] - total[self.starts]) * inverse[self.starts] ^ seeds[self.text])
 
 
-def phrase_hashes(words: np.ndarray, piece: np.ndarray, n: int, shorter: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of the n words from each place on, and whether they are of one piece."""
-    if n == 1 or shorter is None:
-        return words, np.ones(len(words), bool)
-    return _mixed(shorter[: len(words) - n + 1] * _NEXT + words[n - 1 :]), piece[: len(words) - n + 1] == piece[n - 1 :]
-
-
 @dataclass(frozen=True)
 class Bitmap:
     """Which leading bits of a hash some survivor has."""
@@ -119,6 +112,26 @@ class Bitmap:
         return np.frombuffer(self.data, np.uint8)[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1
 
 
+def phrases_of(words: np.ndarray, piece: np.ndarray, longest: int, frequent: list[Bitmap]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each n the hashes of the n words from each place on, and the places where they may be a frequent phrase.
+
+    They are of one piece and, as far as the bitmaps of words and pairs are there, no word and no pair is rare.
+    """
+    fine = frequent[0].has(words) if frequent else np.ones(len(words), bool)
+    hashes, every, pairs = words, fine, fine
+    for n in range(1, min(longest, len(words)) + 1):
+        if n > 1:
+            hashes = _mixed(hashes[:-1] * _NEXT + words[n - 1 :])
+        if n == 2:
+            pairs = fine[:-1] & fine[1:] & (piece[:-1] == piece[1:])
+            if len(frequent) > 1:
+                pairs[pairs] = frequent[1].has(hashes[pairs])
+            every = pairs
+        elif n > 2:
+            every = every[:-1] & pairs[n - 2 :]
+        yield n, hashes, np.flatnonzero(every)
+
+
 def _parts(text: bytes) -> Iterator[bytes]:
     """A long text in parts that end at a separator, so that no phrase is cut."""
     begin = 0
@@ -213,7 +226,7 @@ def range_bits(mass: int) -> int:
     return max(min(_log2(mass / 2**20), 12), _log2(mass / 2**30))
 
 
-def summaries(docs: DataFrame, lengths: range, bits: int, frequent: Broadcast | None = None) -> DataFrame:
+def summaries(docs: DataFrame, lengths: range, bits: int, frequent: list[Broadcast]) -> DataFrame:
     """Summaries of phrases of these lengths by range of hash; with the mass of each, and words of each lang."""
 
     def packed(hashes: list[np.ndarray]) -> pa.RecordBatch:
@@ -226,21 +239,15 @@ def summaries(docs: DataFrame, lengths: range, bits: int, frequent: Broadcast |
         return batch_of(_SUMMARY, *(zip(*mass, *data, strict=True) if rows else [[]] * len(_SUMMARY)))
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = frequent.value if frequent else None
+        kept = [b.value for b in frequent]
         hashes, held, totals = [np.zeros(0, _U)], 0, {}
         for block, langs, seeds in blocks(batches):
             for k, n in zip(*np.unique(block.text, return_counts=True), strict=True):
                 totals[langs[k]] = totals.get(langs[k], 0) + int(n)
-            words = block.word_hashes(0, seeds)
-            common = np.ones(len(words), bool) if kept is None else kept.has(words)
-            found, every, phrase = common, common, None
-            for n in range(1, min(lengths[-1], len(words)) + 1):
-                phrase, whole = phrase_hashes(words, block.piece, n, phrase)
-                every = common if n == 1 else every[: len(whole)] & common[n - 1 :]
-                found = every & whole
+            for n, found, at in phrases_of(block.word_hashes(0, seeds), block.piece, lengths[-1], kept):
                 if n in lengths:
-                    hashes.append(phrase[found])
-                    held += len(hashes[-1])
+                    hashes.append(found[at])
+                    held += len(at)
             if held >= OCCURRENCES:
                 yield packed(hashes)
                 hashes, held = [np.zeros(0, _U)], 0
@@ -282,45 +289,73 @@ def survivors(told: DataFrame, bits: int, threshold: int, mass: int) -> Bitmap:
     dealt = told.where(F.col("kind") < _LANG).repartition(1 << bits, "part").sortWithinPartitions("part", "kind")
     width = 1 << (size - bits - 3)
     data = bytearray(width << bits)
-    for r in dealt.mapInArrow(made, "part int, bitmap binary").toLocalIterator(prefetchPartitions=True):  # 32 MB at most in all
+    for r in dealt.mapInArrow(made, "part int, bitmap binary").collect():  # 32 MB at most in all
         data[r.part * width : (r.part + 1) * width] = r.bitmap
     return Bitmap(size, bytes(data))
 
 
-def exact_counts(docs: DataFrame, words: Broadcast, phrases: Broadcast, longest: int) -> DataFrame:
-    """lang, words, phrase, n: exact counts of all phrases of 1 to `longest` words that the bitmaps let through."""
-    kinds = [("lang", pa.string()), ("words", pa.int32()), ("phrase", pa.string()), ("n", pa.int64())]
+def distinct(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A place of each distinct pair of hashes, of 128 bits together, and how often it occurs."""
+    if not len(one):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    order = np.argsort(one)
+    new = np.concatenate([[True], one[order[1:]] != one[order[:-1]]])
+    if ((two[order[1:]] != two[order[:-1]]) & ~new[1:]).any():  # two phrases with one hash
+        order = np.lexsort((two, one))
+        new = np.concatenate([[True], (one[order[1:]] != one[order[:-1]]) | (two[order[1:]] != two[order[:-1]])])
+    first = np.flatnonzero(new)
+    return order[first], np.diff(np.append(first, len(order)))
 
-    def told(seen: dict) -> pa.RecordBatch:
-        return batch_of(kinds, *(zip(*[(lang, n, p.decode(), c) for (lang, n, p), c in seen.items()], strict=True) if seen else [[]] * 4))
 
-    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def exact_counts(docs: DataFrame, words: Broadcast, pairs: Broadcast, longer: Broadcast, longest: int, threshold: int, bits: int) -> DataFrame:
+    """lang, words, phrase, f: exact counts of all phrases of 1 to `longest` words that the bitmaps let through, if `threshold` or more.
+
+    A task's counts go out in 2^bits rows, by hash of the phrase; a range is added up in one task.
+    """
+    lists = [("part", pa.int32()), ("lang", pa.list_(pa.string())), ("words", pa.list_(pa.int32())), ("phrase", pa.list_(pa.string())), ("n", pa.list_(pa.int64()))]
+    kinds = [("lang", pa.string()), ("words", pa.int32()), ("phrase", pa.string()), ("f", pa.int64())]
+
+    def dealt(seen: dict) -> pa.RecordBatch:
+        by_part: dict[int, list] = {}
+        for (lang, n, p), c in seen.items():
+            by_part.setdefault(xxhash.xxh64_intdigest(p, 11) >> (64 - bits), []).append((lang, n, p.decode(), c))
+        return batch_of(lists, list(by_part), *([[r[k] for r in rows] for rows in by_part.values()] for k in range(4)))
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple[str, int, bytes], int] = {}
+        kept = [words.value, pairs.value]
         for block, langs, seeds in blocks(batches):
-            first, second = (block.word_hashes(k, seeds) for k in (0, 1))
-            common = words.value.has(first)
-            every, one, two = common, None, None
-            for n in range(1, min(longest, len(first)) + 1):
-                one, whole = phrase_hashes(first, block.piece, n, one)
-                two, _ = phrase_hashes(second, block.piece, n, two)
-                every = common if n == 1 else every[: len(whole)] & common[n - 1 :]
-                at = np.flatnonzero(every & whole)
-                if n > 1:
-                    at = at[phrases.value.has(one[at])]
-                # Equal in both hashes, of 128 bits together: the same lang and words.
-                at = at[np.lexsort((two[at], one[at]))]
-                new = np.concatenate([[True], (one[at[1:]] != one[at[:-1]]) | (two[at[1:]] != two[at[:-1]])]) if len(at) else np.zeros(0, bool)
-                places_ = np.flatnonzero(new)
-                for a, c in zip(at[places_].tolist(), np.diff(np.append(places_, len(at))).tolist(), strict=True):
+            second = phrases_of(block.word_hashes(1, seeds), block.piece, longest, [])
+            for (n, one, at), (_, two, _) in zip(phrases_of(block.word_hashes(0, seeds), block.piece, longest, kept), second, strict=True):
+                if n > 2:
+                    at = at[longer.value.has(one[at])]
+                which, often = distinct(one[at], two[at])
+                for a, c in zip(at[which].tolist(), often.tolist(), strict=True):
                     key = (langs[block.text[a]], n, b" ".join(block.data[block.starts[a] : block.ends[a + n - 1]].split()))
                     seen[key] = seen.get(key, 0) + c
             if len(seen) > PENDING // 4:
-                yield told(seen)
+                yield dealt(seen)
                 seen = {}
-        yield told(seen)
+        yield dealt(seen)
+
+    def added_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, seen = None, {}
+
+        def told() -> pa.RecordBatch:
+            return batch_of(kinds, *(zip(*[(*k, f) for k, f in seen.items() if f >= threshold], strict=True) if any(f >= threshold for f in seen.values()) else [[]] * 4))
+
+        for b in batches:
+            for part, *columns in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if part != at:
+                    yield told()
+                    at, seen = part, {}
+                for lang, n, phrase, c in zip(*columns, strict=True):
+                    key = lang, n, phrase
+                    seen[key] = seen.get(key, 0) + c
+        yield told()
 
-    parts = docs.mapInArrow(made, "lang string, words int, phrase string, n long")
-    return parts.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("f"))
+    parts = docs.mapInArrow(counts, "part int, lang array<string>, words array<int>, phrase array<string>, n array<long>")
+    return parts.repartition(1 << bits, "part").sortWithinPartitions("part").mapInArrow(added_up, "lang string, words int, phrase string, f long")
 
 
 def texts_of(docs: DataFrame) -> DataFrame:
@@ -333,14 +368,15 @@ def frequent_phrases(docs: DataFrame, threshold: int = THRESHOLD, longest: int =
     context = docs.sparkSession.sparkContext
     # Only to choose the number of ranges; capacities come from exact masses.
     guess = (docs.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0) // 4
-    told = materialize(summaries(docs, range(1, 2), range_bits(guess)), "word_summaries")
+    told = materialize(summaries(docs, range(1, 2), range_bits(guess), []), "word_summaries")
     totals = materialize(told.where(F.col("kind") == _LANG).groupBy("lang").agg(F.sum("mass").alias("n")), "lang_words")
     n = totals.agg(F.sum("n")).collect()[0][0] or 0
-    words = context.broadcast(survivors(told, range_bits(guess), threshold, n))
+    bitmaps = [context.broadcast(survivors(told, range_bits(guess), threshold, n))]
     discard(told)
-    mass = (longest - 1) * n
-    phrases = context.broadcast(survivors(summaries(docs, range(2, longest + 1), range_bits(mass), words), range_bits(mass), threshold, mass))
-    return materialize(exact_counts(docs, words, phrases, longest).where(F.col("f") >= threshold), "phrases"), totals
+    for lengths in (range(2, 3), range(3, longest + 1)):
+        mass = len(lengths) * n
+        bitmaps.append(context.broadcast(survivors(summaries(docs, lengths, range_bits(mass), bitmaps), range_bits(mass), threshold, mass)))
+    return materialize(exact_counts(docs, *bitmaps, longest, threshold, range_bits(n)), "phrases"), totals
 
 
 def _exact(x: str | Column) -> Column:
