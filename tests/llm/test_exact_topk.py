@@ -103,3 +103,37 @@ def test_huge_components(spark):
     near = [(0, [2.0**20, 3.0]), (1, [2.0**20, 1.0]), (2, [2.0**20, 1.25]), (3, [-(2.0**20), 7.0])]  # sums beyond 2^53, within 64 bits
     df = spark.createDataFrame([(i, v, 0) for i, v in near], SCHEMA)
     assert got(tk.top_k(df, F.col("vec_id") % 50 == 0)) == brute(near)
+
+
+def share(n_clusters, n, dim, every):
+    """Scored pairs over all pairs, one row in `every` asking, in one task; the result is held against all pairs."""
+    rng = np.random.default_rng(n_clusters)
+    centres = rng.normal(size=(n_clusters, dim)) * 5
+    points = np.floor(256 * (centres[rng.integers(0, n_clusters, n)] + rng.normal(size=(n, dim)) * 0.05)).astype(np.int64)
+    queries = np.arange(0, n, every)
+    s = tk.Search(points[queries], queries, points, np.arange(n), 5)
+    s.run()
+    scores = points[queries].astype(float) @ points.T.astype(float)
+    scores[np.arange(len(queries)), queries] = -np.inf
+    for k, best in enumerate(s.best):
+        assert [-x for x, _ in best] == np.sort(scores[k])[::-1][:5].tolist()
+    return s.scored / (len(queries) * n)
+
+
+def test_few_queries_are_pruned_by_their_own_scores():
+    assert share(20, 8000, 64, 50) < 0.2
+    assert share(200, 8000, 64, 50) < 0.2
+    assert share(20, 8000, 4, 50) < 0.2
+
+
+def test_repeated_ids_agree_with_sql(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.normal(size=4).round(3).tolist()) for i in range(120)]
+    rows += [rows[50], rows[50], rows[7], (50, [0.5, 0.5, 0.5, 0.5]), (100, [1.0, -1.0, 0.25, 0.0])]
+    df = spark.createDataFrame([(i, v, 0) for i, v in rows], SCHEMA)
+    con = duckdb.connect()
+    con.execute("create table embeddings (vec_id bigint, embedding double[])")
+    con.executemany("insert into embeddings values (?, ?)", [list(r) for r in rows])
+    want = sorted(con.execute(tk.ORACLE_SQL).fetchall())
+    assert got(tk.top_k(df, F.col("vec_id") % 50 == 0)) == want
+    assert got(tk.top_k(df, F.col("vec_id") % 50 == 0, block=20, query_block=2)) == want

@@ -3,7 +3,7 @@
 A cover tree is built level by level: the centres of a level are rows, every row lies within
 the level's radius of one, no two are nearer to each other than that, and each centre stays a
 centre below itself.  A level halves the radius; where that would take more centres than
-1 / SPREAD of the rows, as among vectors without clusters, the node keeps its rows as a leaf.
+a share of the rows, as among vectors without clusters, the node keeps its rows as a leaf.
 
 1. The top of the tree is found on a bounded sample; its leaves are the table's groups.  Every
    row, of candidates and of queries, goes to the group of its nearest centre, and a group's
@@ -17,8 +17,10 @@ With centres q, c and covering radii r_q, r_c no inner product between two nodes
 
     <q, c> + r_q |c| + r_c |q| + r_q r_c .
 
-Inside a task the same bound prunes node pairs of the two blocks' trees.  A candidate is sent
-to as many tasks as there are blocks of queries that may want it.
+Inside a task the same bound prunes node pairs of the two blocks' trees; the queries' tree goes
+down to a few rows, and where two leaves meet each query is held against the candidates' centre
+by itself, <q, c> + r_c |q| against its own k-th score.  A candidate is sent to as many tasks as
+there are blocks of queries that may want it.
 """
 
 from __future__ import annotations
@@ -39,8 +41,9 @@ from .common import materialize, small_batches
 BLOCK, QUERY_BLOCK = 8192, 8192
 #: Rows that the top of the tree is found on, at most, and groups that it makes, at most.
 SAMPLE, GROUPS = 4096, 512
-#: Rows of a node that is not divided; one row in SPREAD may become a centre of the next level.
-LEAF, SPREAD = 64, 32
+#: Rows of a node that is not divided, of candidates and of queries; one row in so many may become a centre of the next level.
+LEAF, SPREAD = 64, 16
+QUERY_LEAF, QUERY_SPREAD = 4, 2
 #: Rows of queries and of candidates that are multiplied at once.
 TILE_Q, TILE_C = 256, 1024
 SCALE = 256
@@ -63,7 +66,7 @@ def _away(points: np.ndarray, centre: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(((points - centre) ** 2).sum(1), 0))
 
 
-def cover_tree(points: np.ndarray, leaf: int = LEAF, most: int = 1 << 30) -> Node:
+def cover_tree(points: np.ndarray, leaf: int = LEAF, most: int = 1 << 30, spread: int = SPREAD) -> Node:
     """The tree of all points, with at most `most` leaves."""
     left = [most - 1]
 
@@ -76,7 +79,7 @@ def cover_tree(points: np.ndarray, leaf: int = LEAF, most: int = 1 << 30) -> Nod
         # A net of half the radius: the node's own point first, then whatever is not covered yet.
         level, centres, nearest, owner = node.radius / 2, [first], away.copy(), np.zeros(len(rows), np.int64)
         while nearest.max() > level:
-            if len(centres) > min(left[0], 8 + len(rows) // SPREAD):
+            if len(centres) > min(left[0], 8 + len(rows) // spread):
                 return node
             far = int(nearest.argmax())
             to = _away(own, own[far])
@@ -118,6 +121,7 @@ class Search:
         self.kind = np.float64 if most < 2**52 else np.int64 if most < 2**62 else object
         self.qk, self.ck = self.q.astype(self.kind), self.c.astype(self.kind)
         self.slack = 1e-9 * max(1.0, most)
+        self.size = np.sqrt((self.q.astype(np.float64) ** 2).sum(1))
         self.floor = np.full(len(queries), -math.inf) if floor is None else floor.astype(float)
         # For each query its best so far: scores and ids, best first.
         self.best: list[list[tuple]] = [[] for _ in range(len(queries))]
@@ -125,7 +129,7 @@ class Search:
 
     def run(self) -> None:
         if len(self.q) and len(self.c):
-            queries = cover_tree(self.q.astype(np.float64))
+            queries = cover_tree(self.q.astype(np.float64), QUERY_LEAF, spread=QUERY_SPREAD)
             self._begin(queries)
             self._descend(queries, cover_tree(self.c.astype(np.float64)))
 
@@ -143,7 +147,8 @@ class Search:
         if not a.children and not b.children:
             self._leaves(a, b)
             return
-        if a.children and (not b.children or a.radius >= b.radius):
+        # Queries first, unless they are much nearer together: candidates of all kinds would set their k-th scores.
+        if a.children and (not b.children or a.radius >= b.radius / 2):
             for child in a.children:
                 child.worst = max(child.worst, a.worst)
                 self._descend(child, b)
@@ -155,7 +160,8 @@ class Search:
 
     def _leaves(self, a: Node, b: Node) -> None:
         candidates = np.sort(b.rows)
-        for qs in (a.rows[x : x + TILE_Q] for x in range(0, len(a.rows), TILE_Q)):
+        rows = a.rows[self.q[a.rows].astype(np.float64) @ b.centre + b.radius * self.size[a.rows] + self.slack >= self.floor[a.rows]]
+        for qs in (rows[x : x + TILE_Q] for x in range(0, len(rows), TILE_Q)):
             for cs in (candidates[x : x + TILE_C] for x in range(0, len(candidates), TILE_C)):
                 self._tile(qs, cs)
         a.worst = float(self.floor[a.rows].min())
@@ -317,8 +323,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, block: int = BLOCK,
 
     A query never finds rows of its own id.  Vectors that are null or hold a null or non-finite
     component take no part, null ids neither; further columns are no matter; an empty table
-    gives an empty one.  Rows that repeat an id and a vector give the same row again; rows of one
-    id and different vectors are candidates, and queries, of their own.  Components and scores
+    gives an empty one.  An id asks once: rows that repeat an id and a vector are one query, rows of one
+    id and different vectors give the k best of all these vectors; as candidates all rows count.  Components and scores
     beyond 64 bits count as the largest, or the smallest, that fits.
     """
     rows = _clean(vectors, is_query)
@@ -345,7 +351,7 @@ ORACLE_SQL = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+  FROM (SELECT DISTINCT vec_id, e FROM v WHERE vec_id % 50 = 0) q JOIN v c ON q.vec_id <> c.vec_id),
 r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
