@@ -135,6 +135,16 @@ def test_phrases_with_a_rare_word_or_pair_are_left_out():
     assert found(only(h), only(pairs[1:])) == [[0, 1, 2, 3], [1, 2], [1], []]
 
 
+@pytest.mark.parametrize(("gap", "most"), [(1000, 5), (1000, 10**6), (1 << 40, 5), (1 << 40, 10**6)])
+def test_packing_round_trip(gap, most):
+    rng = np.random.default_rng(gap)
+    start = 3 << 44
+    keys = np.unique(rng.integers(0, min(gap * 50, 1 << 44), 50).astype(np.uint64)) + np.uint64(start)
+    counts = rng.integers(1, most, len(keys))
+    got = co.unpacked(co.packed_keys(keys, start), co.packed_counts(counts), start)
+    assert got[0].tolist() == keys.tolist() and got[1].tolist() == counts.tolist()
+
+
 def test_equal_hashes_are_told_apart():
     one, two = (np.array(x, np.uint64) for x in ([5, 7, 5, 5, 7], [1, 2, 1, 3, 2]))
     which, often = co.distinct(one, two)

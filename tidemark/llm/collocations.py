@@ -37,6 +37,8 @@ WORDS, THRESHOLD, TOP = 5, 100, 2000
 BLOCK, OCCURRENCES = 1 << 20, 1 << 21
 #: Counters that wait to be added, beside the capacity of their range.
 PENDING = 1 << 20
+#: Leading bits of a hash that summaries keep: two phrases with the same are counted as one there, so both survive.
+KEY = 48
 #: Bits of a bitmap at most: 32 MB.  A fuller one lets more through to the exact count, and no less.
 BITS = 28
 
@@ -226,16 +228,35 @@ def range_bits(mass: int) -> int:
     return max(min(_log2(mass / 2**20), 12), _log2(mass / 2**30))
 
 
+def packed_keys(keys: np.ndarray, start: int) -> bytes:
+    """Keys in order as steps from one to the next, in four bytes each if they fit."""
+    steps = np.diff(keys, prepend=_U(start))
+    return steps.astype("<u4" if steps.max() < 1 << 32 else "<u8").tobytes()
+
+
+def packed_counts(counts: np.ndarray) -> bytes:
+    return counts.astype("<u1" if counts.max() < 256 else "<u4").tobytes()
+
+
+def unpacked(keys: bytes, counts: bytes, start: int) -> tuple[np.ndarray, np.ndarray]:
+    """What packed_keys and packed_counts packed; a width is told by the number of keys, which both have."""
+    for key, count in (("<u4", "<u1"), ("<u4", "<u4"), ("<u8", "<u1"), ("<u8", "<u4")):
+        if len(keys) * np.dtype(count).itemsize == len(counts) * np.dtype(key).itemsize:
+            n = np.frombuffer(counts, count).astype(np.int64)
+            return np.cumsum(np.frombuffer(keys, key).astype(_U), dtype=_U) + _U(start), n
+    raise ValueError("keys and counts don't belong together")
+
+
 def summaries(docs: DataFrame, lengths: range, bits: int, frequent: list[Broadcast]) -> DataFrame:
     """Summaries of phrases of these lengths by range of hash; with the mass of each, and words of each lang."""
 
     def packed(hashes: list[np.ndarray]) -> pa.RecordBatch:
-        keys, counts = counted(np.concatenate(hashes))
-        part = (keys >> _U(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+        keys, counts = counted(np.concatenate(hashes) >> _U(64 - KEY))
+        part = (keys >> _U(KEY - bits)).astype(np.int64)
         at = np.append(np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])), len(keys)) if len(keys) else [0]
         rows = [(int(part[a]), counts[a:b], keys[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
         mass = [(p, _MASS, int(c.sum()), None, None, None) for p, c, _ in rows]
-        data = [(p, _DATA, None, k.tobytes(), c.astype("<u4").tobytes(), None) for p, c, k in rows]
+        data = [(p, _DATA, None, packed_keys(k, p << (KEY - bits)), packed_counts(c), None) for p, c, k in rows]
         return batch_of(_SUMMARY, *(zip(*mass, *data, strict=True) if rows else [[]] * len(_SUMMARY)))
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,7 +288,7 @@ def survivors(told: DataFrame, bits: int, threshold: int, mass: int) -> Bitmap:
 
     def chunk(part: int, merged: MisraGries) -> pa.RecordBatch:
         out = np.zeros(1 << (size - bits), np.uint8)
-        out[(merged.survivors() >> _U(64 - size)).astype(np.int64) - (part << (size - bits))] = 1
+        out[(merged.survivors() >> _U(KEY - size)).astype(np.int64) - (part << (size - bits))] = 1
         return batch_of([("part", pa.int32()), ("bitmap", pa.binary())], [part], [np.packbits(out, bitorder="little").tobytes()])
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,7 +303,7 @@ def survivors(told: DataFrame, bits: int, threshold: int, mass: int) -> Bitmap:
                     mass += m
                 else:
                     merged = merged or MisraGries(mass, threshold)
-                    merged.add(np.frombuffer(keys, "<u8"), np.frombuffer(counts, "<u4").astype(np.int64))
+                    merged.add(*unpacked(keys, counts, part << (KEY - bits)))
         if merged:
             yield chunk(at, merged)
 
