@@ -4,15 +4,44 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import count_where, money
+from ..sources.scratch import hold
 
 
-def multiset_diff(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Rows of one side that the other lacks, with multiplicity; in_left says whose they are."""
-    return left.exceptAll(right).withColumn("in_left", F.lit(True)).unionByName(right.exceptAll(left).withColumn("in_left", F.lit(False)))
+def _row_hashes(df: DataFrame) -> tuple[Column, Column]:
+    """Two 64-bit hashes of a row; null columns count by their place, which the hash alone passes over."""
+    columns = [x for c in df.columns for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())]
+    return F.xxhash64(F.lit(1), *columns), F.xxhash64(F.lit(2), *reversed(columns))
+
+
+def bucket_digests(df: DataFrame, buckets: int) -> DataFrame:
+    """bucket, n, s1, s2: the rows of each bucket of hashes as a multiset, whatever their order; at most `buckets` rows."""
+    one, two = _row_hashes(df)
+    exact = lambda c: F.sum(c.cast("decimal(20,0)"))
+    return df.groupBy(F.pmod(one, F.lit(buckets)).alias("bucket")).agg(F.count("*").alias("n"), exact(one).alias("s1"), exact(two).alias("s2"))
+
+
+def differing_buckets(left: DataFrame, right: DataFrame, buckets: int) -> DataFrame:
+    """Buckets whose digests are not the same on both sides; held, for the tables are filtered by them twice."""
+    a, b = bucket_digests(left, buckets), bucket_digests(right, buckets).toDF("bucket", "m", "t1", "t2")
+    same = F.col("n").eqNullSafe(F.col("m")) & F.col("s1").eqNullSafe(F.col("t1")) & F.col("s2").eqNullSafe(F.col("t2"))
+    return hold(a.join(b, "bucket", "full_outer").where(~same).select("bucket"))
+
+
+def multiset_diff(left: DataFrame, right: DataFrame, buckets: int = 4096) -> DataFrame:
+    """Rows of one side that the other lacks, with multiplicity; in_left says whose they are.
+
+    Digests of buckets of rows are compared first, and only rows of buckets that differ are shuffled to be
+    counted against each other: what equal tables cost is one aggregate of each.  A difference
+    could only hide where two sums of 64-bit hashes and the number of rows all agree.
+    """
+    chosen = F.broadcast(differing_buckets(left, right, buckets))
+    kept = [df.withColumn("bucket_", F.pmod(_row_hashes(df)[0], F.lit(buckets))).join(chosen, F.col("bucket_") == F.col("bucket"), "left_semi").drop("bucket_") for df in (left, right)]
+    a, b = kept
+    return a.exceptAll(b).withColumn("in_left", F.lit(True)).unionByName(b.exceptAll(a).withColumn("in_left", F.lit(False)))
 
 
 def field_diff(left: DataFrame, right: DataFrame, key: list[str], fields: list[str], absolute: float = 0.0, relative: float = 0.0) -> DataFrame:

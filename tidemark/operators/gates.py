@@ -116,10 +116,62 @@ def overlaps(batches: DataFrame) -> DataFrame:
     return batches.join(other, F.col("batch") < F.col("other")).select("batch", "other", ((F.col("lo") <= F.col("other_hi")) & (F.col("other_lo") <= F.col("hi"))).alias("dates_overlap"))
 
 
-def history_readiness(gates: DataFrame, purpose: str, offsets: tuple[int, ...] = (7, 14, 21, 28)) -> DataFrame:
-    """For each date, which of the dates some weeks before may be used."""
-    asked = gates.select("utc_date", F.explode(F.array(*map(F.lit, offsets))).alias("days")).withColumn("then", F.expr("date_sub(utc_date, days)"))
-    told = gates.select(F.col("utc_date").alias("then"), F.col(f"{purpose}_allowed").alias("usable"))
-    used = asked.join(told, "then", "left").groupBy("utc_date").agg(F.array_sort(F.collect_list(F.when(F.coalesce("usable", F.lit(False)), F.col("days")))).alias("got"))
-    n = F.size("got").cast("long")
-    return used.select("utc_date", n.alias("usable_n"), (n >= 3).alias("min3"), (n == len(offsets)).alias("full4"), F.array_join(F.transform("got", lambda d: d.cast("string")), ",").alias("usable_offsets"))
+def batch_days(records: DataFrame, definition: list[str], content: list[str]) -> DataFrame:
+    """For each series, batch and day: its definition, the number of its records, and their signature as a multiset.
+
+    records: series, batch, day, the columns of the definition (constant in a batch) and of the content.
+    Signatures are sums of two hashes of the content, so order, layout and retries don't matter.
+    """
+    columns = [x for c in content for x in (F.col(c), F.col(c).isNull())]
+    exact = lambda seed: F.sum(F.xxhash64(F.lit(seed), *columns).cast("decimal(20,0)")).cast("string")
+    told = records.groupBy("series", "batch", "day").agg(F.min(F.to_json(F.struct(*definition))).alias("definition"), F.count("*").alias("n"), exact(1).alias("s1"), exact(2).alias("s2"))
+    return told.select("series", "batch", "day", "definition", "n", F.concat_ws(":", F.col("n").cast("string"), "s1", "s2").alias("signature"))
+
+
+def batch_conflicts(days: DataFrame) -> DataFrame:
+    """Pairs of a series' batches that can't stand side by side, from batch_days (a row a batch and day).
+
+    same_content: all records of both are the same, whatever their days are called; redefined: the
+    series means another thing in the other batch; shared_days: days that both have, equal_days: those with
+    the same records.  Pairs come from joins on what is shared, never from all pairs.
+    """
+    exact = lambda c: F.sum(F.split_part("signature", F.lit(":"), F.lit(c)).cast("decimal(38,0)")).cast("string")
+    whole = days.groupBy("series", "batch").agg(F.min("definition").alias("definition"), F.concat_ws(":", exact(1), exact(2), exact(3)).alias("content"))
+    a, b = days.alias("a"), days.alias("b")
+    shared = a.join(b, (F.col("a.series") == F.col("b.series")) & (F.col("a.day") == F.col("b.day")) & (F.col("a.batch") < F.col("b.batch")))
+    shared = shared.groupBy(F.col("a.series").alias("series"), F.col("a.batch").alias("batch"), F.col("b.batch").alias("other")).agg(F.count("*").alias("shared_days"), count_where(F.col("a.signature") == F.col("b.signature")).alias("equal_days"))
+    x, y = whole.alias("x"), whole.alias("y")
+    pair = [F.col("x.series").alias("series"), F.col("x.batch").alias("batch"), F.col("y.batch").alias("other")]
+    twice = x.join(y, (F.col("x.series") == F.col("y.series")) & (F.col("x.content") == F.col("y.content")) & (F.col("x.batch") < F.col("y.batch"))).select(*pair, F.lit(True).alias("same_content"))
+    # The first definition of a series is its own; batches that depart from it are few or an error in themselves.
+    first = whole.groupBy("series").agg(F.min_by("definition", "batch").alias("declared"), F.min("batch").alias("batch"))
+    departs = whole.select("series", F.col("batch").alias("other"), "definition").join(first, "series").where(F.col("definition") != F.col("declared")).select("series", "batch", "other", F.lit(True).alias("redefined"))
+    keys = ["series", "batch", "other"]
+    out = shared.join(twice, keys, "full_outer").join(departs, keys, "full_outer")
+    no, zero = F.lit(False), F.lit(0).cast("long")
+    out = out.select(*keys, F.coalesce("same_content", no).alias("same_content"), F.coalesce("redefined", no).alias("redefined"), F.coalesce("shared_days", zero).alias("shared_days"), F.coalesce("equal_days", zero).alias("equal_days"))
+    return out.withColumn("status", F.when(F.col("redefined"), "series_definition_conflict").when(F.col("same_content"), "same_content").otherwise("date_overlap"))
+
+
+def history_readiness(gates: DataFrame, first: str, last: str, offsets: tuple[int, ...] = (7, 14, 21, 28), least: int = 3) -> DataFrame:
+    """For each purpose and date of the window: which of the dates some weeks before may be used, and why others may not.
+
+    gates: the dates that were looked at, with count_allowed and amount_allowed; amounts need both.  A date that is
+    outside the window, was not looked at, or is blocked gives its reason, in the order of the offsets.
+    """
+    purposes = F.array(F.struct(F.lit("count").alias("purpose"), F.col("count_allowed").alias("usable")), F.struct(F.lit("amount").alias("purpose"), (F.col("count_allowed") & F.col("amount_allowed")).alias("usable")))
+    told = gates.select("utc_date", F.explode(purposes).alias("p")).select("utc_date", "p.*")
+    dates = calendar(gates.sparkSession, first, last, "utc_date").select("utc_date", F.explode(F.array(F.lit("count"), F.lit("amount"))).alias("purpose"))
+    asked = dates.select("*", F.posexplode(F.array(*map(F.lit, (0, *offsets)))).alias("nth", "days")).withColumn("then", F.expr("date_sub(utc_date, days)"))
+    found = asked.join(told.withColumnsRenamed({"utc_date": "then"}), ["then", "purpose"], "left")
+    text = F.col("then").cast("string")
+    why = F.when(F.coalesce("usable", F.lit(False)), F.lit(None)).when(~F.col("then").between(F.to_date(F.lit(first)), F.to_date(F.lit(last))), F.concat(F.lit("outside_observation:"), text)).when(F.col("usable").isNull(), F.concat(F.lit("missing_date:"), text)).otherwise(F.concat(F.lit("quality_blocked:"), text))
+    got = found.groupBy("utc_date", "purpose").agg(F.array_sort(F.collect_list(F.struct("nth", F.coalesce("usable", F.lit(False)).alias("usable"), text.alias("then"), why.alias("why")))).alias("all"))
+    past = F.slice("all", 2, len(offsets))
+    used = F.transform(F.filter(past, lambda x: x["usable"]), lambda x: x["then"])
+    reasons = F.transform(F.filter(past, lambda x: ~x["usable"]), lambda x: x["why"])
+    now = F.col("all")[0]["usable"]
+    every = F.concat(reasons, F.when(now, F.array().cast("array<string>")).otherwise(F.array(F.lit("current_date_missing_or_blocked"))))
+    n = F.size(used).cast("long")
+    status = F.when(~now, "current_date_unavailable").when(n >= least, "history_available_not_evaluated").otherwise("insufficient_history")
+    return got.select("utc_date", "purpose", F.array_join(used, ",").alias("history_dates"), n.alias("history_count"), (n >= least).alias("meets_min3"), (n == len(offsets)).alias("meets_full4"), status.alias("status"), F.when(F.size(every) > 0, F.array_join(every, ";")).otherwise("history_quantity_only").alias("reason"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions.columns import count_where, money, ratio
+from ..functions.quantiles import exact_quantiles
 
 
 def _cents(name: str) -> Column:
@@ -34,14 +35,19 @@ def label(rows: DataFrame, key: list[str], amount: str) -> DataFrame:
 
 
 def duplicate_summary(rows: DataFrame, key: list[str], kind: str, amount: str) -> DataFrame:
-    """Groups, involved and excess records and the hypothetical reduction, overall and for each kind."""
+    """Groups, involved and excess records and the hypothetical reduction, overall and for each kind, from one scan."""
     one = rows.groupBy(F.col(kind).alias("kind"), *key).agg(F.count("*").alias("size"), F.sum(_cents(amount)).alias("a"), F.max(_cents(amount)).alias("r"))
     many = F.col("size") > 1
     measures = [
         count_where(many).alias("groups"), F.coalesce(F.sum(F.when(many, F.col("size"))), F.lit(0)).cast("long").alias("involved"),
         F.coalesce(F.sum(F.col("size") - 1), F.lit(0)).cast("long").alias("excess"), money(F.coalesce(F.sum(F.col("a") - F.col("r")), F.lit(0))).alias("reduction"),
     ]
-    return one.groupBy("kind").agg(*measures).unionByName(one.agg(F.lit("__all__").alias("kind"), *measures))
+    sets = one.groupingSets([["kind"], []], "kind").agg(F.grouping("kind").alias("all"), *measures)
+    names = ["groups", "involved", "excess", "reduction"]
+    named = sets.select(F.when(F.col("all") == 1, "__all__").otherwise(F.col("kind")).alias("kind"), *names)
+    types = dict(named.dtypes)
+    whole = rows.sparkSession.sql("SELECT '__all__' AS kind")  # over no rows the overall row is there too
+    return whole.join(named, "kind", "full_outer").select("kind", *[F.coalesce(c, F.lit(0)).cast(types[c]).alias(c) for c in names])
 
 
 def keep_one(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
@@ -80,11 +86,14 @@ def exclude_heavy(labelled: DataFrame) -> DataFrame:
 
 
 def session_summary(sessions_: DataFrame) -> DataFrame:
+    """Sizes and spans of sessions, their exact quantiles, and what is in heavy ones; sessions_ is a written table, for it is read several times."""
     heavy = F.col("heavy")
-    rank = lambda c, p, name: F.round(F.percentile(c, F.lit(p)), 6).alias(name)
+    points = {"p50": 0.5, "p90": 0.9, "p99": 0.99}
+    found = exact_quantiles(sessions_, ["events", "span_seconds"], list(points.values()))
+    rank = lambda c, k, name: F.round(F.lit(found[c][k]).cast("double"), 6).alias(name)
+    ranks = lambda c, label: [rank(c, k, f"{label}_{p}") for k, p in enumerate(points)]
     return sessions_.agg(
-        F.count("*").alias("sessions"), rank("events", 0.5, "events_p50"), rank("events", 0.9, "events_p90"), rank("events", 0.99, "events_p99"), F.max("events").alias("events_max"),
-        rank("span_seconds", 0.5, "span_p50"), rank("span_seconds", 0.9, "span_p90"), rank("span_seconds", 0.99, "span_p99"), F.max("span_seconds").alias("span_max"), count_where(heavy).alias("heavy_sessions"),
+        F.count("*").alias("sessions"), *ranks("events", "events"), F.max("events").alias("events_max"), *ranks("span_seconds", "span"), F.max("span_seconds").alias("span_max"), count_where(heavy).alias("heavy_sessions"),
         F.coalesce(F.sum(F.when(heavy, F.col("events"))), F.lit(0)).cast("long").alias("heavy_events"), F.countDistinct(F.when(heavy, F.col("user_id"))).alias("heavy_users"),
         money(F.coalesce(F.sum(F.when(heavy, F.col("amount"))), F.lit(0))).alias("heavy_amount"), count_where(F.col("dates") > 1).alias("cross_day"),
     )

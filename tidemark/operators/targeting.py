@@ -49,7 +49,10 @@ def early_stop(rows: DataFrame) -> DataFrame:
 
 
 def align_members(rows: DataFrame, members: DataFrame) -> DataFrame:
-    """Records joined to a membership table, with what does not match counted."""
+    """Records joined to a membership table, with what does not match counted.
+
+    Where both were written in equal buckets of row_id, the join reads bucket by bucket and nothing is shuffled.
+    """
     told = members.select("row_id", F.col("treatment").alias("member_treatment"), "split")
     both = rows.join(told, "row_id", "full_outer")
     here, there = F.col("treatment").isNotNull(), F.col("split").isNotNull()

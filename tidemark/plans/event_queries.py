@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -9,6 +11,7 @@ from pyspark.sql import Window
 from ..functions import columns as c
 from ..operators import gates, parse, profile, quality
 from ..sources.files import scan_union_periods as union_periods
+from ..sources.scratch import once, written
 from ..sources.tables import FACT_SQL, RAW_SQL, facts, raw_events, table
 from .registry import query
 
@@ -241,10 +244,50 @@ def batch_overlap_check(spark, sf_dir):
     return gates.overlaps(batches)
 
 
-@query(f"""WITH {_GATES_SQL}, w AS (SELECT g.utc_date, o.days, h.amount_allowed IS TRUE AS usable FROM gates g, (VALUES (7), (14), (21), (28)) o(days) LEFT JOIN gates h ON h.utc_date = g.utc_date - o.days)
-SELECT utc_date, count(*) FILTER (usable) AS usable_n, count(*) FILTER (usable) >= 3 AS min3, count(*) FILTER (usable) = 4 AS full4, coalesce(string_agg(CASE WHEN usable THEN CAST(days AS VARCHAR) END, ',' ORDER BY days), '') AS usable_offsets FROM w GROUP BY utc_date""")
+#: Six batches of one series: two halves of the orders by key, a copy under another name, days with changed and days with equal records, another definition.
+_BATCHES_SQL = """o AS (SELECT o_orderkey, o_totalprice, CAST(o_orderdate AS DATE) AS day FROM orders),
+bt AS (SELECT 'orders' AS series, 'b' || (o_orderkey % 2) AS batch, day, o_orderkey AS k, o_totalprice AS v, 'hash' AS rule FROM o
+  UNION ALL SELECT 'orders', 'c_copy', day + 36500, o_orderkey, o_totalprice, 'hash' FROM o WHERE o_orderkey % 2 = 0
+  UNION ALL SELECT 'orders', 'd_part', day, o_orderkey, CASE WHEN day(day) % 2 = 0 THEN o_totalprice + 1 ELSE o_totalprice END, 'hash' FROM o WHERE o_orderkey % 2 = 1 AND month(day) = 3
+  UNION ALL SELECT 'orders', 'e_new', day + 73000, o_orderkey, o_totalprice, 'prefix' FROM o WHERE o_orderkey % 7 = 0
+  UNION ALL SELECT 'other', 'b0', day, o_orderkey, o_totalprice, 'hash' FROM o WHERE o_orderkey % 2 = 0)"""
+
+
+@query(f"""WITH {_BATCHES_SQL}, dd AS (SELECT series, batch, day, md5(string_agg(k || '|' || v, ',' ORDER BY k, v)) AS h FROM bt GROUP BY ALL),
+ww AS (SELECT series, batch, min(rule) AS rule, md5(string_agg(k || '|' || v, ',' ORDER BY k, v)) AS h FROM bt GROUP BY ALL),
+sh AS (SELECT a.series, a.batch, b.batch AS other, count(*) AS shared_days, count(*) FILTER (a.h = b.h) AS equal_days FROM dd a JOIN dd b ON a.series = b.series AND a.day = b.day AND a.batch < b.batch GROUP BY ALL),
+tw AS (SELECT a.series, a.batch, b.batch AS other, TRUE AS same_content FROM ww a JOIN ww b ON a.series = b.series AND a.h = b.h AND a.batch < b.batch),
+fi AS (SELECT series, arg_min(rule, batch) AS declared, min(batch) AS batch FROM ww GROUP BY 1),
+de AS (SELECT ww.series, fi.batch, ww.batch AS other, TRUE AS redefined FROM ww JOIN fi USING (series) WHERE rule <> declared)
+SELECT series, batch, other, coalesce(same_content, FALSE) AS same_content, coalesce(redefined, FALSE) AS redefined, coalesce(shared_days, 0) AS shared_days, coalesce(equal_days, 0) AS equal_days,
+  CASE WHEN redefined THEN 'series_definition_conflict' WHEN same_content THEN 'same_content' ELSE 'date_overlap' END AS status FROM sh FULL JOIN tw USING (series, batch, other) FULL JOIN de USING (series, batch, other)""")
+def batch_content_check(spark, sf_dir):
+    """Content twice, partial overlap and redefinition of a series among planted batches."""
+    o = table(spark, sf_dir, "orders").select(F.lit("orders").alias("series"), F.to_date("o_orderdate").alias("day"), F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("v"), F.lit("hash").alias("rule"))
+    even, odd = F.col("k") % 2 == 0, F.col("k") % 2 == 1
+    named = lambda df, name: df.withColumn("batch", F.lit(name))
+    changed = F.when(F.dayofmonth("day") % 2 == 0, F.col("v") + 1).otherwise(F.col("v"))
+    parts = [
+        o.withColumn("batch", F.concat(F.lit("b"), (F.col("k") % 2).cast("string"))), named(o.where(even).withColumn("day", F.date_add("day", 36500)), "c_copy"),
+        named(o.where(odd & (F.month("day") == 3)).withColumn("v", changed), "d_part"), named(o.where(F.col("k") % 7 == 0).withColumns({"day": F.date_add("day", 73000), "rule": F.lit("prefix")}), "e_new"),
+        named(o.where(even).withColumn("series", F.lit("other")), "b0"),
+    ]
+    return gates.batch_conflicts(written(gates.batch_days(reduce(DataFrame.unionByName, parts), ["rule"], ["k", "v"]), "batch_days"))
+
+
+@query(f"""WITH {_GATES_SQL}, lo AS (SELECT DATE '2024-01-01' AS a, DATE '2024-02-10' AS b), seen AS (SELECT * FROM gates WHERE day(utc_date) % 9 <> 4),
+al AS (SELECT CAST(unnest(range(a, b + 1, INTERVAL 1 DAY)) AS DATE) AS utc_date FROM lo), pu AS (SELECT utc_date, purpose FROM al, (VALUES ('count'), ('amount')) p(purpose)),
+us AS (SELECT utc_date, 'count' AS purpose, count_allowed AS usable FROM seen UNION ALL SELECT utc_date, 'amount', count_allowed AND amount_allowed FROM seen),
+w AS (SELECT pu.utc_date, pu.purpose, o.days, pu.utc_date - o.days AS past, us.usable FROM pu, (VALUES (0), (7), (14), (21), (28)) o(days) LEFT JOIN us ON us.utc_date = pu.utc_date - o.days AND us.purpose = pu.purpose),
+r AS (SELECT w.*, CASE WHEN usable THEN NULL WHEN past < a OR past > b THEN 'outside_observation:' || past WHEN usable IS NULL THEN 'missing_date:' || past ELSE 'quality_blocked:' || past END AS why FROM w, lo),
+g AS (SELECT utc_date, purpose, coalesce(string_agg(CAST(past AS VARCHAR), ',' ORDER BY days) FILTER (days > 0 AND usable), '') AS history_dates, count(*) FILTER (days > 0 AND usable) AS history_count, coalesce(bool_or(usable) FILTER (days = 0), FALSE) AS current,
+  concat_ws(';', string_agg(why, ';' ORDER BY days) FILTER (days > 0), CASE WHEN NOT coalesce(bool_or(usable) FILTER (days = 0), FALSE) THEN 'current_date_missing_or_blocked' END) AS why FROM r GROUP BY ALL)
+SELECT utc_date, purpose, history_dates, history_count, history_count >= 3 AS meets_min3, history_count = 4 AS meets_full4, CASE WHEN NOT current THEN 'current_date_unavailable' WHEN history_count >= 3 THEN 'history_available_not_evaluated' ELSE 'insufficient_history' END AS status,
+  CASE WHEN why = '' THEN 'history_quantity_only' ELSE why END AS reason FROM g""")
 def history_readiness(spark, sf_dir):
-    return gates.history_readiness(gates.date_gates(facts(spark, sf_dir), "2024-01-01", "2024-02-02"), "amount")
+    """Some dates were not looked at, and the window goes on beyond the records."""
+    seen = gates.date_gates(facts(spark, sf_dir), "2024-01-01", "2024-02-02").where(F.dayofmonth("utc_date") % 9 != 4)
+    return gates.history_readiness(seen, "2024-01-01", "2024-02-10")
 
 
 _DUP_SQL = "SELECT l_orderkey, l_linenumber, count(*) AS size, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DECIMAL(38,2)) AS amount, CAST(max(CAST(l_extendedprice AS DECIMAL(18,2))) AS DECIMAL(38,2)) AS retained FROM lineitem GROUP BY ALL"
@@ -261,6 +304,14 @@ def dup_groups(spark, sf_dir):
     return quality.groups(table(spark, sf_dir, "lineitem"), _DUP_KEY, "l_extendedprice")
 
 
+@query("""WITH k AS (SELECT *, trim(trailing '.' FROM trim(trailing '0' FROM CAST(CAST(l_discount AS DECIMAL(18,2)) AS VARCHAR))) || '|' || l_returnflag || '|' || l_suppkey AS key FROM lineitem)
+SELECT key, count(*) AS size, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DECIMAL(38,2)) AS amount, CAST(max(CAST(l_extendedprice AS DECIMAL(18,2))) AS DECIMAL(38,2)) AS retained FROM k GROUP BY 1""")
+def dup_groups_normalised(spark, sf_dir):
+    """Groups by the normalised key, in which 0.1 and 0.10 are the same."""
+    rows = table(spark, sf_dir, "lineitem").select("l_discount", "l_returnflag", F.col("l_suppkey").cast("string").alias("l_suppkey"), "l_extendedprice")
+    return quality.groups(quality.normalised_key(rows, "l_discount", ["l_returnflag", "l_suppkey"]), ["key"], "l_extendedprice")
+
+
 @query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, count(*) OVER (PARTITION BY l_orderkey, l_linenumber) AS size FROM lineitem")
 def dup_label(spark, sf_dir):
     return quality.label(table(spark, sf_dir, "lineitem"), _DUP_KEY, "l_extendedprice").select(*_DUP_KEY, "l_partkey", "l_suppkey", "l_shipdate", "size")
@@ -302,7 +353,7 @@ def session_label(spark, sf_dir):
   round(quantile_cont(span_seconds, 0.5), 6) AS span_p50, round(quantile_cont(span_seconds, 0.9), 6) AS span_p90, round(quantile_cont(span_seconds, 0.99), 6) AS span_p99, max(span_seconds) AS span_max, count(*) FILTER (heavy) AS heavy_sessions, CAST(coalesce(sum(events) FILTER (heavy), 0) AS BIGINT) AS heavy_events, count(DISTINCT user_id) FILTER (heavy) AS heavy_users,
   CAST(coalesce(sum(amount) FILTER (heavy), 0) AS DECIMAL(38,2)) AS heavy_amount, count(*) FILTER (dates > 1) AS cross_day FROM sessions""")
 def session_summary(spark, sf_dir):
-    return quality.session_summary(quality.sessions(facts(spark, sf_dir), 12))
+    return quality.session_summary(once(spark, "sessions", sf_dir, lambda: quality.sessions(facts(spark, sf_dir), 12)))
 
 
 @query(f"WITH {_SESSION_SQL} SELECT f.event_id FROM fact f LEFT JOIN sessions s ON f.ok AND NOT f.no_sess AND f.user_id = s.user_id AND f.sess = s.user_session WHERE NOT coalesce(s.heavy, FALSE)")

@@ -9,7 +9,7 @@ from ..functions.columns import ratio
 from ..operators import experiments as ex
 from ..operators import boosting, models, uplift
 from ..operators import targeting as tg
-from ..sources.scratch import once, remembered
+from ..sources.scratch import bucketed, once, remembered
 from ..sources.tables import EXPERIMENT_SQL, experiment, table
 from .experiment_queries import _wald_sql
 from .registry import query
@@ -47,6 +47,19 @@ def _study(spark, sf_dir):
     return once(spark, "study", sf_dir, lambda: tg.split(experiment(spark, sf_dir)).withColumn("tie", tg.tie_hash()))
 
 
+def _aligned(spark, sf_dir):
+    """Records and members, written once in equal buckets."""
+
+    def make():
+        told = _split(spark, sf_dir)
+        members = told.where("split <> 'test'").withColumn("treatment", F.when(F.col("row_id") < "1", 1 - F.col("treatment")).otherwise(F.col("treatment")))
+        strange = told.where("row_id >= 'f8'").withColumn("row_id", F.concat(F.lit("x"), "row_id"))
+        kept = ["row_id", "treatment", "split"]
+        return bucketed(told.select("row_id", "treatment"), "records", "row_id"), bucketed(members.unionByName(strange).select(*kept), "members", "row_id")
+
+    return remembered(spark, "aligned", sf_dir, make)
+
+
 def _split(spark, sf_dir):
     return _study(spark, sf_dir).drop("tie")
 
@@ -102,11 +115,8 @@ def early_stop_member(spark, sf_dir):
 @query(f"""WITH {SPLIT_SQL}, m AS (SELECT row_id, CASE WHEN row_id < '1' THEN 1 - treatment ELSE treatment END AS arm FROM sp WHERE split <> 'test' UNION ALL SELECT 'x' || row_id, treatment FROM sp WHERE row_id >= 'f8')
 SELECT count(*) AS rows, count(*) FILTER (m.row_id IS NULL) AS without_member, count(*) FILTER (sp.row_id IS NULL) AS without_record, count(*) FILTER (arm <> treatment) AS arm_mismatch FROM sp FULL JOIN m USING (row_id)""")
 def align_members(spark, sf_dir):
-    """Members without the test split, some with the other arm, and some that no record has."""
-    told = _split(spark, sf_dir)
-    members = told.where("split <> 'test'").withColumn("treatment", F.when(F.col("row_id") < "1", 1 - F.col("treatment")).otherwise(F.col("treatment")))
-    strange = told.where("row_id >= 'f8'").withColumn("row_id", F.concat(F.lit("x"), "row_id"))
-    return tg.align_members(experiment(spark, sf_dir), members.unionByName(strange))
+    """Members without the test split, some with the other arm, and some that no record has; both tables in buckets of row_id."""
+    return tg.align_members(*_aligned(spark, sf_dir))
 
 
 @query(f"WITH {SPLIT_SQL}, i AS (SELECT f0, f1, treatment FROM sp WHERE split = 'train' INTERSECT SELECT f0, f1, treatment FROM sp WHERE split = 'valid') SELECT treatment, count(*) AS shared FROM i GROUP BY 1")
