@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import HALF, count_where, hash16, wilson
@@ -169,6 +170,21 @@ def inject_effect(rows: DataFrame, key: str, outcome: str, base: float, effect:
     return rows.withColumn("planted", planted).withColumn("injected", F.when(planted, 1).otherwise(F.col(outcome)))
 
 
+def planted_estimates(planted: DataFrame, outcome: str) -> DataFrame:
+    """scenario (none, planted): the test of each outcome beside the truth, from rows of inject_effect; two rows.
+
+    truth: what was planted, as a share of arm 1; error: the estimate less the truth; covered: whether the interval holds
+    the truth; increment: how much the planted estimate exceeds the other, which is the truth exactly.
+    """
+    arm = lambda a: F.col("arm") == a
+    told = planted.agg(*[x for a in (1, 0) for x in (count_where(arm(a)).alias(f"n{a}"), count_where(arm(a) & (F.col(outcome) == 1)).alias(f"x{a}"), count_where(arm(a) & (F.col("injected") == 1)).alias(f"z{a}"))], count_where(F.col("planted")).alias("flips"))
+    one = lambda name, k, flips: F.struct(F.lit(name).alias("scenario"), F.col(f"{k}1").alias("k1"), F.col(f"{k}0").alias("k0"), flips.alias("k_planted"))
+    long = told.select("n1", "n0", F.explode(F.array(one("none", "x", F.lit(0).cast("long")), one("planted", "z", F.col("flips")))).alias("s")).select("n1", "n0", "s.*")
+    out = test_proportions(long).withColumn("truth", F.col("k_planted") / F.when(F.col("n1") > 0, F.col("n1")).cast("double"))
+    first = F.max(F.when(F.col("scenario") == "none", F.col("difference"))).over(Window.partitionBy())  # two rows
+    return out.withColumns({"error": F.col("difference") - F.col("truth"), "covered": (F.col("ci_low") <= F.col("truth")) & (F.col("truth") <= F.col("ci_high")), "increment": F.col("difference") - first})
+
+
 def segment_sample_size(rates: DataFrame, mdes: list[float]) -> DataFrame:
     """Users an arm needs to find relative changes at 5% and 80% power, for each segment's rate."""
     p = F.col("rate")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import count_where, price_band, ratio, ratio_status
@@ -66,17 +67,20 @@ def paths(facts: DataFrame, censored_from: str, hours: int = 24) -> DataFrame:
 
 
 def summary(paths_: DataFrame) -> DataFrame:
-    """Counts, classes and ratios of formal paths: overall, by start day, by band; absent bands are zeros."""
-    formal = paths_.where("release_status = 'formal'")
+    """Counts, classes and ratios of formal paths: overall, by start day, by band; absent bands are zeros.
+
+    Paths are scanned once and counted by day and band; all three levels are sets over these counts.
+    """
+    names = ["n_view", "n_cart", "n_purchase", "n_three_step", *CLASSES]
     aggs = [F.count("*").alias("n_view"), count_where(F.col("has_cart_after_view")).alias("n_cart"), count_where(F.col("has_purchase_after_view")).alias("n_purchase"), count_where(F.col("has_three_step")).alias("n_three_step")]
     aggs += [count_where(F.col("strict_class") == c).alias(c) for c in CLASSES]
-    overall = formal.agg(*aggs).select(F.lit("overall").alias("level"), F.lit("all").alias("segment"), "*")
-    by_day = formal.groupBy(F.col("start_date_utc").cast("string").alias("segment")).agg(*aggs).select(F.lit("start_day").alias("level"), "*")
-    bands = paths_.sparkSession.createDataFrame([(b,) for b in BANDS], "segment string")
-    counted = formal.groupBy(F.col("price_band").alias("segment")).agg(*aggs)
-    names = ["n_view", "n_cart", "n_purchase", "n_three_step", *CLASSES]
-    by_band = F.broadcast(bands).join(counted, "segment", "left").select(F.lit("price_band").alias("level"), "segment", *[F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in names])
-    whole = overall.unionByName(by_day).unionByName(by_band)
+    cells = paths_.where("release_status = 'formal'").groupBy(F.col("start_date_utc").cast("string").alias("day"), F.col("price_band").alias("band")).agg(*aggs)
+    sets = cells.groupingSets([[], ["day"], ["band"]], "day", "band").agg(F.grouping("day").alias("no_day"), F.grouping("band").alias("no_band"), *[F.sum(n).alias(n) for n in names])
+    level = F.when(F.col("no_day") == 0, "start_day").when(F.col("no_band") == 0, "price_band").otherwise("overall")
+    segment = F.when(F.col("no_day") == 0, F.col("day")).when(F.col("no_band") == 0, F.col("band")).otherwise("all")
+    told = sets.select(level.alias("level"), segment.alias("segment"), *names)
+    spine = paths_.sparkSession.createDataFrame([("overall", "all"), *[("price_band", b) for b in BANDS]], "level string, segment string")
+    whole = spine.join(told, ["level", "segment"], "full_outer").select("level", "segment", *[F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in names])
     n = F.col
     return whole.withColumns({
         "view_to_cart": ratio(n("n_cart"), n("n_view")), "cart_to_purchase_three_step": ratio(n("n_three_step"), n("n_cart")), "view_to_purchase": ratio(n("n_purchase"), n("n_view")),
@@ -121,14 +125,34 @@ def purchase_audit(facts: DataFrame, formal_from: str, formal_before: str, hours
     )
     bought = linked(facts, hours).where("event_type = 'purchase'").select(F.col("event_date_utc").cast("string").alias("day"), reason.alias("reason"))
     by_day = bought.groupBy("day", "reason").agg(F.count("*").alias("n"))
-    return by_day.unionByName(bought.groupBy(F.lit("__all__").alias("day"), "reason").agg(F.count("*").alias("n")))
+    sets = by_day.groupingSets([["reason"], ["reason", "day"]], "reason", "day").agg(F.grouping("day").alias("all"), F.sum("n").cast("long").alias("n"))
+    return sets.select(F.when(F.col("all") == 1, "__all__").otherwise(F.col("day")).alias("day"), "reason", "n")
 
 
 def invariants(paths_: DataFrame) -> DataFrame:
-    """Numbers of paths that break what must hold; all zero."""
-    three, cart = F.col("has_three_step"), F.col("has_cart_after_view")
+    """Numbers of paths that break what must hold; all zero where nothing is wrong."""
+    three, cart, formal = F.col("has_three_step"), F.col("has_cart_after_view"), F.col("release_status") == "formal"
     return paths_.agg(
         count_where(three & ~cart).alias("three_step_without_cart"), count_where(three & ~F.col("has_purchase_after_view")).alias("three_step_without_purchase"),
-        count_where(~F.col("strict_class").isin(*CLASSES)).alias("unknown_class"), (F.count("*") - F.countDistinct(*KEY)).alias("repeated_keys"),
+        count_where(~F.coalesce(F.col("strict_class").isin(*CLASSES), F.lit(False))).alias("unknown_class"), (F.count("*") - F.countDistinct(*KEY)).alias("repeated_keys"),
         count_where(F.col("first_view_price").isNull() & (F.col("price_band") != "unknown")).alias("band_without_price"),
+        count_where(three != (F.col("strict_class") == CLASSES[0])).alias("class_against_steps"), count_where(formal & (F.col("order_uncertain") | F.col("right_censored"))).alias("formal_without_order"),
+        count_where(F.col("start_date_utc") != F.to_date("first_view_time")).alias("day_against_time"), count_where(reduce(lambda a, b: a | b, [F.col(k).isNull() for k in KEY])).alias("null_keys"),
     )
+
+
+def conservation(summary_: DataFrame) -> DataFrame:
+    """For each level and count of a summary: its sum over the segments against the overall count; and classes against views.
+
+    column class_sum: views less the sum of all classes, and 0; bounds: segments in which steps exceed what comes before them.
+    """
+    names = ["n_view", "n_cart", "n_purchase", "n_three_step", *CLASSES]
+    spread = F.col("n_view") - sum((F.col(c) for c in CLASSES), F.lit(0))
+    bad = (F.col("n_three_step") > F.least("n_cart", "n_purchase")) | (F.greatest("n_cart", "n_purchase") > F.col("n_view"))
+    sums = summary_.groupBy("level").agg(*[F.sum(n).alias(n) for n in names], F.sum(F.abs(spread)).alias("class_sum"), count_where(bad).alias("bounds"))
+    columns = [*names, "class_sum", "bounds"]
+    long = sums.select("level", *[F.col(c).cast("long") for c in columns]).unpivot("level", columns, "column", "total")
+    # Three rows a column at most.
+    overall = F.max(F.when(F.col("level") == "overall", F.col("total"))).over(Window.partitionBy("column"))
+    own = F.col("column").isin("class_sum", "bounds")
+    return long.withColumn("expected", F.when(own, F.lit(0)).otherwise(overall).cast("long")).withColumn("holds", F.col("total") == F.col("expected"))

@@ -183,10 +183,10 @@ def hourly_complete(hours: DataFrame) -> DataFrame:
 
 
 def behavior_coverage(facts: DataFrame) -> DataFrame:
-    """Events and users by type, for each day and overall."""
-    aggs = [F.count("*").alias("events"), F.countDistinct("user_id").alias("users")]
-    by_day = facts.groupBy(F.col("event_date_utc").cast("string").alias("day"), "event_type").agg(*aggs)
-    return facts.groupBy("event_type").agg(*aggs).select(F.lit("__all__").alias("day"), "event_type", "events", "users").unionByName(by_day)
+    """Events and users by type, for each day and overall, in one scan: users of a day first, then both sets over these."""
+    users = facts.groupBy(F.col("event_date_utc").cast("string").alias("d"), "event_type", "user_id").agg(F.count("*").alias("n"))
+    sets = users.groupingSets([["event_type"], ["event_type", "d"]], "event_type", "d").agg(F.grouping("d").alias("all"), F.sum("n").cast("long").alias("events"), F.countDistinct("user_id").alias("users"))
+    return sets.select(F.when(F.col("all") == 1, "__all__").otherwise(F.col("d")).alias("day"), "event_type", "events", "users")
 
 
 def daily_stats(days: DataFrame) -> DataFrame:
@@ -207,8 +207,8 @@ def period_daily_means(days: DataFrame, month: Column) -> DataFrame:
 
 
 def category_known_coverage(dims: DataFrame) -> DataFrame:
-    """Share of events and purchases whose category is known, by date."""
+    """Share of events, purchases and amount whose category is known, by date; of the amount only where all of it may be summed."""
     held = dims.where("dim_name = 'category_l1'")
     unknown = F.col("dim_value_key") == "bucket:unknown"
     known = lambda c: 1 - F.try_divide(F.coalesce(F.sum(F.when(unknown, F.col(c))), F.lit(0)).cast("double"), F.sum(c).cast("double"))
-    return held.groupBy("utc_date").agg(F.round(known("event_records"), 6).alias("events_known"), F.round(F.when(F.sum("purchase_events") > 0, known("purchase_events")), 6).alias("purchases_known"))
+    return held.groupBy("utc_date").agg(F.round(known("event_records"), 6).alias("events_known"), F.round(F.when(F.sum("purchase_events") > 0, known("purchase_events")), 6).alias("purchases_known"), F.round(F.when(F.bool_and(F.col("purchase_amount").isNotNull()) & (F.sum("purchase_amount") > 0), known("purchase_amount")), 6).alias("amount_known"))

@@ -169,6 +169,19 @@ def inject_effect(spark, sf_dir):
     return planted.groupBy("arm").agg(F.count("*").alias("n"), F.sum("outcome").alias("before"), F.sum("injected").cast("long").alias("after"), F.count_if("planted").alias("planted"))
 
 
+@query(f"""WITH {_USERS_SQL}, i AS (SELECT arm, rich, arm = 1 AND NOT rich AND substr(sha256('inject-v1|' || key), 1, 16) < '1999999999999999' AS planted FROM a),
+sc AS (SELECT s AS scenario, count(*) FILTER (arm = 1) AS n1, count(*) FILTER (arm = 0) AS n0, count(*) FILTER (arm = 1 AND (rich OR (planted AND s = 'planted'))) AS k1, count(*) FILTER (arm = 0 AND rich) AS k0, count(*) FILTER (planted AND s = 'planted') AS k_planted FROM i, (VALUES ('none'), ('planted')) v(s) GROUP BY 1),
+wa AS (WITH {_wald_sql("scenario, k_planted, d, e", "SELECT * FROM sc", 10)}), tr AS (SELECT *, k_planted / CAST(n1 AS DOUBLE) AS t FROM wa)
+SELECT scenario, n1, n0, k1, k0, k_planted, status, round(d, 9) AS difference, ci_low, ci_high, round(t, 9) AS truth, round(d - t, 9) AS error, CASE WHEN status = 'ok' THEN d - 1.959963984540054 * e <= t AND t <= d + 1.959963984540054 * e END AS covered,
+  round(d - max(d) FILTER (scenario = 'none') OVER (), 9) AS increment FROM tr""")
+def inject_estimate(spark, sf_dir):
+    """What the test finds of a planted effect, beside the truth."""
+    users = _assigned(spark, sf_dir).withColumn("outcome", F.col("rich").cast("int"))
+    out = ex.planted_estimates(ex.inject_effect(users, "key", "outcome", base=0.5, effect=0.05), "outcome")
+    out = out.withColumns({c: F.round(c, 9) for c in ("difference", "truth", "error", "increment")} | {c: F.round(c, 6) for c in ("ci_low", "ci_high")})
+    return out.select("scenario", "n1", "n0", "k1", "k0", "k_planted", "status", "difference", "ci_low", "ci_high", "truth", "error", "covered", "increment")
+
+
 _RATES_SQL = "r AS (SELECT c_mktsegment AS segment, count(*) FILTER (c_acctbal > 5000) / CAST(count(*) AS DOUBLE) AS rate FROM customer GROUP BY 1)"
 
 

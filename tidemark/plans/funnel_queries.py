@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import funnel
+from ..sources.scratch import written
 from ..sources.tables import FACT_SQL, facts
 from .registry import query
 
@@ -81,7 +82,42 @@ def purchase_audit(spark, sf_dir):
     return funnel.purchase_audit(_events(spark, sf_dir), "2024-01-01 00:00:00", CENSORED)
 
 
-@query(f"""WITH {PATHS_SQL} SELECT count(*) FILTER (has_three_step AND NOT has_cart_after_view) AS three_step_without_cart, count(*) FILTER (has_three_step AND NOT has_purchase_after_view) AS three_step_without_purchase, CAST(0 AS BIGINT) AS unknown_class,
-  count(*) - count(DISTINCT (user_id, user_session, product_id)) AS repeated_keys, count(*) FILTER (first_view_price IS NULL AND price_band <> 'unknown') AS band_without_price FROM paths""")
+#: Paths with planted faults, by the last digit of the product and the user.
+_DAMAGED_SQL = """dp0 AS (SELECT * REPLACE (
+  CASE WHEN CAST(user_id AS BIGINT) % 11 = 3 THEN FALSE ELSE has_cart_after_view END AS has_cart_after_view, CASE WHEN CAST(user_id AS BIGINT) % 13 = 5 THEN FALSE ELSE has_purchase_after_view END AS has_purchase_after_view,
+  CASE WHEN CAST(user_id AS BIGINT) % 17 = 6 THEN 'other' ELSE strict_class END AS strict_class, CASE WHEN CAST(user_id AS BIGINT) % 19 = 7 THEN NULL ELSE first_view_price END AS first_view_price,
+  CASE WHEN CAST(user_id AS BIGINT) % 5 = 1 THEN 'formal' ELSE release_status END AS release_status, CASE WHEN CAST(user_id AS BIGINT) % 23 = 8 THEN start_date_utc + 1 ELSE start_date_utc END AS start_date_utc) FROM paths),
+dp AS (SELECT * FROM dp0 UNION ALL SELECT * FROM dp0 WHERE CAST(user_id AS BIGINT) % 29 = 9)"""
+
+
+def _damaged(paths):
+    """The same faults in Spark."""
+    u = F.col("user_id").cast("long")
+    out = paths.withColumns({
+        "has_cart_after_view": (u % 11 != 3) & F.col("has_cart_after_view"), "has_purchase_after_view": (u % 13 != 5) & F.col("has_purchase_after_view"), "strict_class": F.when(u % 17 == 6, "other").otherwise(F.col("strict_class")),
+        "first_view_price": F.when(u % 19 != 7, F.col("first_view_price")), "release_status": F.when(u % 5 == 1, "formal").otherwise(F.col("release_status")), "start_date_utc": F.when(u % 23 == 8, F.date_add("start_date_utc", 1)).otherwise(F.col("start_date_utc")),
+    })
+    return out.unionByName(out.where(u % 29 == 9))
+
+
+_INVARIANTS_SQL = f"""count(*) FILTER (has_three_step AND NOT has_cart_after_view) AS three_step_without_cart, count(*) FILTER (has_three_step AND NOT has_purchase_after_view) AS three_step_without_purchase,
+  count(*) FILTER (strict_class NOT IN ({", ".join(f"'{c}'" for c in funnel.CLASSES)})) AS unknown_class, count(*) - count(DISTINCT (user_id, user_session, product_id)) AS repeated_keys, count(*) FILTER (first_view_price IS NULL AND price_band <> 'unknown') AS band_without_price,
+  count(*) FILTER (has_three_step <> (strict_class = '{funnel.CLASSES[0]}')) AS class_against_steps, count(*) FILTER (release_status = 'formal' AND (order_uncertain OR right_censored)) AS formal_without_order,
+  count(*) FILTER (start_date_utc <> CAST(first_view_time AS DATE)) AS day_against_time, count(*) FILTER (user_id IS NULL OR user_session IS NULL OR product_id IS NULL) AS null_keys"""
+
+
+@query(f"WITH {PATHS_SQL}, {_DAMAGED_SQL} SELECT 'paths' AS scope, {_INVARIANTS_SQL} FROM paths UNION ALL SELECT 'damaged', {_INVARIANTS_SQL} FROM dp")
 def funnel_invariants(spark, sf_dir):
-    return funnel.invariants(path_table(spark, sf_dir))
+    """The paths, which break nothing, and a copy with planted faults."""
+    paths = written(path_table(spark, sf_dir), "paths")
+    both = [funnel.invariants(df).select(F.lit(scope).alias("scope"), "*") for scope, df in (("paths", paths), ("damaged", _damaged(paths)))]
+    return both[0].unionByName(both[1])
+
+
+@query(f"""WITH {PATHS_SQL}, {_DAMAGED_SQL}, f AS (SELECT * FROM dp WHERE release_status = 'formal'), w AS (SELECT 'overall' AS level, {_COUNTS} FROM f UNION ALL SELECT 'start_day', {_COUNTS} FROM f GROUP BY start_date_utc UNION ALL SELECT 'price_band', {_COUNTS} FROM f GROUP BY price_band),
+s AS (SELECT level, {", ".join(f"CAST(sum({n}) AS BIGINT) AS {n}" for n in _NAMES)}, CAST(sum(abs(n_view - ({" + ".join(funnel.CLASSES)}))) AS BIGINT) AS class_sum, count(*) FILTER (n_three_step > least(n_cart, n_purchase) OR greatest(n_cart, n_purchase) > n_view) AS bounds FROM w GROUP BY 1),
+u AS (UNPIVOT s ON {", ".join(_NAMES)}, class_sum, bounds INTO NAME "column" VALUE total), e AS (SELECT *, CASE WHEN "column" IN ('class_sum', 'bounds') THEN 0 ELSE max(total) FILTER (level = 'overall') OVER (PARTITION BY "column") END AS expected FROM u)
+SELECT level, "column", total, CAST(expected AS BIGINT) AS expected, total = expected AS holds FROM e""")
+def funnel_conservation(spark, sf_dir):
+    """Sums over days and bands, and class sums, of the damaged paths: what the planted classes break shows."""
+    return funnel.conservation(funnel.summary(_damaged(path_table(spark, sf_dir))))

@@ -205,7 +205,8 @@ def period_daily_means(spark, sf_dir):
 
 
 @query(f"""WITH {BASE_SQL} SELECT utc_date, round(1 - coalesce(sum(event_records) FILTER (dim_value_key = 'bucket:unknown'), 0) / CAST(sum(event_records) AS DOUBLE), 6) AS events_known,
-  round(CASE WHEN sum(purchase_events) > 0 THEN 1 - coalesce(sum(purchase_events) FILTER (dim_value_key = 'bucket:unknown'), 0) / CAST(sum(purchase_events) AS DOUBLE) END, 6) AS purchases_known FROM dims WHERE dim_name = 'category_l1' GROUP BY 1""")
+  round(CASE WHEN sum(purchase_events) > 0 THEN 1 - coalesce(sum(purchase_events) FILTER (dim_value_key = 'bucket:unknown'), 0) / CAST(sum(purchase_events) AS DOUBLE) END, 6) AS purchases_known,
+  round(CASE WHEN bool_and(purchase_amount IS NOT NULL) AND sum(purchase_amount) > 0 THEN 1 - CAST(coalesce(sum(purchase_amount) FILTER (dim_value_key = 'bucket:unknown'), 0) AS DOUBLE) / CAST(sum(purchase_amount) AS DOUBLE) END, 6) AS amount_known FROM dims WHERE dim_name = 'category_l1' GROUP BY 1""")
 def category_known_coverage(spark, sf_dir):
     return metrics.category_known_coverage(Tables(spark, sf_dir).dims)
 
