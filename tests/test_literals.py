@@ -156,7 +156,8 @@ def test_tail_values(spark):
 def test_counter_weights(spark):
     """Poisson weights of mean one and n; the same whenever and wherever they are drawn."""
     df = spark.range(4000).select("id", resample.block_hash(5, F.col("id"), F.lit("x")).alias("h"))
-    cols = [resample.poisson_one(F.col("h"), k).alias(f"w{k}") for k in range(4)] + [resample.poisson_many(F.col("h"), 0, F.lit(400)).alias("many")]
+    u = resample.uniform(resample.digits(F.col("h"), 0))
+    cols = [resample.poisson_one(resample.digits(F.col("h"), k)).alias(f"w{k}") for k in range(4)] + [resample.poisson_many(resample.normal_point(u, resample.tail(u)), F.lit(400)).alias("many")]
     rows = df.select("id", *cols).collect()
     again = {r.id: r for r in df.repartition(7).select("id", *cols).collect()}
     assert all(again[r.id] == r for r in rows)
@@ -167,7 +168,7 @@ def test_counter_weights(spark):
     many = [r.many for r in rows]
     assert abs(statistics.mean(many) - 400) < 1.2 and abs(statistics.variance(many) / 400 - 1) < 0.1
     u = [1e-6, 0.01, 0.3, 0.5, 0.9, 0.99, 1 - 1e-6]
-    points = spark.createDataFrame([(x,) for x in u], "u double").select(resample.normal_point(F.col("u")).alias("z")).collect()
+    points = spark.createDataFrame([(x,) for x in u], "u double").select(resample.normal_point(F.col("u"), resample.tail(F.col("u"))).alias("z")).collect()
     assert [r.z for r in points] == pytest.approx([statistics.NormalDist().inv_cdf(x) for x in u], abs=1e-7)
 
 

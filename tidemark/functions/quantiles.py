@@ -12,9 +12,10 @@ from pyspark.sql import Window
 MOST = 1 << 18
 
 
-def _near(x: Column, p: float, accuracy: int) -> Column:
+def _near(x: Column, ps: list[float], accuracy: int) -> Column:
+    """For each p the approximate quantiles a little below and above it; one summary of the column serves all."""
     slack = 2.0 / accuracy
-    return F.percentile_approx(x, F.array(F.lit(max(0.0, p - slack)), F.lit(min(1.0, p + slack))), accuracy)
+    return F.percentile_approx(x, F.array(*[F.lit(q) for p in ps for q in (max(0.0, p - slack), min(1.0, p + slack))]), accuracy)
 
 
 def exact_quantiles(rows: DataFrame, columns: list[str], probabilities: list[float], accuracy: int = 10_000, most: int = MOST) -> dict[str, list[float | None]]:
@@ -26,9 +27,9 @@ def exact_quantiles(rows: DataFrame, columns: list[str], probabilities: list[flo
     with more than `most` rows inside gets quantiles of these alone.  What is left inside is listed
     by value, so the largest task has `most` rows, or the values that a bracket can't divide, however many rows there are.
     """
-    first = rows.agg(*[x for k, c in enumerate(columns) for x in (F.count(c).alias(f"n{k}"), F.min(c).cast("double").alias(f"lo{k}"), F.max(c).cast("double").alias(f"hi{k}"))], *[_near(F.col(c), p, accuracy).alias(f"q{k}_{j}") for k, c in enumerate(columns) for j, p in enumerate(probabilities)]).collect()[0]
+    first = rows.agg(*[x for k, c in enumerate(columns) for x in (F.count(c).alias(f"n{k}"), F.min(c).cast("double").alias(f"lo{k}"), F.max(c).cast("double").alias(f"hi{k}"))], *[_near(F.col(c), probabilities, accuracy).alias(f"q{k}") for k, c in enumerate(columns)]).collect()[0]
     at = {k: F.col(c).cast("double") for k, c in enumerate(columns)}
-    bracket = {(k, j): tuple(map(float, first[f"q{k}_{j}"])) for k in range(len(columns)) for j in range(len(probabilities)) if first[f"n{k}"]}
+    bracket = {(k, j): tuple(map(float, first[f"q{k}"][2 * j : 2 * j + 2])) for k in range(len(columns)) for j in range(len(probabilities)) if first[f"n{k}"]}
     # Places of the two neighbours of each quantile among all values, from 0.
     place = {(k, j): (first[f"n{k}"] - 1) * probabilities[j] for k, j in bracket}
     ends = {b: (math.floor(h), math.ceil(h)) for b, h in place.items()}
@@ -59,7 +60,7 @@ def exact_quantiles(rows: DataFrame, columns: list[str], probabilities: list[flo
             asked.discard(b)
         if wide:
             p = {b: (ends[b][0] - below[b]) / n for b, n in wide.items()}
-            again = rows.agg(*[_near(F.when(inside[b], at[b[0]]), p[b], accuracy).alias(name(b)) for b in wide]).collect()[0]
+            again = rows.agg(*[_near(F.when(inside[b], at[b[0]]), [p[b]], accuracy).alias(name(b)) for b in wide]).collect()[0]
             for b in wide:
                 found = tuple(again[name(b)])
                 # Two values that hold nearly all inside can't be told apart by quantiles.

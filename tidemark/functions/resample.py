@@ -37,12 +37,16 @@ def block_hash_sql(seed: int, *key: str) -> str:
     return f"md5(concat_ws('|', '{seed}', {', '.join(key)}))"
 
 
-def poisson_one(hash_: Column, lane: int) -> Column:
+def digits(hash_: Column, lane: int) -> Column:
+    """The eight digits of a lane."""
+    return F.substring(hash_, 1 + 8 * lane, 8)
+
+
+def poisson_one(digits_: Column) -> Column:
     """Weight of a unit, Poisson with mean one."""
-    digits = F.substring(hash_, 1 + 8 * lane, 8)
     out = F.lit(0)
     for t in thresholds():
-        out = out + (digits >= t).cast("int")
+        out = out + (digits_ >= t).cast("int")
     return out
 
 
@@ -72,10 +76,18 @@ def _horner_sql(x: str, coefficients) -> str:
     return out
 
 
-def normal_point(u: Column) -> Column:
-    """Where the normal distribution has the share u below it; 0 < u < 1."""
-    tail = F.sqrt(-2 * F.ln(F.when(u < 0.5, u).otherwise(1 - u)))
-    far = _horner(tail, _C) / (_horner(tail, _D) * tail + 1)
+def uniform(digits_: Column) -> Column:
+    return (F.conv(digits_, 16, 10).cast("double") + 0.5) / 2.0**32
+
+
+def tail(u: Column) -> Column:
+    """What the expansion of the far ends is in."""
+    return F.sqrt(-2 * F.ln(F.least(u, 1 - u)))
+
+
+def normal_point(u: Column, tail_: Column) -> Column:
+    """Where the normal distribution has the share u below it; 0 < u < 1; tail_ is tail(u), best a column of its own."""
+    far = _horner(tail_, _C) / (_horner(tail_, _D) * tail_ + 1)
     q = u - 0.5
     near = _horner(q * q, _A) * q / (_horner(q * q, _B) * (q * q) + 1)
     return F.when(u < _LOW, far).when(u > 1 - _LOW, -far).otherwise(near)
@@ -89,10 +101,8 @@ def normal_point_sql(u: str) -> str:
     return f"(CASE WHEN {u} < {_LOW!r} THEN {far} WHEN {u} > 1 - {_LOW!r} THEN -{far} ELSE {near} END)"
 
 
-def poisson_many(hash_: Column, lane: int, n: Column) -> Column:
-    """Weight of a cell of n records, more than FEW, Poisson with mean n."""
-    u = (F.conv(F.substring(hash_, 1 + 8 * lane, 8), 16, 10).cast("double") + 0.5) / 2.0**32
-    z = normal_point(u)
+def poisson_many(z: Column, n: Column) -> Column:
+    """Weight of a cell of n records, more than FEW, Poisson with mean n; z: its normal point."""
     return F.greatest(F.lit(0), F.floor(n + F.sqrt(n.cast("double")) * z + (z * z - 1) / 6 + 0.5)).cast("long")
 
 

@@ -100,7 +100,8 @@ def cluster_bootstrap(compact_: DataFrame, repetitions: int, seed: int) -> DataF
     lanes = range(resample.LANES)
     blocks = F.explode(F.sequence(F.lit(0), F.lit(-(-repetitions // resample.LANES) - 1))).alias("block")
     rows = compact_.select("product_id", "user_id", "side", "n", "y", blocks).withColumn("h", resample.block_hash(seed, F.col("block"), F.col("user_id")))
-    rows = rows.select("product_id", "block", "side", "n", "y", *[resample.poisson_one(F.col("h"), k).alias(f"w{k}") for k in lanes])
+    rows = rows.select("product_id", "block", "side", "n", "y", *[resample.digits(F.col("h"), k).alias(f"d{k}") for k in lanes])
+    rows = rows.select("product_id", "block", "side", "n", "y", *[resample.poisson_one(F.col(f"d{k}")).alias(f"w{k}") for k in lanes])
     total = lambda side, c, k: F.coalesce(F.sum(F.when(F.col("side") == side, F.col(c) * F.col(f"w{k}"))), F.lit(0)).cast("double")
     sums = rows.groupBy("product_id", "block").agg(*[F.struct(F.lit(k).alias("lane"), total("low", "n", k).alias("nl"), total("high", "n", k).alias("nh"), total("low", "y", k).alias("yl"), total("high", "y", k).alias("yh")).alias(f"x{k}") for k in lanes])
     drawn = sums.select("product_id", "block", F.explode(F.array(*[F.col(f"x{k}") for k in lanes])).alias("x")).select("product_id", "block", "x.*").where(F.col("block") * resample.LANES + F.col("lane") < repetitions)

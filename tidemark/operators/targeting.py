@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 from fractions import Fraction
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -97,17 +96,14 @@ def group_rates(grouped: DataFrame, support: int) -> DataFrame:
 
 def score_ranks(rates: DataFrame) -> DataFrame:
     """Dense ranks of both scores, best first, of the 16 groups: scores are compared as fractions, so only equal ones tie."""
-
-    def ranked(pdf: pd.DataFrame) -> pd.DataFrame:
-        rate = lambda a: [Fraction(int(y), int(n)) if n else Fraction(-1) for y, n in zip(pdf[f"score_y{a}"], pdf[f"score_n{a}"], strict=True)]
-        control = rate(0)
-        for name, scores in (("response_rank", control), ("incremental_rank", [p - q for p, q in zip(rate(1), control, strict=True)])):
-            best = sorted(set(scores), reverse=True)
-            pdf[name] = [best.index(x) + 1 for x in scores]
-        return pdf
-
+    rows = rates.collect()  # a row a group: parameters from here on
+    rate = lambda r, a: Fraction(r[f"score_y{a}"], r[f"score_n{a}"]) if r[f"score_n{a}"] else Fraction(-1)
+    ranks = []
+    for scores in ([rate(r, 0) for r in rows], [rate(r, 1) - rate(r, 0) for r in rows]):
+        best = sorted(set(scores), reverse=True)
+        ranks.append([best.index(x) + 1 for x in scores])
     schema = StructType([*rates.schema.fields, StructField("response_rank", IntegerType()), StructField("incremental_rank", IntegerType())])
-    return rates.groupBy().applyInPandas(ranked, schema)
+    return rates.sparkSession.createDataFrame([(*r, *both) for r, *both in zip(rows, *ranks, strict=True)], schema)
 
 
 def apply_rules(rows: DataFrame, rules: DataFrame) -> DataFrame:
@@ -220,8 +216,13 @@ def joint_bootstrap(types: DataFrame, repetitions: int, seed: int) -> DataFrame:
     one_by_one = F.col("n") <= resample.FEW
     unit = F.explode(F.when(one_by_one, F.sequence(F.lit(1), F.col("n").cast("int"))).otherwise(F.array(F.lit(0)))).alias("unit")
     drawn = cells.select("*", unit).select("*", blocks).withColumn("h", resample.block_hash(seed, *map(F.col, ("block", "treatment", "conversion", "mask", "unit"))))
-    lane = lambda k: F.when(one_by_one, resample.poisson_one(F.col("h"), k)).otherwise(resample.poisson_many(F.col("h"), k, F.col("n")))
-    drawn = drawn.select("block", "treatment", "conversion", "mask", *[lane(k).alias(f"w{k}") for k in range(resample.LANES)])
+    # Stages, so that no digits, logarithms or roots are made anew for each place that they stand in.
+    lanes = range(resample.LANES)
+    drawn = drawn.withColumns({f"d{k}": resample.digits(F.col("h"), k) for k in lanes}).drop("h")
+    drawn = drawn.withColumns({f"u{k}": F.when(~one_by_one, resample.uniform(F.col(f"d{k}"))) for k in lanes})
+    drawn = drawn.withColumns({f"t{k}": resample.tail(F.col(f"u{k}")) for k in lanes})
+    drawn = drawn.withColumns({f"z{k}": resample.normal_point(F.col(f"u{k}"), F.col(f"t{k}")) for k in lanes})
+    drawn = drawn.select("block", "treatment", "conversion", "mask", *[F.when(one_by_one, resample.poisson_one(F.col(f"d{k}"))).otherwise(resample.poisson_many(F.col(f"z{k}"), F.col("n"))).alias(f"w{k}") for k in lanes])
     drawn = drawn.groupBy("block", "treatment", "conversion", "mask").agg(*[F.sum(f"w{k}").alias(f"w{k}") for k in range(resample.LANES)])
     drawn = drawn.select("block", "treatment", "conversion", "mask", F.posexplode(F.array(*[F.col(f"w{k}") for k in range(resample.LANES)])).alias("lane", "w"))
     drawn = drawn.withColumn("repetition", F.col("block") * resample.LANES + F.col("lane")).where(F.col("repetition") < repetitions)

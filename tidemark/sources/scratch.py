@@ -35,8 +35,7 @@ def fresh(spark: SparkSession, name: str) -> str:
 
 def hold(df: DataFrame) -> DataFrame:
     """A small table, written once, so that what it is made from is not read again at every use."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    return written(df.coalesce(1), "held")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
