@@ -59,6 +59,7 @@ def plain_margins(bins, y, s, rounds):
 
 @pytest.mark.parametrize("role", ["response", "s", "t1"])
 def test_equal_to_numpy(spark, role, monkeypatch):
+    monkeypatch.setattr(bo, "DIRECT", {"response": 16, "s": 0, "t1": 0}[role])
     monkeypatch.setattr(bo, "BLOCK", 100)
     monkeypatch.setattr(bo, "REBASE", 3)
     rows, df = frame(spark)

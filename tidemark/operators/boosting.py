@@ -34,6 +34,8 @@ REBASE = 25
 SAMPLE = 200_000
 #: Rows that are counted together at a time.
 BLOCK = 1 << 17
+#: Tasks whose sums the driver adds itself.
+DIRECT = 16
 
 
 @dataclass(frozen=True)
@@ -185,8 +187,21 @@ _SUMS = pa.schema([("node", pa.int32()), ("feature", pa.int32()), ("bin", pa.int
 _LOSS, _LABELS = -1, -2
 
 
-def level(table: DataFrame, role: str, base: float, trees: list[Tree], current: Tree, asked: list[int]) -> dict[int, dict]:
-    """Sums by (node, feature, bin) of the `asked` nodes of the tree that grows, and the held-out loss before it."""
+@dataclass(frozen=True)
+class Told:
+    """What one pass tells: by node the sums (features x 256 bins x gradient, Hessian, rows); of the held-out part its
+    loss, ones and rows; of the fitted part its ones and rows."""
+
+    nodes: dict[int, np.ndarray]
+    loss: tuple[float, int, int]
+    labels: tuple[int, int]
+
+
+def level(table: DataFrame, role: str, base: float, trees: list[Tree], current: Tree, asked: list[int], features: int, tasks: int) -> Told:
+    """Sums by (node, feature, bin) of the `asked` nodes of the tree that grows, and the held-out loss before it.
+
+    tasks: partitions of the table; the sums of a few are added by the driver, of more by Spark.
+    """
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked_at = {node: k for k, node in enumerate(asked)}
@@ -222,12 +237,26 @@ def level(table: DataFrame, role: str, base: float, trees: list[Tree], current:
             out = [np.concatenate([x, z]) for x, z in zip(out, more, strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array(c).cast(kind) for c, kind in zip(out, _SUMS.types, strict=True)], schema=_SUMS)
 
-    exact = lambda c: F.sum(F.col(c).cast("decimal(20,0)")).alias(c)
-    told = table.mapInArrow(made, "node int, feature int, bin int, g long, h long, n long").groupBy("node", "feature", "bin").agg(exact("g"), exact("h"), F.sum("n").alias("n"))
-    out: dict[int, dict] = {}
-    for r in told.collect():  # nodes x features x bins at most
-        out.setdefault(r.node, {})[r.feature, r.bin] = (int(r.g), int(r.h), int(r.n))
-    return out
+    found = table.mapInArrow(made, "node int, feature int, bin int, g long, h long, n long")
+    if tasks > DIRECT:
+        exact = lambda c: F.sum(F.col(c).cast("decimal(20,0)")).alias(c)
+        found = found.groupBy("node", "feature", "bin").agg(exact("g"), exact("h"), F.sum("n").alias("n"))
+    rows = found.toArrow()  # nodes x features x bins at most, of each of DIRECT tasks at most
+    node, feature, bin_ = (rows.column(k).to_numpy() for k in range(3))
+    g, h, n = (np.array(rows.column(k).to_pylist(), object) for k in range(3, 6))
+    out, head = {}, {}
+    for special in (_LOSS, _LABELS):
+        at = node == special
+        head[special] = tuple(int(sum(x[at])) for x in (g, h, n))
+    for k in asked:
+        at = np.flatnonzero(node == k)
+        sums = np.zeros((features, 256, 3), object)
+        for c, x in enumerate((g, h, n)):
+            np.add.at(sums[:, :, c], (feature[at], bin_[at]), x[at])
+        # Whole numbers until here, so equal in every order of addition; one rounding each.
+        out[k] = sums.astype(float) / np.array([UNIT, UNIT, 1.0])
+    loss, labels = head[_LOSS], head[_LABELS]
+    return Told(out, (loss[0] / UNIT, loss[1], loss[2]), (labels[0], labels[2]))
 
 
 @dataclass(frozen=True)
@@ -235,34 +264,23 @@ class Split:
     gain: float
     feature: int
     bin: int
-    left: tuple[int, int, int]
-    right: tuple[int, int, int]
 
 
-def best_split(sums: dict[tuple[int, int], tuple[int, int, int]], settings: Settings) -> Split | None:
+def best_split(sums: np.ndarray, settings: Settings) -> Split | None:
     """The split of largest gain that leaves both sides enough rows; ties to the first feature, then the lowest bin."""
-    features = sorted({f for f, _ in sums})
-    if not features:
+    left = np.cumsum(sums, axis=1)
+    total = left[:, -1:, :]
+    right = total - left
+    score = lambda x: x[..., 0] ** 2 / (x[..., 1] + settings.l2)
+    gain = score(left) + score(right) - score(total)
+    fine = (np.minimum(left[..., 2], right[..., 2]) >= settings.leaf_rows) & (np.minimum(left[..., 1], right[..., 1]) >= settings.least_hessian) & (gain > 0)
+    if not fine.any():
         return None
-    score = lambda g, h: g * g / (h + settings.l2)
-    best = None
-    for f in features:
-        bins = sorted(b for k, b in sums if k == f)
-        total = tuple(sum(sums[f, b][i] for b in bins) for i in range(3))
-        whole = score(total[0] / UNIT, total[1] / UNIT)
-        left = (0, 0, 0)
-        for b in bins[:-1]:
-            left = tuple(x + y for x, y in zip(left, sums[f, b], strict=True))
-            right = tuple(x - y for x, y in zip(total, left, strict=True))
-            if min(left[2], right[2]) < settings.leaf_rows or min(left[1], right[1]) < settings.least_hessian * UNIT:
-                continue
-            gain = score(left[0] / UNIT, left[1] / UNIT) + score(right[0] / UNIT, right[1] / UNIT) - whole
-            if gain > 0 and (best is None or gain > best.gain):
-                best = Split(gain, f, b, left, right)
-    return best
-
-
-def grow(ask, settings: Settings) -> tuple[Tree, dict[int, dict]]:
+    at = int(np.argmax(np.where(fine, gain, -np.inf)))
+    return Split(float(gain.flat[at]), at // 256, at % 256)
+
+
+def grow(ask, settings: Settings) -> tuple[Tree, Told]:
     """A tree from `ask`, which gives the sums of some leaves of a tree; and what its first call told beside them.
 
     Best first: the leaf of largest gain is split next.  Before a split is made the sums of its
@@ -271,9 +289,9 @@ def grow(ask, settings: Settings) -> tuple[Tree, dict[int, dict]]:
     """
     tree = Tree()
     first = ask(tree, [0])
-    _, tree.value[0], tree.rows[0] = _leaf(first.get(0, {}), settings)
-    split = {0: best_split(first.get(0, {}), settings)}
-    made: dict[int, tuple[dict, dict]] = {}
+    tree.value[0], tree.rows[0] = _leaf(first.nodes[0], settings)
+    split = {0: best_split(first.nodes[0], settings)}
+    made: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     leaves = 1
     while leaves < settings.leaves:
         open_ = [k for k, s in split.items() if s]
@@ -282,15 +300,16 @@ def grow(ask, settings: Settings) -> tuple[Tree, dict[int, dict]]:
         node = min(open_, key=lambda k: (-split[k].gain, k))
         if node not in made:
             ahead, asked = _split_all(tree, {k: split[k] for k in open_ if k not in made})
-            told = ask(ahead, [c for pair in asked.values() for c in pair])
-            made |= {k: (told.get(a, {}), told.get(b, {})) for k, (a, b) in asked.items()}
+            told = ask(ahead, [c for pair in asked.values() for c in pair]).nodes
+            made |= {k: (told[a], told[b]) for k, (a, b) in asked.items()}
         s = split.pop(node)
         tree.feature[node], tree.bin[node], tree.gain[node] = s.feature, s.bin, s.gain
         for side, sums in zip(("left", "right"), made.pop(node), strict=True):
             child = _new(tree)
             getattr(tree, side)[node] = child
-            _, tree.value[child], tree.rows[child] = _leaf(sums, settings)
-            split[child] = best_split(sums, settings)
+            tree.value[child], tree.rows[child] = _leaf(sums, settings)
+            # The last split's children stay leaves.
+            split[child] = best_split(sums, settings) if leaves + 1 < settings.leaves else None
         leaves += 1
     return tree, first
 
@@ -311,10 +330,9 @@ def _split_all(tree: Tree, splits: dict[int, Split]) -> tuple[Tree, dict[int, tu
     return ahead, children
 
 
-def _leaf(sums: dict, settings: Settings) -> tuple[tuple, float, int]:
-    f = min((k for k, _ in sums), default=None)
-    g, h, n = (sum(v[i] for (k, _), v in sums.items() if k == f) for i in range(3)) if f is not None else (0, 0, 0)
-    return (g, h, n), (-settings.step * (g / UNIT) / (h / UNIT + settings.l2) if n else 0.0), n
+def _leaf(sums: np.ndarray, settings: Settings) -> tuple[float, int]:
+    g, h, n = sums[0].sum(axis=0)
+    return float(-settings.step * g / (h + settings.l2)) if n else 0.0, int(n)
 
 
 def rebased(table: DataFrame, role: str, base: float, trees: list[Tree]) -> DataFrame:
@@ -336,17 +354,20 @@ def rebased(table: DataFrame, role: str, base: float, trees: list[Tree]) -> Data
 def fit(table: DataFrame, features: list[str], cuts: list[np.ndarray], role: str = "response", settings: Settings | None = None) -> Model:
     """Boosted trees of one role over the blocks; needs both outcomes among the fitted and the held-out rows."""
     settings = settings or Settings()
-    labels = level(table, role, 0.0, [], Tree(), [])
-    (ones, _, n), held = labels.get(_LABELS, {}).get((0, 0), (0, 0, 0)), labels.get(_LOSS, {}).get((0, 0), (0, 0, 0))
+    tasks, width = table.rdd.getNumPartitions(), len(features) + (role == "s")
+    ask = lambda since: lambda tree, asked: level(table, role, base, since, tree, asked, width, tasks)
+    base = 0.0
+    start = ask([])(Tree(), [])
+    (ones, n), held = start.labels, start.loss
     if not 0 < ones < n or not 0 < held[1] < held[2]:
         raise ValueError(f"{role}: both outcomes are needed to fit and to stop")
     base = math.log(ones / (n - ones))
     names, ends = (features, cuts) if role != "s" else ([*features, "treatment"], [*cuts, np.array([0.5])])
     trees, since, losses = [], [], []
     for _ in range(settings.rounds):
-        tree, told = grow(lambda t, asked, since=since: level(table, role, base, since, t, asked), settings)
+        tree, told = grow(ask(since), settings)
         # The first pass of a round tells the loss after the rounds before.
-        losses.append(told[_LOSS][0, 0][0] / UNIT / told[_LOSS][0, 0][2])
+        losses.append(told.loss[0] / told.loss[2])
         if stopped_after(losses, settings.patience, settings.tolerance) is not None:
             break
         trees.append(tree)
@@ -354,8 +375,8 @@ def fit(table: DataFrame, features: list[str], cuts: list[np.ndarray], role: str
         if len(since) == REBASE:
             table, since = rebased(table, role, base, since), []
     else:
-        told = level(table, role, base, since, Tree(), [])
-        losses.append(told[_LOSS][0, 0][0] / UNIT / told[_LOSS][0, 0][2])
+        told = ask(since)(Tree(), [])
+        losses.append(told.loss[0] / told.loss[2])
     return Model(names, ends, base, trees, losses)
 
 
