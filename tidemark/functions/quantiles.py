@@ -18,7 +18,7 @@ def _near(x: Column, ps: list[float], accuracy: int) -> Column:
     return F.percentile_approx(x, F.array(*[F.lit(q) for p in ps for q in (max(0.0, p - slack), min(1.0, p + slack))]), accuracy)
 
 
-def exact_quantiles(rows: DataFrame, columns: list[str], probabilities: list[float], accuracy: int = 10_000, most: int = MOST) -> dict[str, list[float | None]]:
+def exact_quantiles(rows: DataFrame, columns: list[str], probabilities: list[float], accuracy: int = 2000, most: int = MOST) -> dict[str, list[float | None]]:
     """For each column its quantiles, interpolated between neighbours; nulls take no part, no values give None.
 
     The first pass brackets each quantile by approximate ones, whose rank error is 1 / accuracy.
