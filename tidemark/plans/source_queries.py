@@ -131,15 +131,27 @@ def stream_fetch(spark, sf_dir):
     return spark.createDataFrame([tuple(r) for r in files.stream_fetch(counts)], "p_brand string, n long")
 
 
-@query("""WITH f AS (SELECT sha256(string_agg(n_nationkey || ',' || n_name, chr(10) ORDER BY n_nationkey) || chr(10)) AS h, sum(length(n_nationkey || ',' || n_name) + 1) AS n FROM nation),
-g AS (SELECT sha256(string_agg(r_regionkey || ',' || r_name, chr(10) ORDER BY r_regionkey) || chr(10)) AS h, sum(length(r_regionkey || ',' || r_name) + 1) AS n FROM region)
-SELECT h AS sha256, CAST(n AS BIGINT) AS length, CAST(2 AS INTEGER) AS copies, TRUE AS copied, TRUE AS name_conflict FROM f UNION ALL SELECT h, CAST(n AS BIGINT), 1, FALSE, TRUE FROM g""")
+_LINE = "o_orderkey || ',' || o_custkey || ',' || o_orderstatus || ',' || CAST(o_totalprice AS DECIMAL(18,2)){}"
+_FOLD = "list_reduce(list_prepend(CAST(0 AS HUGEINT), list_transform(h, lambda x: CAST('0x' || x[{}:{}] AS HUGEINT))), lambda a, x: (a * {} + x) % {})"
+_FOLDS = [_FOLD.format(15 * k + 1, 15 * k + 15, base, files.PRIME) for k, base in enumerate(files.BASES)]
+
+
+@query(f"""
+WITH l AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, o_orderkey AS k, {_LINE.format("")} AS line, {_LINE.format(" || CASE WHEN o_orderkey % 1000 = 1 THEN '!' ELSE '' END")} AS odd FROM orders),
+f AS (SELECT 'a' AS folder, month, k, line FROM l UNION ALL SELECT 'b', month, k, line FROM l UNION ALL SELECT 'c', month, k, odd FROM l),
+s AS (SELECT folder, month, list(sha256(line) ORDER BY k, line) AS h, CAST(sum(strlen(line) + 1) AS BIGINT) AS length FROM f GROUP BY ALL),
+d AS (SELECT folder, month, length, sha256({_FOLDS[0]} || ':' || {_FOLDS[1]} || ':' || length) AS digest FROM s),
+n AS (SELECT month, count(DISTINCT digest) > 1 AS name_conflict FROM d GROUP BY 1)
+SELECT digest, length, CAST(count(*) AS INTEGER) AS copies, count(*) > 1 AS copied, bool_or(name_conflict) AS name_conflict FROM d JOIN n USING (month) GROUP BY ALL""")
 def content_manifest(spark, sf_dir):
-    """Three folders of files named alike: two hold the nations, one the regions."""
+    """All orders in a file a month, in three folders: two are copies, and the third has some lines that differ."""
+    k = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders")
+    line = F.concat_ws(",", k, "o_custkey", "o_orderstatus", F.col("o_totalprice").cast("decimal(18,2)"))
+    told = rows.select(F.date_format("o_orderdate", "yyyy-MM").alias("month"), k, line.alias("value"))
+    odd = told.withColumn("value", F.concat("value", F.when(k % 1000 == 1, "!").otherwise("")))
     top = fresh(spark, "manifest")
-    for folder, name in (("a", "nation"), ("b", "nation"), ("c", "region")):
-        rows = table(spark, sf_dir, name)
-        lines = rows.orderBy(rows.columns[0]).select(F.concat_ws(",", F.col(rows.columns[0]).cast("string"), rows.columns[1]).alias("value"))
-        lines.coalesce(1).write.text(f"{top}/{folder}")
-    held = files.content_manifest(spark, top, by_name="part-00000")
-    return held.select("sha256", "length", F.size("paths").alias("copies"), "copied", "name_conflict")
+    for folder, lines in (("a", told), ("b", told), ("c", odd)):
+        lines.repartition("month").sortWithinPartitions("month", "o_orderkey", "value").select("month", "value").write.partitionBy("month").text(f"{top}/{folder}")
+    held = files.content_manifest(spark, top, r"month=([^/]+)/part-")
+    return held.select("digest", "length", F.size("paths").alias("copies"), "copied", "name_conflict")

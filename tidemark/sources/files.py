@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -102,16 +104,95 @@ def stream_fetch(df: DataFrame) -> Iterator[Row]:
     return df.toLocalIterator()
 
 
-def content_manifest(spark: SparkSession, path: str, by_name: str | None = None) -> DataFrame:
+#: Modulus and the two bases of the digests of files; any fixed values will do, as long as they stay.
+PRIME, BASES = (1 << 61) - 1, (1_000_000_007 * 998_244_353, 1_000_000_009 * 754_974_721)
+#: Names that the readers of text unpack; such a file is read as it lies, by one task, and has at most 2 GB.
+_PACKED = r"(?i)\.(gz|bz2|deflate|snappy|lz4|zst|zstd)$"
+_RANGE = "file string, begin long, bytes long, h0 long, h1 long, step0 long, step1 long"
+
+
+class _Fold:
+    """Lines of one range of a file, folded in their order; ranges fold together in the same way."""
+
+    def __init__(self, file: str, begin: int) -> None:
+        self.file, self.begin, self.bytes, self.lines, self.held = file, begin, 0, 0, [0, 0]
+
+    def add(self, line: bytes) -> None:
+        told = hashlib.sha256(line).hexdigest()
+        self.held = [(h * b + int(told[15 * k : 15 * k + 15], 16)) % PRIME for k, (h, b) in enumerate(zip(self.held, BASES, strict=True))]
+        self.bytes += len(line) + 1
+        self.lines += 1
+
+    def row(self) -> tuple:
+        return self.file, self.begin, self.bytes, *self.held, *(pow(b, self.lines, PRIME) for b in BASES)
+
+
+def _lines_of(content: bytes) -> Iterator[bytes]:
+    """Lines as a reader of text gives them: a leading byte order mark and the last line's end are left out."""
+    at = 3 if content.startswith(b"\xef\xbb\xbf") else 0
+    while at < len(content):
+        end = content.find(b"\n", at)
+        end = len(content) if end < 0 else end
+        yield content[at:end]
+        at = end + 1
+
+
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row a range, whose lines follow one another in the batches of its task."""
+    fold = None
+    rows = []
+    for b in batches:
+        for file, begin, line, content in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if fold is None or (fold.file, fold.begin) != (file, begin):
+                rows += [fold.row()] if fold else []
+                fold = _Fold(file, begin)
+            for part in [line] if content is None else _lines_of(content):
+                fold.add(part)
+    rows += [fold.row()] if fold else []
+    names = [c.split()[0] for c in _RANGE.split(", ")]
+    yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema=pa.schema([(n, pa.string() if n == "file" else pa.int64()) for n in names]))
+
+
+def file_digests(spark: SparkSession, path: str) -> DataFrame:
+    """path, length and digest of every file below a folder, of any size.
+
+    A file is read in ranges, each by a task of its own: lines cut at line feeds, the SHA-256 of
+    each line taken as two numbers of 60 bits, and these folded to two polynomials modulo PRIME.
+    The polynomials of ranges fold together like those of lines, so the digest, a SHA-256 of both
+    and of the length, does not depend on where a file was cut.  Bytes without a line feed are a
+    line too, of at most 2 GB.  A leading byte order mark counts by the length only, and a file
+    of nothing else has polynomials of zero.  Empty files are not listed: Spark's scans skip them.
+    """
+    scan = lambda kind: spark.read.format(kind).option("recursiveFileLookup", True)
+    file = F.col("_metadata.file_path")
+    listed = scan("binaryFile").load(path).select(file.alias("path"), F.col("_metadata.file_size").alias("length"))
+    lines = scan("text").option("lineSep", "\n").load(path).where(~file.rlike(_PACKED))
+    lines = lines.select(file.alias("file"), F.col("_metadata.file_block_start").alias("begin"), F.col("value").cast("binary").alias("line"), F.lit(None).cast("binary").alias("content"))
+    packed = scan("binaryFile").load(path).where(file.rlike(_PACKED))
+    packed = packed.select(file.alias("file"), F.lit(0).cast("long").alias("begin"), F.lit(None).cast("binary").alias("line"), "content")
+    ranges = lines.mapInArrow(_folded, _RANGE).unionByName(packed.mapInArrow(_folded, _RANGE))
+    whole = ranges.groupBy("file").agg(F.sum("bytes").alias("bytes"), F.array_sort(F.collect_list(F.struct("begin", "h0", "h1", "step0", "step1"))).alias("ranges"))
+    number = "decimal(19,0)"
+    folded = lambda k: F.coalesce(
+        F.aggregate("ranges", F.lit(0).cast(number), lambda h, r: ((h * r[f"step{k}"].cast(number) + r[f"h{k}"].cast(number)) % F.lit(PRIME).cast(number)).cast(number)), F.lit(0).cast(number)
+    )
+    # With or without an end of the last line, and a byte order mark that the reader leaves out.
+    seen = (F.coalesce("bytes", F.lit(0)) - F.col("length")).isin(0, 1, -3, -2)
+    digest = F.sha2(F.concat_ws(":", folded(0).cast("string"), folded(1).cast("string"), F.col("length").cast("string")), 256)
+    found = listed.join(whole, listed["path"] == whole["file"], "left")
+    return found.select("path", "length", F.when(seen, digest).otherwise(F.raise_error(F.concat(F.lit("not all bytes were read: "), "path"))).alias("digest"))
+
+
+def content_manifest(spark: SparkSession, path: str, named: str = r"([^/]+)$") -> DataFrame:
     """Files by content: copies under other names, and names that come with different contents.
 
-    Each file is one row of at most 2 GB; larger ones are an error of the scan.  by_name: files
-    whose names begin so count as named alike, and others are left out.
+    named: a pattern whose first group, found in a path, is the name; files whose path has none are
+    left out.  No file is held in one row, but for packed ones (`file_digests`).
     """
-    scan = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-    files = (scan.option("pathGlobFilter", f"{by_name}*") if by_name else scan).load(path)
-    name = F.lit(by_name) if by_name else F.element_at(F.split("path", "/"), -1)
-    hashed = files.select(name.alias("name"), "path", "length", F.sha2("content", 256).alias("sha256"))
-    names = hashed.groupBy("name").agg(F.countDistinct("sha256").alias("contents"))
-    by_content = hashed.groupBy("sha256", "length").agg(F.array_sort(F.collect_list("path")).alias("paths"), F.max("name").alias("name"))
-    return by_content.join(names, "name").select("sha256", "length", "paths", (F.size("paths") > 1).alias("copied"), (F.col("contents") > 1).alias("name_conflict"))
+    held = file_digests(spark, path).withColumn("name", F.regexp_extract("path", named, 1)).where("name != ''")
+    contents = F.size(F.collect_set("digest"))
+    names = held.groupBy("name").agg((contents > 1).alias("conflict"))
+    by_content = held.join(names, "name").groupBy("digest", "length")
+    return by_content.agg(F.array_sort(F.collect_list("path")).alias("paths"), F.max("conflict").alias("name_conflict")).select(
+        "digest", "length", "paths", (F.size("paths") > 1).alias("copied"), "name_conflict"
+    )
