@@ -131,6 +131,29 @@ def test_no_set_of_candidates_is_left_undecided(spark, make_docs, monkeypatch):
         assert sorted(r.doc_id for r in sh.keep_one_of_each_group(make_docs(rows)).collect()) == want
 
 
+def test_large_sets_are_cut_where_no_two_rows_are_alike(spark, make_docs, monkeypatch):
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choice("abcdefghijklm") for _ in range(5))
+    passage, rows = [word() for _ in range(200)], []
+    for k in range(40):  # all share a passage of two thirds, but only copies are alike
+        text = passage + [word() for _ in range(100)]
+        rows += [(k, " ".join(text)), (200 + k, " ".join(text + ["more"]))]
+    rows += [(500, "  "), (501, "\n"), (502, "lone")]
+    want = sequential(rows, 0.8)
+    rounds = []
+    judge = sh._judge
+    monkeypatch.setattr(sh, "_judge", lambda *a: rounds.append(1) or judge(*a))
+    monkeypatch.setattr(sh, "BLOCK_BYTES", 6000)
+    monkeypatch.setattr(sh, "_groups", lambda fps, node, tau, planes: fps.select(node.alias("node")).distinct().selectExpr("node", "0L as component"))
+    assert sorted(r.doc_id for r in sh.keep_one_of_each_group(make_docs(rows)).collect()) == want
+    assert len(rounds) == 2  # the components that were small at once, and the finer sets
+    given = make_docs(rows).selectExpr("doc_id", "xxhash64(text) as text_hash", "7L as component", "text")
+    sets = {}
+    for r in sh._finer(given, 5, 0.8).collect():
+        sets.setdefault(r.component, set()).add(r.doc_id)
+    assert sorted(map(sorted, sets.values())) == sorted([[k, 200 + k] for k in range(40)] + [[500, 501]])
+
+
 def test_leaders_miss_no_similar_set():
     rnd = np.random.default_rng(2)
     for _ in range(2000):

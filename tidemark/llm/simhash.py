@@ -367,31 +367,94 @@ def _blocks(rows: DataFrame) -> DataFrame:
     return rows.join(sizes.select("doc_id", "text_hash", F.floor(before / BLOCK_BYTES).cast("long").alias("block")), ["doc_id", "text_hash"])
 
 
+def _finer(rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The rows with finer sets in place of their components; rows that nothing can be like are left out.
+
+    In an order of all shingles, two sets with Jaccard t or more have one in common among the
+    first n - ceil(t n) + 1 of each.  The rarest shingles of a component come first, so a passage
+    that many texts share does not bring them together.  Rows that share such a shingle are
+    linked to the smallest of them: as many edges as shingles at most, and no pairs.  Rows that
+    are like each other are thus in one set, whatever else is in it.
+    """
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small_batches(batches, 64):
+            components_, nodes = (c.to_numpy(zero_copy_only=False) for c in b.columns[:2])
+            salts = _mix(components_.view(np.uint64))
+            # Texts without words are alike: all of them have the one shingle 0.
+            sets = [np.unique(shingle_hashes(t, shingle)) for t in b.column(2).cast(pa.binary()).to_pylist()]
+            sets = [own if len(own) else np.zeros(1, np.uint64) for own in sets]
+            sizes = np.array([len(own) for own in sets])
+            keys = np.concatenate(sets) ^ np.repeat(salts, sizes)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(nodes, sizes)), pa.array(np.repeat(sizes, sizes)), pa.array(keys.view(np.int64))], names=["node", "n", "shingle"])
+
+    named = rows.withColumn("node", F.xxhash64("component", "doc_id", "text_hash"))
+    each = materialize(named.select("component", "node", "text").mapInArrow(made, "node long, n long, shingle long"), "shingles")
+    shared = each.groupBy("shingle").agg(F.count("*").alias("rows")).where("rows > 1")
+    common = each.join(shared, "shingle").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("rows", "shingle"))).alias("shared"))
+    # Shingles of one row come first and link nothing; what is left of the first ones may link.
+    first = F.col("n") - F.ceil(similarity * F.col("n") - 1e-9) + 1 - (F.col("n") - F.size("shared"))
+    chosen = common.select("node", F.explode(F.slice("shared", F.lit(1), F.greatest(first, F.lit(0)).cast("int"))["shingle"]).alias("shingle"))
+    chosen = materialize(chosen, "chosen")
+    least = chosen.groupBy("shingle").agg(F.min("node").alias("b"), F.count("*").alias("rows")).where("rows > 1")
+    found = components(chosen.join(least, "shingle").select(F.col("node").alias("a"), "b"))
+    finer = materialize(named.drop("component").join(found, "node").drop("node"), "finer")
+    discard(each, chosen)
+    return finer
+
+
+def _by_size(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of components of at most BLOCK_BYTES of text, and the others, if there are any."""
+    sizes = rows.groupBy("component").agg(F.sum(F.octet_length("text")).alias("bytes"))
+    large = materialize(sizes.where(F.col("bytes") > BLOCK_BYTES).select("component"), "large")
+    if large.isEmpty():
+        return rows, None
+    return rows.join(large, "component", "left_anti"), rows.join(large, "component", "left_semi")
+
+
 def _like_an_earlier(rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """doc_id, text_hash of the rows (doc_id, text_hash, component, text) that go.
+    """doc_id, text_hash of the rows (doc_id, text_hash, component, text) that go, as a written table.
 
     In the order of the ids, a row goes if a row of its component that stays is like it.  A task
-    decides a whole component.  Of one of over BLOCK_BYTES of text, a round decides the first
-    block and then holds the rows of all later blocks against those that stay; rounds go on until
-    none is undecided.
+    decides a whole component.  One of over BLOCK_BYTES of text is first cut into finer sets, between
+    which no two rows are alike (`_finer`).  Of a finer set that is still as large, a round decides
+    the first block and then holds the rows of all later blocks against those that stay; rounds
+    go on until none is undecided.
     """
     key = ["doc_id", "text_hash"]
-    large = rows.groupBy("component").agg(F.sum(F.octet_length("text")).alias("bytes")).where(F.col("bytes") > BLOCK_BYTES)
-    large = materialize(large.select("component"), "large")
-    split = not large.isEmpty()
-    whole = (rows.join(large, "component", "left_anti") if split else rows).withColumn("block", F.lit(0).cast("long"))
-    gone = materialize(_judge(whole.withColumn("role", F.lit(_OPEN)), shingle, similarity), "judged").where("not stays").select(*key)
-    rest = materialize(_blocks(rows.join(large, "component", "left_semi")), "members") if split else None
+    parts: list[DataFrame] = []
+
+    def judged(given: DataFrame) -> DataFrame:
+        parts.append(materialize(_judge(given, shingle, similarity), "judged"))
+        return parts[-1]
+
+    def at_once(given: DataFrame) -> None:
+        judged(given.withColumns({"block": F.lit(0).cast("long"), "role": F.lit(_OPEN)}))
+
+    small, large = _by_size(rows)
+    at_once(small)
+    rest = None
+    if large is not None:
+        finer = _finer(large, shingle, similarity)
+        small, large = _by_size(finer)
+        at_once(small)
+        rest = materialize(_blocks(large), "members") if large is not None else None
+        discard(finer)
     while rest is not None and not rest.isEmpty():
         placed = rest.join(rest.groupBy("component").agg(F.min("block").alias("first")), "component")
-        decided = materialize(_judge(placed.where("block = first").withColumn("role", F.lit(_OPEN)), shingle, similarity), "judged")
+        decided = judged(placed.where("block = first").withColumn("role", F.lit(_OPEN)))
         later = placed.where("block > first").drop("first")
         leaders = rest.join(decided.where("stays").select(*key), key).drop("block")
         leaders = leaders.join(later.select("component", "block").distinct(), "component").withColumn("role", F.lit(_LEADS))
-        judged = _judge(leaders.unionByName(later.withColumn("role", F.lit(_JUDGED))), shingle, similarity)
-        judged = materialize(judged.join(later.select(*key), key, "left_semi"), "judged")
-        gone = gone.unionByName(decided.unionByName(judged).where("not stays").select(*key))
-        rest = materialize(later.join(judged.where("stays").select(*key), key), "members")
+        held = materialize(_judge(leaders.unionByName(later.withColumn("role", F.lit(_JUDGED))), shingle, similarity), "judged")
+        parts.append(materialize(held.join(later.select(*key), key, "left_semi"), "judged"))
+        older, rest = rest, materialize(later.join(parts[-1].where("stays").select(*key), key), "members")
+        discard(older, held)
+    gone = parts[0]
+    for part in parts[1:]:
+        gone = gone.unionByName(part)
+    gone = materialize(gone.where("not stays").select(*key), "gone")
+    discard(*parts)
     return gone
 
 
@@ -424,9 +487,10 @@ def keep_one_of_each_group(docs: DataFrame, shingle: int = 5, similarity: float
     texts = beside(keyed.select("doc_id", F.col(name).alias("text_hash"), F.coalesce("text", F.lit("")).alias("text")), grouped, key, "inner")
     texts = texts.where("copies = 1").unionByName(texts.where("copies > 1").dropDuplicates(key))
     rows = materialize(texts.select(*key, "component", "text"), "texts")
-    gone = materialize(copies.unionByName(_like_an_earlier(rows, shingle, similarity)), "gone")
+    like = _like_an_earlier(rows, shingle, similarity)
+    gone = materialize(copies.unionByName(like), "gone")
     repeated = materialize(distinct.where("copies > 1").select(*key), "repeated")
-    discard(rows, grouped, fps)
+    discard(rows, grouped, fps, like)
 
     named = lambda ids: ids.select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash"))
     same = (F.col("doc_id") == F.col("gone_id")) & (F.col(name) == F.col("gone_hash"))
