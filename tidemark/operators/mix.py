@@ -69,9 +69,13 @@ def focus_products(compared: DataFrame, daily: DataFrame, targets: list[str], de
 
 
 def mix_daily_rows(daily: DataFrame) -> DataFrame:
-    """Mean record amount of each day and the share of its largest one and five products."""
-    day = Window.partitionBy("utc_date")
-    nth = F.row_number().over(day.orderBy(F.desc("amount"), "product_id"))
-    ranked = daily.withColumn("nth", nth)
+    """Mean record amount of each day and the share of its largest one and five products.
+
+    Tasks keep their five largest products of a day before these are shuffled, so no task holds a day's products.
+    """
+    nth = F.row_number().over(Window.partitionBy("utc_date").orderBy(F.desc("amount"), "product_id"))
     top = lambda k: F.sum(F.when(F.col("nth") <= k, F.col("amount")))
-    return ranked.groupBy("utc_date").agg(F.sum("purchases").cast("long").alias("purchases"), ratio(F.sum("amount"), F.sum("purchases"), 4).alias("mean_amount"), ratio(top(1), F.sum("amount")).alias("top1_share"), ratio(top(5), F.sum("amount")).alias("top5_share"))
+    largest = daily.withColumn("nth", nth).where("nth <= 5").groupBy(F.col("utc_date").alias("day")).agg(top(1).alias("top1"), top(5).alias("top5"))
+    totals = daily.groupBy("utc_date").agg(F.sum("purchases").cast("long").alias("purchases"), F.sum("amount").alias("total"))
+    joined = totals.join(largest, F.col("utc_date").eqNullSafe(F.col("day")))
+    return joined.select("utc_date", "purchases", ratio(F.col("total"), F.col("purchases"), 4).alias("mean_amount"), ratio(F.col("top1"), F.col("total")).alias("top1_share"), ratio(F.col("top5"), F.col("total")).alias("top5_share"))
