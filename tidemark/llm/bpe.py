@@ -5,6 +5,9 @@ there.  The smallest rank is found by a scan, its boundary deleted and the two n
 ranks refreshed.  That suits short words; longer ones, of over SHORT symbols, are merged over a
 heap and a linked list instead, with the same parts as result.  White space never lies inside a token of this vocabulary, so a text is cut
 at white space and each distinct chunk is encoded once per worker, in a table of bounded size.
+
+The words that are new in some texts are merged together: a row of parts and a row of ranks for each
+word, and every step takes the smallest rank of every row at once.
 """
 
 from __future__ import annotations
@@ -14,9 +17,11 @@ import hashlib
 import itertools
 import json
 import re
+import sys
 import unicodedata
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -34,7 +39,16 @@ _SEPARATORS = "\x1c\x1d\x1e\x1f"
 TABLE_BYTES = 160 << 20
 #: Symbols of the longest word that is merged by scans of its ranks; longer ones would take quadratic time.
 SHORT = 256
+#: Characters of the texts whose new words are merged together; a longer text stands alone.
+TOGETHER = 1 << 20
+#: Chunks that are made together, and symbols of the words whose rows are merged together, at most.
+CHUNKS, CELLS = 1 << 16, 1 << 20
+#: Bytes that a new chunk takes in the table, about.
+NEW_BYTES = 450
 _NONE = 1 << 60
+_NO_RANK = np.iinfo(np.int32).max
+#: Symbols of the widest row of words that are merged together, from one group of words to the next.
+_WIDTHS = (0, 6, 8, 10, 12, 16, 24, 32, 64, 128, SHORT)
 
 
 def chunks(text: str) -> list[str]:
@@ -61,6 +75,11 @@ def spelled(word: str, symbols: list[str]) -> str:
     return word if word.isascii() and word.isprintable() else "".join([symbols[b] for b in word.encode("utf-8")])
 
 
+def _stretches(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places of stretches of an array, one stretch after another."""
+    return np.repeat(begins - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+
+
 class WordBpe:
     """Encoder and decoder of a vocabulary file with an end-of-word suffix."""
 
@@ -77,6 +96,68 @@ class WordBpe:
         self.symbols = byte_symbols()
         self.find = regex.compile(PATTERN).findall
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
+        # Parts as numbers, for words that are merged together; what has no id, and the end of a row, is `absent`.
+        self.absent = max(self.tokens) + 1
+        pair_keys = np.array([self._key(self.ids[a], self.ids[b]) for a, b in pairs], np.int64)
+        self.pair_rank = np.append(np.argsort(pair_keys), _NO_RANK).astype(np.int32)
+        self.pair_keys = np.append(np.sort(pair_keys), np.iinfo(np.int64).max)
+        self.merged = np.array([self.ids[a + b] for a, b in pairs], np.int32)
+        self.inner, self.last = (
+            np.array([self.ids.get(x + end, self.absent) for x in self.symbols], np.int32) for end in ("", self.end)
+        )
+
+    def _key(self, left, right):
+        return left * (self.absent + 1) + right
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = self._key(left.astype(np.int64), right)
+        at = np.searchsorted(self.pair_keys, key)
+        return np.where(self.pair_keys[at] == key, self.pair_rank[at], np.int32(_NO_RANK))
+
+    def _merge_rows(self, parts: np.ndarray) -> np.ndarray:
+        """Rows of parts after all merges, leftmost smallest rank first; the last column must be absent."""
+        out = np.full_like(parts, self.absent)
+        rows, ranks = np.arange(len(parts)), self._ranks(parts[:, :-1], parts[:, 1:])
+        while len(rows):
+            k = ranks.argmin(1)
+            least = ranks[np.arange(len(rows)), k]
+            more = least != _NO_RANK
+            out[rows[~more], : parts.shape[1]] = parts[~more]
+            rows, parts, ranks, k, least = (x[more] for x in (rows, parts, ranks, k, least))
+            column, n = np.arange(parts.shape[1] - 1), np.arange(len(rows))
+            parts = np.take_along_axis(parts, column + (column > k[:, None]), 1)
+            ranks = np.take_along_axis(ranks, column[:-1] + (column[:-1] >= k[:, None]), 1)
+            parts[n, k] = self.merged[least]
+            ranks[n, k] = self._ranks(parts[n, k], parts[n, k + 1])
+            n, k = n[k > 0], k[k > 0]
+            ranks[n, k - 1] = self._ranks(parts[n, k - 1], parts[n, k])
+        return out
+
+    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The number of ids of each word, and the ids of all of them one after another."""
+        spelt = [w.encode("utf-8") for w in words]
+        sizes = np.fromiter(map(len, spelt), np.int64, len(spelt))
+        order = np.argsort(sizes, kind="stable")
+        n, ids = np.zeros(len(words), np.int64), [np.zeros(0, np.int32)]
+        group = itertools.pairwise(np.searchsorted(sizes[order], _WIDTHS, "right").tolist())
+        for width, (low, high) in zip(_WIDTHS[1:], group, strict=True):
+            for begin in range(low, high, CELLS // width):
+                these = order[begin : min(high, begin + CELLS // width)]
+                size = sizes[these]
+                symbols = np.frombuffer(b"".join([spelt[k] for k in these.tolist()]), np.uint8)
+                parts = np.full((len(these), size[-1] + 1), self.absent, np.int32)
+                parts[np.arange(size[-1] + 1) < size[:, None]] = self.inner[symbols]
+                parts[np.arange(len(these)), size - 1] = self.last[symbols[np.cumsum(size) - 1]]
+                parts = self._merge_rows(parts)
+                there = parts != self.absent
+                n[these] = there.sum(1)
+                ids.append(parts[there])
+        for k in order[np.searchsorted(sizes[order], SHORT, "right") :].tolist():
+            ids.append(np.array(self.word_ids(words[k]), np.int32))
+            n[k] = len(ids[-1])
+        begins = np.zeros_like(n)
+        begins[order] = np.cumsum(n[order]) - n[order]
+        return n, np.concatenate(ids)[_stretches(begins, n)]
 
     def word(self, word: str) -> list[str]:
         """Parts of one word, after its merges."""
@@ -133,6 +214,37 @@ class _Chunks(Remembered):
     def __init__(self, bpe: WordBpe) -> None:
         super().__init__(TABLE_BYTES)
         self.bpe = bpe
+        self.find_lines = regex.compile(PATTERN + r"|\n").findall
+        # An id as text and its token, each with a space; `absent` ends a chunk.
+        ids = range(bpe.absent)
+        self.shown = [*[f"{i} " for i in ids], "\n"], [*[bpe.tokens.get(i, "") + " " for i in ids], "\n"]
+
+    def learn(self, texts: list[list[str]]) -> None:
+        """Makes the chunks of these texts that are not known yet, all their words together."""
+        new = set(itertools.filterfalse(self.__contains__, itertools.chain.from_iterable(texts)))
+        if self.held + len(new) * NEW_BYTES > self.most:
+            self.clear()  # now, rather than amid the words that are about to be used
+            self.held, new = 0, set(itertools.chain.from_iterable(texts))
+        cut = [c for c in new if len(c) <= self.LONG]
+        if self.bpe.cut.search("\n".join(cut)):
+            cut = [c for c in cut if not self.bpe.cut.search(c)]
+        for begin in range(0, len(cut), CHUNKS):
+            self._learn(cut[begin : begin + CHUNKS])
+
+    def _learn(self, cut: list[str]) -> None:
+        found = words_of("\n".join(cut) + "\n", self.find_lines)
+        words = list(dict.fromkeys(["\n", *found]))
+        numbers = dict(zip(words, itertools.count()))
+        at = np.fromiter(map(numbers.__getitem__, found), np.int64, len(found))
+        n, ids = self.bpe.words(words[1:])
+        n, ids = np.append(1, n), np.append(np.int32(self.bpe.absent), ids)
+        ids = ids[_stretches((np.cumsum(n) - n)[at], n[at])]
+        counts = np.diff(np.flatnonzero(ids == self.bpe.absent), prepend=-1) - 1
+        shown, tokens = ("".join(map(x.__getitem__, ids.tolist())).split("\n")[:-1] for x in self.shown)
+        size = len(cut) * self.SLOT + sum(map(sys.getsizeof, itertools.chain(cut, shown, tokens)))
+        if self.held + size <= self.most:  # what finds no room is made one by one
+            self.update(zip(cut, zip(counts.tolist(), shown, tokens, strict=True), strict=True))
+            self.held += size
 
     def _kept(self, chunk: str, made: tuple[int, str, str]) -> tuple[int, str, str]:
         return self.keep(chunk, made, *made[1:])
@@ -158,6 +270,18 @@ class _Chunks(Remembered):
         return self._kept(chunk, made)
 
 
+def learnt(texts: list[str], known: _Chunks) -> Iterator[list[str]]:
+    """Chunks of each text, after the table has learnt those of about TOGETHER characters of texts."""
+    begin, size = 0, 0
+    for end, text in enumerate(texts, 1):
+        size += len(text)
+        if size >= TOGETHER or end == len(texts):
+            cut = [chunks(t) for t in texts[begin:end]]
+            known.learn(cut)
+            yield from cut
+            begin, size = end, 0
+
+
 _DIGEST = [("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
 
 
@@ -173,8 +297,8 @@ def encode_and_decode(docs: DataFrame, vocabulary: str, keep_ids: bool = False)
         sha = hashlib.sha256
         for b in small_batches(batches):
             n, ids_sha, text_sha, ids, texts = [], [], [], [], []
-            for text in b.column(1).to_pylist():
-                parts = list(map(known.__getitem__, chunks(text)))
+            for cut in learnt(b.column(1).to_pylist(), known):
+                parts = list(map(known.__getitem__, cut))
                 shown = "".join([p[1] for p in parts])[:-1]
                 decoded = "".join([p[2] for p in parts])[:-1]
                 n.append(sum([p[0] for p in parts]))
