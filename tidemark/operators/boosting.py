@@ -10,12 +10,17 @@ children of every leaf's best split are measured in the same pass, so a tree tak
 Sums are of whole numbers (2^-36 as unit), so they don't depend on the order of addition: a task that
 runs again after a lost executor changes no tree.  Margins of earlier trees are written into the
 blocks every REBASE rounds; the few trees since then are applied where the block is read.
+
+Passes are jobs, some thousand of them for a fit, so they are for tables that no task can hold.  A table
+of at most HELD bytes of bins and margins is fitted by one task that keeps them (`Held`): the same sums, so the
+same trees, without a job a level.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -36,6 +41,14 @@ SAMPLE = 200_000
 BLOCK = 1 << 17
 #: Tasks whose sums the driver adds itself.
 DIRECT = 16
+#: Bytes that a task keeps to fit a table on its own; more go through passes.
+HELD = 600_000_000
+#: Bytes a row that it keeps beside the bins: outcome, mark, margin.
+BESIDE = 10
+#: Rows whose sums are added at a time; sums of so many whole numbers of 2^36 are exact as doubles.
+CHUNK = 1 << 17
+#: Features are counted together up to so many cells, if the rows are that many.
+CELLS = 4096
 
 
 @dataclass(frozen=True)
@@ -53,6 +66,10 @@ class Settings:
     least_hessian: float = 1e-3
 
 
+def _mark_type(n: int) -> type:
+    return np.uint8 if n <= 1 << 8 else np.uint16 if n <= 1 << 16 else np.int32
+
+
 @dataclass
 class Tree:
     """Nodes in the order of their making; feature -1 marks a leaf.  x <= cut goes left."""
@@ -65,18 +82,32 @@ class Tree:
     rows: list[int] = field(default_factory=lambda: [0])
     gain: list[float] = field(default_factory=lambda: [0.0])
 
+    def _marks(self, bins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A small number for each row of bins (features x rows), and the leaf that each number stands for.
+
+        Children come after their parents; the left one keeps its parent's number.
+        """
+        at = np.zeros(bins.shape[1], _mark_type(len(self.feature)))
+        mark, leaves = {0: 0}, [0]
+        for k, f in enumerate(self.feature):
+            if f >= 0:
+                here = mark[k]
+                right = bins[f] > self.bin[k]
+                right &= at == here
+                np.putmask(at, right, len(leaves))
+                mark[self.left[k]], mark[self.right[k]] = here, len(leaves)
+                leaves[here] = self.left[k]
+                leaves.append(self.right[k])
+        return at, np.array(leaves)
+
     def leaf_of(self, bins: np.ndarray) -> np.ndarray:
-        """The leaf of each row of bins (rows x features)."""
-        at = np.zeros(len(bins), np.int64)
-        feature, cut, left, right = (np.array(x) for x in (self.feature, self.bin, self.left, self.right))
-        while (inner := np.flatnonzero(feature[at] >= 0)).size:
-            node = at[inner]
-            goes_left = bins[inner, feature[node]] <= cut[node]
-            at[inner] = np.where(goes_left, left[node], right[node])
-        return at
+        """The leaf of each row of bins (features x rows)."""
+        at, leaves = self._marks(bins)
+        return leaves[at]
 
     def add(self, bins: np.ndarray, margin: np.ndarray) -> None:
-        margin += np.array(self.value)[self.leaf_of(bins)]
+        at, leaves = self._marks(bins)
+        margin += np.array(self.value)[leaves][at]
 
 
 @dataclass
@@ -90,11 +121,13 @@ class Model:
     losses: list[float]
 
     def binned(self, columns: list[np.ndarray]) -> np.ndarray:
-        return np.stack([np.searchsorted(c, x, side="left") for c, x in zip(self.cuts, columns, strict=True)], axis=1)
+        """Rows x features; what lies together in memory is a feature."""
+        kind = _mark_type(1 + max(map(len, self.cuts), default=0))
+        return np.stack([np.searchsorted(c, x, side="left").astype(kind) for c, x in zip(self.cuts, columns, strict=True)]).T
 
     def probability(self, columns: list[np.ndarray]) -> np.ndarray:
-        bins = self.binned(columns)
-        margin = np.full(len(bins), self.base)
+        bins = self.binned(columns).T
+        margin = np.full(bins.shape[1], self.base)
         for tree in self.trees:
             tree.add(bins, margin)
         return 1 / (1 + np.exp(-margin))
@@ -111,14 +144,19 @@ def stopped_after(losses: list[float], patience: int = 10, tolerance: float = 1e
     return None
 
 
+def cut_hash() -> Column:
+    """What chooses the rows that cut points are taken from."""
+    return hash16("cuts-v1|", F.col("row_id"))
+
+
 def cut_points(rows: DataFrame, features: list[str], bins: int = 63, sample: int = SAMPLE) -> list[np.ndarray]:
     """Upper ends of all bins but the last: midpoints between values if these are few, else quantiles of about `sample` rows.
 
-    The sample is those rows whose id hash is below a share of its range.
+    The sample is those rows whose id hash (column cut_hash, or made of row_id) is below a share of its range.
     """
     n = rows.count()
     share = min(1.0, sample / max(1, n))
-    chosen = rows if share == 1.0 else rows.where(hash16("cuts-v1|", F.col("row_id")) < f"{int(share * 2**64):016x}")
+    chosen = rows if share == 1.0 else rows.where((F.col("cut_hash") if "cut_hash" in rows.columns else cut_hash()) < f"{int(share * 2**64):016x}")
     at = F.array(*[F.lit(k / bins) for k in range(1, bins)])
     few = lambda f: F.slice(F.sort_array(F.collect_set(F.col(f).cast("double"))), 1, bins + 1)
     told = chosen.agg(*[F.percentile(F.col(f).cast("double"), at).alias(f"q{k}") for k, f in enumerate(features)], *[few(f).alias(f"v{k}") for k, f in enumerate(features)]).collect()[0]
@@ -143,7 +181,7 @@ def blocks(rows: DataFrame, features: list[str], cuts: list[np.ndarray]) -> Data
             cells, count = np.unique(np.concatenate(held), axis=0, return_counts=True)
             held.clear()
             one = lambda x: pa.array([np.ascontiguousarray(x).tobytes()], pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array([len(cells)], pa.int32()), one(cells[:, :n]), one(cells[:, n]), one(cells[:, n + 1]), one(cells[:, n + 2]), one(count.astype("<i8")), pa.array([None], pa.binary())], names=_BLOCK.names)
+            return pa.RecordBatch.from_arrays([pa.array([len(cells)], pa.int32()), one(cells[:, :n].T), one(cells[:, n]), one(cells[:, n + 1]), one(cells[:, n + 2]), one(count.astype("<i8")), pa.array([None], pa.binary())], names=_BLOCK.names)
 
         for b in batches:
             columns = [b.column(k).to_numpy(zero_copy_only=False) for k in range(n + 3)]
@@ -163,19 +201,19 @@ _BLOCK = pa.schema([("n", pa.int32()), *[(c, pa.binary()) for c in ("bins", "arm
 
 
 def _opened(b: pa.RecordBatch, k: int, role: str, base: float) -> tuple[np.ndarray, ...]:
-    """bins, outcome, held-out, weight and margin of the k-th block's rows that a role learns from.
+    """bins (features x rows), outcome, held-out, weight and margin of the k-th block's rows that a role learns from.
 
     response: all rows; s: all, with the arm as the last feature; t0, t1: rows of that arm.
     """
     n, *raw = (c[k].as_py() for c in b.columns)
-    bins = np.frombuffer(raw[0], np.uint8).reshape(n, -1)
+    bins = np.frombuffer(raw[0], np.uint8).reshape(-1, n)
     arm, y, early = (np.frombuffer(x, np.uint8) for x in raw[1:4])
     weight = np.frombuffer(raw[4], "<i8")
     margin = np.full(n, base) if raw[5] is None else np.frombuffer(raw[5], "<f8").copy()
     if role == "s":
-        bins = np.concatenate([bins, arm[:, None]], axis=1)
-    keep = arm == int(role[1]) if role in ("t0", "t1") else np.ones(n, bool)
-    return bins[keep], y[keep].astype(np.int64), early[keep] == 1, weight[keep], margin[keep]
+        bins = np.concatenate([bins, arm[None]])
+    keep = arm == int(role[1]) if role in ("t0", "t1") else slice(None)
+    return bins[:, keep], y[keep].astype(np.int64), early[keep] == 1, weight[keep], margin[keep]
 
 
 def _whole(x: np.ndarray) -> np.ndarray:
@@ -215,7 +253,7 @@ def level(table: DataFrame, role: str, base: float, trees: list[Tree], current:
                 each = np.maximum(m, 0) - m * t + np.log1p(np.exp(-np.abs(m)))
                 loss = [x + int(z.sum()) for x, z in zip(loss, (_whole(each) * w, t * w, w), strict=True)]
                 fit = ~early
-                bins, y, weight, margin = bins[fit], y[fit], weight[fit], margin[fit]
+                bins, y, weight, margin = bins[:, fit], y[fit], weight[fit], margin[fit]
                 labels = [labels[0] + int((y * weight).sum()), 0, labels[2] + int(weight.sum())]
                 if not asked or not len(y):
                     continue
@@ -225,10 +263,10 @@ def level(table: DataFrame, role: str, base: float, trees: list[Tree], current:
                 code = leaf[here] * 256
                 # Whole numbers of less than 2^53 in all, so that their sums as doubles are exact.
                 values = [(_whole(x) * weight)[here].astype(float) for x in (p - y, p * (1 - p))] + [weight[here].astype(float)]
-                sums = np.zeros((bins.shape[1], 3, len(asked) * 256), np.int64) if sums is None else sums
-                for f in range(bins.shape[1]):
+                sums = np.zeros((len(bins), 3, len(asked) * 256), np.int64) if sums is None else sums
+                for f in range(len(bins)):
                     for c, x in enumerate(values):
-                        sums[f, c] += np.bincount(code + bins[here, f], weights=x, minlength=len(asked) * 256).astype(np.int64)
+                        sums[f, c] += np.bincount(code + bins[f, here], weights=x, minlength=len(asked) * 256).astype(np.int64)
         head = [(_LOSS, 0, 0, *loss), (_LABELS, 0, 0, *labels)]
         out = [np.array(c, np.int64) for c in zip(*head, strict=True)]
         for f in range(0 if sums is None else len(sums)):
@@ -280,11 +318,11 @@ def best_split(sums: np.ndarray, settings: Settings) -> Split | None:
     return Split(float(gain.flat[at]), at // 256, at % 256)
 
 
-def grow(ask, settings: Settings) -> tuple[Tree, Told]:
+def grow(ask, settings: Settings, ahead: bool = True) -> tuple[Tree, Told]:
     """A tree from `ask`, which gives the sums of some leaves of a tree; and what its first call told beside them.
 
     Best first: the leaf of largest gain is split next.  Before a split is made the sums of its
-    children are asked for, together with those of all other leaves' children: each round asks with
+    children are asked for, if `ahead` together with those of all other leaves' children: each round asks with
     a tree in which every leaf that can be is split.
     """
     tree = Tree()
@@ -299,8 +337,8 @@ def grow(ask, settings: Settings) -> tuple[Tree, Told]:
             break
         node = min(open_, key=lambda k: (-split[k].gain, k))
         if node not in made:
-            ahead, asked = _split_all(tree, {k: split[k] for k in open_ if k not in made})
-            told = ask(ahead, [c for pair in asked.values() for c in pair]).nodes
+            grown, asked = _split_all(tree, {k: split[k] for k in (open_ if ahead else [node]) if k not in made})
+            told = ask(grown, [c for pair in asked.values() for c in pair]).nodes
             made |= {k: (told[a], told[b]) for k, (a, b) in asked.items()}
         s = split.pop(node)
         tree.feature[node], tree.bin[node], tree.gain[node] = s.feature, s.bin, s.gain
@@ -351,33 +389,190 @@ def rebased(table: DataFrame, role: str, base: float, trees: list[Tree]) -> Data
     return written(table.mapInArrow(made, _BLOCK_SCHEMA), "margins")
 
 
-def fit(table: DataFrame, features: list[str], cuts: list[np.ndarray], role: str = "response", settings: Settings | None = None) -> Model:
-    """Boosted trees of one role over the blocks; needs both outcomes among the fitted and the held-out rows."""
-    settings = settings or Settings()
-    tasks, width = table.rdd.getNumPartitions(), len(features) + (role == "s")
-    ask = lambda since: lambda tree, asked: level(table, role, base, since, tree, asked, width, tasks)
-    base = 0.0
-    start = ask([])(Tree(), [])
-    (ones, n), held = start.labels, start.loss
-    if not 0 < ones < n or not 0 < held[1] < held[2]:
-        raise ValueError(f"{role}: both outcomes are needed to fit and to stop")
-    base = math.log(ones / (n - ones))
-    names, ends = (features, cuts) if role != "s" else ([*features, "treatment"], [*cuts, np.array([0.5])])
-    trees, since, losses = [], [], []
+class Held:
+    """The rows of one role in the memory of a task, feature by feature, with their margins; answers what `grow` asks.
+
+    Sums are added up for the smaller child of a split only: its sibling has what is left of the parent.  A split marks the
+    smaller child's rows.  Rows of a child are listed, but for those of the largest leaf so far, which keep the first mark.
+    """
+
+    def __init__(self, batches: Iterator[pa.RecordBatch], role: str, base: float, bins: list[int], rows: tuple[int, int], leaves: int) -> None:
+        """bins: how many each feature has; rows: of the fitted and of the held-out part."""
+        self.sizes = bins
+        self.parts = [(np.empty((len(bins), n), np.uint8), np.empty(n, np.uint8), np.full(n, base)) for n in rows]
+        self.at = np.zeros(rows[0], _mark_type(leaves))
+        filled = [0, 0]
+        for b in batches:
+            for k in range(b.num_rows):
+                x, y, early, weight, _ = _opened(b, k, role, base)
+                for part, here in enumerate((~early, early)):
+                    chosen = np.repeat(np.flatnonzero(here), weight[here])
+                    into = slice(filled[part], filled[part] + len(chosen))
+                    self.parts[part][0][:, into], self.parts[part][1][into] = x[:, chosen], y[chosen]
+                    filled[part] = into.stop
+        if filled != list(rows):
+            raise ValueError(f"{role}: {rows} rows were counted, {filled} read")
+        self.single, self.joint = [[f] for f in range(len(bins))], _joint(bins)
+        self.counts: np.ndarray | None = None
+
+    def ask(self, tree: Tree, asked: list[int]) -> Told:
+        """Of the root, of both children of one split, or of no node; only splits that are then made may be asked about."""
+        if not asked:
+            found = {}
+        elif asked == [0]:
+            self.at.fill(0)
+            self.mark, self.marks, self.rows = {0: 0}, 1, {}
+            self.sums = found = {0: self._summed(None)}
+        else:
+            parent = tree.left.index(asked[0])
+            found = self._split(parent, tree.feature[parent], tree.bin[parent], *asked)
+            self.sums = self.sums | found
+        nodes = {k: x.astype(float) / np.array([UNIT, UNIT, 1.0]) for k, x in found.items()}
+        if len(asked) > 1:
+            return Told(nodes, (0.0, 0, 0), (0, 0))
+        y = self.parts[0][1]
+        return Told(nodes, self._loss(), (int(y.sum(dtype=np.int64)), len(y)))
+
+    def _split(self, parent: int, f: int, cut: int, left: int, right: int) -> dict[int, np.ndarray]:
+        whole, listed, bins = self.sums.pop(parent), self.rows.pop(parent, None), self.parts[0][0][f]
+        below, n = whole[f, : cut + 1, 2].sum(), whole[f, :, 2].sum()
+        few, many = (left, right) if 2 * below <= n else (right, left)
+        if listed is None:
+            chosen = bins <= cut if few == left else bins > cut
+            chosen &= self.at == self.mark[parent]
+            part = np.flatnonzero(chosen)
+        else:
+            chosen = (bins[listed] <= cut) == (few == left)
+            part, self.rows[many] = listed[chosen], listed[~chosen]
+        self.at[part] = self.marks
+        self.mark[few], self.mark[many], self.marks = self.marks, self.mark[parent], self.marks + 1
+        self.rows[few] = part.astype(np.int32 if len(self.at) < 1 << 31 else np.int64)
+        sums = self._summed(part)
+        return {few: sums, many: whole - sums}
+
+    def _summed(self, part: np.ndarray | None) -> np.ndarray:
+        """features x 256 bins x gradient, Hessian, rows, of these fitted rows or of all."""
+        bins, y, margin = self.parts[0]
+        n = len(y) if part is None else len(part)
+        groups = self.joint if n >= CELLS else self.single
+        told = [np.zeros((3, math.prod(self.sizes[f] for f in g)), np.int64) for g in groups]
+        # Numbers of all rows by bin are the same in every tree.
+        count = part is not None or self.counts is None
+        for low in range(0, n, CHUNK):
+            here = slice(low, low + CHUNK) if part is None else part[low : low + CHUNK]
+            p = 1 / (1 + np.exp(-margin[here]))
+            values = [np.rint(x * UNIT) for x in (p - y[here], p * (1 - p))]
+            for g, into in zip(groups, told, strict=True):
+                code = bins[g[0]][here].astype(np.uint16)
+                for f, size in zip(g[1:], np.cumprod([self.sizes[f] for f in g[:-1]]), strict=True):
+                    code += bins[f][here] * np.uint16(size)
+                code = code.astype(np.intp)
+                for c, x in enumerate(values):
+                    into[c] += np.bincount(code, weights=x, minlength=into.shape[1]).astype(np.int64)
+                if count:
+                    into[2] += np.bincount(code, minlength=into.shape[1])
+        out = np.zeros((len(self.sizes), 256, 3), np.int64)
+        for g, x in zip(groups, told, strict=True):
+            cells = x.reshape(3, *[self.sizes[f] for f in reversed(g)])
+            for k, f in enumerate(g):
+                out[f, : self.sizes[f]] = cells.sum(axis=tuple(1 + a for a in range(len(g)) if a != len(g) - 1 - k)).T
+        if part is None:
+            self.counts = out[:, :, 2].copy() if count else self.counts
+            out[:, :, 2] = self.counts
+        return out
+
+    def _loss(self) -> tuple[float, int, int]:
+        """Of the held-out part: loss, ones and rows."""
+        _, y, margin = self.parts[1]
+        loss = 0
+        for low in range(0, len(y), CHUNK):
+            m, t = margin[low : low + CHUNK], y[low : low + CHUNK].astype(np.int64)
+            loss += int(_whole(np.maximum(m, 0) - m * t + np.log1p(np.exp(-np.abs(m)))).sum())
+        return loss / UNIT, int(y.sum(dtype=np.int64)), len(y)
+
+    def add(self, tree: Tree) -> None:
+        """The tree that was asked about last is part of the model."""
+        values = np.zeros(self.marks)
+        for k, mark in self.mark.items():
+            if tree.feature[k] < 0:
+                values[mark] = tree.value[k]
+        margin = self.parts[0][2]
+        for low in range(0, len(margin), CHUNK):
+            margin[low : low + CHUNK] += values[self.at[low : low + CHUNK]]
+        bins, _, margin = self.parts[1]
+        for low in range(0, len(margin), CHUNK):
+            tree.add(bins[:, low : low + CHUNK], margin[low : low + CHUNK])
+
+
+def _joint(sizes: list[int]) -> list[list[int]]:
+    """Groups of features with at most CELLS combinations of bins each; the largest first, each into the first group that has room."""
+    groups: list[list[int]] = []
+    for f in sorted(range(len(sizes)), key=lambda f: (-sizes[f], f)):
+        for g in groups:
+            if math.prod(sizes[x] for x in g) * sizes[f] <= CELLS:
+                g.append(f)
+                break
+        else:
+            groups.append([f])
+    return groups
+
+
+def boosted(ask: Callable, add: Callable[[Tree], None], settings: Settings, ahead: bool) -> tuple[list[Tree], list[float]]:
+    """Trees and held-out losses, from what gives sums and what takes a tree into the model."""
+    trees, losses = [], []
     for _ in range(settings.rounds):
-        tree, told = grow(ask(since), settings)
+        tree, told = grow(ask, settings, ahead)
         # The first pass of a round tells the loss after the rounds before.
         losses.append(told.loss[0] / told.loss[2])
         if stopped_after(losses, settings.patience, settings.tolerance) is not None:
             break
         trees.append(tree)
+        add(tree)
+    else:
+        told = ask(Tree(), [])
+        losses.append(told.loss[0] / told.loss[2])
+    return trees, losses
+
+
+def by_passes(table: DataFrame, role: str, base: float, features: int, settings: Settings) -> tuple[list[Tree], list[float]]:
+    """Fitted by a job for each level: for tables of any size."""
+    at, since, tasks = table, [], table.rdd.getNumPartitions()
+
+    def add(tree: Tree) -> None:
+        nonlocal at, since
         since = [*since, tree]
         if len(since) == REBASE:
-            table, since = rebased(table, role, base, since), []
+            at, since = rebased(at, role, base, since), []
+
+    return boosted(lambda tree, asked: level(at, role, base, since, tree, asked, features, tasks), add, settings, ahead=True)
+
+
+def in_a_task(table: DataFrame, role: str, base: float, bins: list[int], rows: tuple[int, int], settings: Settings) -> tuple[list[Tree], list[float]]:
+    """Fitted by one task that keeps the rows: for tables of at most HELD bytes."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = Held(batches, role, base, bins, rows, settings.leaves)
+        told = pickle.dumps(boosted(held.ask, held.add, settings, ahead=False))
+        yield pa.RecordBatch.from_arrays([pa.array([told], pa.binary())], names=["told"])
+
+    return pickle.loads(bytes(table.coalesce(1).mapInArrow(made, "told binary").collect()[0].told))
+
+
+def fit(table: DataFrame, features: list[str], cuts: list[np.ndarray], role: str = "response", settings: Settings | None = None) -> Model:
+    """Boosted trees of one role over the blocks; needs both outcomes among the fitted and the held-out rows."""
+    settings = settings or Settings()
+    width = len(features) + (role == "s")
+    start = level(table, role, 0.0, [], Tree(), [], width, table.rdd.getNumPartitions())
+    (ones, n), held = start.labels, start.loss
+    if not 0 < ones < n or not 0 < held[1] < held[2]:
+        raise ValueError(f"{role}: both outcomes are needed to fit and to stop")
+    base = math.log(ones / (n - ones))
+    names, ends = (features, cuts) if role != "s" else ([*features, "treatment"], [*cuts, np.array([0.5])])
+    if (n + held[2]) * (width + BESIDE) <= HELD:
+        told = in_a_task(table, role, base, [len(c) + 1 for c in ends], (n, held[2]), settings)
     else:
-        told = ask(since)(Tree(), [])
-        losses.append(told.loss[0] / told.loss[2])
-    return Model(names, ends, base, trees, losses)
+        told = by_passes(table, role, base, width, settings)
+    return Model(names, ends, base, *told)
 
 
 def tree_rows(model: Model) -> list[tuple]:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor, wait
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,20 +26,47 @@ def training_frame(rows: DataFrame) -> DataFrame:
     return out.withColumn("supported", (F.col("positives") > 0) & (F.col("positives") < F.col("n")))
 
 
-def learn(train: DataFrame, features: tuple[str, ...] = FEATURES, settings: Settings | None = None, roles: tuple[str, ...] = ROLES) -> dict[str, Model]:
-    """A model of each role.  Cut points come from the fitted rows; the binned rows are one written table for all roles."""
+def binned(train: DataFrame, features: tuple[str, ...] = FEATURES, settings: Settings | None = None) -> tuple[DataFrame, list[np.ndarray]]:
+    """The binned rows, one written table for all roles, and the cut points, which come from the fitted rows."""
+    cuts = boosting.cut_points(train.where("not early_stop"), list(features), (settings or Settings()).bins)
+    return written(boosting.blocks(train, list(features), cuts), "blocks"), cuts
+
+
+def learn(table: DataFrame, cuts: list[np.ndarray], features: tuple[str, ...] = FEATURES, settings: Settings | None = None, roles: tuple[str, ...] = ROLES) -> dict[str, Model]:
+    """A model of each role, from what `binned` gives; the roles are fitted side by side."""
     settings = settings or Settings()
-    cuts = boosting.cut_points(train.where("not early_stop"), list(features), settings.bins)
-    table = written(boosting.blocks(train, list(features), cuts), "blocks")
-    return {role: boosting.fit(table, list(features), cuts, role, settings) for role in roles}
+    with ThreadPoolExecutor(len(roles)) as pool:
+        told = {}
+        for role in roles:
+            told[role] = pool.submit(boosting.fit, table, list(features), cuts, role, settings)
+            wait([told[role]], 0.1)  # jobs start in the order of roles
+        return {role: x.result() for role, x in told.items()}
+
+
+#: Scores by name: the role that gives them, and the arm that its model is asked about.
+SCORES = {"response": ("response", None), "s1": ("s", 1), "s0": ("s", 0), "t1": ("t1", None), "t0": ("t0", None)}
 
 
 def score(models: dict[str, Model], rows: DataFrame) -> DataFrame:
-    """response, s1 and s0, t1 and t0 (probabilities under either arm), s_uplift and t_uplift; no observed arm or outcome is used."""
-    out = boosting.predict(models["response"], rows, "response")
-    for name, role, arm in (("s1", "s", 1), ("s0", "s", 0), ("t1", "t1", None), ("t0", "t0", None)):
-        out = boosting.predict(models[role], out, name, arm)
-    return out.withColumns({"s_uplift": F.col("s1") - F.col("s0"), "t_uplift": F.col("t1") - F.col("t0")})
+    """Adds what these models say: response, s1 and s0, t1 and t0 (probabilities under either arm), s_uplift and t_uplift.
+
+    No observed arm or outcome is used.
+    """
+    names = [n for n, (role, _) in SCORES.items() if role in models]
+    told = rows.sparkSession.sparkContext.broadcast([(n, models[SCORES[n][0]], SCORES[n][1]) for n in names])  # LEAVES nodes a round
+    features = next(iter(models.values())).features
+    features = [f for f in features if f != "treatment"]
+
+    @F.pandas_udf(", ".join(f"{n} double" for n in names))
+    def said(*columns: pd.Series) -> pd.DataFrame:
+        x = [c.to_numpy() for c in columns]
+        return pd.DataFrame({n: model.probability(x if arm is None else [*x, np.full(len(x[0]), float(arm))]) for n, model, arm in told.value})
+
+    out = rows.withColumn("said_", said(*[F.col(f).cast("double") for f in features])).select(*rows.columns, "said_.*")
+    for a in ("s", "t"):
+        if f"{a}1" in names and f"{a}0" in names:
+            out = out.withColumn(f"{a}_uplift", F.col(f"{a}1") - F.col(f"{a}0"))
+    return out
 
 
 def fit_rates(train: DataFrame) -> DataFrame:

@@ -252,27 +252,43 @@ def training_frame(spark, sf_dir):
     return models.training_frame(tg.early_stop(_split(spark, sf_dir)))
 
 
-def _learner_rows(spark, sf_dir):
-    """All twelve features of the split rows."""
-    return once(spark, "learner_rows", sf_dir, lambda: tg.split(experiment(spark, sf_dir, all_features=True)).withColumn("tie", tg.tie_hash()))
+def _all_features(spark, sf_dir):
+    return tg.split(experiment(spark, sf_dir, all_features=True))
 
 
 def _train(spark, sf_dir):
-    return tg.early_stop(_learner_rows(spark, sf_dir))
+    """What the learners see of the training rows: twelve features, arm, outcome, part, and the id's hash that samples cut points."""
+    kept = [*models.FEATURES, "treatment", "conversion", "early_stop"]
+    return once(spark, "train", sf_dir, lambda: tg.early_stop(_all_features(spark, sf_dir)).select(*kept, boosting.cut_hash().alias("cut_hash")))
 
 
-def _models(spark, sf_dir):
-    """The four classifiers, fitted once an application and folder."""
-    return remembered(spark, "models", sf_dir, lambda: models.learn(_train(spark, sf_dir)))
+def _held_out(spark, sf_dir):
+    """The held-out rows, with the hash that breaks ties."""
+    return once(spark, "held_out", sf_dir, lambda: _all_features(spark, sf_dir).where("split = 'valid'").withColumn("tie", tg.tie_hash()))
+
+
+def _models(spark, sf_dir, roles=models.ROLES):
+    """The classifiers of these roles, each fitted once an application and folder."""
+    known = remembered(spark, "models", sf_dir, dict)
+    missing = tuple(r for r in roles if r not in known)
+    if missing:
+        known |= models.learn(*remembered(spark, "binned", sf_dir, lambda: models.binned(_train(spark, sf_dir))), roles=missing)
+    return {r: known[r] for r in roles}
 
 
 def _scores(spark, sf_dir):
     """The stored score table of the held-out rows, which all evaluations read."""
-    return once(spark, "scores", sf_dir, lambda: models.score(_models(spark, sf_dir), _learner_rows(spark, sf_dir).where("split = 'valid'")))
+    return once(spark, "scores", sf_dir, lambda: models.score(_models(spark, sf_dir), _held_out(spark, sf_dir)))
+
+
+def _conditions(spark, sf_dir):
+    """Ids and scores of the one model that knows the arm."""
+    return once(spark, "conditions", sf_dir, lambda: models.score(_models(spark, sf_dir, ("s",)), _all_features(spark, sf_dir).where("split = 'valid'")).select("row_id", "s1", "s0", "s_uplift"))
 
 
 def _trees(spark, sf_dir, *roles):
-    rows = [(role, *r) for role in roles for r in boosting.tree_rows(_models(spark, sf_dir)[role])]
+    fitted = _models(spark, sf_dir, roles)
+    rows = [(role, *r) for role in roles for r in boosting.tree_rows(fitted[role])]
     return spark.createDataFrame(rows, f"role string, {boosting.TREE_SCHEMA}")
 
 
@@ -297,7 +313,7 @@ def fit_t_learner(spark, sf_dir):
 @query()
 def predict_conditions(spark, sf_dir):
     """Both conditional probabilities of every held-out row, and their difference."""
-    return _scores(spark, sf_dir).select("row_id", F.col("s1").alias("p1"), F.col("s0").alias("p0"), "s_uplift")
+    return _conditions(spark, sf_dir).select("row_id", F.col("s1").alias("p1"), F.col("s0").alias("p0"), "s_uplift")
 
 
 @query()
