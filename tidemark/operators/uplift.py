@@ -64,11 +64,11 @@ def areas(curve: DataFrame) -> DataFrame:
 
 def capacities(placed: DataFrame, n: int) -> DataFrame:
     """policy, capacity: both arms of the first floor(capacity n / 100) rows, their rates, and the gain per 10,000 rows of all."""
-    at = F.array(*[F.struct(F.lit(c).alias("capacity"), F.lit(c * n // 100).alias("k")) for c in CAPACITIES])
+    at = F.array(*[F.struct(F.lit(c).alias("capacity"), F.lit(c * n // 100).cast("long").alias("k")) for c in CAPACITIES])
     inside = placed.select("policy", "treatment", "conversion", F.explode(F.filter(at, lambda x: F.col("place") <= x["k"])).alias("x")).select("*", "x.*")
     out = _counts(inside, "policy", "capacity", "k")
     p = lambda a: F.try_divide(F.col(f"y{a}").cast("double"), F.col(f"n{a}").cast("double"))
     delta = p(1) - p(0)
     least = F.least(F.col("y0"), F.col("n0") - F.col("y0"), F.col("y1"), F.col("n1") - F.col("y1"))
     status = F.when(delta.isNull(), "zero_denominator").when(least < 10, "sparse").otherwise("ok")
-    return out.select("policy", "capacity", F.col("k").cast("long").alias("selected"), "n1", "n0", "y1", "y0", delta.alias("delta"), (10000 * F.col("k") / F.lit(float(n)) * delta).alias("gain"), status.alias("status"))
+    return out.select("policy", "capacity", F.col("k").alias("selected"), "n1", "n0", "y1", "y0", delta.alias("delta"), (10000 * F.col("k") / F.lit(float(n)) * delta).alias("gain"), status.alias("status"))
