@@ -263,8 +263,9 @@ def _train(spark, sf_dir):
 
 
 def _held_out(spark, sf_dir):
-    """The held-out rows, with the hash that breaks ties."""
-    return once(spark, "held_out", sf_dir, lambda: _all_features(spark, sf_dir).where("split = 'valid'").withColumn("tie", tg.tie_hash()))
+    """The held-out rows."""
+    kept = ["row_id", "treatment", "conversion", *models.FEATURES]
+    return _all_features(spark, sf_dir).where("split = 'valid'").select(*kept)
 
 
 def _models(spark, sf_dir, roles=models.ROLES):
@@ -277,13 +278,14 @@ def _models(spark, sf_dir, roles=models.ROLES):
 
 
 def _scores(spark, sf_dir):
-    """The stored score table of the held-out rows, which all evaluations read."""
-    return once(spark, "scores", sf_dir, lambda: models.score(_models(spark, sf_dir), _held_out(spark, sf_dir)))
+    """The stored score table of the held-out rows, with the hash that breaks ties; all evaluations read it."""
+    rows = _held_out(spark, sf_dir).withColumn("tie", tg.tie_hash())
+    return once(spark, "scores", sf_dir, lambda: models.score(_models(spark, sf_dir), rows).drop(*models.FEATURES))
 
 
 def _conditions(spark, sf_dir):
     """Ids and scores of the one model that knows the arm."""
-    return once(spark, "conditions", sf_dir, lambda: models.score(_models(spark, sf_dir, ("s",)), _all_features(spark, sf_dir).where("split = 'valid'")).select("row_id", "s1", "s0", "s_uplift"))
+    return once(spark, "conditions", sf_dir, lambda: models.score(_models(spark, sf_dir, ("s",)), _held_out(spark, sf_dir)).select("row_id", "s1", "s0", "s_uplift"))
 
 
 def _trees(spark, sf_dir, *roles):
