@@ -440,14 +440,13 @@ class Held:
         if listed is None:
             chosen = bins <= cut if few == left else bins > cut
             chosen &= self.at == self.mark[parent]
-            part = np.flatnonzero(chosen)
+            part = np.concatenate([low + np.flatnonzero(chosen[low : low + CHUNK]).astype(np.int32) for low in range(0, len(chosen), CHUNK)])
         else:
             chosen = (bins[listed] <= cut) == (few == left)
             part, self.rows[many] = listed[chosen], listed[~chosen]
         self.at[part] = self.marks
         self.mark[few], self.mark[many], self.marks = self.marks, self.mark[parent], self.marks + 1
-        self.rows[few] = part.astype(np.int32 if len(self.at) < 1 << 31 else np.int64)
-        sums = self._summed(part)
+        self.rows[few], sums = part, self._summed(part)
         return {few: sums, many: whole - sums}
 
     def _summed(self, part: np.ndarray | None) -> np.ndarray:

@@ -18,13 +18,14 @@ SCORES = {"random": None, "response": "response", "s_learner": "s_uplift", "t_le
 def policy_places(scores: DataFrame, policies: dict[str, str | None] = SCORES) -> DataFrame:
     """policy, row_id, treatment, conversion, place: every row once a policy, best first, ties by hash, then id.
 
-    scores: a written table with the hash as `tie`.  Places see scores, hashes and ids only.
+    scores: a written table with the hash as `tie`.  Places see scores, hashes and ids only.  Hash and row_id are in
+    lower-case hexadecimal digits; they are shuffled as bytes, which sort alike.
     """
     parts = []
     for policy, score in policies.items():
-        kept = scores.select("row_id", "tie", "treatment", "conversion", (F.lit(0.0) if score is None else F.col(score)).alias("score"))
-        placed = places(kept, "score", [F.col("tie"), F.col("row_id")], tie=F.col("tie"))
-        parts.append(placed.select(F.lit(policy).alias("policy"), "row_id", "treatment", "conversion", "place"))
+        kept = scores.select(F.unhex("row_id").alias("id_"), F.unhex("tie").alias("tie_"), "treatment", "conversion", (F.lit(0.0) if score is None else F.col(score)).alias("score"))
+        placed = places(kept, "score", [F.col("tie_"), F.col("id_")], tie=F.hex(F.substring("tie_", 1, 1)))
+        parts.append(placed.select(F.lit(policy).alias("policy"), F.lower(F.hex("id_")).alias("row_id"), "treatment", "conversion", "place"))
     return reduce(DataFrame.unionByName, parts)
 
 
